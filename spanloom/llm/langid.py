@@ -111,7 +111,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     if not sizes:
         return Model([], codewords(0), np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 40) * min(1.0, sample / n)))])
-    chosen = rows.where(mark < F.element_at(limit, F.col("lang"))).repartition(8, "id")
+    chosen = rows.where(mark < F.element_at(limit, F.col("lang"))).repartition(8, "id").coalesce(8)  # at most eight tasks, however finely the shuffle deals
     counts: dict[str, np.ndarray] = {}
     for lang, raw in chosen.select("text", "lang").mapInArrow(_counted, "lang string, counts binary").collect():
         counts[lang] = counts.get(lang, 0) + np.frombuffer(raw, dtype=np.int64)
