@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import jaccard, langid, mixing, packing, sharding, warc
+from spanloom.llm import ann, embed_dedup, jaccard, langid, licenses, mixing, packing, sharding, token_counts, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -10,10 +10,16 @@ QUERIES = {
     "op3_jaccard_join": jaccard.op3,
     "op4_warc": warc.op4,
     "op5_sharding": sharding.op5,
+    "op6_license_scan": licenses.op6,
+    "op7_token_counts": token_counts.op7,
+    "op8_nearest": ann.op8,
+    "op9_embedding_dedup": embed_dedup.op9,
     "op10_language_id": langid.op10,
 }
 
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_jaccard_join": jaccard.OP3_SQL,
+    "op8_nearest": ann.OP8_SQL,
+    "op9_embedding_dedup": embed_dedup.OP9_SQL,
 }

@@ -98,9 +98,9 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and offsets of n 32-bit hash permutations."""
-    drawn = np.random.default_rng(seed).integers(0, 1 << 32, (2, n), dtype=np.uint32)
-    return drawn[0] | np.uint32(1), drawn[1]
+    """Odd factors of n 32-bit hash permutations; more of them begin with the same ones."""
+    drawn = np.random.default_rng(seed).integers(0, 1 << 32, (n, 2), dtype=np.uint32) | np.uint32(1)
+    return drawn[:, 0], drawn[:, 1]
 
 
 def minhashes(hashes: np.ndarray, bound: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def minhashes(hashes: np.ndarray, bound: np.ndarray, n: int, seed: int) -> np.nd
         for j, (a, b) in enumerate(zip(*permutations(n, seed), strict=True)):
             value = low * a
             value ^= value >> np.uint32(15)
-            value *= b | np.uint32(1)
+            value *= b
             out[full, j] = np.minimum.reduceat(value, at)
     return out
 
