@@ -15,8 +15,8 @@ from spanloom.llm.shingles import digests, minhashes, normalized, slices, words_
 WIDTH, THRESHOLD = 5, 0.8
 #: Tries of the forest, the longest prefix of a trie's path, and the recall wanted at the threshold.
 TREES, DEPTH, RECALL = 16, 8, 0.9995
-#: Members of a prefix that meet in one task are at most two blocks of about this many.
-BLOCK = 128
+#: Members of a prefix that meet in one task are at most two blocks of about so many texts and bytes.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 SEED = 90210
 
 
@@ -33,7 +33,8 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, trees: int, length: i
         texts, ids = normalized(batch.column("text")), batch.column("id")
         for at, to in slices(texts):
             part = texts.slice(at, to - at)
-            hashes, bound = words_of(part).shingles(width)
+            bounds = words_of(part)
+            hashes, bound = bounds.shingles(width)
             signature = minhashes(hashes, bound, trees * length, SEED).reshape(to - at, trees, length)
             label = np.zeros((to - at, trees), dtype=np.uint64)
             for k in range(length):  # the path from a trie's root, as one number
@@ -43,14 +44,15 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, trees: int, length: i
             labels = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * trees), pa.array(label[full].view(np.int64).ravel()))
             took = pa.array(full)
             digest = pa.array(digests(part), pa.binary()).take(took)
-            yield pa.RecordBatch.from_arrays([ids.slice(at, to - at).take(took), digest, labels], ["id", "digest", "labels"])
+            size = pa.array(np.diff(bounds.texts)[full])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, to - at).take(took), digest, size, labels], ["id", "digest", "size", "labels"])
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, length: int) -> DataFrame:
-    """One row for each distinct non-null id whose text has words: id, digest of its words, a label for each trie."""
+    """One row for each distinct non-null id whose text has words: id, digest and bytes of its words, a label for each trie."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    made = rows.mapInArrow(lambda batches: _signed(batches, width, trees, length), "id long, digest binary, labels array<long>")
-    return made.groupBy("id").agg(F.min(F.struct("digest", "labels")).alias("s")).select("id", "s.digest", "s.labels")
+    made = rows.mapInArrow(lambda batches: _signed(batches, width, trees, length), "id long, digest binary, size long, labels array<long>")
+    return made.groupBy("id").agg(F.min(F.struct("digest", "size", "labels")).alias("s")).select("id", "s.*")
 
 
 def _first_meetings(labels: np.ndarray, tree: int, block: np.ndarray, i: int, j: int) -> np.ndarray:
@@ -171,11 +173,12 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length = prefix_length(threshold, trees, depth, recall)
     ids = df.select(F.col(id_col).cast("long").alias("id"))
     signed = written(signatures(df, id_col, text_col, width, trees, length), "signatures")
-    classes = written(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("labels", "id").alias("labels")), "classes")
+    classes = written(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.min_by("labels", "id").alias("labels")), "classes")
 
-    spots = classes.select("rep", F.posexplode("labels").alias("tree", "label"))
-    met = spots.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = spots.join(met, ["tree", "label"]).withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int"))
+    spots = classes.select("rep", "size", F.posexplode("labels").alias("tree", "label"))
+    met = spots.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)))
+    members = spots.join(met, ["tree", "label"]).withColumn("of", blocks.cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep", "tree"), "of").cast("int"))
     tasks = members.withColumn("other", F.explode(F.expr("sequence(0, of - 1)"))).select(
         "rep", "tree", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.xxhash64("tree", "label", F.least("block", "other"), F.greatest("block", "other")).alias("task")
