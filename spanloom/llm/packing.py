@@ -165,33 +165,29 @@ def _placed(batches: Iterator[pa.RecordBatch], runs: dict[int, tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(place)], ["piece", "length", "sequence_id", "place"])
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, parts: int = PARTS, unit: int = UNIT) -> DataFrame:
-    """Pack every document's token ids, followed by ``end``, into sequences of at most ``window``.
-
-    Returns one row a piece: ``id_col``, start (ids of its document before it), ids
-    (array), length, doc_tokens, sequence_id and offset (gapless from 0 in its
-    sequence). Each id lies in exactly one piece; only documents longer than a
-    window are cut, into whole windows and a remainder. ``window`` is a multiple of
-    ``unit``; a sequence wastes less than ``unit`` tokens for each of its pieces.
+def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
+    """Every document's token ids, followed by ``end``, cut into whole windows and a remainder; written once.
 
-    A null or empty text has just the end id. Null ids pass through; rows that repeat
-    an id are separate documents. An empty table gives no rows. Other columns of
-    ``df`` don't matter.
-
-    Pieces are tokenized once and written. Only the histogram of remainders, at most
-    window / unit counts, reaches the driver; its plan is as bounded. A piece finds
-    its place by its rank among pieces of its length, a prefix sum over partitions,
-    so neither a common length nor a long document gathers in one task.
+    Columns: piece (a key), part, ``id_col``, start, length, doc_tokens, ids (array).
     """
-    if window % unit:
-        raise ValueError("window must be a multiple of unit")
-    spark, units = df.sparkSession, window // unit
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = rows.mapInArrow(lambda batches: _pieces(batches, tokenizer, window, end), f"id {kind}, start long, length long, doc_tokens long, ids array<int>")
-    cut = cut.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("piece"))
-    cut = written(cut, "pieces")
+    cut = cut.select(F.monotonically_increasing_id().alias("piece"), F.spark_partition_id().alias("part"), F.col("id").alias(id_col), "start", "length", "doc_tokens", "ids")
+    return written(cut, "pieces")
 
+
+def places(cut: DataFrame, window: int = WINDOW, parts: int = PARTS, unit: int = UNIT) -> DataFrame:
+    """Sequence and offset of each of the written ``pieces``: piece, sequence_id, offset.
+
+    Only the histogram of remainders, at most window / unit counts, reaches the
+    driver; its plan is as bounded. A piece finds its place by its rank among
+    pieces of its length, a prefix sum over partitions, so neither a common
+    length nor a long document gathers in one task.
+    """
+    if window % unit:
+        raise ValueError("window must be a multiple of unit")
+    units = window // unit
     narrow = cut.select("part", "piece", "length", F.when(F.col("length") == window, 0).otherwise(F.ceil(F.col("length") / unit)).cast("long").alias("bin"))
     counts = {r[0]: r[1] for r in narrow.groupBy("bin").agg(F.count(F.lit(1))).collect()}  # at most window / unit + 1 rows
     full = counts.pop(0, 0)
@@ -206,12 +202,30 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     ranked = rank.select("piece", "length", "bin", (F.col("at") - F.element_at(first, F.col("bin"))).alias("rank"))
     placed = ranked.mapInArrow(lambda batches: _placed(batches, runs, full, unit), "piece long, length long, sequence_id long, place long")
     inside = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.select("piece", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
-    return cut.join(placed, "piece").select(F.col("id").alias(id_col), "start", "ids", "length", "doc_tokens", "sequence_id", "offset")
+    return placed.select("piece", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+
+
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, parts: int = PARTS, unit: int = UNIT, shown=lambda cut: cut) -> DataFrame:
+    """Pack every document's token ids, followed by ``end``, into sequences of at most ``window``.
+
+    Returns one row a piece: ``id_col``, start (ids of its document before it), ids
+    (array), length, doc_tokens, sequence_id and offset (gapless from 0 in its
+    sequence). Each id lies in exactly one piece; only documents longer than a
+    window are cut, into whole windows and a remainder. ``window`` is a multiple of
+    ``unit``; a sequence wastes less than ``unit`` tokens for each of its pieces.
+    ``shown`` may turn the ids into what is wanted of them before rows are joined
+    to their places, so that whole ids are not shuffled.
+
+    A null or empty text has just the end id. Null ids pass through; rows that repeat
+    an id are separate documents. An empty table gives no rows. Other columns of
+    ``df`` don't matter. Texts are tokenized once.
+    """
+    cut = pieces(df, tokenizer, id_col, text_col, window, end)
+    return shown(cut.drop("part")).join(places(cut, window, parts, unit), "piece").drop("piece")
 
 
 def digest(packed: DataFrame) -> DataFrame:
-    """Packed pieces with a checksum of their ids (unsigned 32-bit, little-endian) in place of the ids."""
+    """Pieces with a checksum of their ids (unsigned 32-bit, little-endian) in place of the ids."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,4 +248,4 @@ def tokenizer_path() -> str:
 def op2(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids, with checksums of the pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digest(pack(docs, tokenizer_path()))
+    return pack(docs, tokenizer_path(), shown=digest)

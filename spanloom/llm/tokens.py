@@ -14,10 +14,12 @@ CACHE = 250_000
 
 # Python's split() also parts at these four; the tokenizer keeps them as symbols.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-# A full stop or comma between a letter and white space is a token run of its own.
-_TAIL = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|\Z)")
 # Capitals whose lower case depends on the context or adds a mark.
 _CASES = re.compile("[Σİ]")
+# A stop or comma that belongs to a longer run of symbols.
+_RUNS = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+#: Words encoded in one string.
+TOGETHER = 500
 
 
 class WordTokenizer:
@@ -33,12 +35,24 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a run of letters
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _remember(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha()]  # each is one run, and its last id says so
+        raw = b"".join(self._encode([" ".join(letters[i : i + TOGETHER]) for i in range(0, len(letters), TOGETHER)]))
+        ends = (4 * np.flatnonzero(self.last[np.frombuffer(raw, dtype="<u4")]) + 4).tolist()
+        if len(ends) == len(letters):
+            self.now.update((w, raw[a:b]) for w, a, b in zip(letters, [0, *ends], ends, strict=False))
+            words = [w for w in words if not w.isalpha()]
+        self.now.update(zip(words, self._encode(words), strict=True))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Call it with a few MB of text at a time."""
         parts: list[list[str] | None] = []
@@ -48,15 +62,17 @@ class WordTokenizer:
                 continue
             if text.isascii() or not _CASES.search(text) and _composed(text):
                 text = text.lower()
-            parts.append(_TAIL.sub(r" \1", text).split())
+            if not _RUNS.search(text):  # then a stop or comma before white space is a run of its own
+                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
+            parts.append(text.split())
         wanted = set().union(*(x for x in parts if x))
         if len(self.now) > CACHE:
             self.before, self.now = self.now, {}
         new = wanted - self.now.keys()
         old = new & self.before.keys()
         self.now.update((w, self.before[w]) for w in old)
-        miss = list(new - old)
-        self.now.update(zip(miss, self._encode(miss), strict=True))
+        if miss := list(new - old):
+            self._remember(miss)
         known = self.now.__getitem__
         return [self._encode([text])[0] if words is None else b"".join(map(known, words)) for text, words in zip(texts, parts, strict=True)]
 
