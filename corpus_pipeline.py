@@ -41,7 +41,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the mixture into sequences of at most 2048 ids: one row a piece, with a checksum of its ids."""
-    return packing.pack(docs, packing.tokenizer_path(), shown=packing.digest)
+    return packing.pack(docs, packing.tokenizer_path(), shown=packing.DIGEST)
 
 
 STAGES = [

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import complete_groups, connected_components, partitions, written
+from spanloom.llm.common import complete_groups, connected_components, lean, partitions, written
 from spanloom.llm.shingles import digests, minhashes, normalized, slices, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -51,7 +51,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, trees: int, length: i
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, length: int) -> DataFrame:
     """One row for each distinct non-null id whose text has words: id, digest and bytes of its words, a label for each trie."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    made = rows.mapInArrow(lambda batches: _signed(batches, width, trees, length), "id long, digest binary, size long, labels array<long>")
+    made = rows.mapInArrow(lean(lambda batches: _signed(batches, width, trees, length)), "id long, digest binary, size long, labels array<long>")
     return made.groupBy("id").agg(F.min(F.struct("digest", "size", "labels")).alias("s")).select("id", "s.*")
 
 
@@ -187,12 +187,12 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fields = "task long, tree int, block int, i int, j int, rep long, copies long, labels array<long>"
     names = [x.split()[0] for x in fields.split(", ")]
     tasks = tasks.join(classes.select("rep", "copies", "labels"), "rep").select(*names)
-    fresh = tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lambda batches: _new_members(batches, trees), fields)
+    fresh = tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lean(lambda batches: _new_members(batches, trees)), fields)
     fresh = written(fresh, "meetings")
 
     texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(fresh.select("rep").distinct(), "rep", "left_semi")
     full = fresh.join(texts, "rep").select(*names, "text").repartition(n, "task").sortWithinPartitions("task")
-    links = written(full.mapInArrow(lambda batches: _verified(batches, width, threshold, trees), "rep long, links long, root long, texts long"), "links")
+    links = written(full.mapInArrow(lean(lambda batches: _verified(batches, width, threshold, trees)), "rep long, links long, root long, texts long"), "links")
     components = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     summed = links.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     told = summed.join(components, F.col("rep") == F.col("node"), "left").select("rep", "links", "texts", F.coalesce("component", "rep").alias("component"))

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import lean
 from spanloom.llm.shingles import normalized
 
 ORDERS = (2, 3, 4)
@@ -113,7 +114,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 40) * min(1.0, sample / n)))])
     chosen = rows.where(mark < F.element_at(limit, F.col("lang"))).repartition(8, "id").coalesce(8)  # at most eight tasks, however finely the shuffle deals
     counts: dict[str, np.ndarray] = {}
-    for lang, raw in chosen.select("text", "lang").mapInArrow(_counted, "lang string, counts binary").collect():
+    for lang, raw in chosen.select("text", "lang").mapInArrow(lean(_counted), "lang string, counts binary").collect():
         counts[lang] = counts.get(lang, 0) + np.frombuffer(raw, dtype=np.int64)
     languages = sorted(counts)
     chance = np.array([(counts[x] + 0.5) / (counts[x].sum() + 0.5 * (1 << BITS)) for x in languages])
@@ -172,7 +173,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lead: float = L
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*names, *new])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "lang_pred string, score double, ambiguous boolean"])
-    return df.mapInArrow(told, fields)
+    return df.mapInArrow(lean(told), fields)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import written
+from spanloom.llm.common import lean, written
 from spanloom.llm.sharding import with_prefix
 from spanloom.llm.tokens import word_tokenizer
 
@@ -135,7 +135,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int)
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1) if len(texts) else []:
             low, n = int(rows[0]), len(rows)
-            encoded = encoder.ids([x or "" for x in texts.slice(low, n).to_pylist()])
+            encoded = encoder.ids(texts.slice(low, n))
             ids, owner, start, total, parts = batch.column("id").slice(low, n), [], [], [], []
             for k, raw in enumerate(encoded):
                 raw += tail
@@ -150,6 +150,22 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(start, pa.int64()), pa.array(length), pa.array(total, pa.int64()), lists], ["id", "start", "length", "doc_tokens", "ids"])
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A checksum of each piece's ids (unsigned, of little-endian unsigned 32-bit ids) in their place."""
+    for batch in batches:
+        lists = batch.column("ids")
+        flat, at = lists.flatten().to_numpy().astype("<u4"), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        sums = pa.array([zlib.crc32(memoryview(flat[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+        names = [c for c in batch.schema.names if c != "ids"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), sums], [*names, "ids_crc32"])
+
+
+#: What becomes of a piece's ids: a function of Arrow batches, and the column that it makes.
+Shown = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
+WHOLE: Shown = (lambda batches: batches, "ids array<int>")
+DIGEST: Shown = (_digested, "ids_crc32 long")
+
+
 def _placed(batches: Iterator[pa.RecordBatch], runs: dict[int, tuple[np.ndarray, ...]], full: int, unit: int) -> Iterator[pa.RecordBatch]:
     """Sequence and place of each piece, from its rank among the pieces of its length."""
     for batch in batches:
@@ -165,15 +181,18 @@ def _placed(batches: Iterator[pa.RecordBatch], runs: dict[int, tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(place)], ["piece", "length", "sequence_id", "place"])
 
 
-def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, shown: Shown = WHOLE) -> DataFrame:
     """Every document's token ids, followed by ``end``, cut into whole windows and a remainder; written once.
 
-    Columns: piece (a key), part, ``id_col``, start, length, doc_tokens, ids (array).
+    Columns: piece (a key), part, ``id_col``, start, length, doc_tokens and what ``shown`` makes of the ids.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = rows.mapInArrow(lambda batches: _pieces(batches, tokenizer, window, end), f"id {kind}, start long, length long, doc_tokens long, ids array<int>")
-    cut = cut.select(F.monotonically_increasing_id().alias("piece"), F.spark_partition_id().alias("part"), F.col("id").alias(id_col), "start", "length", "doc_tokens", "ids")
+    made, column = shown
+    work = lean(lambda batches: made(_pieces(batches, tokenizer, window, end)))
+    cut = rows.mapInArrow(work, f"id {kind}, start long, length long, doc_tokens long, {column}")
+    rest = [c for c in cut.columns if c != "id"]
+    cut = cut.select(F.monotonically_increasing_id().alias("piece"), F.spark_partition_id().alias("part"), F.col("id").alias(id_col), *rest)
     return written(cut, "pieces")
 
 
@@ -200,12 +219,12 @@ def places(cut: DataFrame, window: int = WINDOW, parts: int = PARTS, unit: int =
         passed += full if k == 0 else counts[k]
     first = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
     ranked = rank.select("piece", "length", "bin", (F.col("at") - F.element_at(first, F.col("bin"))).alias("rank"))
-    placed = ranked.mapInArrow(lambda batches: _placed(batches, runs, full, unit), "piece long, length long, sequence_id long, place long")
+    placed = ranked.mapInArrow(lean(lambda batches: _placed(batches, runs, full, unit)), "piece long, length long, sequence_id long, place long")
     inside = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select("piece", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, parts: int = PARTS, unit: int = UNIT, shown=lambda cut: cut) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, parts: int = PARTS, unit: int = UNIT, shown: Shown = WHOLE) -> DataFrame:
     """Pack every document's token ids, followed by ``end``, into sequences of at most ``window``.
 
     Returns one row a piece: ``id_col``, start (ids of its document before it), ids
@@ -213,30 +232,15 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     sequence). Each id lies in exactly one piece; only documents longer than a
     window are cut, into whole windows and a remainder. ``window`` is a multiple of
     ``unit``; a sequence wastes less than ``unit`` tokens for each of its pieces.
-    ``shown`` may turn the ids into what is wanted of them before rows are joined
-    to their places, so that whole ids are not shuffled.
+    ``shown`` may turn the ids into what is wanted of them (``DIGEST``: a checksum)
+    as they are made, so that whole ids are neither written nor shuffled.
 
     A null or empty text has just the end id. Null ids pass through; rows that repeat
     an id are separate documents. An empty table gives no rows. Other columns of
     ``df`` don't matter. Texts are tokenized once.
     """
-    cut = pieces(df, tokenizer, id_col, text_col, window, end)
-    return shown(cut.drop("part")).join(places(cut, window, parts, unit), "piece").drop("piece")
-
-
-def digest(packed: DataFrame) -> DataFrame:
-    """Pieces with a checksum of their ids (unsigned 32-bit, little-endian) in place of the ids."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            flat, at = lists.flatten().to_numpy().astype("<u4"), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
-            sums = pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
-            names = [c for c in batch.schema.names if c != "ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), sums], [*names, "ids_crc32"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name != "ids"]
-    return packed.mapInArrow(summed, ", ".join([*fields, "ids_crc32 long"]))
+    cut = pieces(df, tokenizer, id_col, text_col, window, end, shown)
+    return cut.drop("part").join(places(cut, window, parts, unit), "piece").drop("piece")
 
 
 def tokenizer_path() -> str:
@@ -248,4 +252,4 @@ def tokenizer_path() -> str:
 def op2(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids, with checksums of the pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, tokenizer_path(), shown=digest)
+    return pack(docs, tokenizer_path(), shown=DIGEST)

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import base64
 import os
-import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker remembers before it starts a new generation.
-CACHE = 250_000
+CACHE = 400_000
 
-# Python's split() also parts at these four; the tokenizer keeps them as symbols.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-# Capitals whose lower case depends on the context or adds a mark.
-_CASES = re.compile("[Σİ]")
+# Python's split() also parts at U+001C to U+001F, which the tokenizer keeps as symbols; the lower
+# case of two capitals depends on the context or adds a mark. Texts with any of these are special.
+_SPECIAL = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "İ")
 # A stop or comma that belongs to a longer run of symbols.
-_RUNS = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+_RUNS = r"[^\p{L}\p{N}\s][.,][ \n]"
 #: Words encoded in one string.
 TOGETHER = 500
 
@@ -53,16 +54,20 @@ class WordTokenizer:
             words = [w for w in words if not w.isalpha()]
         self.now.update(zip(words, self._encode(words), strict=True))
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Call it with a few MB of text at a time."""
+    def ids(self, array: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow column, null as empty. Give it a few MB of text at a time."""
+        texts = [x or "" for x in array.to_pylist()]
+        runs = pc.fill_null(pc.match_substring_regex(array, _RUNS), False).to_pylist()
+        whole = "\n".join(texts)
+        special = [x for x in _SPECIAL if x in whole]
         parts: list[list[str] | None] = []
-        for text in texts:
-            if _SEPARATORS.search(text):
+        for text, run in zip(texts, runs, strict=True):
+            if special and any(x in text for x in special):
                 parts.append(None)
                 continue
-            if text.isascii() or not _CASES.search(text) and _composed(text):
+            if text.isascii() or _composed(text):
                 text = text.lower()
-            if not _RUNS.search(text):  # then a stop or comma before white space is a run of its own
+            if not run:  # then a stop or comma before white space is a run of its own
                 text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
             parts.append(text.split())
         wanted = set().union(*(x for x in parts if x))
@@ -78,8 +83,6 @@ class WordTokenizer:
 
 
 def _composed(text: str) -> bool:
-    import unicodedata
-
     return unicodedata.is_normalized("NFC", text)
 
 
