@@ -1 +1 @@
-
+"""Column expressions of the engine."""

@@ -1,0 +1,43 @@
+"""Search for quotes in normalized text, as expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from spanloom.functions.text import find
+
+#: A shortened quote keeps at least so many words and characters.
+MIN_WORDS, MIN_CHARS = 4, 24
+
+
+def _shortened(quote: Column, from_front: bool) -> Column:
+    words = F.split(quote, " ")
+    n = F.size(words)
+    part = (lambda k: F.slice(words, n - k + 1, k)) if from_front else (lambda k: F.slice(words, F.lit(1), k))
+    all_of = F.transform(F.sequence(n, F.lit(MIN_WORDS), F.lit(-1)), lambda k: F.array_join(part(k), " "))
+    return F.when(n >= MIN_WORDS, F.filter(all_of, lambda t: F.length(t) >= MIN_CHARS)).otherwise(F.array().cast("array<string>"))
+
+
+def find_shortened(text: Column, quote: Column, from_front: bool = False) -> Column:
+    """Position and length of the longest shortened quote that occurs, if it occurs just once; else -1 and 0.
+
+    Words are dropped from the end, or from the front. The first length with any
+    occurrence decides.
+    """
+    hit = F.get(F.filter(_shortened(quote, from_front), lambda t: F.instr(text, t) > 0), F.lit(0))
+    first = F.instr(text, hit)
+    again = F.instr(F.substring(text, first + 1, F.length(text)), hit)
+    once = hit.isNotNull() & (again == 0)
+    return F.struct(F.when(once, first - 1).otherwise(-1).cast("long").alias("at"), F.when(once, F.length(hit)).otherwise(0).cast("long").alias("chars"))
+
+
+def ordered_starts(text: Column, quotes: Column) -> Column:
+    """Positions of quotes searched one after another, each from just behind the last hit; -1 for a miss."""
+    zero = F.struct(F.array().cast("array<long>").alias("at"), F.lit(0).cast("long").alias("since"))
+
+    def step(a: Column, quote: Column) -> Column:
+        at = find(text, quote, a["since"])
+        return F.struct(F.concat(a["at"], F.array(at)).alias("at"), F.when(at >= 0, at + 1).otherwise(a["since"]).cast("long").alias("since"))
+
+    return F.aggregate(quotes, zero, step)["at"]

@@ -1,6 +1,447 @@
-"""Registry of the core engine's queries and of their DuckDB oracles."""
+"""Registry of the core engine's queries and of their DuckDB oracles.
+
+A document is a conversation: its turns are blocks, three turns a page. The
+model is replaced by the rule-based provider, which quotes the ends of blocks.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import text as T
+from spanloom.operators import anchors, batching, blocks, segments, views
+from spanloom.plans.engine import Extraction, extract
+from spanloom.plans.providers import RuleBased
+from spanloom.plans.settings import Profile, Settings
+
+BUDGET, UNIT_BUDGET, SWEEP = 300, 250, (150, 300, 600, 1200, 2400)
+HEADING = "(?:The|To|In|Of|Der|Die|Le|La|El|De)[ ,.]"
+STAMP = "2024-05-06T07:08:09+00:00"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(fn):
+        QUERIES[name or fn.__name__] = fn
+        if sql is not None:
+            ORACLES[name or fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("role") == "assistant", "requirement").when(F.col("role") == "user", "context").otherwise("questionnaire")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), (F.expr("turn div 3") + 1).cast("int").alias("page"), role.alias("role"),
+        F.concat_ws(".", F.col("conv_id"), F.col("turn")).alias("label"), "text",
+    )
+    return blocks.with_offsets(blocks.normalized_blocks(rows))
+
+
+_WS = T.WS
+_NORM = rf"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({{t}}, '([a-z])-\n([a-z])', '\1\2', 'g'), chr(10), ' '), '[ \t]+', ' ', 'g'), '^{_WS}+', ''), '{_WS}+\z', '')"
+_COLLAPSE = "translate(regexp_replace({t}, '" + _WS + "+', ' ', 'g'), '" + "".join(T.CONFUSABLES).replace("'", "''") + "', '" + "".join(T.CONFUSABLES.values()).replace("'", "''") + "')"
+
+
+def _norm(t: str) -> str:
+    return _NORM.replace("{t}", t)
+
+
+def _collapsed(t: str) -> str:
+    return _COLLAPSE.replace("{t}", t)
+
+
+_BLOCKS = f"""
+raw AS (SELECT conv_id AS doc_id, turn AS ord, (turn // 3 + 1)::INT AS page,
+               CASE role WHEN 'assistant' THEN 'requirement' WHEN 'user' THEN 'context' ELSE 'questionnaire' END AS role,
+               conv_id || '.' || turn AS label, {_norm("text")} AS text FROM conversations WHERE text IS NOT NULL),
+blocks AS (
+  SELECT *, row_number() OVER w - 1 AS block_idx, (row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1)::INT AS page_block_idx,
+         (coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + page - min(page) OVER (PARTITION BY doc_id))::BIGINT AS char_start
+  FROM raw WHERE length(text) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY page, ord)),
+spans AS (SELECT *, char_start + length(text) AS char_end FROM blocks),
+docs AS (
+  SELECT doc_id, string_agg(t, '' ORDER BY page) AS full_text, min(page) AS start_page, max(page) AS end_page, sum(n)::BIGINT AS n_blocks
+  FROM (SELECT doc_id, page, string_agg(text || chr(10), '' ORDER BY block_idx) || repeat(chr(10), (coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page), page + 1) - page)::INT) AS t, count(*) AS n
+        FROM spans GROUP BY doc_id, page) GROUP BY doc_id)
+"""
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, block_idx, role, text FROM spans")
+def blocks_normalized(spark, sf_dir):
+    return conversation_blocks(spark, sf_dir).select("doc_id", "block_idx", "role", "text")
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, block_idx, page, page_block_idx, char_start, char_end FROM spans")
+def block_offsets(spark, sf_dir):
+    return conversation_blocks(spark, sf_dir).select("doc_id", "block_idx", "page", "page_block_idx", "char_start", "char_end")
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, page, min(char_start) AS char_start, max(char_end) + 2 AS char_end, count(*) AS n_blocks FROM spans GROUP BY doc_id, page")
+def page_spans(spark, sf_dir):
+    return blocks.page_spans(conversation_blocks(spark, sf_dir))
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, start_page, end_page, n_blocks, length(full_text)::BIGINT AS n_chars, start_page || '-' || end_page || ' of ' || end_page AS pages_processed FROM docs")
+def doc_summary(spark, sf_dir):
+    docs = blocks.documents(conversation_blocks(spark, sf_dir))
+    return docs.select("doc_id", "start_page", "end_page", "n_blocks", F.length("full_text").cast("long").alias("n_chars"), F.format_string("%d-%d of %d", "start_page", "end_page", "end_page").alias("pages_processed"))
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, sha256(full_text) AS doc_hash, substr(sha256(full_text), 1, 16) AS chunk_hash, replace(replace(substr('{STAMP}', 1, 19), '-', ''), ':', '') || 'Z-' || substr(sha256(full_text), 1, 8) AS run_id FROM docs")
+def doc_hashes(spark, sf_dir):
+    docs = blocks.documents(conversation_blocks(spark, sf_dir))
+    return docs.select("doc_id", "doc_hash", F.substring("doc_hash", 1, 16).alias("chunk_hash"), T.run_id(F.lit(STAMP), F.col("doc_hash")).alias("run_id"))
+
+
+@query(rf"""
+WITH parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n{_WS}*\n'), lambda p: {_norm("p")}), lambda p: length(p) > 0) AS p FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, (unnest(range(len(p))))::INT AS block_no, unnest(p) AS text FROM parts""")
+def paragraph_blocks(spark, sf_dir):
+    from spanloom.sources.readers import paragraphs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return paragraphs(docs).select("doc_id", "block_no", "text")
+
+
+# no two rows of an order share this
+_PLACE = "(l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey)"
+_BOXES = f"""boxes AS (SELECT l_orderkey, {_PLACE} AS position, (l_partkey % 600)::DOUBLE AS x0, ((l_partkey % 600) + (l_suppkey % 7) * 70)::DOUBLE AS x1,
+  ((l_partkey * 37 + l_linenumber * 11) % 790)::DOUBLE AS y0, ((l_partkey * 37 + l_linenumber * 11) % 790 + 10)::DOUBLE AS y1,
+  CASE l_linenumber % 4 WHEN 0 THEN l_partkey::VARCHAR WHEN 1 THEN l_linenumber || '.' WHEN 2 THEN 'Part ' || l_partkey ELSE '(' || l_linenumber || ')' END AS text FROM lineitem)"""
+
+
+def _place():
+    return F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")
+
+
+def _boxes(spark, sf_dir):
+    part, line = F.col("l_partkey"), F.col("l_linenumber")
+    y0 = (part * 37 + line * 11) % 790
+    text = F.when(line % 4 == 0, part.cast("string")).when(line % 4 == 1, F.concat(line.cast("string"), F.lit("."))).when(line % 4 == 2, F.concat(F.lit("Part "), part.cast("string"))).otherwise(F.concat(F.lit("("), line.cast("string"), F.lit(")")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", _place().alias("position"), (part % 600).cast("double").alias("x0"), (part % 600 + F.col("l_suppkey") % 7 * 70).cast("double").alias("x1"), y0.cast("double").alias("y0"), (y0 + 10).cast("double").alias("y1"), text.alias("text"))
+
+
+_BAND = "CASE WHEN y1 < 0.07 * 792.0 THEN 'header' WHEN y0 > 0.93 * 792.0 THEN 'footer' ELSE 'body' END"
+
+
+@query(f"WITH {_BOXES} SELECT l_orderkey, position, {_BAND} AS band FROM boxes")
+def margin_bands(spark, sf_dir):
+    return _boxes(spark, sf_dir).select("l_orderkey", "position", blocks.margin_band(F.col("y0"), F.col("y1"), F.lit(792.0)).alias("band"))
+
+
+@query(rf"WITH {_BOXES} SELECT l_orderkey, position, text FROM boxes WHERE NOT (text = '' OR regexp_full_match(text, '\d{{1,4}}') OR (length(text) <= 3 AND regexp_full_match(text, '[\d.\-–—]+')) OR regexp_full_match(text, 'Part 1.*') OR {_BAND} <> 'body')")
+def drop_noise_blocks(spark, sf_dir):
+    rows = _boxes(spark, sf_dir)
+    band = blocks.margin_band(F.col("y0"), F.col("y1"), F.lit(792.0))
+    return rows.where(~blocks.is_noise(F.col("text"), band, ("Part 1.*",))).select("l_orderkey", "position", "text")
+
+
+@query(f"""
+WITH {_BOXES},
+gaps AS (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY l_orderkey ORDER BY x0, position) > 50 THEN 1 ELSE 0 END AS fresh FROM boxes),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY x0, position) AS run FROM gaps),
+centres AS (SELECT l_orderkey, run, avg(x0) AS centre FROM runs GROUP BY ALL),
+near AS (SELECT b.l_orderkey, b.position, arg_min(c.run, (abs(c.centre - b.x0), c.run)) AS run FROM boxes b JOIN centres c USING (l_orderkey) GROUP BY ALL),
+placed AS (SELECT b.*, (CASE WHEN x1 - x0 > 0.6 * 612 THEN 0 ELSE run END)::INT AS col FROM boxes b JOIN near USING (l_orderkey, position))
+SELECT l_orderkey, position, col AS "column", (row_number() OVER (PARTITION BY l_orderkey ORDER BY col, y0, x0, position) - 1)::INT AS reading_idx FROM placed""")
+def reading_order(spark, sf_dir):
+    return blocks.reading_order(_boxes(spark, sf_dir), ["l_orderkey"], F.lit(612.0), "position").select("l_orderkey", "position", "column", "reading_idx")
+
+
+_UNITS = rf"""{_BLOCKS},
+marked AS (SELECT *, regexp_matches(text, '^(?:{HEADING})') OR coalesce(length(regexp_extract(substr(text, 1, 60), '^(.{{0,8}}?){HEADING}', 0)) > 0, false) AS is_boundary FROM spans),
+units AS (SELECT *, CASE WHEN max(is_boundary::INT) OVER (PARTITION BY doc_id) = 1 THEN sum(is_boundary::INT) OVER (PARTITION BY doc_id ORDER BY block_idx) ELSE block_idx END::BIGINT AS unit_no FROM marked)"""
+
+
+@query(f"WITH {_UNITS} SELECT doc_id, block_idx, is_boundary, unit_no FROM units")
+def boundary_units(spark, sf_dir):
+    return batching.with_units(conversation_blocks(spark, sf_dir), HEADING).select("doc_id", "block_idx", "is_boundary", "unit_no")
+
+
+def _packed_sql(parts: str, budgets: str, extra: str = "") -> str:
+    return f"""WITH RECURSIVE {parts}, budgets AS (SELECT unnest({budgets})::BIGINT AS budget),
+walk AS (
+  SELECT doc_id, budget, i, char_start AS since, 0::BIGINT AS batch_no FROM ordered, budgets WHERE i = 0
+  UNION ALL
+  SELECT o.doc_id, w.budget, o.i, CASE WHEN (o.char_end - w.since) // 4 + 1 <= w.budget THEN w.since ELSE o.char_start END,
+         CASE WHEN (o.char_end - w.since) // 4 + 1 <= w.budget THEN w.batch_no ELSE w.batch_no + 1 END
+  FROM walk w JOIN ordered o ON o.doc_id = w.doc_id AND o.i = w.i + 1),
+batches AS (
+  SELECT w.doc_id, w.budget, w.batch_no, min(o.first_block) AS first_block, max(o.last_block) AS last_block, min(o.char_start) AS char_start, max(o.char_end) AS char_end,
+         min(o.page_start) AS page_start, max(o.page_end) AS page_end, (max(o.char_end) - min(o.char_start)) // 4 + 1 AS est_input_tokens,
+         CASE WHEN max(o.some) THEN sum(o.headed::INT) ELSE 1 END::BIGINT AS n_units
+  FROM walk w JOIN ordered o USING (doc_id, i) GROUP BY ALL) {extra}"""
+
+
+_PLAIN = f"{_BLOCKS}, ordered AS (SELECT doc_id, block_idx AS i, block_idx AS first_block, block_idx AS last_block, char_start, char_end, page AS page_start, page AS page_end, false AS headed, false AS some FROM spans)"
+_WHOLE = f"""{_UNITS}, per AS (SELECT doc_id, unit_no, min(block_idx) AS first_block, max(block_idx) AS last_block, min(char_start) AS char_start, max(char_end) AS char_end, min(page) AS page_start, max(page) AS page_end, bool_or(is_boundary) AS headed FROM units GROUP BY ALL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) - 1 AS i, bool_or(headed) OVER (PARTITION BY doc_id) AS some FROM per)"""
+_PLAN_COLUMNS = "doc_id, batch_no, first_block, last_block, char_start, char_end, est_input_tokens, n_units, page_start, page_end"
+_SUMMARY = """SELECT budget, count(*) AS n_batches, max(est_input_tokens) AS max_tokens, min(est_input_tokens) AS min_tokens, floor(median(est_input_tokens))::BIGINT AS median_tokens,
+  sum(est_input_tokens)::BIGINT AS total_tokens, max(n_units) AS max_units FROM batches GROUP BY budget"""
+
+
+@query(_packed_sql(_PLAIN, f"[{BUDGET}]", f"SELECT {_PLAN_COLUMNS} FROM batches"))
+def greedy_batches(spark, sf_dir):
+    return batching.plan_batches(conversation_blocks(spark, sf_dir), BUDGET).select(*_PLAN_COLUMNS.split(", "))
+
+
+@query(_packed_sql(_WHOLE, f"[{UNIT_BUDGET}]", f"SELECT {_PLAN_COLUMNS} FROM batches"))
+def unit_batches(spark, sf_dir):
+    return batching.plan_batches(conversation_blocks(spark, sf_dir), UNIT_BUDGET, HEADING).select(*_PLAN_COLUMNS.split(", "))
+
+
+@query(_packed_sql(_WHOLE, str(list(SWEEP)), _SUMMARY))
+def budget_sweep(spark, sf_dir):
+    # every block meets a fixed handful of budgets; then each (document, budget) is planned on its own
+    budgets = F.explode(F.array(*[F.lit(b).cast("long") for b in SWEEP]))
+    rows = batching.with_units(conversation_blocks(spark, sf_dir), HEADING)
+    plans = batching.plan_units(rows.withColumn("budget", budgets), F.col("budget"), ("budget",))
+    return batching.summarize(plans, "budget")
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, block_idx, (length(text) // 4 + 1)::BIGINT AS est_tokens, greatest(200000 - (length(text) // 4 + 1) - 17200, 0)::BIGINT AS input_budget FROM spans")
+def token_estimates(spark, sf_dir):
+    est = T.estimate_tokens(F.length("text"))
+    return conversation_blocks(spark, sf_dir).select("doc_id", "block_idx", est.alias("est_tokens"), F.greatest(F.lit(200000) - est - 17200, F.lit(0)).cast("long").alias("input_budget"))
+
+
+_ODD = ["a‘b’c", "“x”–y—z", "p  q\t\nr", " lead trail　", "tab\x1csep", "é`´′″−", "𝄞  𝄢"]
+_ODD_SQL = "(VALUES " + ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(_ODD)) + ") AS t(doc_id, text)"
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, {_collapsed('text')} AS collapsed FROM (SELECT -1 - doc_id AS doc_id, text FROM {_ODD_SQL} UNION ALL SELECT doc_id, text FROM documents)")
+def collapsed_text(spark, sf_dir):
+    odd = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(_ODD)], "doc_id long, text string")
+    return odd.unionByName(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.collapse(F.col("text")).alias("collapsed"))
+
+
+_QUOTES = f"{_BLOCKS}, quotes AS (SELECT s.doc_id, block_idx, text, array_to_string(string_split(text, ' ')[1:6], ' ') AS quote, full_text, {_collapsed('full_text')} AS norm, {_collapsed('text')} AS folded FROM spans s JOIN docs USING (doc_id))"
+
+
+def _quotes(spark, sf_dir):
+    rows = conversation_blocks(spark, sf_dir)
+    docs = blocks.documents(rows).select("doc_id", T.collapse(F.col("full_text")).alias("norm"))
+    quote = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    return rows.select("doc_id", "block_idx", "text", T.needle(quote).alias("quote")).join(docs, "doc_id")
+
+
+_NEEDLE = _collapsed("quote")
+
+
+@query(f"WITH {_QUOTES} SELECT doc_id, block_idx, (instr(norm, {_NEEDLE}) - 1)::BIGINT AS at FROM quotes")
+def anchor_exact(spark, sf_dir):
+    return _quotes(spark, sf_dir).select("doc_id", "block_idx", T.find(F.col("norm"), F.col("quote"), F.lit(0)).alias("at"))
+
+
+def _shortened_sql(front: bool) -> str:
+    part = "w[len(w)-k+1:]" if front else "w[1:k]"
+    spoiled = "list_concat(['ZZZ'], w0[-9:])" if front else "list_concat(w0[1:9], ['ZZZ'])"
+    return f"""WITH {_QUOTES}, worded AS (SELECT doc_id, block_idx, norm, {spoiled} AS w FROM (SELECT *, string_split(folded, ' ') AS w0 FROM quotes)),
+cut AS (SELECT doc_id, block_idx, norm, k, array_to_string({part}, ' ') AS t FROM (SELECT *, unnest(range(4, len(w) + 1)) AS k FROM worded)),
+hits AS (SELECT doc_id, block_idx, arg_max(t, k) AS t, any_value(norm) AS norm FROM cut WHERE length(t) >= 24 AND instr(norm, t) > 0 GROUP BY ALL),
+once AS (SELECT doc_id, block_idx, t, instr(norm, t) AS p FROM hits WHERE instr(substr(norm, instr(norm, t) + 1), t) = 0)
+SELECT q.doc_id, q.block_idx, coalesce(p - 1, -1)::BIGINT AS at, coalesce(length(t), 0)::BIGINT AS chars FROM quotes q LEFT JOIN once USING (doc_id, block_idx)"""
+
+
+def _spoiled(spark, sf_dir, front):
+    words = F.split(T.collapse(F.col("text")), " ")
+    rows = _quotes(spark, sf_dir).withColumn("w", words)
+    quote = F.concat_ws(" ", F.lit("ZZZ"), F.array_join(F.slice("w", F.greatest(-F.size("w"), F.lit(-9)), F.lit(9)), " ")) if front else F.concat_ws(" ", F.array_join(F.slice("w", 1, 9), " "), F.lit("ZZZ"))
+    return rows.withColumn("hit", anchors.find_shortened(F.col("norm"), quote, front)).select("doc_id", "block_idx", "hit.at", "hit.chars")
+
+
+@query(_shortened_sql(False))
+def anchor_prefix_unique(spark, sf_dir):
+    return _spoiled(spark, sf_dir, False)
+
+
+@query(_shortened_sql(True))
+def anchor_suffix_unique(spark, sf_dir):
+    return _spoiled(spark, sf_dir, True)
+
+
+@query(f"""WITH RECURSIVE {_QUOTES}, walk(doc_id, block_idx, pos, since) AS (
+  SELECT doc_id, -1::BIGINT, -1::BIGINT, 0::BIGINT FROM docs
+  UNION ALL
+  SELECT q.doc_id, q.block_idx, CASE WHEN p > 0 THEN p - 1 + since ELSE -1 END, CASE WHEN p > 0 THEN p + since ELSE since END
+  FROM (SELECT q.doc_id, q.block_idx, w.since, instr(substr(q.norm, w.since + 1), {_NEEDLE})::BIGINT AS p FROM walk w JOIN quotes q ON q.doc_id = w.doc_id AND q.block_idx = w.block_idx + 1) q)
+SELECT doc_id, block_idx, pos AS at FROM walk WHERE block_idx >= 0""")
+def anchor_ordered_starts(spark, sf_dir):
+    rows = _quotes(spark, sf_dir).groupBy("doc_id").agg(F.first("norm").alias("norm"), F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "quote"))), lambda x: x["quote"]).alias("quotes"))
+    found = rows.select("doc_id", F.posexplode(anchors.ordered_starts(F.col("norm"), F.col("quotes"))).alias("block_idx", "at"))
+    return found.select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "at")
+
+
+_SEGS = f"""segs AS (SELECT l_orderkey, {_PLACE} AS position, (l_partkey % 97)::BIGINT AS "start", (l_partkey % 97 + l_suppkey % 29 - 2)::BIGINT AS "end" FROM lineitem)"""
+
+
+def _segs(spark, sf_dir):
+    start = F.col("l_partkey") % 97
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", _place().alias("position"), start.alias("start"), (start + F.col("l_suppkey") % 29 - 2).alias("end"))
+
+
+@query(f"""WITH {_SEGS}, seen AS (SELECT *, max("end") OVER (PARTITION BY l_orderkey ORDER BY "start", position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM segs WHERE "end" > "start")
+SELECT l_orderkey, position, greatest("start", coalesce(m, "start")) AS "start", "end", coalesce(m > "start", false) AS overlapped FROM seen WHERE "end" > greatest("start", coalesce(m, "start"))""")
+def clip_segments(spark, sf_dir):
+    return segments.clip(_segs(spark, sf_dir), ["l_orderkey"], "position").select("l_orderkey", "position", "start", "end", "overlapped")
+
+
+@query(f"""WITH {_SEGS} SELECT a.l_orderkey, a.position, a."start", arg_min(b."start", b.position) AS next_start FROM segs a
+LEFT JOIN segs b ON a.l_orderkey = b.l_orderkey AND b.position > a.position AND b."start" > a."start" GROUP BY ALL""")
+def next_start_close(spark, sf_dir):
+    return segments.next_starts(_segs(spark, sf_dir), ["l_orderkey"], "position").select("l_orderkey", "position", "start", "next_start")
+
+
+@query(f"""WITH {_BLOCKS}, asked AS (SELECT doc_id, block_idx AS q, (char_start + block_idx * 53 % 400)::BIGINT AS "offset" FROM spans)
+SELECT a.doc_id, a."offset", s.block_idx, s.page FROM asked a LEFT JOIN spans s ON s.doc_id = a.doc_id AND s.char_start <= a."offset" AND a."offset" < s.char_end""")
+def locate_offsets(spark, sf_dir):
+    rows = conversation_blocks(spark, sf_dir)
+    return blocks.locate(rows.select("doc_id", (F.col("char_start") + F.col("block_idx") * 53 % 400).alias("offset")), rows)
+
+
+_ROLES = f"""{_BLOCKS}, ends AS (SELECT doc_id, CASE role WHEN 'requirement' THEN 'requirement_text' WHEN 'context' THEN 'context_text' ELSE 'questionnaire_text' END AS r, string_agg(text, chr(10) || chr(10) ORDER BY char_start) AS t FROM spans GROUP BY ALL)"""
+
+
+@query(f"""WITH {_ROLES} SELECT d.doc_id, coalesce(max(t) FILTER (r = 'requirement_text'), '') AS requirement_text, coalesce(max(t) FILTER (r = 'context_text'), '') AS context_text,
+coalesce(max(t) FILTER (r = 'questionnaire_text'), '') AS questionnaire_text FROM docs d LEFT JOIN ends USING (doc_id) GROUP BY d.doc_id""")
+def role_texts(spark, sf_dir):
+    rows = conversation_blocks(spark, sf_dir)
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("char_start").alias("start"), F.col("char_end").alias("end"), "role"))).alias("s"))
+    joined = blocks.documents(rows).join(listed, "doc_id")
+    return joined.select("doc_id", *[T.role_text(F.col("full_text"), F.col("s"), r).alias(f"{r}_text") for r in T.KNOWN_ROLES])
+
+
+def extraction(spark: SparkSession, sf_dir: str) -> Extraction:
+    return extract(conversation_blocks(spark, sf_dir), Profile("conversations", roles=T.KNOWN_ROLES), RuleBased(), Settings(target_input_tokens=BUDGET))
+
+
+# the rule-based provider quotes whole blocks, so units are blocks and batches are the greedy plan's
+_EXTRACTED = f"""{_PLAIN}, budgets AS (SELECT {BUDGET}::BIGINT AS budget),
+walk AS (
+  SELECT doc_id, budget, i, char_start AS since, 0::BIGINT AS batch_no FROM ordered, budgets WHERE i = 0
+  UNION ALL
+  SELECT o.doc_id, w.budget, o.i, CASE WHEN (o.char_end - w.since) // 4 + 1 <= w.budget THEN w.since ELSE o.char_start END,
+         CASE WHEN (o.char_end - w.since) // 4 + 1 <= w.budget THEN w.batch_no ELSE w.batch_no + 1 END
+  FROM walk w JOIN ordered o ON o.doc_id = w.doc_id AND o.i = w.i + 1),
+found AS (SELECT s.*, w.batch_no + 1 AS chunk_id, s.block_idx + 1 AS sequence, sha256(full_text) AS doc_hash FROM spans s JOIN walk w ON w.doc_id = s.doc_id AND w.i = s.block_idx JOIN docs d ON d.doc_id = s.doc_id)"""
+_FLAGGED = "role <> 'requirement'"
+
+
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS anchor_id, sequence, substr(doc_hash, 1, 12) || ':' || char_start AS span_key, 'complete' AS status, role = 'requirement' AS verbatim_match,
+true AS end_resolved, 1 AS n_segments, char_start AS doc_offset_start, char_end AS doc_offset_end, chunk_id AS source_chunk_id, CASE WHEN {_FLAGGED} THEN 'empty_text' ELSE '' END AS warnings FROM found""")
+def units_view(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    made = views.units_view(e.units, e.docs)
+    return made.select("doc_id", "anchor_id", "sequence", "span_key", "status", "verbatim_match", "end_resolved", "n_segments", "doc_offset_start", "doc_offset_end", "source_chunk_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS anchor_id, 0 AS segment_index, role, text, '{{"req_id": "' || label || '"}}' AS metadata, char_start AS doc_offset_start, char_end AS doc_offset_end, page AS page_start FROM found""")
+def segments_view(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return views.segments_view(e.units, e.docs, e.blocks)
+
+
+@query(f"""WITH RECURSIVE {_EXTRACTED}, w AS (SELECT *, string_split(text, ' ') AS ws FROM found)
+SELECT doc_id, sequence::VARCHAR AS anchor_id, 0 AS segment_index, array_to_string(ws[1:least(6, len(ws) - len(ws) // 2)], ' ') AS start_anchor, CASE WHEN len(ws) > 1 THEN array_to_string(ws[-least(6, len(ws) // 2):], ' ') END AS end_anchor, role, '{{"req_id": "' || label || '"}}' AS metadata FROM w""")
+def anchors_view(spark, sf_dir):
+    return views.anchors_view(extraction(spark, sf_dir).units).drop("end_before_anchor", "start_after_anchor")
+
+
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, chunk_id, 'rule-based' AS model_used, (max(char_end) - min(char_start) - (max(page) - min(page))) // 4 + 1 AS input_tokens, 20 * count(*) AS output_tokens,
+min(block_idx) AS batch_first_block, max(block_idx) AS batch_last_block, min(char_start) AS batch_doc_offset_start, max(char_end) AS batch_doc_offset_end, min(page) || '-' || max(page) AS page_range, count(*)::INT AS n_found FROM found GROUP BY ALL""")
+def calls_view(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    made = views.calls_view(e.calls).join(e.calls.select("doc_id", "chunk_id", "n_found"), ["doc_id", "chunk_id"])
+    return made.select("doc_id", "chunk_id", "model_used", "input_tokens", "output_tokens", "batch_first_block", "batch_last_block", "batch_doc_offset_start", "batch_doc_offset_end", F.concat_ws("-", F.col("page_range")[0], F.col("page_range")[1]).alias("page_range"), "n_found")
+
+
+@query(f"""WITH RECURSIVE {_EXTRACTED}, c AS (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM found GROUP BY doc_id)
+SELECT doc_id, n AS n_total_calls, count(*) AS n_units, count(*) FILTER ({_FLAGGED}) AS n_flagged_units, 20 * count(*) AS total_output_tokens, 'complete=' || count(*) AS status_counts FROM found JOIN c USING (doc_id) GROUP BY doc_id, n""")
+def call_statistics(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    made = views.statistics(e.calls, e.units, ["doc_id"])
+    counts = F.array_join(F.transform(F.map_entries("status_counts"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return made.select("doc_id", "n_total_calls", "n_units", "n_flagged_units", "total_output_tokens", counts.alias("status_counts"))
+
+
+@query(f"WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence, label AS source_id FROM found")
+def source_ids(spark, sf_dir):
+    units = extraction(spark, sf_dir).units
+    return units.select("doc_id", "sequence", segments.source_id(F.transform("specs", lambda s: s["metadata"])).alias("source_id"))
+
+
+@query("""WITH e AS (SELECT doc_id % 20 AS g, doc_id::VARCHAR AS id FROM labels WHERE quality = 1), f AS (SELECT doc_id % 20 AS g, doc_id::VARCHAR AS id FROM documents WHERE lang = 'en'),
+s AS (SELECT coalesce(e.g, f.g) AS g, e.id AS e, f.id AS f FROM e FULL JOIN f ON e.g = f.g AND e.id = f.id)
+SELECT g, count(e) AS n_expected, count(f) AS n_found, coalesce(string_agg(e, ',' ORDER BY e) FILTER (f IS NULL), '') AS missing, coalesce(string_agg(f, ',' ORDER BY f) FILTER (e IS NULL), '') AS extra FROM s GROUP BY g""")
+def coverage(spark, sf_dir):
+    group = (F.col("doc_id") % 20).alias("g")
+    found = table(spark, sf_dir, "documents").where("lang = 'en'").select(group, F.col("doc_id").alias("id"))
+    expected = table(spark, sf_dir, "labels").where("quality = 1").select(group, F.col("doc_id").alias("id"))
+    made = segments.coverage(found, expected, ["g"])
+    return made.select("g", "n_expected", "n_found", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
+
+
+_LINES = rf"lines AS (SELECT doc_id, unnest(range(len(l)))::INT AS line_no, regexp_replace(unnest(l), '^{_WS}+', '') AS line FROM (SELECT doc_id, regexp_split_to_array(text, '{T.LINE_END}') AS l FROM documents WHERE text IS NOT NULL))"
+_IDENT = r"[A-Z][a-z]+ [a-z]+"
+
+
+@query(rf"WITH {_LINES} SELECT doc_id, ident, min(line_no) AS line_no FROM (SELECT doc_id, line_no, regexp_extract(line, '{_IDENT}', 0) AS ident FROM lines WHERE regexp_matches(line, '^(?:{_IDENT})')) GROUP BY ALL")
+def section_headings(spark, sf_dir):
+    return batching.headings(table(spark, sf_dir, "documents"), _IDENT, tolerant=False).select("doc_id", "ident", "line_no")
+
+
+@query(rf"""WITH {_LINES}, idents AS (SELECT doc_id, ident, min(line_no) AS line_no FROM (SELECT doc_id, line_no, regexp_extract(line, '{_IDENT}', 0) AS ident FROM lines WHERE regexp_matches(line, '^(?:{_IDENT})')) GROUP BY ALL),
+emitted AS (SELECT DISTINCT regexp_extract(text, '{_IDENT}', 0) AS ident FROM benchmark)
+SELECT doc_id, ident, line_no FROM idents WHERE ident NOT IN (SELECT ident FROM emitted)""")
+def missing_headings(spark, sf_dir):
+    found = batching.headings(table(spark, sf_dir, "documents"), _IDENT, tolerant=False)
+    emitted = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", _IDENT, 0).alias("ident")).distinct()
+    return found.join(emitted, "ident", "left_anti").select("doc_id", "ident", "line_no")
+
+
+@query(f"""WITH t AS (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 160), '^{_WS}+', ''), '{_WS}+\\z', ''), '^[ .:\\-—]+', ''), '[ .:\\-—]+\\z', '') AS h FROM benchmark)
+SELECT item_id, nullif(substr(regexp_replace(CASE WHEN instr(h, '.') > 1 THEN substr(h, 1, instr(h, '.') - 1) ELSE h END, '{_WS}+\\z', ''), 1, 80), '') AS title FROM t""")
+def titles(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.title(F.col("text")).alias("title"))
+
+
+@query(f"""WITH {_BLOCKS}, u AS (SELECT *, block_idx % 3 = 1 AS inferred, lead(char_start) OVER (PARTITION BY doc_id ORDER BY block_idx) AS nxt, max(char_end) OVER (PARTITION BY doc_id) AS range_end FROM spans)
+SELECT doc_id, block_idx AS k, char_start AS span_start, coalesce(nxt, range_end) AS span_end FROM u WHERE inferred AND coalesce(nxt, range_end) > char_start""")
+def refine_windows(spark, sf_dir):
+    from spanloom.operators.refine import windows
+
+    rows = conversation_blocks(spark, sf_dir)
+    units = rows.select("doc_id", F.col("block_idx").alias("k"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), (F.col("block_idx") % 3 == 1).alias("end_inferred_from_next_start"), F.lit(False).alias("end_anchor_unresolved"))
+    ends = rows.groupBy("doc_id").agg(F.max("char_end").alias("range_end"))
+    return windows(units, ends).select("doc_id", "k", "span_start", "span_end")
+
+
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, count(*)::INT AS n_units, substr(any_value(doc_hash), 1, 64) AS document_id, min(label) AS first_id FROM found GROUP BY doc_id""")
+def units_json(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    made = views.units_json(e.units, e.docs, "conversations", STAMP)
+    ids = F.from_json("json", "n_units int, document_id string, units array<struct<metadata:string>>")
+    parsed = made.select("doc_id", ids.alias("j"))
+    first = F.array_min(F.transform("j.units", lambda u: F.get_json_object(u["metadata"], "$.req_id")))
+    return parsed.select("doc_id", "j.n_units", "j.document_id", first.alias("first_id"))
+
+
+@query()
+def run_json(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return views.run_json(e.calls, e.docs, "conversations", STAMP)
+
+
+@query()
+def blocks_json(spark, sf_dir):
+    rows = conversation_blocks(spark, sf_dir)
+    return views.blocks_json(rows, blocks.documents(rows))

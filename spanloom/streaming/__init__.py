@@ -1 +1 @@
-
+"""Structured Streaming twins of the engine's folds."""
