@@ -295,8 +295,8 @@ def clip_segments(spark, sf_dir):
     return segments.clip(_segs(spark, sf_dir), ["l_orderkey"], "position").select("l_orderkey", "position", "start", "end", "overlapped")
 
 
-@query(f"""WITH {_SEGS} SELECT a.l_orderkey, a.position, a."start", arg_min(b."start", b.position) AS next_start FROM segs a
-LEFT JOIN segs b ON a.l_orderkey = b.l_orderkey AND b.position > a.position AND b."start" > a."start" GROUP BY ALL""")
+@query(f"""WITH {_SEGS} SELECT l_orderkey, position, "start",
+(SELECT arg_min(b."start", b.position) FROM segs b WHERE a.l_orderkey = b.l_orderkey AND b.position > a.position AND b."start" > a."start") AS next_start FROM segs a""")
 def next_start_close(spark, sf_dir):
     return segments.next_starts(_segs(spark, sf_dir), ["l_orderkey"], "position").select("l_orderkey", "position", "start", "next_start")
 

@@ -49,7 +49,7 @@ def from_raw_blocks(raw: DataFrame, detect_columns: bool = True, drop_margins: b
     if detect_columns:
         rows = reading_order(rows, ["doc_id", "page", "_band"], F.col("page_w"), "block_no")
         # only the body is read by column; margins go by top and left
-        key = F.when(F.col("_band") == 1, F.struct(F.col("reading_idx").cast("double"), F.lit(0.0))).otherwise(F.struct("y0", "x0"))
+        key = F.when(F.col("_band") == 1, F.struct(F.col("reading_idx").cast("double").alias("y0"), F.lit(0.0).alias("x0"))).otherwise(F.struct("y0", "x0"))
     else:
         key = F.struct("y0", "x0")
     rows = rows.withColumn("ord", F.struct("_band" if detect_columns else F.lit(0), key, "block_no"))
