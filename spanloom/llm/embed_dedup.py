@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import complete_groups, connected_components, partitions, written
+from spanloom.llm.common import complete_groups, connected_components, lean, partitions, written
 from spanloom.llm.vectors import comparable, element_type, matrix, rows_of, sequential_dot
 
 THRESHOLD = 0.95
-#: Vectors that k-means learns from at most, vectors a cell aimed at, most cells, rounds, and vectors a block.
-SAMPLE, PER_CELL, MAX_CELLS, ROUNDS, BLOCK = 8192, 4096, 256, 12, 1024
+#: Vectors that k-means learns from at most, vectors a cell aimed at, most cells, rounds, vectors a block, and rows compared at once.
+SAMPLE, PER_CELL, MAX_CELLS, ROUNDS, BLOCK, ROWS = 8192, 4096, 256, 12, 6144, 512
 
 
 def unit(vecs: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def spherical_kmeans(vecs: np.ndarray, cells: int, rounds: int = ROUNDS, seed: i
     return centres
 
 
-def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
+def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, reach: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Each vector's home cell, and lower-numbered cells that may hold vectors within ``reach`` of it.
 
     Cells are parted by the planes midway between centroids. A vector closer than
@@ -55,35 +55,81 @@ def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, reach: flo
     np.fill_diagonal(gap, np.inf)
     gap[gap < 1e-12] = np.inf
     for batch in batches:
-        near = unit(matrix(batch.column("vec"))) @ centres.T
+        vecs = matrix(batch.column("vec")).astype(kind)
+        near = unit(vecs) @ centres.T
         home = near.argmax(axis=1)
         beyond = (near[np.arange(len(home)), home][:, None] - near) / gap[home]
         visits = (beyond <= reach) & (np.arange(len(centres))[None, :] < home[:, None])
         row, cell = np.nonzero(visits)
         rows = np.r_[np.arange(len(home)), row]
-        took = [batch.column(c).take(pa.array(rows)) for c in ("rep", "copies", "vec")]
+        width = vecs.shape[1] * vecs.itemsize
+        # a vector travels as its bytes
+        packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(vecs[rows]))])
+        took = [*(batch.column(c).take(pa.array(rows)) for c in ("rep", "copies")), packed]
         side = np.r_[np.zeros(len(home), dtype=np.int32), np.ones(len(row), dtype=np.int32)]
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[home, cell].astype(np.int64)), pa.array(side), *took], ["cell", "side", "rep", "copies", "vec"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, bound in complete_groups(batches, "block"):
-        vecs = matrix(table.column("vec").combine_chunks()).astype(kind)
+        vecs = table.column("vec").combine_chunks()
+        data, at = vecs.buffers()[2], np.frombuffer(vecs.buffers()[1], np.int32)[vecs.offset : vecs.offset + len(vecs) + 1]
         plain = {c: table.column(c).to_numpy() for c in ("cell", "side", "chunk", "rep", "copies")}
-        made = [(int(plain["cell"][a]), int(plain["side"][a]), int(plain["chunk"][a]), plain["rep"][a:b].tobytes(), plain["copies"][a:b].tobytes(), vecs[a:b].tobytes()) for a, b in zip(bound[:-1], bound[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["cell", "side", "chunk", "reps", "copies", "vecs"])
+        made = [(int(plain["cell"][a]), int(plain["side"][a]), int(plain["chunk"][a]), plain["rep"][a:b].tobytes(), plain["copies"][a:b].tobytes(), data[int(at[a]) : int(at[b])].to_pybytes()) for a, b in zip(bound[:-1], bound[1:], strict=True)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), kinds, strict=True)], ["cell", "side", "chunk", "reps", "copies", "vecs"])
 
 
-def _links(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of two blocks have a cosine of at least ``threshold`` in double precision."""
-    ua, ub = unit(a), unit(b)
-    cosine = ua.astype(np.float32) @ ub.astype(np.float32).T
+def _near(a: np.ndarray, ua: np.ndarray, b: np.ndarray, ub: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of two blocks have a cosine of at least ``threshold``; close cases are decided in double precision."""
+    cosine = ua @ ub.T
     near = cosine >= threshold
     x, y = np.nonzero(np.abs(cosine - threshold) < 1e-5)
     near[x, y] = sequential_dot(a[x], b[y]) / (np.sqrt(sequential_dot(a[x], a[x])) * np.sqrt(sequential_dot(b[y], b[y]))) >= threshold
     return near
 
 
+def _linked(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...] | None, threshold: float) -> list[np.ndarray] | None:
+    """Links of a block with itself or with another: ids, sums of their partners' copies, and a small id that each is tied to.
+
+    Each row is tied to its smallest partner, its hub, and each partner to the
+    smallest hub of its rows; a row with a partner that went to a smaller hub ties the two
+    hubs. So the ties join all that the links join.
+    """
+    ids, copies, vecs = one
+    other, more, theirs = two or one
+    ua, ub = unit(vecs).astype(np.float32), unit(theirs).astype(np.float32)
+    top = np.iinfo(np.int64).max
+    links, back = np.zeros(len(ids), np.int64), np.zeros(len(other), np.int64)
+    edges: list[np.ndarray] = []
+    for low in range(0, len(ids), ROWS):
+        rows = slice(low, min(low + ROWS, len(ids)))
+        near = _near(vecs[rows], ua[rows], theirs, ub, threshold)
+        if two is None:
+            near[np.arange(near.shape[0]), np.arange(low, low + near.shape[0])] = False
+        some, few = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(some):
+            continue
+        near = near[np.ix_(some, few)]
+        mine, partners = ids[rows][some], other[few]
+        links[rows][some] += near @ more[few]
+        back[few] += copies[rows][some] @ near
+        hub = np.where(near, partners[None, :], top).min(axis=1)  # each row is tied to its smallest partner
+        least = np.where(near, hub[:, None], top).min(axis=0)  # and each partner to the smallest of its rows' hubs
+        edges += [np.stack([mine, hub]), np.stack([partners, least])]
+        loose = np.where(near, least[None, :], top).min(axis=1) != hub  # rows with a partner that went to a smaller hub
+        for r in np.flatnonzero(loose):
+            own = np.unique(least[near[r]])
+            edges.append(np.stack([np.full(len(own), hub[r]), own]))
+    if not edges:
+        return None
+    pairs = np.unique(np.concatenate(edges, axis=1), axis=1)
+    sums = [(ids, links)] if two is None else [(ids, links), (other, back)]
+    who, total = (np.concatenate(x) for x in zip(*sums, strict=True))
+    kept = total > 0
+    return [np.r_[who[kept], pairs[0]], np.r_[total[kept], np.zeros(pairs.shape[1], np.int64)], np.r_[who[kept], pairs[1]]]
+
+
 def _compared(batches: Iterator[pa.RecordBatch], kind: str, dims: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Each task: one block with itself, or two blocks with each other."""
     held: dict | None = None
@@ -91,39 +137,16 @@ def _compared(batches: Iterator[pa.RecordBatch], kind: str, dims: int, threshold
     def decoded(row: dict) -> tuple[np.ndarray, ...]:
         return np.frombuffer(row["reps"], np.int64), np.frombuffer(row["copies"], np.int64), np.frombuffer(row["vecs"], kind).reshape(-1, dims)
 
-    def told(one: dict, two: dict | None) -> pa.RecordBatch | None:
-        ids, copies, vecs = decoded(one)
-        if two is None:
-            near = _links(vecs, vecs, threshold)
-            np.fill_diagonal(near, False)
-            near |= near.T
-            links, least = near @ copies, np.minimum(ids, np.where(near, ids[None, :], np.iinfo(np.int64).max).min(axis=1))
-            some = near.any(axis=1)
-            for _ in range(2):  # stars over two more steps; the rest is left to the components
-                least = np.minimum(least, np.where(near, least[None, :], np.iinfo(np.int64).max).min(axis=1))
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(least[some])], ["rep", "links", "root"]) if some.any() else None
-        other, more, theirs = decoded(two)
-        near = _links(vecs, theirs, threshold)
-        if not near.any():
-            return None
-        top = np.iinfo(np.int64).max
-        least = np.where(near, other[None, :], top).min(axis=1)  # smallest partner on the other side
-        back = np.where(near, np.minimum(ids, least)[:, None], top).min(axis=0)
-        least = np.minimum(np.minimum(ids, least), np.where(near, back[None, :], top).min(axis=1))
-        some, few = near.any(axis=1), near.any(axis=0)
-        columns = [np.r_[ids[some], other[few]], np.r_[(near @ more)[some], (copies @ near)[few]], np.r_[least[some], np.minimum(other, back)[few]]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rep", "links", "root"])
-
     for row in rows_of(batches):
         if row["alone"]:
-            out = told(row, None)
+            out = _linked(decoded(row), None, threshold)
         elif held is not None and held["task"] == row["task"]:
-            out, held = told(held, row), None
+            out, held = _linked(decoded(held), decoded(row), threshold), None
         else:
             held = row
             continue
         if out is not None:
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["rep", "links", "root"])
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -155,12 +178,12 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     centres = spherical_kmeans(unit(np.array(sample.tolist())), max(1, min(MAX_CELLS, n // PER_CELL))) if n else np.ones((1, dims))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
-    placed = classes.select("rep", "copies", "vec").mapInArrow(lambda b: _assigned(b, centres, reach), f"cell long, side int, rep long, copies long, vec {rows.schema['vec'].dataType.simpleString()}")
+    placed = classes.select("rep", "copies", "vec").mapInArrow(lean(lambda b: _assigned(b, centres, reach, kind)), "cell long, side int, rep long, copies long, vec binary")
     placed = written(placed, "placed")
     sizes = placed.groupBy("cell", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("of"))  # two rows a cell
     placed = placed.join(F.broadcast(sizes), ["cell", "side"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), "of").cast("int"))
     placed = placed.withColumn("block", F.xxhash64("cell", "side", "chunk")).repartition(n_parts, "block").sortWithinPartitions("block")
-    blocks = placed.select("block", "cell", "side", "chunk", "rep", "copies", "vec").mapInArrow(lambda b: _packed(b, kind), "cell long, side int, chunk int, reps binary, copies binary, vecs binary")
+    blocks = placed.select("block", "cell", "side", "chunk", "rep", "copies", "vec").mapInArrow(lean(_packed), "cell long, side int, chunk int, reps binary, copies binary, vecs binary")
     blocks = written(blocks, "blocks")
 
     counts = sizes.groupBy("cell").agg(F.sum(F.when(F.col("side") == 0, F.col("of"))).cast("int").alias("homes"), F.coalesce(F.sum(F.when(F.col("side") == 1, F.col("of"))), F.lit(0)).cast("int").alias("visitors"))
@@ -174,7 +197,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         visitor.withColumn("with", F.explode(F.expr("sequence(0, homes - 1)"))).select(F.xxhash64("cell", F.lit("v"), "chunk", "with").alias("task"), F.lit(False).alias("alone"), *data),
     ]
     all_tasks = tasks[0].unionByName(tasks[1]).unionByName(tasks[2]).unionByName(tasks[3]).repartition(n_parts, "task").sortWithinPartitions("task")
-    links = written(all_tasks.mapInArrow(lambda b: _compared(b, kind, dims, threshold), "rep long, links long, root long"), "links")
+    links = written(all_tasks.mapInArrow(lean(lambda b: _compared(b, kind, dims, threshold)), "rep long, links long, root long"), "links")
     components = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     summed = links.groupBy("rep").agg(F.sum("links").alias("links"))
     told = classes.join(summed, "rep", "left").join(components, F.col("rep") == F.col("node"), "left").select("vec", "rep", "copies", "links", "component")
