@@ -435,13 +435,21 @@ def units_json(spark, sf_dir):
     return parsed.select("doc_id", "j.n_units", "j.document_id", first.alias("first_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, replace(replace(substr('{STAMP}', 1, 19), '-', ''), ':', '') || 'Z-' || substr(any_value(doc_hash), 1, 8) AS run_id, max(chunk_id)::INT AS n_chunks,
+max(block_idx) AS last_block, count(*) AS n_returned FROM found GROUP BY doc_id""")
 def run_json(spark, sf_dir):
     e = extraction(spark, sf_dir)
-    return views.run_json(e.calls, e.docs, "conversations", STAMP)
+    fields = "run_id string, n_chunks int, chunks array<struct<input:struct<block_range:array<bigint>>,model_output:struct<n_returned:bigint>>>"
+    made = views.run_json(e.calls, e.docs, "conversations", STAMP).select("doc_id", F.from_json("json", fields).alias("j"))
+    returned = F.aggregate("j.chunks", F.lit(0).cast("long"), lambda a, c: a + c["model_output"]["n_returned"])
+    last = F.array_max(F.transform("j.chunks", lambda c: c["input"]["block_range"][1]))
+    return made.select("doc_id", "j.run_id", "j.n_chunks", last.alias("last_block"), returned.alias("n_returned"))
 
 
-@query()
+@query(f"""WITH {_BLOCKS} SELECT doc_id, block_idx, page, page_block_idx, text, char_start, char_end, n_blocks, length(full_text)::BIGINT AS n_chars, substr(sha256(full_text), 1, 12) AS hash_prefix
+FROM spans JOIN docs USING (doc_id)""")
 def blocks_json(spark, sf_dir):
     rows = conversation_blocks(spark, sf_dir)
-    return views.blocks_json(rows, blocks.documents(rows))
+    fields = "source struct<hash_prefix:string>, summary struct<n_blocks:bigint,n_chars:bigint>, blocks array<struct<block_idx:bigint,page:int,page_block_idx:int,text:string,char_start:bigint,char_end:bigint>>"
+    made = views.blocks_json(rows, blocks.documents(rows)).select("doc_id", F.from_json("json", fields).alias("j"))
+    return made.select("doc_id", F.inline("j.blocks"), "j.summary.n_blocks", "j.summary.n_chars", "j.source.hash_prefix")
