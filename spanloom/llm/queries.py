@@ -20,6 +20,8 @@ QUERIES = {
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_jaccard_join": jaccard.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
+    "op5_sharding": sharding.OP5_SQL,
     "op8_nearest": ann.OP8_SQL,
     "op9_embedding_dedup": embed_dedup.OP9_SQL,
 }

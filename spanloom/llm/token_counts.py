@@ -58,7 +58,7 @@ class TokenRollup:
         signed = changes.withColumn("_op", op).select(F.inline(parts))
         delta = signed.groupBy(*KEYS).agg(F.sum("d").alias("n_docs"), F.sum("t").alias("n_tokens"))
         aside = f"{self.root}/.aside-{uuid.uuid4().hex}"
-        delta.coalesce(1).write.parquet(aside)
+        delta.write.parquet(aside)
         if self._fs.exists(target) or not self._fs.rename(self._path(aside), target):
             self._fs.delete(self._path(aside), True)
             return False
