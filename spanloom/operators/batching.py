@@ -99,3 +99,20 @@ def headings(df: DataFrame, pattern: str, text: str = "text", tolerant: bool = T
     group = F.regexp_extract(bare, pattern, 1 if grouped else 0)
     found = lines.where(hit).select("doc_id", "line_no", heading_ident(group).alias("ident"))
     return found.groupBy("doc_id", "ident").agg(F.min("line_no").alias("line_no"))
+
+
+def section_ids(plans: DataFrame, blocks: DataFrame, pattern: str) -> DataFrame:
+    """Plans with ``section_ids``: the heading identifiers in each batch's text, in order."""
+    found = headings(blocks.select(F.struct("doc_id", "block_idx").alias("doc_id"), "text"), pattern)
+    found = found.select("doc_id.doc_id", "doc_id.block_idx", "line_no", "ident")
+    starts = plans.select("doc_id", F.col("first_block").alias("block_idx"), F.lit(-1).alias("line_no"), F.lit(None).cast("string").alias("ident"), "batch_no")
+    upto = Window.partitionBy("doc_id").orderBy("block_idx", "line_no")
+    placed = starts.unionByName(found.withColumn("batch_no", F.lit(None).cast("long"))).withColumn("batch_no", F.last("batch_no", True).over(upto)).where("ident IS NOT NULL")
+    firsts = placed.groupBy("doc_id", "batch_no", "ident").agg(F.min(F.struct("block_idx", "line_no")).alias("at"))
+    listed = firsts.groupBy("doc_id", "batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ident"))), lambda x: x["ident"]).alias("section_ids"))
+    return plans.join(listed, ["doc_id", "batch_no"], "left").withColumn("section_ids", F.coalesce("section_ids", F.array().cast("array<string>")))
+
+
+def contains_section(ids: Column, wanted: str) -> Column:
+    """Whether a batch has a section, given with or without its sign."""
+    return F.array_contains(ids, wanted.strip().removeprefix("§").strip())

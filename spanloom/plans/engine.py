@@ -126,24 +126,6 @@ def call_all(blocks: DataFrame, provider: Provider, profile: Profile, settings:
     return numbered.where(F.col("chunk_id") <= settings.max_iterations)
 
 
-def _stitched(doc_type: str, settings: Settings):
-    def run(key: tuple, calls: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        text = docs["full_text"].iloc[0] if len(docs) else ""
-        calls = calls.sort_values("chunk_id")
-        stitcher, range_end = Stitcher(text), int(calls["char_end"].max()) if len(calls) else 0
-        for c in calls.to_dict("records"):
-            if c["overflowed"] or c["failed"]:
-                continue
-            a, b = int(c["char_start"]), int(c["char_end"])
-            units, _, _ = batch_units(c["payload_json"], text[a:b], a, settings.keep_lone_ends)
-            stitcher.add(units, int(c["chunk_id"]), a, range_end)
-        rows = [unit_row(k, u) | {"doc_id": key[0]} for k, u in enumerate(stitcher.finish(range_end))]
-        names = ["doc_id", *(f.strip().split(" ")[0] for f in _split(UNIT_FIELDS))]
-        return pd.DataFrame(rows, columns=names)
-
-    return run
-
-
 def _split(fields: str) -> list[str]:
     """Top-level parts of a schema string."""
     parts, depth, now = [], 0, ""
@@ -157,20 +139,31 @@ def _split(fields: str) -> list[str]:
     return [*parts, now]
 
 
-def _judged(settings: Settings):
-    def run(key: tuple, calls: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        text = docs["full_text"].iloc[0] if len(docs) else ""
-        rows = []
-        for c in calls.to_dict("records"):
-            a, b = int(c["char_start"]), int(c["char_end"])
-            units, n, bad = batch_units(c["payload_json"], text[a:b], a, settings.keep_lone_ends) if not c["failed"] else ([], 0, [])
-            status = "api_error" if c["failed"] else batch_status(len(units), sum(u.verbatim for u in units), len(bad), c["stop_reason"])
-            rows.append({"doc_id": key[0], "chunk_id": c["chunk_id"], "n_returned": n, "n_found": len(units), "n_malformed": len(bad), "malformed": bad, "batch_status": status})
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_id", "n_returned", "n_found", "n_malformed", "malformed", "batch_status"])
+def _folded(settings: Settings):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for d in frame.to_dict("records"):
+                text, calls = d["full_text"], list(d["calls"])
+                stitcher, judged, range_end = Stitcher(text), [], max(int(c["char_end"]) for c in calls)
+                for c in calls:
+                    a, b = int(c["char_start"]), int(c["char_end"])
+                    units, n, bad = ([], 0, []) if c["failed"] else batch_units(c["payload_json"], text[a:b], a, settings.keep_lone_ends)
+                    status = "api_error" if c["failed"] else batch_status(len(units), sum(u.verbatim for u in units), len(bad), c["stop_reason"])
+                    judged.append({"chunk_id": c["chunk_id"], "n_returned": n, "n_found": len(units), "n_malformed": len(bad), "malformed": bad, "batch_status": status})
+                    if not c["overflowed"] and not c["failed"]:
+                        stitcher.add(units, int(c["chunk_id"]), a, range_end)
+                rows.append({"doc_id": d["doc_id"], "units": [unit_row(k, u) for k, u in enumerate(stitcher.finish(range_end))], "judged": judged})
+            yield pd.DataFrame(rows, columns=["doc_id", "units", "judged"])
 
     return run
 
 
+def _struct(fields: str) -> str:
+    """A schema string's fields as a struct type."""
+    return "struct<" + ", ".join(":".join(f.strip().split(" ", 1)) for f in _split(fields)) + ">"
+
+
 @dataclass
 class Extraction:
     """An extraction's tables: docs, blocks, calls and units."""
@@ -182,15 +175,19 @@ class Extraction:
 
 
 def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = None) -> Extraction:
-    """Resolve and stitch recorded calls: doc_id, chunk_id, char_start, char_end, payload_json, stop_reason, failed, overflowed and more."""
+    """Resolve and stitch recorded calls: doc_id, chunk_id, char_start, char_end, payload_json, stop_reason, failed, overflowed and more.
+
+    One row a document meets its calls; a kernel over batches of documents folds each in turn.
+    """
     settings = settings or Settings.of(blocks.sparkSession)
     docs = documents(blocks)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    need = ["doc_id", "chunk_id", "char_start", "char_end", "payload_json", "stop_reason", "failed", "overflowed"]
-    pair = lambda fn, fields: calls.select(*need).groupBy("doc_id").cogroup(docs.select("doc_id", "full_text").groupBy("doc_id")).applyInPandas(fn, f"doc_id {kind}, {fields}")
-    units = stored(pair(_stitched(kind, settings), UNIT_FIELDS).where("k IS NOT NULL"), "units")
-    judged = pair(_judged(settings), CALL_FIELDS).where("chunk_id IS NOT NULL")
-    return Extraction(docs, blocks, stored(calls.join(judged, ["doc_id", "chunk_id"]), "judged"), units)
+    need = ["chunk_id", "char_start", "char_end", "payload_json", "stop_reason", "failed", "overflowed"]
+    per = calls.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*need))).alias("calls"))
+    rows = per.join(docs.select("doc_id", "full_text"), "doc_id")
+    folded = stored(rows.mapInPandas(_folded(settings), f"doc_id {kind}, units array<{_struct(UNIT_FIELDS)}>, judged array<{_struct(CALL_FIELDS)}>"), "folded")
+    judged = folded.select("doc_id", F.inline("judged"))
+    return Extraction(docs, blocks, calls.join(judged, ["doc_id", "chunk_id"]), folded.select("doc_id", F.inline("units")))
 
 
 def extract(blocks: DataFrame, profile: Profile, provider: Provider, settings: Settings | None = None) -> Extraction:

@@ -58,6 +58,25 @@ class Recorded:
         return call(self.payloads[key])
 
 
+def stop_reason(finish: str | None, has_calls: bool) -> str:
+    """One vocabulary for why a model stopped."""
+    if finish == "length":
+        return "max_tokens"
+    return "tool_use" if has_calls or finish == "tool_calls" else finish or ""
+
+
+def arguments(raw: object) -> dict:
+    """A tool call's arguments: an object, or JSON text of one."""
+    if isinstance(raw, str):
+        try:
+            raw = json.loads(raw)
+        except ValueError as e:
+            raise RuntimeError(f"arguments are no JSON: {e}") from e
+    if not isinstance(raw, dict):
+        raise RuntimeError("arguments are no object")
+    return raw
+
+
 class CallError(Exception):
     def __init__(self, message: str, status: int | None = None, connection: bool = False, missing_model: bool = False):
         super().__init__(message)

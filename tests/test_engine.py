@@ -162,6 +162,72 @@ def test_settings_and_prompt(spark):
     assert "find rules" in system_prompt(Profile("p", " find rules ")) and T.input_token_budget(400, cap=5000) == 5000 and T.input_token_budget(10**9) == 0
 
 
+class Endless:
+    """Quotes starts alone at first, and the end when asked again."""
+
+    def propose(self, prompt, text, blocks):
+        if "exactly one item" in prompt:
+            return call({"requirements": [{"status": "complete", "start_anchor": " ".join(text.split()[:3]), "end_anchor": " ".join(text.split()[3:7])}]})
+        return call({"requirements": [{"start_anchor": " ".join(b["text"].split()[:3])} for b in blocks]})
+
+
+def test_refinement_asks_again(spark):
+    from spanloom.plans.refinement import pretty, refine, save_json
+
+    e = extract(doc(spark, TEXTS), Profile("p"), Endless())
+    before = e.units.orderBy("k").collect()
+    assert [u.end_inferred_from_next_start for u in before] == [True] * 5 + [False]
+    after = refine(e, Endless(), Profile("p")).units.orderBy("k").collect()
+    text = e.docs.first().full_text
+    assert [text[u.start : u.end] for u in after[:5]] == [" ".join(t.split()[:7]) for t in TEXTS[:5]]
+    assert all(u.refined and u.requirement_text == text[u.start : u.end] and u.verbatim_match for u in after[:5]) and not after[5].refined
+    assert pretty('{"a": "é"}') == '{\n  "a": "é"\n}' and save_json is not None
+
+
+def test_document_and_views(spark, tmp_path):
+    from spanloom import session
+    from spanloom.operators import views
+    from spanloom.sweep import main, parse_budgets
+
+    (tmp_path / "a.txt").write_text("HEAD one\n\nbody of one is here\n\nHEAD two\n\nbody of two is here")
+    d = session.read(spark, str(tmp_path / "a.txt"))
+    assert d.locate(9) == (1, 1) and d.locate(8) is None and d.text_in_range(0, 4) == "HEAD"
+    assert d.summary()["pages_processed"] == "1-1 of 1" and json.loads(d.blocks())["schema_version"] == 1
+    assert json.loads(d.blocks(include_full_text=True))["full_text"] == d.full_text
+    e = extract(d.table, Profile("p", boundary_pattern="HEAD"), session.resolve_provider("rule-based"))
+    names = session.register(e, "t_")
+    assert spark.sql("SELECT count(*) FROM t_units").first()[0] == 4 and "t_calls" in names
+    assert views.segments_view(e.units, e.docs, e.blocks).where("text = 'body of one is here'").count() == 1
+    one = views.inspect(e.units, e.calls, 2).first()
+    assert one.sequence == 2 and one.llm_calls[0].chunk_id == 1 and views.inspect(e.units, e.calls, "9").count() == 0
+    stamp = "2024-01-02T03:04:05+00:00"
+    made = json.loads(views.units_json(e.units, e.docs, "f", stamp, "requirements").first().json)
+    assert made["n_requirements"] == 4 and made["requirements"][0]["uid"] == made["run_id"] + "#r0000" and made["run_id"].startswith("20240102T030405Z-")
+    plans = batching.section_ids(batching.plan_batches(d.table, 8, "HEAD"), d.table, "HEAD ([a-z]+)").orderBy("batch_no")
+    assert [r.section_ids for r in plans.collect()] == [["one"], ["two"]]
+    assert plans.where(batching.contains_section(F.col("section_ids"), " § two")).count() == 1
+    assert [r["n_batches"] for r in main([str(tmp_path / "a.txt"), "--budgets", "8,800", "--pattern", "HEAD", "--json", str(tmp_path / "o.json")])] == [2, 1]
+    for bad in ("", "0,5"):
+        with pytest.raises(ValueError):
+            parse_budgets(bad)
+
+
+def test_providers_by_name(monkeypatch):
+    from spanloom.plans import providers
+    from spanloom.session import resolve_provider
+
+    monkeypatch.setenv("SPANLOOM_PROVIDER", "recorded")
+    assert isinstance(resolve_provider(payloads={"a": "{}"}), providers.Recorded)
+    for name in ("recorded", "other"):
+        with pytest.raises(ValueError):
+            resolve_provider(name)
+    assert [providers.stop_reason(*x) for x in (("length", True), ("tool_calls", False), ("stop", True), ("stop", False), (None, False))] == ["max_tokens", "tool_use", "tool_use", "stop", ""]
+    assert providers.arguments('{"a": 1}') == {"a": 1} and providers.arguments({}) == {}
+    for bad in ("{", "[1]", 3):
+        with pytest.raises(RuntimeError):
+            providers.arguments(bad)
+
+
 def test_empty_tables(spark):
     rows = doc(spark, TEXTS).where("false")
     e = extract(rows, Profile("p"), RuleBased())
