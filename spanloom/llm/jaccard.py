@@ -18,6 +18,8 @@ TREES, DEPTH, RECALL = 16, 8, 0.9995
 #: Members of a prefix that meet in one task are at most two blocks of about so many texts and bytes.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 SEED = 90210
+#: Ids of texts to be compared, up to this many, are sent to the tasks that read texts; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -190,7 +192,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fresh = tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lean(lambda batches: _new_members(batches, trees)), fields)
     fresh = written(fresh, "meetings")
 
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(fresh.select("rep").distinct(), "rep", "left_semi")
+    wanted = written(fresh.select("rep").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep", "left_semi")
     full = fresh.join(texts, "rep").select(*names, "text").repartition(n, "task").sortWithinPartitions("task")
     links = written(full.mapInArrow(lean(lambda batches: _verified(batches, width, threshold, trees)), "rep long, links long, root long, texts long"), "links")
     components = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))

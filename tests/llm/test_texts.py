@@ -52,6 +52,7 @@ def shingled(text, width=5):
 @pytest.mark.parametrize("seed, block", [(1, 512), (2, 3)])
 def test_jaccard_join_is_exact(spark, seed, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", block)
     df = documents(spark, seed)
     sets = {r.doc_id: shingled(r.text) for r in df.collect()}
     links = defaultdict(set)
