@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,13 +63,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep_words: bool = False) -> Callable:
     """A mapInArrow function whose worker gives freed memory back to the system when its task ends.
 
-    Workers outlive their tasks and idle beside the JVM stages that follow.
+    Workers outlive their tasks and idle beside the JVM stages that follow. One that
+    turns from tokenizing to other work also forgets the words it remembers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_words and (tokens := sys.modules.get("spanloom.llm.tokens")):
+            tokens.word_tokenizer.cache_clear()
         try:
             yield from work(batches)
         finally:

@@ -189,7 +189,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     made, column = shown
-    work = lean(lambda batches: made(_pieces(batches, tokenizer, window, end)))
+    work = lean(lambda batches: made(_pieces(batches, tokenizer, window, end)), keep_words=True)
     cut = rows.mapInArrow(work, f"id {kind}, start long, length long, doc_tokens long, {column}")
     rest = [c for c in cut.columns if c != "id"]
     cut = cut.select(F.monotonically_increasing_id().alias("piece"), F.spark_partition_id().alias("part"), F.col("id").alias(id_col), *rest)
@@ -219,7 +219,7 @@ def places(cut: DataFrame, window: int = WINDOW, parts: int = PARTS, unit: int =
         passed += full if k == 0 else counts[k]
     first = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
     ranked = rank.select("piece", "length", "bin", (F.col("at") - F.element_at(first, F.col("bin"))).alias("rank"))
-    placed = ranked.mapInArrow(lean(lambda batches: _placed(batches, runs, full, unit)), "piece long, length long, sequence_id long, place long")
+    placed = ranked.mapInArrow(lean(lambda batches: _placed(batches, runs, full, unit), keep_words=True), "piece long, length long, sequence_id long, place long")
     inside = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select("piece", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
 
