@@ -90,8 +90,8 @@ def mix(df: DataFrame, budget: int | None = None, max_repeat: float | None = Non
     budget = total if budget is None else budget
     power = exponent(full, budget, max_repeat, entropy)
     raw = F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(power))
-    norm = full.agg(F.sum(raw).alias("_norm"))
-    plan = sources.join(F.broadcast(norm)).select("_s", "tokens", F.when(F.col("tokens") > 0, raw / F.col("_norm")).otherwise(0.0).alias("weight"))
+    norm = full.agg(F.sum(raw)).first()[0] or 1.0
+    plan = sources.select("_s", "tokens", F.when(F.col("tokens") > 0, raw / F.lit(norm)).otherwise(0.0).alias("weight"))
     plan = plan.withColumn("_budget", F.floor(F.col("weight") * F.lit(float(budget)) + F.lit(0.5)).cast("long"))
     plan = plan.select(
         "_s", "weight", F.col("tokens").alias("_all"),
