@@ -51,10 +51,10 @@ def shard_by_bytes(df: DataFrame, size: Column, shards: int, order: list[str], k
     dealt = rows.repartitionByRange(partitions(spark), *order, "size", "_at").withColumns({"_p": F.spark_partition_id(), "_one": F.lit(1).cast("long")})
     dealt = written(dealt, "dealt")
     placed = with_prefix(dealt, [*order, "size", "_at"], {"_start": "size", "_row": "_one"})
-    whole = dealt.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_total"))
+    total = dealt.agg(F.sum("size")).first()[0] or 0
     middle = ((2 * F.col("_start") + F.col("size")) * F.lit(shards)).cast("long")
-    cut = F.when(F.col("_total") > 0, F.least(F.lit(shards - 1), F.expr("_middle div (2 * _total)"))).otherwise(0)
-    placed = placed.join(F.broadcast(whole)).withColumn("_middle", middle).withColumn("shard", cut.cast("int"))
+    cut = F.least(F.lit(shards - 1), F.expr(f"_middle div {2 * total}L")) if total else F.lit(0)
+    placed = placed.withColumn("_middle", middle).withColumn("shard", cut.cast("int"))
     first = placed.groupBy("shard").agg(F.min("_row").alias("_first"))  # as many rows as shards
     out = placed.join(F.broadcast(first), "shard")
     return out.select(*[c for c in dealt.columns if c[0] != "_"], "shard", (F.col("_row") - F.col("_first")).cast("long").alias("slot"))
