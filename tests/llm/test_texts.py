@@ -267,6 +267,34 @@ def test_license_scan_edges(spark):
     assert licenses.license_scan(df, {}).count() == 0 and licenses.license_scan(df.where("false")).count() == 0
 
 
+def test_short_notices_match_inside_longer_texts(spark):
+    def found(text, *own):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        return sorted((r.template, r.start_word, r.end_word, r.matched) for r in licenses.license_scan(df, *own).collect())
+
+    assert found("First words. All rights reserved. More words stand here.") == [("all-rights-reserved", 2, 5, "all rights reserved")]
+    assert found("ALL RIGHTS RESERVED") == [("all-rights-reserved", 0, 3, "all rights reserved")] and found("all rights") == []
+    assert [r[0] for r in found("It is licensed under CC BY 4.0 here.")] == ["cc-by-4.0-name"]
+    own = {"a": "x y", "b": "X, Y!", "c": "z z", "d": ""}
+    assert found("x y x y z z z q", own) == [(k, *r) for k, r in [("a", (0, 2, "x y")), ("a", (2, 4, "x y")), ("b", (0, 2, "x y")), ("b", (2, 4, "x y")), ("c", (4, 6, "z z"))]]
+
+
+def test_license_copies_in_a_row_give_a_row_each(spark):
+    for name, n in [("mit-notice", 5), ("apache-2.0-notice", 8), ("bsd-clauses", 21), ("agpl-3.0-header", 43)]:
+        copy = licenses.TEMPLATES[name]
+        assert len(words(copy)) == n
+        for times in (2, 5):
+            df = spark.createDataFrame([(1, "a b c " + " ".join([copy] * times) + " d")], "doc_id long, text string")
+            got = licenses.license_scan(df, {name: copy}).orderBy("start_word").collect()
+            assert [(r.start_word, r.end_word) for r in got] == [(3 + n * i, 3 + n * i + n) for i in range(times)], name
+    # one copy changed near its start, one near its end, and one with words put in
+    copy = licenses.TEMPLATES["agpl-3.0-header"].split()
+    first, second, third = ["a", *copy[1:]], [*copy[:-1], "z"], [*copy[:20], *(f"q{i}" for i in range(9)), *copy[20:]]
+    df = spark.createDataFrame([(1, " ".join([*first, *second])), (2, " ".join(third))], "doc_id long, text string")
+    got = licenses.license_scan(df, {"t": " ".join(copy)}).orderBy("doc_id", "start_word").collect()
+    assert [(r.doc_id, r.start_word, r.end_word) for r in got] == [(1, 1, 43), (1, 43, 85), (2, 0, 52)]
+
+
 def test_language_edges(spark):
     df = messy(spark)
     model = langid.fit(df.where("lang IS NOT NULL"), "doc_id", "text", "lang")
