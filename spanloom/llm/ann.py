@@ -46,7 +46,7 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def _searched(batches: Iterator[pa.RecordBatch], kind: str, dims: int, k: int) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], kind: str, k: int) -> Iterator[pa.RecordBatch]:
     """Each cell: its queries' blocks come first, then candidate blocks stream by, one held at a time."""
     cell, queries, state = None, [], None
 
@@ -60,11 +60,11 @@ def _searched(batches: Iterator[pa.RecordBatch], kind: str, dims: int, k: int) -
         return pa.RecordBatch.from_arrays([pa.array(s["ids"][s["at"]]), pa.array(s["near"]), pa.array(s["score"])], ["query_id", "vec_id", "score"])
 
     for row in rows_of(batches):
-        if row["cell"] != cell:
+        if (row["dims"], row["cell"]) != cell:
             if state is not None:
                 yield found(state)
-            cell, queries, state = row["cell"], [], None
-        block = (np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["vecs"], dtype=kind).reshape(-1, dims))
+            cell, queries, state = (row["dims"], row["cell"]), [], None
+        block = (np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["vecs"], dtype=kind).reshape(-1, row["dims"]))
         if row["side"] == 0:
             queries.append(block)
             continue
@@ -106,15 +106,14 @@ def nearest(df: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id",
     """The ``k`` candidates with the largest inner product with each query, nearest first.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows
-    but the query's own. Returns query_id, rank (from 1), vec_id and score (the inner
+    but the query's own whose vectors are as long as the query's. Returns query_id, rank (from 1), vec_id and score (the inner
     product of the original vectors in double precision). Ties go to the smaller
     vec_id. A query with fewer candidates has them all; exact, nothing is missed.
 
-    Vectors that are null, empty, zero, of an uncommon length or hold null or
-    non-finite components take no part; nor do null ids. Of rows that repeat an id
+    Vectors that are null, empty, zero or hold null or non-finite components take no part; nor do null ids. Of rows that repeat an id
     the smallest vector stands. An empty table gives no rows. Other columns don't matter.
 
-    Blocks of queries meet blocks of candidates in a grid of cells. In a cell, int8
+    Blocks of queries meet blocks of candidates in a grid of cells, one for each length. In a cell, int8
     products with error bounds give each pair's range; pairs whose upper end reaches
     the query's k-th lower end are recomputed exactly. A cell emits k rows a query,
     and there are at most 64 cells a query however large the table, so the merge
@@ -122,17 +121,21 @@ def nearest(df: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id",
     """
     spark = df.sparkSession
     rows = written(comparable(df, id_col, vector_col), "vectors")
-    sizes = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0), F.max(F.size("vec"))).first()
-    n, asked, dims = sizes[0], sizes[1], sizes[2] or 1
-    across, down = min(MAX_GROUPS, max(1, -(-n // CANDIDATE_GROUP))), max(1, -(-asked // QUERY_GROUP))
+    groups = lambda n, of: F.greatest(F.lit(1), F.ceil(n / of)).cast("long")
+    sizes = rows.groupBy(F.size("vec").alias("dims")).agg(
+        F.least(F.lit(MAX_GROUPS), groups(F.count(F.lit(1)), CANDIDATE_GROUP)).cast("long").alias("across"), groups(F.count_if(F.col("id") % every == 0), QUERY_GROUP).alias("down")
+    )
+    sizes = F.broadcast(written(sizes, "lengths"))  # a row for each length
+    n_cells = sizes.agg(F.coalesce(F.sum(F.col("across") * F.col("down")), F.lit(1))).first()[0]
     kind = element_type(rows)
-    packed = rows.mapInArrow(blocks_of(BLOCK, kind), "ids binary, vecs binary")
-    queries = rows.where(F.col("id") % every == 0).mapInArrow(blocks_of(BLOCK, kind), "ids binary, vecs binary")
-    spread = lambda of: F.pmod(F.xxhash64("ids"), F.lit(of))
-    left = queries.withColumn("g", spread(down)).select(F.explode(F.sequence(F.col("g") * across, F.col("g") * across + (across - 1))).alias("cell"), F.lit(0).alias("side"), "ids", "vecs")
-    right = packed.withColumn("g", spread(across)).select(F.explode(F.sequence(F.col("g"), F.col("g") + across * (down - 1), F.lit(across).cast("long"))).alias("cell"), F.lit(1).alias("side"), "ids", "vecs")
-    cells = left.unionByName(right).repartition(min(partitions(spark), across * down), "cell").sortWithinPartitions("cell", "side")
-    lists = cells.mapInArrow(lambda batches: _searched(batches, kind, dims, k), "query_id long, vec_id long, score double")
+    fields = "dims int, ids binary, vecs binary"
+    packed = rows.mapInArrow(blocks_of(BLOCK, kind), fields).join(sizes, "dims")
+    queries = rows.where(F.col("id") % every == 0).mapInArrow(blocks_of(BLOCK, kind), fields).join(sizes, "dims")
+    spread = lambda of: F.pmod(F.xxhash64("ids"), of)
+    left = queries.withColumn("g", spread("down")).select("dims", F.explode(F.expr("sequence(g * across, g * across + across - 1)")).alias("cell"), F.lit(0).alias("side"), "ids", "vecs")
+    right = packed.withColumn("g", spread("across")).select("dims", F.explode(F.expr("sequence(g, g + across * (down - 1), across)")).alias("cell"), F.lit(1).alias("side"), "ids", "vecs")
+    cells = left.unionByName(right).repartition(min(partitions(spark), n_cells), "dims", "cell").sortWithinPartitions("dims", "cell", "side")
+    lists = cells.mapInArrow(lambda batches: _searched(batches, kind, k), "query_id long, vec_id long, score double")
     by_query = lists.repartition(partitions(spark), "query_id").sortWithinPartitions("query_id")
     return by_query.mapInArrow(lambda batches: _merged(batches, k), "query_id long, rank int, vec_id long, score double")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import complete_groups, connected_components, lean, partitions, written
-from spanloom.llm.vectors import comparable, element_type, matrix, rows_of, sequential_dot
+from spanloom.llm.vectors import by_length, comparable, element_type, matrix, rows_of, sequential_dot
 
 THRESHOLD = 0.95
 #: Vectors that k-means learns from at most, vectors a cell aimed at, most cells, rounds, vectors a block, and rows compared at once.
@@ -45,21 +45,26 @@ def spherical_kmeans(vecs: np.ndarray, cells: int, rounds: int = ROUNDS, seed: i
     return centres
 
 
-def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, reach: float, kind: str) -> Iterator[pa.RecordBatch]:
+def _assigned(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray], reach: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Each vector's home cell, and lower-numbered cells that may hold vectors within ``reach`` of it.
 
-    Cells are parted by the planes midway between centroids. A vector closer than
+    A length without centroids is one cell. Cells are parted by the planes midway between centroids. A vector closer than
     ``reach`` to another cell's vector is at most that far from their plane.
     """
-    gap = np.linalg.norm(centres[:, None] - centres[None, :], axis=2)
-    np.fill_diagonal(gap, np.inf)
-    gap[gap < 1e-12] = np.inf
-    for batch in batches:
+    gaps = {}
+    for dims, c in centres.items():
+        gap = gaps[dims] = np.linalg.norm(c[:, None] - c[None, :], axis=2)
+        np.fill_diagonal(gap, np.inf)
+        gap[gap < 1e-12] = np.inf
+    for dims, batch in (part for whole in batches for part in by_length(whole)):
         vecs = matrix(batch.column("vec")).astype(kind)
-        near = unit(vecs) @ centres.T
-        home = near.argmax(axis=1)
-        beyond = (near[np.arange(len(home)), home][:, None] - near) / gap[home]
-        visits = (beyond <= reach) & (np.arange(len(centres))[None, :] < home[:, None])
+        if dims in centres:
+            near = unit(vecs) @ centres[dims].T
+            home = near.argmax(axis=1)
+            beyond = (near[np.arange(len(home)), home][:, None] - near) / gaps[dims][home]
+            visits = (beyond <= reach) & (np.arange(len(centres[dims]))[None, :] < home[:, None])
+        else:
+            home, visits = np.zeros(len(vecs), dtype=np.int64), np.zeros((len(vecs), 0), dtype=bool)
         row, cell = np.nonzero(visits)
         rows = np.r_[np.arange(len(home)), row]
         width = vecs.shape[1] * vecs.itemsize
@@ -67,17 +72,17 @@ def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, reach: flo
         packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(vecs[rows]))])
         took = [*(batch.column(c).take(pa.array(rows)) for c in ("rep", "copies")), packed]
         side = np.r_[np.zeros(len(home), dtype=np.int32), np.ones(len(row), dtype=np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[home, cell].astype(np.int64)), pa.array(side), *took], ["cell", "side", "rep", "copies", "vec"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[home, cell].astype(np.int64)), pa.array(side), *took, pa.array(np.full(len(rows), dims, dtype=np.int32))], ["cell", "side", "rep", "copies", "vec", "dims"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, bound in complete_groups(batches, "block"):
         vecs = table.column("vec").combine_chunks()
         data, at = vecs.buffers()[2], np.frombuffer(vecs.buffers()[1], np.int32)[vecs.offset : vecs.offset + len(vecs) + 1]
-        plain = {c: table.column(c).to_numpy() for c in ("cell", "side", "chunk", "rep", "copies")}
-        made = [(int(plain["cell"][a]), int(plain["side"][a]), int(plain["chunk"][a]), plain["rep"][a:b].tobytes(), plain["copies"][a:b].tobytes(), data[int(at[a]) : int(at[b])].to_pybytes()) for a, b in zip(bound[:-1], bound[1:], strict=True)]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), kinds, strict=True)], ["cell", "side", "chunk", "reps", "copies", "vecs"])
+        plain = {c: table.column(c).to_numpy() for c in ("cell", "side", "chunk", "rep", "copies", "dims")}
+        made = [(int(plain["cell"][a]), int(plain["side"][a]), int(plain["chunk"][a]), plain["rep"][a:b].tobytes(), plain["copies"][a:b].tobytes(), data[int(at[a]) : int(at[b])].to_pybytes(), int(plain["dims"][a])) for a, b in zip(bound[:-1], bound[1:], strict=True)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), kinds, strict=True)], ["cell", "side", "chunk", "reps", "copies", "vecs", "dims"])
 
 
 def _near(a: np.ndarray, ua: np.ndarray, b: np.ndarray, ub: np.ndarray, threshold: float) -> np.ndarray:
@@ -130,12 +135,12 @@ def _linked(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...] | None, thr
     return [np.r_[who[kept], pairs[0]], np.r_[total[kept], np.zeros(pairs.shape[1], np.int64)], np.r_[who[kept], pairs[1]]]
 
 
-def _compared(batches: Iterator[pa.RecordBatch], kind: str, dims: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], kind: str, threshold: float) -> Iterator[pa.RecordBatch]:
     """Each task: one block with itself, or two blocks with each other."""
     held: dict | None = None
 
     def decoded(row: dict) -> tuple[np.ndarray, ...]:
-        return np.frombuffer(row["reps"], np.int64), np.frombuffer(row["copies"], np.int64), np.frombuffer(row["vecs"], kind).reshape(-1, dims)
+        return np.frombuffer(row["reps"], np.int64), np.frombuffer(row["copies"], np.int64), np.frombuffer(row["vecs"], kind).reshape(-1, row["dims"])
 
     for row in rows_of(batches):
         if row["alone"]:
@@ -156,14 +161,14 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     directly, equal ones included), component_id (smallest id reachable by links, its
     own included) and kept (it is its component's smallest).
 
-    Vectors that are null, empty, zero, of an uncommon length or hold null or
-    non-finite components link with nothing. Null ids give one row, linked with
+    Vectors that are null, empty, zero or hold null or non-finite components link with
+    nothing, and vectors link only with others of their length. Null ids give one row, linked with
     nothing. Of rows that repeat an id the smallest vector stands. An empty table
     gives no rows. Other columns don't matter.
 
     Equal vectors collapse first, by an aggregate that combines on the map side.
-    Spherical k-means learns its cells from at most ``SAMPLE`` vectors, those
-    with the smallest hash of their id; all vectors are assigned. A vector also
+    Spherical k-means learns the cells of each length from at most ``SAMPLE`` of its
+    vectors, those with the smallest hash of their id; all vectors are assigned. A vector also
     visits the cells whose plane it is close to, so no pair is lost at a border.
     A cell's vectors are split into blocks; each pair of blocks is a task, so a
     large cell spreads over the cluster. Tasks give sums and stars, never pairs.
@@ -173,31 +178,32 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     rows = written(comparable(df, id_col, vector_col), "vectors")
     kind = element_type(rows)
     classes = written(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
-    n, dims = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toPandas()["vec"]  # SAMPLE rows at most
-    centres = spherical_kmeans(unit(np.array(sample.tolist())), max(1, min(MAX_CELLS, n // PER_CELL))) if n else np.ones((1, dims))
+    centres = {}
+    for dims, n in classes.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * PER_CELL).collect():
+        sample = classes.where(F.size("vec") == dims).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toPandas()["vec"]  # SAMPLE rows at most
+        centres[dims] = spherical_kmeans(unit(np.array(sample.tolist())), min(MAX_CELLS, n // PER_CELL))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
-    placed = classes.select("rep", "copies", "vec").mapInArrow(lean(lambda b: _assigned(b, centres, reach, kind)), "cell long, side int, rep long, copies long, vec binary")
+    placed = classes.select("rep", "copies", "vec").mapInArrow(lean(lambda b: _assigned(b, centres, reach, kind)), "cell long, side int, rep long, copies long, vec binary, dims int")
     placed = written(placed, "placed")
-    sizes = placed.groupBy("cell", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("of"))  # two rows a cell
-    placed = placed.join(F.broadcast(sizes), ["cell", "side"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), "of").cast("int"))
-    placed = placed.withColumn("block", F.xxhash64("cell", "side", "chunk")).repartition(n_parts, "block").sortWithinPartitions("block")
-    blocks = placed.select("block", "cell", "side", "chunk", "rep", "copies", "vec").mapInArrow(lean(_packed), "cell long, side int, chunk int, reps binary, copies binary, vecs binary")
+    sizes = placed.groupBy("dims", "cell", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("of"))  # two rows a cell
+    placed = placed.join(F.broadcast(sizes), ["dims", "cell", "side"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), "of").cast("int"))
+    placed = placed.withColumn("block", F.xxhash64("dims", "cell", "side", "chunk")).repartition(n_parts, "block").sortWithinPartitions("block")
+    blocks = placed.select("block", "cell", "side", "chunk", "rep", "copies", "vec", "dims").mapInArrow(lean(_packed), "cell long, side int, chunk int, reps binary, copies binary, vecs binary, dims int")
     blocks = written(blocks, "blocks")
 
-    counts = sizes.groupBy("cell").agg(F.sum(F.when(F.col("side") == 0, F.col("of"))).cast("int").alias("homes"), F.coalesce(F.sum(F.when(F.col("side") == 1, F.col("of"))), F.lit(0)).cast("int").alias("visitors"))
-    joined = blocks.join(F.broadcast(counts), "cell")
-    data = ["reps", "copies", "vecs"]
+    counts = sizes.groupBy("dims", "cell").agg(F.sum(F.when(F.col("side") == 0, F.col("of"))).cast("int").alias("homes"), F.coalesce(F.sum(F.when(F.col("side") == 1, F.col("of"))), F.lit(0)).cast("int").alias("visitors"))
+    joined = blocks.join(F.broadcast(counts), ["dims", "cell"])
+    data = ["reps", "copies", "vecs", "dims"]
     home, visitor = joined.where("side = 0 AND homes > 0"), joined.where("side = 1 AND homes > 0")
     tasks = [
-        home.select(F.xxhash64("cell", F.lit("h"), "chunk", "chunk").alias("task"), F.lit(True).alias("alone"), *data),
-        home.withColumn("with", F.explode(F.expr("filter(sequence(0, homes - 1), x -> x <> chunk)"))).select(F.xxhash64("cell", F.lit("h"), F.least("chunk", "with"), F.greatest("chunk", "with")).alias("task"), F.lit(False).alias("alone"), *data),
-        home.where("visitors > 0").withColumn("with", F.explode(F.expr("sequence(0, visitors - 1)"))).select(F.xxhash64("cell", F.lit("v"), "with", "chunk").alias("task"), F.lit(False).alias("alone"), *data),
-        visitor.withColumn("with", F.explode(F.expr("sequence(0, homes - 1)"))).select(F.xxhash64("cell", F.lit("v"), "chunk", "with").alias("task"), F.lit(False).alias("alone"), *data),
+        home.select(F.xxhash64("dims", "cell", F.lit("h"), "chunk", "chunk").alias("task"), F.lit(True).alias("alone"), *data),
+        home.withColumn("with", F.explode(F.expr("filter(sequence(0, homes - 1), x -> x <> chunk)"))).select(F.xxhash64("dims", "cell", F.lit("h"), F.least("chunk", "with"), F.greatest("chunk", "with")).alias("task"), F.lit(False).alias("alone"), *data),
+        home.where("visitors > 0").withColumn("with", F.explode(F.expr("sequence(0, visitors - 1)"))).select(F.xxhash64("dims", "cell", F.lit("v"), "with", "chunk").alias("task"), F.lit(False).alias("alone"), *data),
+        visitor.withColumn("with", F.explode(F.expr("sequence(0, homes - 1)"))).select(F.xxhash64("dims", "cell", F.lit("v"), "chunk", "with").alias("task"), F.lit(False).alias("alone"), *data),
     ]
     all_tasks = tasks[0].unionByName(tasks[1]).unionByName(tasks[2]).unionByName(tasks[3]).repartition(n_parts, "task").sortWithinPartitions("task")
-    links = written(all_tasks.mapInArrow(lean(lambda b: _compared(b, kind, dims, threshold)), "rep long, links long, root long"), "links")
+    links = written(all_tasks.mapInArrow(lean(lambda b: _compared(b, kind, threshold)), "rep long, links long, root long"), "links")
     components = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     summed = links.groupBy("rep").agg(F.sum("links").alias("links"))
     told = classes.join(summed, "rep", "left").join(components, F.col("rep") == F.col("node"), "left").select("vec", "rep", "copies", "links", "component")

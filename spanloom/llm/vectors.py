@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +14,12 @@ from pyspark.sql import functions as F
 def comparable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Rows (id, vec) that take part, one for each distinct non-null id.
 
-    Left out are vectors that are null, empty or zero, that hold null or non-finite
-    components, or whose length is not the commonest (of equally common ones the
-    smallest). Of rows that repeat an id, the smallest vector stands.
+    Left out are vectors that are null, empty or zero, or that hold null or non-finite
+    components; lengths may differ. Of rows that repeat an id, the smallest vector stands.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")).where("id IS NOT NULL AND size(vec) > 0")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda x: x != 0))
-    common = rows.groupBy(F.size("vec").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "length").first()
-    rows = rows.where(F.size("vec") == F.lit(common["length"] if common else 0))
     return rows.groupBy("id").agg(F.min("vec").alias("vec"))
 
 
@@ -44,6 +42,13 @@ def sequential_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def by_length(batch: pa.RecordBatch, column: str = "vec") -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A batch's rows apart by the length of their vectors."""
+    lengths = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        yield int(n), batch if (lengths == n).all() else batch.filter(pa.array(lengths == n))
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -51,15 +56,16 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def blocks_of(size: int, kind: str, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Callable:
-    """A mapInArrow function that packs rows (id, vec) into rows (ids, vecs) of binary blocks."""
+    """A mapInArrow function that packs rows (id, vec) into rows (dims, ids, vecs) of binary blocks, each of one length."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vecs = batch.column("id").to_numpy(), matrix(batch.column("vec")).astype(kind)
-            if wanted is not None:
-                ids, vecs = ids[wanted(ids)], vecs[wanted(ids)]
-            parts = [(ids[i : i + size].tobytes(), vecs[i : i + size].tobytes()) for i in range(0, len(ids), size)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*parts, strict=True)], ["ids", "vecs"])
+            for dims, part in by_length(batch):
+                ids, vecs = part.column("id").to_numpy(), matrix(part.column("vec")).astype(kind)
+                if wanted is not None:
+                    ids, vecs = ids[wanted(ids)], vecs[wanted(ids)]
+                parts = [(dims, ids[i : i + size].tobytes(), vecs[i : i + size].tobytes()) for i in range(0, len(ids), size)]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["dims", "ids", "vecs"])
 
     return packed

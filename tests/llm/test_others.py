@@ -88,6 +88,25 @@ def test_embedding_chains_are_one_component(spark, block, rows, monkeypatch):
         assert {r.vec_id: r.component_id for r in embed_dedup.near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("per_cell", [4096, 20])
+def test_vectors_of_every_length_take_part(spark, per_cell, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "PER_CELL", per_cell)
+    monkeypatch.setattr(ann, "CANDIDATE_GROUP", per_cell)
+    sizes = {8: 90, 4: 60, 2: 5}
+    parts = [vectors(spark, dims, n, dims)[0] for dims, n in sizes.items()]
+    rows = [r.astype(np.float64) for part in parts for r in part]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<float>").repartition(5)
+    same = [{j for j, y in enumerate(rows) if j != i and len(y) == len(x)} for i, x in enumerate(rows)]
+    got = {}
+    for r in ann.nearest(df, every=10, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    score = lambda i, j: sum(float(a) * float(b) for a, b in zip(rows[i], rows[j], strict=True))
+    assert got == {i: sorted(same[i], key=lambda j: (-score(i, j), j))[:5] for i in range(0, 155, 10)}
+    near = [{j for j in same[i] if score(i, j) / (np.linalg.norm(rows[i]) * np.linalg.norm(rows[j])) >= 0.95} for i in range(len(rows))]
+    links = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+    assert links == {i: len(x) for i, x in enumerate(near)} and sum(map(len, near[90:150])) > 10
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(rng.randrange(700, 760), rng.randrange(700, 760)) for _ in range(40)] + [(5, 5), (None, 3)]
