@@ -28,10 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the smallest id, of each class of near copies.
 
-    Rows that repeat an id stay or go together; rows with a null id stay.
+    Each row is judged by its own text, whatever other rows share its id; of a class's
+    rows with the same id one stays. Rows with a null id come last in their class.
     """
-    found = jaccard.jaccard_join(docs.select("doc_id", "text"))
-    return docs.select(*COLUMNS).join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.jaccard_join(rows.select("row", "text"), id_col="row").select("row", "class_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = rows.select("row", "doc_id").join(found, "row").groupBy("class_id").agg(F.min_by("row", order).alias("row")).select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import complete_groups, connected_components, lean, partitions, written
@@ -32,7 +32,7 @@ def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int, trees: int, length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, ids = normalized(batch.column("text")), batch.column("id")
+        texts, ids, raw = normalized(batch.column("text")), batch.column("id"), batch.column("raw")
         for at, to in slices(texts):
             part = texts.slice(at, to - at)
             bounds = words_of(part)
@@ -47,14 +47,19 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, trees: int, length: i
             took = pa.array(full)
             digest = pa.array(digests(part), pa.binary()).take(took)
             size = pa.array(np.diff(bounds.texts)[full])
-            yield pa.RecordBatch.from_arrays([ids.slice(at, to - at).take(took), digest, size, labels], ["id", "digest", "size", "labels"])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, to - at).take(took), digest, size, labels, raw.slice(at, to - at).take(took)], ["id", "digest", "size", "labels", "raw"])
+
+
+def text_key(text_col: str) -> Column:
+    """What tells an id's text from its other ones when texts are joined back."""
+    return F.unhex(F.md5(F.col(text_col).cast("binary")))
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, length: int) -> DataFrame:
-    """One row for each distinct non-null id whose text has words: id, digest and bytes of its words, a label for each trie."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    made = rows.mapInArrow(lean(lambda batches: _signed(batches, width, trees, length)), "id long, digest binary, size long, labels array<long>")
-    return made.groupBy("id").agg(F.min(F.struct("digest", "size", "labels")).alias("s")).select("id", "s.*")
+    """One row for each distinct non-null id whose text has words: id, digest and bytes of its words, a label for each trie, the text's key."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("raw")).where("id IS NOT NULL AND text IS NOT NULL")
+    made = rows.mapInArrow(lean(lambda batches: _signed(batches, width, trees, length)), "id long, digest binary, size long, labels array<long>, raw binary")
+    return made.groupBy("id").agg(F.min(F.struct("digest", "size", "labels", "raw")).alias("s")).select("id", "s.*")
 
 
 def _first_meetings(labels: np.ndarray, tree: int, block: np.ndarray, i: int, j: int) -> np.ndarray:
@@ -120,7 +125,7 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, threshold: float, t
         texts = normalized(table.column("text"))
         out: list[tuple[np.ndarray, ...]] = []
         for a, b in zip(bound[:-1], bound[1:], strict=True):
-            rows = a + np.unique(rep[a:b], return_index=True)[1]  # an id with several texts counts once
+            rows = a + np.unique(rep[a:b], return_index=True)[1]  # rows that repeat an id and its text count once
             if len(rows) < 2:
                 continue
             met = _first_meetings(labels[rows], tree[a], block[rows], i[a], j[a])
@@ -160,7 +165,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words has one shingle of all of them. Null texts and texts without words link
     with nothing. Null ids give one row, linked with nothing.
     Rows that repeat an id are one document; if their texts differ, the one with
-    the smallest digest stands. An empty table gives no rows. Other columns of
+    the smallest digest stands, in signatures and in the exact check; to have each
+    row judged by its own text, give each its own id. An empty table gives no rows. Other columns of
     ``df`` don't matter.
 
     Copies collapse first, by an aggregate that combines on the map side. Each
@@ -175,7 +181,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length = prefix_length(threshold, trees, depth, recall)
     ids = df.select(F.col(id_col).cast("long").alias("id"))
     signed = written(signatures(df, id_col, text_col, width, trees, length), "signatures")
-    classes = written(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.min_by("labels", "id").alias("labels")), "classes")
+    classes = written(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.min_by("labels", "id").alias("labels"), F.min_by("raw", "id").alias("raw")), "classes")
 
     spots = classes.select("rep", "size", F.posexplode("labels").alias("tree", "label"))
     met = spots.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
@@ -192,10 +198,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fresh = tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lean(lambda batches: _new_members(batches, trees)), fields)
     fresh = written(fresh, "meetings")
 
-    wanted = written(fresh.select("rep").distinct(), "wanted")
+    wanted = written(fresh.select("rep").distinct().join(classes.select("rep", "raw"), "rep"), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep", "left_semi")
+    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"), text_key(text_col).alias("raw")).join(wanted, ["rep", "raw"], "left_semi")
     full = fresh.join(texts, "rep").select(*names, "text").repartition(n, "task").sortWithinPartitions("task")
     links = written(full.mapInArrow(lean(lambda batches: _verified(batches, width, threshold, trees)), "rep long, links long, root long, texts long"), "links")
     components = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))

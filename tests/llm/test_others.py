@@ -209,6 +209,14 @@ def test_pipeline_stages(spark):
     assert empty.count() == 0
 
 
+def test_pipeline_judges_each_row_by_its_own_text(spark):
+    text = lambda seed: " ".join(f"w{random.Random(seed).random()}"[:9] + str(k) for k in range(30))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(3)), (None, text(1)), (None, text(4)), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    made = corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, made), key=str) == sorted([(1, text(1)), (2, text(2)), (3, text(3)), (None, text(4)), (5, None), (5, "")], key=str)
+
+
 def test_nothing_else_imports_this_package():
     root = Path(corpus_pipeline.__file__).parent
     for path in (root / "spanloom").rglob("*.py"):

@@ -1,5 +1,6 @@
 """Text operators against brute force, and their edge cases."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -77,6 +78,15 @@ def test_jaccard_join_edges(spark):
     assert jaccard.jaccard_join(messy(spark).where("false")).count() == 0
 
 
+def test_jaccard_join_checks_the_text_it_signed(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    stands = min(one, two, key=lambda t: hashlib.md5(t.encode()).digest())
+    for pair in ([one, two], [two, one]):
+        rows = [(1, pair[0]), (1, None), (1, pair[1]), (2, one + " more"), (3, two + " more")]
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+        assert got == {1: (1, 1), 2: (1, 1) if stands == one else (2, 0), 3: (3, 0) if stands == one else (1, 1)}
+
+
 def test_forest_depth():
     assert jaccard.prefix_length(0.8, 16, 8, 0.9995) == 4
     assert jaccard.prefix_length(0.99, 16, 8, 0.9) == 8 and jaccard.prefix_length(0.1, 2, 8, 0.999) == 1
