@@ -97,7 +97,9 @@ def call_all(blocks: DataFrame, provider: Provider, profile: Profile, settings:
 
     Batches depend on each other only through overflow: documents with an overflowed
     batch are planned again from there with a smaller first batch, until the target
-    has shrunk as often as allowed; then that batch is given up.
+    has shrunk as often as allowed; then that batch is given up. ``max_iterations``
+    bounds these rounds alone: all batches of the last round stay in the calls, those
+    behind an overflowed one too, and a document may have any number of batches.
     """
     prompt = system_prompt(profile)
     rest = blocks.withColumns({"_first": F.lit(settings.target_input_tokens).cast("long"), "_shrinks": F.lit(0)})
@@ -108,8 +110,9 @@ def call_all(blocks: DataFrame, provider: Provider, profile: Profile, settings:
         over = (F.col("stop_reason") == "max_tokens") & ~F.col("failed")
         hit = made.where(over).groupBy("doc_id").agg(F.min_by(F.struct("first_block", "last_block", "batch_no"), "first_block").alias("o"))
         joined = made.join(hit, "doc_id", "left")
-        done.append(joined.where("o IS NULL OR first_block <= o.first_block").withColumn("overflowed", over).drop("o"))
-        if hit.isEmpty():
+        last = F.lit(turn + 1 == settings.max_iterations)
+        done.append(joined.where(last | F.expr("o IS NULL OR first_block <= o.first_block")).withColumn("overflowed", over).drop("o"))
+        if turn + 1 == settings.max_iterations or hit.isEmpty():
             break
         told = rest.groupBy("doc_id").agg(F.max("_first").alias("was"), F.max("_shrinks").alias("times")).join(hit, "doc_id")
         first = F.col("o.batch_no") == 0  # else the budget had been reset by the batches before
@@ -122,8 +125,7 @@ def call_all(blocks: DataFrame, provider: Provider, profile: Profile, settings:
     for more in done[1:]:
         calls = calls.unionByName(more)
     order = Window.partitionBy("doc_id").orderBy("turn", "first_block")
-    numbered = calls.withColumn("chunk_id", F.row_number().over(order).cast("long"))
-    return numbered.where(F.col("chunk_id") <= settings.max_iterations)
+    return calls.withColumn("chunk_id", F.row_number().over(order).cast("long"))
 
 
 def _split(fields: str) -> list[str]:

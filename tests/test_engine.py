@@ -254,3 +254,11 @@ def test_stream_stitches_like_the_batch(spark, tmp_path):
     batch = assemble(doc(spark, TEXTS), spark.createDataFrame(calls, fields))
     assert streamed == [tuple(r) for r in batch.units.select(*columns).orderBy("k").collect()]
     assert [r[2:4] for r in streamed] == [(0, len(TEXTS[0])), (text.index("block one"), text.index("block three") - 1), (text.index("block three"), text.index("block four") - 1)]
+
+
+def test_no_batch_of_a_document_is_dropped(spark):
+    rows = doc(spark, [f"block {i} of a long text" for i in range(9)])
+    e = extract(rows, Profile("p"), RuleBased(), Settings(target_input_tokens=8, max_iterations=3))
+    calls = e.calls.orderBy("chunk_id").collect()
+    assert [c.chunk_id for c in calls] == list(range(1, len(calls) + 1)) and len(calls) > 3
+    assert calls[-1].last_block == 8 and e.units.count() == 9
