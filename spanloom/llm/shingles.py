@@ -19,11 +19,11 @@ SLICE_BYTES = 1 << 20
 
 
 def normalized(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """Lower-case words joined by single spaces; a word is a run of letters and digits. Null gives ''."""
+    """Lower-case words joined by single spaces; a word is a run of letters, their marks and digits. Null gives ''."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    words = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=r"[^\p{L}\p{N}]+", replacement=" ")
+    words = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=r"[^\p{L}\p{M}\p{N}]+", replacement=" ")
     return pc.ascii_trim(words, characters=" ")
 
 

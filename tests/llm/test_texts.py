@@ -2,13 +2,13 @@
 
 import hashlib
 import random
-import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex as re
 from pyspark.sql import functions as F
 
 from spanloom.llm import jaccard, langid, licenses, mixing, packing, sharding, shingles, token_counts
@@ -42,7 +42,7 @@ def documents(spark, seed, n=160):
 
 
 def words(text):
-    return re.findall(r"[^\W_]+", (text or "").lower())
+    return re.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
 
 
 def shingled(text, width=5):
@@ -87,11 +87,73 @@ def test_jaccard_join_checks_the_text_it_signed(spark):
         assert got == {1: (1, 1), 2: (1, 1) if stands == one else (2, 0), 3: (3, 0) if stands == one else (1, 1)}
 
 
+def similarities(df):
+    sets = [(r.doc_id, shingled(r.text)) for r in df.collect()]
+    return {(a, b): len(x & y) / len(x | y) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :]}
+
+
+@pytest.mark.parametrize("edits, block", [(1, 40), (5, 40)])
+def test_large_families_are_linked_exactly(spark, edits, block, monkeypatch):
+    """Hundreds of different near copies: tight ones, whose links distances decide, and loose ones, compared as differences."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(edits)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(150)] = f"x{rng.randrange(4000)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, f"{rows[i % 7][1]} {'tail ' * (i % 3)}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    links = Counter()
+    for (a, b), s in similarities(df).items():
+        if s >= 0.8:
+            links[a] += 1
+            links[b] += 1
+    got = jaccard.jaccard_join(df).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: links[i] for i, _ in rows}
+    assert sum(links.values()) > 4000
+
+
+def test_texts_of_a_large_family_travel_once(spark, monkeypatch):
+    """20,000 near copies of one text: no pair of blocks is dealt, so the rows that are shuffled grow linearly."""
+    seen = {}
+    keep = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: seen.setdefault(name, []).append(keep(df, name)) or seen[name][-1])
+    base = F.array(*[F.lit(f"b{i}") for i in range(120)])
+    text = F.array_join(F.transform(base, lambda w, i: F.when(i == F.col("id") % 120, F.concat(F.lit("x"), F.col("id"))).otherwise(w)), " ")
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = jaccard.jaccard_join(df).agg(F.min("n_links"), F.max("n_links"), F.max("class_id"), F.count_if("kept")).first()
+    assert tuple(got) == (19999, 19999, 0, 1)
+    assert seen["meetings"][0].count() == 0 and sum(x.count() for x in seen["measured"]) == 20000
+
+
+def test_crowded_prefixes_keep_whole_paths(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    assert jaccard.spare_trees(0.8, 20, 6, 4, 0.9998) == 9 and jaccard.spare_trees(0.8, 20, 6, 4, 0.99998) == 0
+    df = documents(spark, 7)
+    signed = jaccard.signatures(df, "doc_id", "text", 5, 20, 6)
+    classes = signed.selectExpr("id AS rep", "size", "high", "low").cache()
+    plain = {r.rep: r.labels for r in jaccard._forest(classes, 4, 0)[1].collect()}
+    for spare in (3, 20):
+        members, labels = jaccard._forest(classes, 4, spare)
+        changed = {r.rep: sum(a != b for a, b in zip(r.labels, plain[r.rep], strict=True)) for r in labels.collect()}
+        assert 0 < max(changed.values()) <= spare
+        assert all(r.n > 1 for r in members.select("n").collect())
+    classes.unpersist()
+
+
 def test_forest_depth():
-    assert jaccard.prefix_length(0.8, 16, 8, 0.9995) == 4
+    assert jaccard.prefix_length(0.8, 16, 8, 0.9995) == 4 and jaccard.prefix_length() == 4
     assert jaccard.prefix_length(0.99, 16, 8, 0.9) == 8 and jaccard.prefix_length(0.1, 2, 8, 0.999) == 1
 
 
+def test_marks_belong_to_words(spark):
+    hindi = "हिन्दी भाषा"
+    assert shingles.normalized(pa.array([hindi + "! ab"])).to_pylist() == [hindi + " ab"] and words(hindi) == hindi.split()
+
+
 def test_minhash_estimates_similarity():
     a, b = [str(i) for i in range(400)], [str(i) for i in range(40, 440)]
     h, at = shingles.words_of(shingles.normalized(pa.array([" ".join(a), " ".join(b)]))).shingles(1)
