@@ -35,8 +35,9 @@ def write_warc(df: DataFrame, path: str, id_col: str, uri_col: str, payload_col:
     revisited. Rows that repeat an id and payload are written alike. An empty table
     gives archives without records. Other columns of ``df`` don't matter.
 
-    Payloads are never shuffled: first records are found on digests, and only
-    revisits are joined back, by broadcast while there are few (they are counted).
+    First records are found on digests, and only revisits are joined back: by broadcast
+    while there are few (they are counted), so that no payload is shuffled; beyond
+    that payloads are shuffled once, by id and digest.
     """
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("key"), F.col(uri_col).cast("string").alias("uri"), body.alias("body"))
@@ -80,7 +81,7 @@ def _parsed(value: Column) -> dict[str, Column]:
     block = F.substring(value.cast("binary"), (start + 1).cast("int"), length.cast("int"))
     http = F.substring_index(block.cast("string"), GAP, 1)
     is_http = F.col("content_type").startswith("application/http")
-    payload = F.when(is_http, F.substring(block, F.octet_length(http) + len(GAP) + 1, F.lit(1 << 30))).otherwise(block)
+    payload = F.when(is_http, F.substring(block, F.octet_length(http) + len(GAP) + 1, F.octet_length(block))).otherwise(block)
     whole = F.octet_length(value) >= start + length
     return {
         "record_type": F.when(has_head, field("WARC-Type")), "record_id": field("WARC-Record-ID"), "target_uri": field("WARC-Target-URI"),
