@@ -16,6 +16,8 @@ from spanloom.llm.tokens import byte_tokenizer
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+#: Batches after which a commit adds them up into a new base.
+COMPACT = 64
 
 
 class TokenRollup:
@@ -24,7 +26,12 @@ class TokenRollup:
     A batch is reduced to its own signed totals, written aside, and moved into
     place under its id in one step, which is its commit: a batch committed again,
     by a retry or by another driver, changes nothing, and one that fails on the way
-    leaves nothing behind that counts. ``totals`` adds the batches up.
+    leaves nothing behind that counts. The step is a rename, which must be atomic and
+    refuse an existing name, as on HDFS and local disks; object stores need a committer in between.
+
+    ``compact`` adds committed batches up into a base, in the same way; ``totals`` is the
+    newest base and the batches since, so its work doesn't grow with the history. After
+    every ``COMPACT`` batches a commit compacts.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -32,7 +39,8 @@ class TokenRollup:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/commits"))
+        for folder in ("commits", "bases"):
+            self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch of signed changes once; False if that id is committed already.
@@ -45,8 +53,8 @@ class TokenRollup:
         before anything is committed. An empty batch is committed and changes nothing.
         Other columns don't matter. Totals are combined on the map side.
         """
-        target = self._path(f"{self.root}/commits/{quote(batch_id, safe='')}")
-        if self._fs.exists(target):
+        name = quote(batch_id, safe="")
+        if self._fs.exists(self._path(f"{self.root}/commits/{name}")):
             return False
         have = set(changes.columns)
         old = [F.col(f"old_{c}") if f"old_{c}" in have else F.lit(None).cast("long" if c == "tokens" else "string") for c in (*KEYS, "tokens")]
@@ -57,29 +65,72 @@ class TokenRollup:
         parts = F.when(F.col("_op") == "insert", F.array(part(1, new))).when(F.col("_op") == "delete", F.array(part(-1, new))).otherwise(F.array(part(-1, old), part(1, new)))
         signed = changes.withColumn("_op", op).select(F.inline(parts))
         delta = signed.groupBy(*KEYS).agg(F.sum("d").alias("n_docs"), F.sum("t").alias("n_tokens"))
-        aside = f"{self.root}/.aside-{uuid.uuid4().hex}"
+        aside = self._aside()
         delta.write.parquet(aside)
-        if self._fs.exists(target) or not self._fs.rename(self._path(aside), target):
+        done = self._move(aside, f"{self.root}/commits/{name}")
+        if done and len(self._state()[1]) >= COMPACT:
+            self.compact()
+        return done
+
+    def _aside(self) -> str:
+        return f"{self.root}/.aside-{uuid.uuid4().hex}"
+
+    def _move(self, aside: str, target: str) -> bool:
+        """Move a folder into place in one step; False, and nothing left of it, if there is one already."""
+        if self._fs.exists(self._path(target)) or not self._fs.rename(self._path(aside), self._path(target)):
             self._fs.delete(self._path(aside), True)
             return False
-        nested = self._path(f"{self.root}/commits/{quote(batch_id, safe='')}/{aside.rsplit('/', 1)[1]}")
+        nested = self._path(f"{target}/{aside.rsplit('/', 1)[1]}")
         if self._fs.exists(nested):  # another driver came between, and the move went below its folder
             self._fs.delete(nested, True)
             return False
         return True
 
+    def _listed(self, folder: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/{folder}")))
+
     def batches(self) -> list[str]:
         """Folder names of the committed batches."""
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/commits")))
+        return self._listed("commits")
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs and n_tokens; groups that came back to nothing are left out."""
-        paths = [f"{self.root}/commits/{x}" for x in self.batches()]
+    def _state(self) -> tuple[str | None, list[str]]:
+        """The newest base's folder, and the batches that it doesn't hold."""
+        bases = self._listed("bases")
+        if not bases:
+            return None, self.batches()
+        base = f"{self.root}/bases/{bases[-1]}"
+        held = {r[0] for r in self.spark.read.schema("batch string").parquet(f"{base}/batches").collect()}  # names alone
+        return base, [x for x in self.batches() if x not in held]
+
+    def compact(self) -> bool:
+        """Put the committed batches into a new base; False if another driver did so first or there is nothing to do.
+
+        The folders of batches stay, as marks that they are committed.
+        """
+        base, since = self._state()
+        if not since:
+            return False
+        number = 1 + (int(base.rsplit("/", 1)[1]) if base else 0)
+        aside = self._aside()
+        self._summed(base, since).write.parquet(f"{aside}/totals")
+        named = self.spark.createDataFrame([(x,) for x in since], "batch string")
+        if base:
+            named = self.spark.read.schema("batch string").parquet(f"{base}/batches").unionByName(named)
+        named.coalesce(1).write.parquet(f"{aside}/batches")
+        return self._move(aside, f"{self.root}/bases/{number:012d}")
+
+    def _summed(self, base: str | None, since: list[str]) -> DataFrame:
+        paths = [f"{base}/totals"] * (base is not None) + [f"{self.root}/commits/{x}" for x in since]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
-        summed = self.spark.read.schema(SCHEMA).parquet(*paths).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        summed = self.spark.read.schema(SCHEMA).parquet(*paths).groupBy(*KEYS)
+        summed = summed.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return summed.where("n_docs <> 0 OR n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs and n_tokens; groups that came back to nothing are left out."""
+        return self._summed(*self._state())
+
 
 def byte_bpe_counts(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """Columns ``keep``, and tokens: how many byte-level BPE tokens each whole text has; a null text has none."""
@@ -95,14 +146,34 @@ def byte_bpe_counts(df: DataFrame, path: str, pattern: str, text_col: str = "tex
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    """Totals of all documents in two tokenizer versions, each inserted by a batch that is committed twice."""
+    """Totals of all documents in two tokenizer versions, after loads, a revision and deletes.
+
+    All documents are loaded with their counts of words and of byte-level BPE tokens. Then
+    every count of words is revised to one of runs of letters and digits, as a new
+    version of that tokenizer, and documents that ``labels`` calls toxic are deleted.
+    Every batch is committed twice, as a retry would, and the batches become a base.
+    """
     import public_tokenizers as public
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.col("text")
+    parts = F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}]+")), F.lit(0)).cast("long")
+    path, versions = public.path("byte_bpe_50k.tiktoken"), ("words-1", "words-2", "byte_bpe_50k-1")
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
+    gone = docs.join(toxic, "doc_id", "left_semi")
+    plain = docs.select("source", "lang", words(text).alias("tokens"), parts.alias("new"))
     rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
-    counted = {"words-1": docs.select("source", "lang", words(F.col("text")).alias("tokens")), "byte_bpe_50k-1": byte_bpe_counts(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)}
-    for version, counts in counted.items():
-        changes = counts.withColumns({"op": F.lit("insert"), "tokenizer": F.lit(version)})
-        rollup.commit(f"load-{version}", changes)
-        rollup.commit(f"load-{version}", changes)  # as a retry would
+    made = lambda df, op, version: df.withColumns({"op": F.lit(op), "tokenizer": F.lit(version)})
+    old = {f"old_{c}": F.col(c) for c in ("source", "lang", "tokens")} | {"old_tokenizer": F.lit(versions[0]), "tokens": F.col("new")}
+    batches = {
+        "load-words": made(plain, "insert", versions[0]),
+        "load-bpe": made(byte_bpe_counts(docs, path, public.PATTERN), "insert", versions[2]),
+        "revise-words": made(plain.withColumns(old), "revise", versions[1]),
+        "delete-words": made(gone.select("source", "lang", parts.alias("tokens")), "delete", versions[1]),
+        "delete-bpe": made(byte_bpe_counts(gone, path, public.PATTERN), "delete", versions[2]),
+    }
+    for name, changes in batches.items():
+        rollup.commit(name, changes)
+        rollup.commit(name, changes)
+    rollup.compact()
     return rollup.totals()
