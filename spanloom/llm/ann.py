@@ -14,8 +14,10 @@ from spanloom.llm.common import complete_groups, partitions, written
 from spanloom.llm.vectors import blocks_of, comparable, element_type, rows_of, sequential_dot
 
 K = 20
-#: Vectors of a block, queries of a group, candidates of a group, and the most candidate groups.
-BLOCK, QUERY_GROUP, CANDIDATE_GROUP, MAX_GROUPS = 1024, 2048, 8192, 64
+#: Vectors of a block, queries of a group, candidates of a group, and groups of candidates that a larger table has at first.
+BLOCK, QUERY_GROUP, CANDIDATE_GROUP, GROUPS = 1024, 16384, 8192, 64
+#: Components whose int8 products float32 sums exactly (127 * 127 * 1024 < 2**24), queries compared at once, and pairs recomputed at once.
+EXACT, ROWS, PAIRS = 1024, 2048, 1 << 16
 
 
 class Quantised:
@@ -25,17 +27,21 @@ class Quantised:
         exact = vecs.astype(np.float64)
         self.scale = np.maximum(np.abs(exact).max(axis=1), 1e-300) / 127
         codes = np.rint(exact / self.scale[:, None])
-        self.codes = codes.astype(np.int8).astype(np.float32)  # products of int8 rows are exact in float32
+        self.codes = codes.astype(np.int8)
         back = codes * self.scale[:, None]
         self.norm = np.linalg.norm(exact, axis=1)
         self.back = np.linalg.norm(back, axis=1)
         self.error = np.linalg.norm(exact - back, axis=1)
 
-    def tile(self, other: Quantised) -> tuple[np.ndarray, np.ndarray]:
-        """Approximate inner products with another block's rows, and a bound of their error."""
-        near = (self.codes @ other.codes.T) * self.scale[:, None] * other.scale[None, :]
-        off = self.norm[:, None] * other.error[None, :] + self.error[:, None] * other.back[None, :]
-        return near, off + 1e-9 * self.norm[:, None] * other.norm[None, :]
+    def tile(self, rows: slice, other: Quantised) -> tuple[np.ndarray, np.ndarray]:
+        """Approximate inner products of some rows with another block's, and a bound of their error."""
+        mine, whole = self.codes[rows], np.zeros((0, 0))
+        for d in range(0, mine.shape[1], EXACT):  # integers below 2**24 are exact in float32, their sums in float64
+            part = mine[:, d : d + EXACT].astype(np.float32) @ other.codes[:, d : d + EXACT].T.astype(np.float32)
+            whole = whole + part if d else part.astype(np.float64)
+        near = whole * self.scale[rows, None] * other.scale[None, :]
+        off = self.norm[rows, None] * other.error[None, :] + self.error[rows, None] * other.back[None, :]
+        return near, off + 1e-9 * self.norm[rows, None] * other.norm[None, :]
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -72,14 +78,23 @@ def _searched(batches: Iterator[pa.RecordBatch], kind: str, k: int) -> Iterator[
             continue
         state = state or opened()
         ids, vecs = block
-        near, off = state["low"].tile(Quantised(vecs))
-        own = state["ids"][:, None] == ids[None, :]
-        low = np.where(own, -np.inf, near - off)
-        if len(ids) > k:
-            state["floor"] = np.maximum(state["floor"], np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
-        at, c = np.nonzero((near + off >= state["floor"][:, None]) & ~own)
-        score = sequential_dot(state["vecs"][at], vecs[c])
-        at, near, score = np.r_[state["at"], at], np.r_[state["near"], ids[c]], np.r_[state["score"], score]
+        their, pairs = Quantised(vecs), []
+        for first in range(0, len(state["ids"]), ROWS):
+            rows = slice(first, min(first + ROWS, len(state["ids"])))
+            near, off = state["low"].tile(rows, their)
+            own = state["ids"][rows, None] == ids[None, :]
+            low = np.where(own, -np.inf, near - off)
+            if len(ids) > k:
+                state["floor"][rows] = np.maximum(state["floor"][rows], np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
+            at, c = np.nonzero((near + off >= state["floor"][rows, None]) & ~own)
+            for a in range(0, len(at), PAIRS):
+                some, few = at[a : a + PAIRS] + first, c[a : a + PAIRS]
+                score = sequential_dot(state["vecs"][some], vecs[few])
+                best = _best(some, ids[few], score, k)
+                pairs.append((some[best], ids[few][best], score[best]))
+        if not pairs:
+            continue
+        at, near, score = (np.concatenate([state[name], *x]) for name, x in zip(("at", "near", "score"), zip(*pairs, strict=True), strict=True))
         keep = _best(at, near, score, k)
         state["at"], state["near"], state["score"] = at[keep], near[keep], score[keep]
         full = np.bincount(state["at"], minlength=len(state["ids"])) >= k
@@ -116,15 +131,16 @@ def nearest(df: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id",
     Blocks of queries meet blocks of candidates in a grid of cells, one for each length. In a cell, int8
     products with error bounds give each pair's range; pairs whose upper end reaches
     the query's k-th lower end are recomputed exactly. A cell emits k rows a query,
-    and there are at most 64 cells a query however large the table, so the merge
+    and a query's cells grow with the square root of the table beyond 64, so the merge
     stays small; no task holds more than its queries and one block of candidates.
     """
     spark = df.sparkSession
     rows = written(comparable(df, id_col, vector_col), "vectors")
     groups = lambda n, of: F.greatest(F.lit(1), F.ceil(n / of)).cast("long")
-    sizes = rows.groupBy(F.size("vec").alias("dims")).agg(
-        F.least(F.lit(MAX_GROUPS), groups(F.count(F.lit(1)), CANDIDATE_GROUP)).cast("long").alias("across"), groups(F.count_if(F.col("id") % every == 0), QUERY_GROUP).alias("down")
-    )
+    whole = groups(F.count(F.lit(1)), CANDIDATE_GROUP)
+    across = F.least(whole, F.greatest(F.lit(GROUPS), F.ceil(F.sqrt(whole)))).cast("long")
+    asked = groups(F.count_if(F.col("id") % every == 0), QUERY_GROUP)
+    sizes = rows.groupBy(F.size("vec").alias("dims")).agg(across.alias("across"), asked.alias("down"))
     sizes = F.broadcast(written(sizes, "lengths"))  # a row for each length
     n_cells = sizes.agg(F.coalesce(F.sum(F.col("across") * F.col("down")), F.lit(1))).first()[0]
     kind = element_type(rows)
