@@ -13,8 +13,10 @@ from spanloom.llm.common import complete_groups, connected_components, lean, par
 from spanloom.llm.vectors import by_length, comparable, element_type, matrix, rows_of, sequential_dot
 
 THRESHOLD = 0.95
-#: Vectors that k-means learns from at most, vectors a cell aimed at, most cells, rounds, vectors a block, and rows compared at once.
-SAMPLE, PER_CELL, MAX_CELLS, ROUNDS, BLOCK, ROWS = 8192, 4096, 256, 12, 6144, 512
+#: Vectors that k-means learns from for each cell and at least, the fewest vectors a cell has on average, rounds, vectors a block, and rows compared at once.
+PER_CENTRE, SAMPLE, PER_CELL, ROUNDS, BLOCK, ROWS = 64, 8192, 4096, 12, 6144, 512
+#: Beyond as many vectors, cells grow with the square root of their number.
+ROOT = 1 << 20
 
 
 def unit(vecs: np.ndarray) -> np.ndarray:
@@ -45,6 +47,11 @@ def spherical_kmeans(vecs: np.ndarray, cells: int, rounds: int = ROUNDS, seed: i
     return centres
 
 
+def cells_for(n: int) -> int:
+    """Cells of n vectors: one for every PER_CELL, later in proportion to the square root."""
+    return max(1, int(min(n, np.sqrt(n * ROOT)) // PER_CELL))
+
+
 def _assigned(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray], reach: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Each vector's home cell, and lower-numbered cells that may hold vectors within ``reach`` of it.
 
@@ -167,8 +174,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     gives no rows. Other columns don't matter.
 
     Equal vectors collapse first, by an aggregate that combines on the map side.
-    Spherical k-means learns the cells of each length from at most ``SAMPLE`` of its
-    vectors, those with the smallest hash of their id; all vectors are assigned. A vector also
+    Spherical k-means learns the cells of each length from ``SAMPLE`` of its vectors, or
+    ``PER_CENTRE`` a cell if that is more, those with the smallest hash of their id; all vectors are assigned. A vector also
     visits the cells whose plane it is close to, so no pair is lost at a border.
     A cell's vectors are split into blocks; each pair of blocks is a task, so a
     large cell spreads over the cluster. Tasks give sums and stars, never pairs.
@@ -180,8 +187,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     classes = written(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     centres = {}
     for dims, n in classes.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * PER_CELL).collect():
-        sample = classes.where(F.size("vec") == dims).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toPandas()["vec"]  # SAMPLE rows at most
-        centres[dims] = spherical_kmeans(unit(np.array(sample.tolist())), min(MAX_CELLS, n // PER_CELL))
+        learned = max(SAMPLE, PER_CENTRE * cells_for(n))  # 8,192 vectors, or 64 a cell
+        sample = classes.where(F.size("vec") == dims).orderBy(F.xxhash64("rep"), "rep").limit(learned).select("vec").toPandas()["vec"]
+        centres[dims] = spherical_kmeans(unit(np.array(sample.tolist())), cells_for(n))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
     placed = classes.select("rep", "copies", "vec").mapInArrow(lean(lambda b: _assigned(b, centres, reach, kind)), "cell long, side int, rep long, copies long, vec binary, dims int")
@@ -207,7 +215,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     components = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     summed = links.groupBy("rep").agg(F.sum("links").alias("links"))
     told = classes.join(summed, "rep", "left").join(components, F.col("rep") == F.col("node"), "left").select("vec", "rep", "copies", "links", "component")
-    by_id = rows.join(told, "vec").select("id", "rep", "copies", "links", "component")
+    # a hash of the vector is the key, so only equal hashes compare vectors
+    key = F.xxhash64("vec")
+    by_id = rows.withColumn("h", key).join(told.withColumn("h", key), ["h", "vec"]).select("id", "rep", "copies", "links", "component")
 
     everyone = df.select(F.col(id_col).cast("long").alias("id")).distinct()
     root = F.coalesce("component", "rep", "id")
