@@ -21,6 +21,10 @@ SAMPLE = 1500
 #: A prediction is ambiguous if its score leads the second language's by less.
 LEAD = 0.2
 SLICE_BYTES = 1 << 18
+#: A longer text is read in pieces of so many bytes; so many n-grams are weighed at once.
+PIECE, WEIGHED = 1 << 22, 1 << 20
+#: Languages learned at most: those with the most labelled rows.
+LANGUAGES = 200
 UNKNOWN = "und"
 
 
@@ -59,12 +63,31 @@ def _text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     return zip(cuts[:-1], cuts[1:], strict=True)
 
 
+def _spread(h: np.ndarray, order: int) -> np.ndarray:
+    return ((h + np.uint32(order)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+
+
+def _long_grams(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same n-grams of one padded text, a piece at a time."""
+    for at in range(0, len(data), PIECE):
+        for order in ORDERS:
+            part = data[at : at + PIECE + order - 1].astype(np.uint32)
+            h = np.zeros(max(len(part) - order + 1, 0), dtype=np.uint32)
+            for k in range(order):
+                h = (h * np.uint32(0x01000193)) ^ part[k : k + len(h)]
+            yield _spread(h, order), np.array([0, len(h)])
+
+
 def _grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashed n-grams of texts padded by spaces, and how many of them lie before each text's end, for each order."""
     edge, gap = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
     padded = pc.binary_join_element_wise(edge, texts, edge, gap)
     offsets = np.frombuffer(padded.buffers()[1], dtype=np.int64)[padded.offset : padded.offset + len(padded) + 1]
-    data = np.frombuffer(padded.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].astype(np.uint32)
+    data = np.frombuffer(padded.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    if len(texts) == 1 and len(data) > PIECE:
+        yield from _long_grams(data)
+        return
+    data = data.astype(np.uint32)
     bound = offsets - offsets[0]
     h = np.zeros(len(data), dtype=np.uint32)
     for order in range(1, max(ORDERS) + 1):
@@ -73,14 +96,14 @@ def _grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         else:
             h = h[:0]
         if order in ORDERS:
-            spread = (h + np.uint32(order)) * np.uint32(0x9E3779B1)
+            spread = _spread(h, order)
             # n-grams begin in their text; those that reach past its end are left out
             first, last = bound[:-1], np.maximum(bound[1:] - order + 1, bound[:-1])
             inside = np.zeros(len(data) + 1, dtype=np.int32)
             np.add.at(inside, first, 1)
             np.add.at(inside, last, -1)
             keep = np.cumsum(inside)[: len(spread)] > 0
-            yield spread[keep] >> np.uint32(32 - BITS), np.r_[0, np.cumsum(last - first)]
+            yield spread[keep], np.r_[0, np.cumsum(last - first)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,28 +117,44 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in _text_slices(own):
                 for grams, _ in _grams(own.slice(a, b - a)):
                     total += np.bincount(grams, minlength=1 << BITS)
-    if counts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([x.tobytes() for x in counts.values()], pa.binary())], ["lang", "counts"])
+    for lang, total in counts.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each of the sorted languages, its tasks' counts added."""
+    lang, total = None, None
+    for batch in batches:
+        for name, raw in zip(batch.column("lang").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            if name != lang:
+                if lang is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
+                lang, total = name, np.zeros(1 << BITS, dtype=np.int64)
+            total = total + np.frombuffer(raw, dtype=np.int64)
+    if lang is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """Learn from rows with a text and a language, at most about ``sample`` of each language.
 
     A hash of the id chooses the rows, so the same rows are chosen at every layout.
-    Only their n-gram counts, a fixed table a language and task (eight tasks),
-    reach the driver. Each bit's classifier is a naive-Bayes log ratio between
+    The ``languages`` with the most rows are learned, of equal ones the first by name.
+    Only their n-gram counts, a table of half a MB a language, reach the driver. Each bit's classifier is a naive-Bayes log ratio between
     the languages on either side of the split, all languages weighing alike.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     mark = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 10), 16, 10).cast("long")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).collect()}
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r[0]: r[1] for r in counted.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Model([], codewords(0), np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 40) * min(1.0, sample / n)))])
     chosen = rows.where(mark < F.element_at(limit, F.col("lang"))).repartition(8, "id").coalesce(8)  # at most eight tasks, however finely the shuffle deals
-    counts: dict[str, np.ndarray] = {}
-    for lang, raw in chosen.select("text", "lang").mapInArrow(lean(_counted), "lang string, counts binary").collect():
-        counts[lang] = counts.get(lang, 0) + np.frombuffer(raw, dtype=np.int64)
+    fields = "lang string, counts binary"
+    tasks = chosen.select("text", "lang").mapInArrow(lean(_counted), fields)
+    added = tasks.repartition(8, "lang").sortWithinPartitions("lang").mapInArrow(_added, fields)
+    counts = {lang: np.frombuffer(raw, dtype=np.int64) for lang, raw in added.collect()}  # a row a language
     languages = sorted(counts)
     chance = np.array([(counts[x] + 0.5) / (counts[x].sum() + 0.5 * (1 << BITS)) for x in languages])
     code = codewords(len(languages))
@@ -126,6 +165,15 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     return Model(languages, code, weights.T.astype(np.float32), apart / max(apart.sum(), 1e-12))
 
 
+def _add(sums: np.ndarray, weights: np.ndarray, grams: np.ndarray, bound: np.ndarray) -> None:
+    """Add the weights of each text's n-grams to its row, WEIGHED n-grams at a time."""
+    for low in range(0, len(grams), WEIGHED):
+        high = min(low + WEIGHED, len(grams))
+        first, last = np.clip(bound[:-1], low, high), np.clip(bound[1:], low, high)
+        some = np.flatnonzero(last > first)
+        sums[some] += np.add.reduceat(weights[grams[low:high]], first[some] - low, axis=0)
+
+
 def _decoded(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best language's index, its score and its lead, of normalised texts."""
     n, bits = len(texts), model.code.shape[1]
@@ -134,7 +182,7 @@ def _decoded(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
         for grams, bound in _grams(texts.slice(a, b - a)):
             full = np.flatnonzero(np.diff(bound))
             if len(full):
-                sums[a + full] += np.add.reduceat(model.weights[grams], bound[:-1][full], axis=0)
+                _add(sums[a:b], model.weights, grams, bound)
             seen[a:b] += np.diff(bound)
     margin = np.clip(sums / np.sqrt(np.maximum(seen, 1))[:, None], -40, 40)
     loss = (np.log1p(np.exp(-margin[:, None, :] * model.code[None, :, :])) * model.trust).sum(axis=2)
