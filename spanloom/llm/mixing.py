@@ -24,11 +24,14 @@ def exponent(totals: DataFrame, budget: int, max_repeat: float | None = None, en
     ``totals`` has one row a source with ``tokens`` > 0. With ``max_repeat``: the
     smallest exponent at which no source is repeated more often than that, or 1 if
     none is enough. With ``entropy``, a share of the largest possible: the largest
-    exponent that keeps it, or 0 if none does. Each pass over the totals evaluates all midpoints
+    exponent that keeps it, or 0 if none does. With both, the larger of the two: the limit
+    comes first. Each pass over the totals evaluates all midpoints
     that five bisection steps could visit, as plain aggregates.
     """
-    if (max_repeat is None) == (entropy is None):
-        raise ValueError("give either max_repeat or entropy")
+    if max_repeat is None and entropy is None:
+        raise ValueError("give max_repeat or entropy")
+    if max_repeat is not None and entropy is not None:
+        return max(exponent(totals, budget, max_repeat), exponent(totals, budget, entropy=entropy))
     whole = totals.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     if not whole[0]:
         return 1.0
@@ -68,7 +71,8 @@ def mix(df: DataFrame, budget: int | None = None, max_repeat: float | None = Non
     mix_start (tokens before it in its source's stream), weight and exponent.
 
     A null source is a source of its own; a null text has no tokens. Documents
-    without tokens cost nothing; a source of only such is taken once. Rows that
+    without tokens cost nothing; a source of only such is taken once. An ``entropy`` alone may repeat
+    a small source any number of times, a row each time; ``max_repeat`` with it bounds that. Rows that
     repeat an id are separate documents. An empty table gives no rows. Kept
     columns pass through under their own names; inner names start with ``_``, which
     kept names must not. A kept column named like a new one gives way to it.
