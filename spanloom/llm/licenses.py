@@ -150,10 +150,13 @@ def _retrieved(hashes: np.ndarray, bound: np.ndarray, lib: Library) -> Iterator[
             for k in range(1, s.steps):
                 inside = left[:-k] > k
                 np.minimum(window[:-k], block[k:], out=window[:-k], where=inside)
-            for t, wanted in enumerate(s.minima[:, j]):
-                rows = np.flatnonzero(window == wanted)
-                if len(rows):
-                    found.append(rows * len(s.names) + t)
+            order = np.argsort(s.minima[:, j], kind="stable")
+            known = s.minima[order, j]
+            rows = np.flatnonzero(known[np.minimum(np.searchsorted(known, window), len(known) - 1)] == window)
+            first, last = (np.searchsorted(known, window[rows], side=side) for side in ("left", "right"))
+            for k in range(int((last - first).max(initial=0))):  # templates that share a minimum
+                more = first + k < last
+                found.append(rows[more] * len(s.names) + order[first[more] + k])
     for s, (start, end, _), found in zip(lib.scales, grids, hits, strict=True):
         if found:
             pairs = np.unique(np.concatenate(found))
