@@ -18,8 +18,10 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, a temporary one, in local mode alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return root or f"{tempfile.gettempdir()}/checkpoints"
 
 
@@ -32,6 +34,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_mark() -> int:
+    """How many scratch folders there are, for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the scratch folders made after the first ``since`` ones, but for the last, which holds what they led to."""
+    for made in _made[since:-1]:
+        _made.remove(made)
+        remove(spark, made[1])
+
+
 def _remove_all() -> None:
     for spark, path in _made:
         try:

@@ -47,6 +47,43 @@ def test_nearest_equals_brute_force(spark, group, block, monkeypatch):
         assert found == [(k + 1, i, score[i]) for k, i in enumerate(order)]
 
 
+@pytest.mark.parametrize("dims", [1536, 4096])
+def test_long_vectors_stay_within_their_bounds(spark, dims, monkeypatch):
+    """int8 products of long vectors are summed exactly, and ties survive in slices."""
+    monkeypatch.setattr(ann, "PAIRS", 100)
+    monkeypatch.setattr(ann, "ROWS", 7)
+    rng = np.random.default_rng(dims)
+    whole = rng.integers(-127, 128, (60, dims)).astype(np.float64)
+    whole[:, 0] = 127
+    a = ann.Quantised(whole)
+    near, off = a.tile(slice(0, 60), a)
+    assert (np.abs(near - whole @ whole.T) <= off).all()
+    whole[20:] = whole[20:21]  # most pairs tie
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(whole)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    score = whole @ whole.T
+    assert got == {q: [(int(i), score[q, i]) for i in np.lexsort((np.arange(60), -score[q])) if i != q][:5] for q in (0, 20, 40)}
+
+
+def test_cells_grow_with_the_root():
+    assert embed_dedup.cells_for(51282) == 12 and embed_dedup.cells_for(1 << 20) == 256 and embed_dedup.cells_for(1 << 30) == 8192
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    class Away:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError):
+        common.scratch_root(Away)
+
+
 def test_nearest_edges(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], "c"), (1, [1.0, 0.0], "c"), (2, [0.0, 1.0], "c")], "vec_id long, embedding array<double>, cell string")
     assert [(r.rank, r.vec_id, r.score) for r in ann.nearest(few).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, 0.0)]

@@ -293,6 +293,25 @@ def test_mixing_to_an_entropy(spark):
     assert abs(-(w * np.log(w)).sum() / np.log(3) - 0.9) < 1e-4
     assert mixing.exponent(totals, 10000, entropy=0.0) == 1.0 or mixing.exponent(totals, 10000, entropy=0.0) > 0.99
     assert mixing.exponent(totals, 10**9, max_repeat=1.0) == 1.0
+    assert mixing.exponent(totals, 10000, max_repeat=2.0, entropy=0.9) == max(a, mixing.exponent(totals, 10000, max_repeat=2.0))
+    with pytest.raises(ValueError):
+        mixing.exponent(totals, 10000)
+
+
+def test_mixing_to_an_entropy_row_by_row(spark):
+    rows = [(i, "w " * 20, "a") for i in range(200)] + [(1000 + i, "w " * 10, "b") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    free, held = (mixing.mix(df, entropy=0.95, max_repeat=limit).collect() for limit in (None, 3.0))
+    for got, most in ((free, 10**9), (held, 3)):
+        times = Counter(r.doc_id for r in got)
+        weight = {r.mix_source: r.weight for r in got}
+        share = np.array(list(weight.values()))
+        for s, size in (("a", 4000), ("b", 200)):
+            used = sum(r.tokens for r in got if r.mix_source == s)
+            assert weight[s] * 4200 - 20 <= used <= weight[s] * 4200 + 1 and used <= most * size
+        assert max(times[1000 + i] for i in range(20)) <= most
+        if most > 3:
+            assert abs(-(share * np.log(share)).sum() / np.log(2) - 0.95) < 1e-3 and max(times.values()) > 3
 
 
 def test_mixing_edges(spark):
@@ -321,16 +340,21 @@ def test_license_scan_equals_brute_force(spark):
         got[r.doc_id].add(r.template)
         assert r.matched == " ".join(words(rows[r.doc_id][1])[r.start_word : r.end_word]) and 0.8 <= r.containment <= 1
     wanted = defaultdict(set)
-    for scale in licenses.library(licenses.TEMPLATES).scales:
-        for name in scale.names:
-            t = shingled(licenses.TEMPLATES[name])
-            assert scale.stride * (scale.steps - 1) >= len(t)  # wherever it starts, some window holds it whole
-            for i, doc in rows:
-                w = words(doc)
-                own = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
-                if any(len(t & set(own[k : k + scale.stride * scale.steps])) >= 0.8 * len(t) for k in range(0, len(own), scale.stride)):
-                    wanted[i].add(name)
-    assert dict(got) == dict(wanted) and sum(map(len, wanted.values())) > 60
+    spread = defaultdict(set)
+    for name, template in licenses.TEMPLATES.items():
+        t = shingled(template)
+        for i, doc in rows:
+            w = words(doc)
+            own = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+            if any(len(t & set(own[k : k + len(t)])) >= 0.8 * len(t) for k in range(len(own))):  # every start, a template's length
+                wanted[i].add(name)
+            if len(t & set(own)) >= 0.8 * len(t):  # anywhere in the text
+                spread[i].add(name)
+    assert all(wanted[i] <= got[i] <= spread[i] for i, _ in rows) and sum(map(len, wanted.values())) > 60
+    # the same windows, by hand: templates that share a minimum are all retrieved
+    twice = {"a": licenses.TEMPLATES["unlicense"], "b": licenses.TEMPLATES["unlicense"] + " Yes."}
+    both = licenses.license_scan(spark.createDataFrame([(1, twice["b"])], "doc_id long, text string"), twice).collect()
+    assert sorted(r.template for r in both) == ["a", "b"]
 
 
 def test_license_scan_edges(spark):
@@ -384,6 +408,31 @@ def test_held_out_accuracy(spark):
     assert len(own) > 200 and sum(r.lang == r.lang_pred for r in own) >= 0.98 * len(own)
 
 
+def test_long_texts_and_many_languages(spark, monkeypatch):
+    rng = random.Random(3)
+    sounds = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)] for k in range(12)}
+    said = lambda lang, n: " ".join(rng.choice(sounds[lang]) for _ in range(n))
+    rows = [(i * 12 + k, said(lang, 40), lang) for k, lang in enumerate(sounds) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df, "doc_id", "text", "lang")
+    texts = pa.array([said("l03", 9000), said("l07", 5), said("l11", 700)], pa.large_string())
+    whole = langid._decoded(texts, model)
+    assert [model.languages[k] for k in whole[0]] == ["l03", "l07", "l11"]
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    monkeypatch.setattr(langid, "WEIGHED", 777)
+    monkeypatch.setattr(langid, "SLICE_BYTES", 5000)
+    cut = langid._decoded(texts, model)
+    assert (cut[0] == whole[0]).all() and np.allclose(cut[1], whole[1], atol=1e-4)
+    few = langid.fit(df.unionByName(df.where("lang > 'l09'")), "doc_id", "text", "lang", languages=2)
+    assert few.languages == ["l10", "l11"]
+    # decoding by hand: the language whose codeword loses least
+    sums = {n: sum(model.weights[g].sum(axis=0, dtype=np.float64) for g, _ in langid._grams(texts.slice(n, 1))) for n in range(3)}
+    for n, total in sums.items():
+        margin = np.clip(total / np.sqrt(sum(len(g) for g, _ in langid._grams(texts.slice(n, 1)))), -40, 40)
+        loss = [sum(t * np.log1p(np.exp(-m * c)) for m, c, t in zip(margin, code, model.trust, strict=True)) for code in model.code]
+        assert int(np.argmin(loss)) == whole[0][n]
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 5, 6, 30):
         code = langid.codewords(n)
@@ -405,6 +454,25 @@ def test_token_rollup(spark, tmp_path):
     with pytest.raises(Exception, match="op must be"):
         rollup.commit("b3", one.withColumn("op", F.lit(None).cast("string")))
     assert rollup.commit("b3", one.where("false")) and len(rollup.batches()) == 3 and again.totals().count() == 3
+    before = {tuple(r) for r in again.totals().collect()}
+    assert again.compact() and not again.compact() and not rollup.commit("b2", one)
+    assert {tuple(r) for r in rollup.totals().collect()} == before
+    assert rollup.commit("b4", two) and rollup.compact() and len(rollup._state()[1]) == 0
+    assert {tuple(r) for r in again.totals().collect()} == {(None, "en", "t1", 3, 6), ("a", "en", "t1", -1, 1), ("a", "de", "t2", 2, 60), ("b", "en", "t1", -1, 0)}
+
+
+def test_commits_compact_by_themselves_and_one_of_two_drivers_wins(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "COMPACT", 2)
+    a, b = (token_counts.TokenRollup(spark, str(tmp_path / "r")) for _ in range(2))
+    rows = spark.createDataFrame([("insert", "s", "en", "t", 5)], "op string, source string, lang string, tokenizer string, tokens long")
+    for i in range(5):
+        assert a.commit(f"b{i}", rows)
+    assert [tuple(r) for r in b.totals().collect()] == [("s", "en", "t", 5, 25)] and a._state()[0].endswith("000002")
+    # the other driver moves its batch into place while this one has written its own aside
+    move = a._move
+    monkeypatch.setattr(a, "_move", lambda aside, target: b.commit("race", rows) and move(aside, target))
+    assert not a.commit("race", rows)
+    assert [tuple(r) for r in b.totals().collect()] == [("s", "en", "t", 6, 30)]
 
 
 def test_token_counts_equal_brute_force(spark):
@@ -415,11 +483,13 @@ def test_token_counts_equal_brute_force(spark):
     path = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{path}/documents.parquet").collect()
     enc = byte_tokenizer(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    toxic = {r.doc_id for r in spark.read.parquet(f"{path}/labels.parquet").where("toxic = 1").collect()}
+    kept = [d for d in docs if d.doc_id not in toxic]
     wanted = Counter()
-    for d in docs:
-        for version, n in (("words-1", len(d.text.split())), ("byte_bpe_50k-1", len(enc.encode_ordinary(d.text)))):
+    for d in kept:
+        for version, n in (("words-2", len(words(d.text))), ("byte_bpe_50k-1", len(enc.encode_ordinary(d.text)))):
             wanted[d.source, d.lang, version] += n
     got = token_counts.op7(spark, path).collect()
-    assert {(r.source, r.lang, r.tokenizer): r.n_tokens for r in got} == dict(wanted) and sum(r.n_docs for r in got) == 2 * len(docs)
+    assert {(r.source, r.lang, r.tokenizer): r.n_tokens for r in got} == dict(wanted) and sum(r.n_docs for r in got) == 2 * len(kept) < 2 * len(docs)
     counted = token_counts.byte_bpe_counts(messy(spark), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).collect()
     assert len(counted) == 15 and sum(r.tokens == 0 for r in counted) == 3
