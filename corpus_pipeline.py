@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import jaccard, langid, mixing, packing
-from spanloom.llm.common import written
+from spanloom.llm.common import release, scratch_mark, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: An ambiguous language is a reason to reject only from this many characters on.
@@ -57,10 +57,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to documents, each written and read again before the next; a stage's scratch goes when it is written."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
