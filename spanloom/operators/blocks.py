@@ -49,9 +49,10 @@ def with_offsets(df: DataFrame, doc: str = "doc_id", page: str = "page", order:
     """Kept blocks with block_idx, page_block_idx, char_start and char_end in their document's text.
 
     Each block is followed by one line end, each page by one more, whether it kept a block or not.
+    Pages count from the column ``first_page`` where there is one, else from the first that kept a block.
     """
     run = Window.partitionBy(doc).orderBy(page, order)
-    first = F.min(page).over(Window.partitionBy(doc))
+    first = F.col("first_page") if "first_page" in df.columns else F.min(page).over(Window.partitionBy(doc))
     before = F.coalesce(F.sum(F.length("text") + 1).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = (before + F.col(page) - first).cast("long")
     in_page = Window.partitionBy(doc, page).orderBy(order)
@@ -70,15 +71,28 @@ def page_spans(blocks: DataFrame) -> DataFrame:
 
 
 def documents(blocks: DataFrame) -> DataFrame:
-    """One row a document: its text, hash of the text, blocks and pages."""
+    """One row a document: its text, hash, blocks and pages.
+
+    Columns ``first_page`` and ``last_page`` of the blocks tell the range that was read, empty
+    pages at its ends included. The hash is that of the text, or the blocks' own ``doc_hash``.
+    """
+    have = set(blocks.columns)
+    first = F.max("first_page") if "first_page" in have else F.min("page")
+    last = F.max("last_page") if "last_page" in have else F.max("page")
+    more = blocks.groupBy("doc_id").agg(
+        first.cast("int").alias("start_page"), last.cast("int").alias("end_page"), F.max("page").alias("kept_page"),
+        (F.max("doc_hash") if "doc_hash" in have else F.lit(None).cast("string")).alias("own_hash"),
+    )
     pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("block_idx", "text"))).alias("b"))
     text = F.concat(F.array_join(F.transform("b", lambda x: F.concat(x["text"], F.lit("\n"))), ""), F.lit("\n"))
     pages = pages.withColumn("t", text)
-    joined = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"), F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.sum(F.size("b")).alias("n_blocks"))
+    joined = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"), F.sum(F.size("b")).alias("n_blocks"))
+    joined = joined.join(more, "doc_id")
     # a page in range without a block still adds its line end
     whole = F.aggregate("p", F.struct(F.lit("").alias("t"), F.col("start_page").cast("long").alias("next")), lambda a, x: F.struct(F.concat(a["t"], F.repeat(F.lit("\n"), (x["page"] - a["next"]).cast("int")), x["t"]).alias("t"), (x["page"] + 1).cast("long").alias("next")))["t"]
-    made = joined.select("doc_id", whole.alias("full_text"), "start_page", "end_page", F.col("n_blocks").cast("long").alias("n_blocks"))
-    return made.withColumn("doc_hash", F.sha2("full_text", 256))
+    whole = F.concat(whole, F.repeat(F.lit("\n"), F.col("end_page") - F.col("kept_page")))
+    made = joined.select("doc_id", whole.alias("full_text"), "start_page", "end_page", F.col("n_blocks").cast("long").alias("n_blocks"), "own_hash")
+    return made.withColumn("doc_hash", F.coalesce("own_hash", F.sha2("full_text", 256))).drop("own_hash")
 
 
 def locate(offsets: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-#: What a model is asked to send: boundary quotes, never body text.
+# The fields of a payload. What a model is asked to send: quotes of the ends, never body text.
 SCHEMA = {
     "type": "object",
     "properties": {
@@ -14,16 +14,40 @@ SCHEMA = {
                 "type": "object",
                 "properties": {
                     "status": {"type": "string", "enum": ["complete", "truncated_at_end", "truncated_at_start"]},
-                    "start_anchor": {"type": ["string", "null"]},
-                    "end_anchor": {"type": ["string", "null"]},
-                    "segments": {"type": "array", "items": {"type": "object", "properties": {k: {"type": ["string", "null"]} for k in ("start_anchor", "end_anchor", "end_before_anchor", "start_after_anchor", "role")} | {"metadata": {"type": ["object", "null"]}}}},
+                    "start_quote": {"type": ["string", "null"]},
+                    "end_quote": {"type": ["string", "null"]},
+                    "segments": {
+                        "type": "array",
+                        "items": {
+                            "type": "object",
+                            "properties": {
+                                "start_quote": {"type": ["string", "null"]},
+                                "end_quote": {"type": ["string", "null"]},
+                                "end_before_quote": {"type": ["string", "null"]},
+                                "start_after_quote": {"type": ["string", "null"]},
+                                "role": {"type": ["string", "null"]},
+                                "metadata": {"type": ["object", "null"]},
+                            },
+                        },
+                    },
                 },
             },
         }
     },
     "required": ["requirements"],
 }
-FIELDS = ("start_anchor", "end_anchor", "end_before_anchor", "start_after_anchor")
+FIELDS = ("start_quote", "end_quote", "end_before_quote", "start_after_quote")
+
+
+def renamed(item: object, names: dict[str, str] | None) -> object:
+    """An item of a foreign payload under our field names; ``names`` maps ours to its own."""
+    if not names or not isinstance(item, dict):
+        return item
+    ours = {v: k for k, v in names.items()}
+    out = {ours.get(k, k): v for k, v in item.items()}
+    if isinstance(out.get("segments"), list):
+        out["segments"] = [{ours.get(k, k): v for k, v in s.items()} if isinstance(s, dict) else s for s in out["segments"]]
+    return out
 
 
 def role_of(value: object) -> str:
@@ -49,10 +73,10 @@ def specs_of(item: object) -> tuple[list[dict], str | None]:
         if not all(isinstance(x, dict) for x in segments):
             return [], "invalid_segment_item"
         return [spec(x) for x in segments], None
-    start, end = item.get("start_anchor"), item.get("end_anchor")
+    start, end = item.get("start_quote"), item.get("end_quote")
     if start is not None or end is not None or item.get("status") == "truncated_at_start":
-        return [spec({"start_anchor": start, "end_anchor": end})], None
-    return [], "missing_anchors"
+        return [spec({"start_quote": start, "end_quote": end})], None
+    return [], "missing_quotes"
 
 
 def items_of(payload: str | None) -> tuple[list[object], list[str]]:

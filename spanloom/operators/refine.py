@@ -15,7 +15,7 @@ def windows(units: DataFrame, ends: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("k")
     rows = units.withColumn("_next", F.lead("start").over(order)).join(ends, "doc_id")
     last = F.when(F.col("end") >= 0, F.col("range_end"))
-    rows = rows.where("end_inferred_from_next_start OR end_anchor_unresolved").withColumn("span_end", F.coalesce("_next", last))
+    rows = rows.where("end_inferred_from_next_start OR end_quote_unresolved").withColumn("span_end", F.coalesce("_next", last))
     return rows.withColumn("span_start", F.col("start")).where("span_start >= 0 AND span_end > span_start").drop("_next")
 
 
@@ -23,16 +23,21 @@ def merge(units: DataFrame, refined: DataFrame) -> DataFrame:
     """Units with a second call's end where it is acceptable.
 
     ``refined`` has doc_id, k, span_end and the units found in the window as rows
-    (new_start, new_end, new_end_anchor, new_end_resolved). Accepted is a single
+    (new_start, new_end, new_end_quote, new_end_resolved and what else is to be kept). Accepted is a single
     unit with the same start, a resolved end, an end quote, and an end behind the
-    start and within the window.
+    start and within the window. Other new columns stay, null for units that were not accepted.
     """
-    alone = refined.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("span_end", "new_start", "new_end", "new_end_anchor", "new_end_resolved")])
+    inner = ["span_end", "new_start", "new_end", "new_end_quote", "new_end_resolved"]
+    more = [c for c in refined.columns if c not in ("doc_id", "k", *inner)]
+    firsts = [F.first(c).alias(c) for c in (*inner, *more)]
+    alone = refined.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"), *firsts)
     joined = units.join(alone, ["doc_id", "k"], "left")
-    fine = (F.col("n") == 1) & (F.col("new_start") == F.col("start")) & F.col("new_end_resolved") & (F.coalesce("new_end_anchor", F.lit("")) != "") & (F.col("new_end") > F.col("start")) & (F.col("new_end") <= F.col("span_end"))
+    fine = (F.col("n") == 1) & (F.col("new_start") == F.col("start")) & F.col("new_end_resolved")
+    fine = fine & (F.coalesce("new_end_quote", F.lit("")) != "") & (F.col("new_end") > F.col("start")) & (F.col("new_end") <= F.col("span_end"))
     fine = F.coalesce(fine, F.lit(False))
     pick = lambda new, old: F.when(fine, new).otherwise(F.col(old))
     return joined.withColumns({
-        "end": pick(F.col("new_end"), "end"), "end_anchor": pick(F.col("new_end_anchor"), "end_anchor"),
-        "end_inferred_from_next_start": pick(F.lit(False), "end_inferred_from_next_start"), "end_anchor_unresolved": pick(F.lit(False), "end_anchor_unresolved"), "refined": fine,
-    }).drop("n", "span_end", "new_start", "new_end", "new_end_anchor", "new_end_resolved")
+        "end": pick(F.col("new_end"), "end"), "end_quote": pick(F.col("new_end_quote"), "end_quote"),
+        "end_inferred_from_next_start": pick(F.lit(False), "end_inferred_from_next_start"), "end_quote_unresolved": pick(F.lit(False), "end_quote_unresolved"),
+        "refined": fine, **{c: F.when(fine, F.col(c)) for c in more},
+    }).drop("n", *inner)

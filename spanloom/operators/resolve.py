@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from spanloom.functions.text import CONFUSABLES, KNOWN_ROLES, WS_CODES
-from spanloom.operators.anchors import MIN_CHARS, MIN_WORDS
+from spanloom.operators.quotes import MIN_CHARS, MIN_WORDS
 
 _FOLD = str.maketrans(CONFUSABLES)
 _WS = np.array(WS_CODES, dtype=np.uint32)
@@ -31,9 +31,9 @@ class Searchable:
 _BLANK = {c: " " for c in WS_CODES}
 
 
-def quoted(anchor: str) -> str:
+def quoted(quote: str) -> str:
     """A quote with its white space collapsed and stripped."""
-    return " ".join(x for x in anchor.translate(_BLANK).split(" ") if x)
+    return " ".join(x for x in quote.translate(_BLANK).split(" ") if x)
 
 
 def exact(text: str, quote: str | None, low: int, high: int) -> tuple[int, int] | None:
@@ -73,8 +73,8 @@ def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
     out, norm, size = [Found() for _ in specs], text.text, len(text.text)
     cursor = 0
     for s, f in zip(specs, out, strict=True):
-        after = bool(s["start_after_anchor"])
-        hit = exact(norm, s["start_after_anchor"] if after else s["start_anchor"], cursor, size)
+        after = bool(s["start_after_quote"])
+        hit = exact(norm, s["start_after_quote"] if after else s["start_quote"], cursor, size)
         if hit:
             f.at, f.at_end = hit
             f.start = text.raw(hit[1] if after else hit[0])
@@ -84,8 +84,8 @@ def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
         later[i] = out[i].at if out[i].at >= 0 else later[i + 1]
     low = 0
     for i, (s, f) in enumerate(zip(specs, out, strict=True)):
-        if f.at < 0 and s["start_anchor"] and not s["start_after_anchor"]:
-            hit = shortened(norm, s["start_anchor"], low, later[i + 1])
+        if f.at < 0 and s["start_quote"] and not s["start_after_quote"]:
+            hit = shortened(norm, s["start_quote"], low, later[i + 1])
             f.ambiguous = hit is None
             if hit:
                 f.at, f.at_end, f.fallback, f.start = *hit, True, text.raw(hit[0])
@@ -98,13 +98,13 @@ def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
         following = out[i] if out[i].at >= 0 else following
     for s, f, nxt in zip(specs, out, bounds, strict=True):
         since = f.at_end if f.at >= 0 else 0
-        if s["end_before_anchor"]:
-            hit = exact(norm, s["end_before_anchor"], since, nxt.at_end if nxt else size)
+        if s["end_before_quote"]:
+            hit = exact(norm, s["end_before_quote"], since, nxt.at_end if nxt else size)
             if hit and text.raw(hit[0]) > f.start:
                 f.end = text.raw(hit[0])
-        elif s["end_anchor"]:
+        elif s["end_quote"]:
             high = nxt.at if nxt else size
-            hit = exact(norm, s["end_anchor"], since, high) or shortened(norm, s["end_anchor"], since, high, from_front=True)
+            hit = exact(norm, s["end_quote"], since, high) or shortened(norm, s["end_quote"], since, high, from_front=True)
             if hit:
                 f.end = text.raw(hit[1])
     return out
@@ -136,8 +136,8 @@ class BatchUnit:
     segments: list[tuple[int, int, str]]  # document positions
     start: int
     end: int
-    start_anchor: str | None
-    end_anchor: str | None
+    start_quote: str | None
+    end_quote: str | None
     partial: bool
     end_resolved: bool
     verbatim: bool
@@ -150,7 +150,7 @@ def batch_unit(item: dict, specs: list[dict], found: list[Found], text: str, shi
     """Judge one item. ``keep_lone_ends``: an item that goes on from an earlier batch keeps an end found without a start."""
     parts, partial = [], False
     for s, f in zip(specs, found, strict=True):
-        wants_start = bool(s["start_after_anchor"] or s["start_anchor"])
+        wants_start = bool(s["start_after_quote"] or s["start_quote"])
         if f.start >= 0 and f.end > f.start:
             parts.append((f.start, f.end, s["role"]))
         else:
@@ -164,12 +164,12 @@ def batch_unit(item: dict, specs: list[dict], found: list[Found], text: str, shi
         end = next((f.end for f in reversed(found) if f.end >= 0), -1)
     if len(specs) == 1:
         s, f = specs[0], found[0]
-        sides = (f.start >= 0 or not (s["start_after_anchor"] or s["start_anchor"])) and (f.end >= 0 or not (s["end_before_anchor"] or s["end_anchor"]))
+        sides = (f.start >= 0 or not (s["start_after_quote"] or s["start_quote"])) and (f.end >= 0 or not (s["end_before_quote"] or s["end_quote"]))
         verbatim = sides and (f.start < 0 or f.end < 0 or f.end > f.start)
     else:
         verbatim = resolved == len(specs) and not partial and bool(role_texts(text, parts)["requirement"])
     move = lambda x: x + shift if x >= 0 else -1
     return BatchUnit(
-        str(item.get("status") or "complete"), specs, [(a + shift, b + shift, r) for a, b, r in parts], move(start), move(end), specs[0]["start_anchor"],
-        specs[-1]["end_before_anchor"] or specs[-1]["end_anchor"], partial, resolved == len(specs) and not partial, verbatim, any(f.fallback for f in found), any(f.ambiguous for f in found), item,
+        str(item.get("status") or "complete"), specs, [(a + shift, b + shift, r) for a, b, r in parts], move(start), move(end), specs[0]["start_quote"],
+        specs[-1]["end_before_quote"] or specs[-1]["end_quote"], partial, resolved == len(specs) and not partial, verbatim, any(f.fallback for f in found), any(f.ambiguous for f in found), item,
     )

@@ -20,18 +20,19 @@ class Unit:
     segments: list[Segment]
     specs: list[dict]
     n_segments: int
-    start_anchor: str | None
-    end_anchor: str | None
+    start_quote: str | None
+    end_quote: str | None
     end_resolved: bool
     segments_partial: bool
     source_chunk_id: int
     source_chunk_ids: list[int]
     end_inferred_from_next_start: bool = False
-    end_anchor_unresolved: bool = False
+    end_quote_unresolved: bool = False
     start_via_fallback: bool = False
     ambiguous: bool = False
     verbatim_match: bool = False
     texts: dict[str, str] = field(default_factory=dict)
+    segment_texts: list[str] = field(default_factory=list)
     model_parts: list[object] = field(default_factory=list)
 
 
@@ -67,13 +68,13 @@ class Stitcher:
             exact = end_resolved and start >= 0 and bool(body)
         else:
             exact = not partial and end_resolved and len(kept) == expected > 0 and bool(body)
-        end_anchor = flags.pop("end_anchor", u.end_anchor)
-        start_anchor = flags.pop("start_anchor", u.start_anchor)
+        end_quote = flags.pop("end_quote", u.end_quote)
+        start_quote = flags.pop("start_quote", u.start_quote)
         more = {"start_via_fallback": u.fallback, "ambiguous": u.ambiguous} if forward else {}
         number = self._number() if sequence is None else sequence
         self.units.append(Unit(
-            status or u.status, number, start, end, kept, u.specs, expected, start_anchor, end_anchor, end_resolved, partial, chunk_id, sorted(set(chunk_ids)),
-            verbatim_match=exact, texts=texts, model_parts=parts if parts is not None else [u.model], **more, **flags,
+            status or u.status, number, start, end, kept, u.specs, expected, start_quote, end_quote, end_resolved, partial, chunk_id, sorted(set(chunk_ids)),
+            verbatim_match=exact, texts=texts, segment_texts=[self.text[a:b] for a, b, _ in kept], model_parts=parts if parts is not None else [u.model], **more, **flags,
         ))
 
     def add(self, batch: list[BatchUnit], chunk_id: int, batch_start: int, range_end: int) -> None:
@@ -96,7 +97,7 @@ class Stitcher:
                 self.pending = Pending(u, self._number(), chunk_id, [chunk_id], [u.model])
             elif u.status == "truncated_at_start":
                 span = [(batch_start, u.end, "requirement")] if has_end else []
-                self._emit(u, u.segments or span, len(u.specs), has_end and not u.partial, start_anchor=None, partial=u.partial and bool(u.segments), **own)
+                self._emit(u, u.segments or span, len(u.specs), has_end and not u.partial, start_quote=None, partial=u.partial and bool(u.segments), **own)
             elif has_start and has_end and u.end > u.start:
                 if len(u.specs) > 1 or (u.segments and not u.partial):
                     self._emit(u, u.segments, len(u.specs), u.end_resolved, partial=u.partial, **own)
@@ -107,15 +108,15 @@ class Stitcher:
                 if nxt is None:
                     self.pending = Pending(u, self._number(), chunk_id, [chunk_id], [u.model])
                 else:
-                    lost = bool(u.end_anchor)
+                    lost = bool(u.end_quote)
                     role = u.specs[-1]["role"] if u.specs else "requirement"
-                    self._emit(u, [(u.start, nxt, role)], 1, not lost, partial=lost, forward=False, end_inferred_from_next_start=True, end_anchor_unresolved=lost, **own)
+                    self._emit(u, [(u.start, nxt, role)], 1, not lost, partial=lost, forward=False, end_inferred_from_next_start=True, end_quote_unresolved=lost, **own)
             else:
                 self._emit(u, [], 1, False, sequence=0, partial=u.partial, forward=False, **own)
 
     def _close(self, p: Pending, u: BatchUnit) -> None:
         expected = len(p.unit.specs)
-        known = {"sequence": p.sequence, "chunk_id": p.chunk_id, "chunk_ids": p.chunk_ids, "parts": p.parts, "end_anchor": u.end_anchor}
+        known = {"sequence": p.sequence, "chunk_id": p.chunk_id, "chunk_ids": p.chunk_ids, "parts": p.parts, "end_quote": u.end_quote}
         if expected > 1 or p.unit.segments:
             merged, cut = clipped([*p.unit.segments, *(u.segments or [(p.unit.segments[-1][1] if p.unit.segments else p.unit.start, u.end, (u.specs or p.unit.specs)[-1]["role"])])])
             self._emit(p.unit, merged, expected, len(merged) >= expected and not cut, status="complete", partial=cut, **known)
@@ -131,7 +132,7 @@ class Stitcher:
             self._emit(u, [*front, (last[0], max(bound, last[0]), last[2])], len(u.specs), False, status="truncated_at_end", partial=True, **known)
         else:
             role = u.specs[-1]["role"] if u.specs else "requirement"
-            self._emit(u, [(u.start, bound, role)], 1, False, status="truncated_at_end", end_anchor=None, partial=True, **known)
+            self._emit(u, [(u.start, bound, role)], 1, False, status="truncated_at_end", end_quote=None, partial=True, **known)
 
     def finish(self, range_end: int) -> list[Unit]:
         """Flush the open unit and return all."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,31 +13,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.batching import plan_batches
-from spanloom.operators.blocks import documents
-from spanloom.operators.payloads import batch_status, items_of, specs_of
+from spanloom.operators.batching import plan_units, with_units
+from spanloom.operators.blocks import documents, page_range
+from spanloom.operators.payloads import batch_status, items_of, renamed, specs_of
 from spanloom.operators.resolve import BatchUnit, Searchable, batch_unit, resolve
 from spanloom.operators.stitch import Stitcher, Unit
 from spanloom.plans.providers import Provider, call
 from spanloom.plans.settings import Profile, Settings, system_prompt
 from spanloom.plans.storage import stored
 
-SPEC = "struct<start_anchor:string,end_anchor:string,end_before_anchor:string,start_after_anchor:string,role:string,metadata:string>"
-SEGMENT = "struct<start:bigint,end:bigint,role:string>"
+log = logging.getLogger("spanloom")
+KEY = ["doc_id", "first_block", "last_block"]
+
+SPEC = "struct<start_quote:string,end_quote:string,end_before_quote:string,start_after_quote:string,role:string,metadata:string>"
+SEGMENT = "struct<start:bigint,end:bigint,role:string,text:string>"
 UNIT_FIELDS = (
-    f"k int, sequence long, status string, verbatim_match boolean, start long, end long, segments array<{SEGMENT}>, specs array<{SPEC}>, n_segments int, start_anchor string, end_anchor string, "
-    "end_resolved boolean, end_inferred_from_next_start boolean, end_anchor_unresolved boolean, start_via_fallback boolean, ambiguous boolean, segments_partial boolean, "
+    f"k int, sequence long, status string, verbatim_match boolean, start long, end long, segments array<{SEGMENT}>, specs array<{SPEC}>, n_segments int, start_quote string, end_quote string, "
+    "end_resolved boolean, end_inferred_from_next_start boolean, end_quote_unresolved boolean, start_via_fallback boolean, ambiguous boolean, segments_partial boolean, "
     "source_chunk_id long, source_chunk_ids array<long>, requirement_text string, questionnaire_text string, context_text string, model_parts array<string>"
 )
 CALL_FIELDS = (
-    "chunk_id long, n_returned int, n_found int, n_malformed int, malformed array<string>, batch_status string"
+    "chunk_id long, n_returned int, n_found int, n_malformed int, malformed array<string>, batch_status string, model_items array<string>"
 )
 SENT = "payload_json string, model_used string, input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long, stop_reason string, response_time_s double, attempts string, failed boolean"
 
 
-def batch_units(payload: str | None, text: str, shift: int, keep_lone_ends: bool) -> tuple[list[BatchUnit], int, list[str]]:
-    """A batch's units, how many items its payload had, and why some were malformed."""
+def batch_units(payload: str | None, text: str, shift: int, keep_lone_ends: bool, names: dict[str, str] | None = None) -> tuple[list[BatchUnit], list[object], list[str]]:
+    """A batch's units, the items that its payload had, and why some were malformed."""
     items, malformed = items_of(payload)
+    items = [renamed(x, names) for x in items]
     good = []
     for item in items:
         specs, reason = specs_of(item)
@@ -48,25 +54,27 @@ def batch_units(payload: str | None, text: str, shift: int, keep_lone_ends: bool
     for item, specs in good:
         units.append(batch_unit(item, specs, found[at : at + len(specs)], text, shift, keep_lone_ends))
         at += len(specs)
-    return units, len(items), malformed
+    return units, items, malformed
 
 
 def unit_row(k: int, u: Unit) -> dict:
     plain = lambda x: None if x is None else json.dumps(x, ensure_ascii=False)
-    row = {f: getattr(u, f) for f in ("sequence", "status", "verbatim_match", "start", "end", "n_segments", "start_anchor", "end_anchor", "end_resolved", "end_inferred_from_next_start", "end_anchor_unresolved", "start_via_fallback", "ambiguous", "segments_partial", "source_chunk_id", "source_chunk_ids")}
+    row = {f: getattr(u, f) for f in ("sequence", "status", "verbatim_match", "start", "end", "n_segments", "start_quote", "end_quote", "end_resolved", "end_inferred_from_next_start", "end_quote_unresolved", "start_via_fallback", "ambiguous", "segments_partial", "source_chunk_id", "source_chunk_ids")}
     return row | {
-        "k": k, "segments": [{"start": a, "end": b, "role": r} for a, b, r in u.segments], "specs": [s | {"metadata": plain(s["metadata"])} for s in u.specs],
+        "k": k, "segments": [{"start": a, "end": b, "role": r, "text": t} for (a, b, r), t in zip(u.segments, u.segment_texts, strict=True)], "specs": [s | {"metadata": plain(s["metadata"])} for s in u.specs],
         **{f"{r}_text": t for r, t in u.texts.items()}, "model_parts": [plain(m) for m in u.model_parts],
     }
 
 
-def _asked(provider: Provider, prompt: str, names: list[str]):
+def _asked(provider: Provider, prompt: str, names: list[str], pause: float):
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.to_dict("records"):
                 blocks = [b if isinstance(b, dict) else b.asDict() for b in r.pop("blocks")]
                 text = "\n".join(b["text"] for b in blocks)
+                if pause and rows:
+                    time.sleep(pause)
                 try:
                     made = provider.propose(prompt, text, blocks) | {"failed": False}
                 except Exception as e:  # noqa: BLE001  one failed call costs its batch, not the job
@@ -77,54 +85,59 @@ def _asked(provider: Provider, prompt: str, names: list[str]):
     return ask
 
 
-def propose(plans: DataFrame, blocks: DataFrame, provider: Provider, prompt: str) -> DataFrame:
+def propose(plans: DataFrame, blocks: DataFrame, provider: Provider, prompt: str, pause: float = 0.0) -> DataFrame:
     """Call the provider once for each planned batch; written before anything reads it."""
     have = {"role": F.lit(None).cast("string"), "label": F.lit(None).cast("string")} | {c: F.col(c) for c in blocks.columns}
     rows = blocks.select("doc_id", F.struct("block_idx", "text", have["role"].alias("role"), have["label"].alias("label")).alias("b"), "block_idx")
     kept = plans.columns
-    # a batch's first block carries its number to the blocks behind it
-    marked = rows.join(plans.select("doc_id", F.col("first_block").alias("block_idx"), "batch_no", "last_block"), ["doc_id", "block_idx"], "left")
+    # a batch's first block carries its place to the blocks behind it
+    marked = rows.join(plans.select("doc_id", F.col("first_block").alias("block_idx"), "first_block", "last_block"), ["doc_id", "block_idx"], "left")
     upto = Window.partitionBy("doc_id").orderBy("block_idx")
-    marked = marked.withColumns({"batch_no": F.last("batch_no", True).over(upto), "last_block": F.last("last_block", True).over(upto)}).where("block_idx <= last_block")
-    texts = marked.groupBy("doc_id", "batch_no").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
-    asked = plans.join(texts, ["doc_id", "batch_no"]).select(*kept, "blocks")
+    marked = marked.withColumns({c: F.last(c, True).over(upto) for c in ("first_block", "last_block")}).where("block_idx <= last_block")
+    texts = marked.groupBy("doc_id", "first_block").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    asked = plans.join(texts, ["doc_id", "first_block"]).select(*kept, "blocks")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plans.schema.fields)
-    return stored(asked.mapInPandas(_asked(provider, prompt, kept), f"{fields}, {SENT}, chunk_hash string"), "calls")
+    return stored(asked.mapInPandas(_asked(provider, prompt, kept, pause), f"{fields}, {SENT}, chunk_hash string"), "calls")
 
 
 def call_all(blocks: DataFrame, provider: Provider, profile: Profile, settings: Settings) -> DataFrame:
     """All calls of all documents, with chunk_id, and overflowed for batches that are not stitched.
 
-    Batches depend on each other only through overflow: documents with an overflowed
-    batch are planned again from there with a smaller first batch, until the target
-    has shrunk as often as allowed; then that batch is given up. ``max_iterations``
-    bounds these rounds alone: all batches of the last round stay in the calls, those
-    behind an overflowed one too, and a document may have any number of batches.
+    Batches depend on each other only through overflow: the blocks of an overflowed
+    batch, and no others, are planned again under a smaller budget, until it
+    has shrunk as often as allowed or to its floor; then the batch is given up. A batch of one
+    unit can't be cut, and is given up at once. All overflowed batches of all documents shrink together, so
+    rounds don't grow with the data, and no batch is called twice. A document may have any number of batches.
     """
     prompt = system_prompt(profile)
-    rest = blocks.withColumns({"_first": F.lit(settings.target_input_tokens).cast("long"), "_shrinks": F.lit(0)})
+    target = settings.budget(prompt)
+    units = with_units(blocks, profile.boundary_pattern)
+    rest = units.withColumns({"part": F.lit(-1).cast("long"), "budget": F.lit(target).cast("long")})
     done: list[DataFrame] = []
-    for turn in range(settings.max_iterations):
-        plans = plan_batches(rest, settings.target_input_tokens, profile.boundary_pattern, first_budget="_first")
-        made = propose(plans, rest, provider, prompt).withColumn("turn", F.lit(turn))
+    rounds = min(settings.max_iterations, settings.max_consecutive_shrinks + 1)
+    for turn in range(rounds):
+        plans = plan_units(rest, F.col("budget"), ("part", "budget")).drop("part")
+        if done:  # what can't be cut would be the same batch again
+            plans = plans.join(done[-1].where("overflowed").select(*KEY), KEY, "left_anti")
+        made = propose(plans, rest, provider, prompt, settings.call_pause_s)
         over = (F.col("stop_reason") == "max_tokens") & ~F.col("failed")
-        hit = made.where(over).groupBy("doc_id").agg(F.min_by(F.struct("first_block", "last_block", "batch_no"), "first_block").alias("o"))
-        joined = made.join(hit, "doc_id", "left")
-        last = F.lit(turn + 1 == settings.max_iterations)
-        done.append(joined.where(last | F.expr("o IS NULL OR first_block <= o.first_block")).withColumn("overflowed", over).drop("o"))
-        if turn + 1 == settings.max_iterations or hit.isEmpty():
+        done.append(made.withColumn("overflowed", over))
+        again = done[-1].where(F.col("overflowed") & (F.col("budget") > settings.min_input_tokens))
+        left = again.count()
+        log.info("round %d: %d batches overflowed and are planned again", turn + 1, left)
+        if not left:
+            break
+        if turn + 1 == rounds:
+            log.warning("stopped after %d rounds; %d batches still overflow", rounds, left)
             break
-        told = rest.groupBy("doc_id").agg(F.max("_first").alias("was"), F.max("_shrinks").alias("times")).join(hit, "doc_id")
-        first = F.col("o.batch_no") == 0  # else the budget had been reset by the batches before
-        was, times = F.when(first, F.col("was")).otherwise(settings.target_input_tokens), F.when(first, F.col("times")).otherwise(0)
-        shrink = times < settings.max_consecutive_shrinks
-        smaller = F.greatest(F.lit(settings.min_input_tokens), F.floor(was * settings.shrink_factor)).cast("long")
-        told = told.select("doc_id", F.when(shrink, F.col("o.first_block")).otherwise(F.col("o.last_block") + 1).alias("since"), F.when(shrink, smaller).otherwise(settings.target_input_tokens).cast("long").alias("_first"), F.when(shrink, times + 1).otherwise(0).cast("int").alias("_shrinks"))
-        rest = stored(blocks.join(told, "doc_id").where("block_idx >= since").drop("since"), "rest")
+        smaller = F.greatest(F.lit(settings.min_input_tokens), F.floor(F.col("budget") * settings.shrink_factor)).cast("long")
+        again = again.select("doc_id", F.col("first_block").alias("part"), F.col("last_block").alias("_until"), smaller.alias("budget"))
+        rest = stored(units.join(again, "doc_id").where("block_idx BETWEEN part AND _until").drop("_until"), "rest")
     calls = done[0]
     for more in done[1:]:
         calls = calls.unionByName(more)
-    order = Window.partitionBy("doc_id").orderBy("turn", "first_block")
+    # in the order of calls: a batch that overflowed is longer than the ones that took its place
+    order = Window.partitionBy("doc_id").orderBy("first_block", F.desc("last_block"))
     return calls.withColumn("chunk_id", F.row_number().over(order).cast("long"))
 
 
@@ -141,7 +154,7 @@ def _split(fields: str) -> list[str]:
     return [*parts, now]
 
 
-def _folded(settings: Settings):
+def _folded(settings: Settings, names: dict[str, str] | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
@@ -150,9 +163,10 @@ def _folded(settings: Settings):
                 stitcher, judged, range_end = Stitcher(text), [], max(int(c["char_end"]) for c in calls)
                 for c in calls:
                     a, b = int(c["char_start"]), int(c["char_end"])
-                    units, n, bad = ([], 0, []) if c["failed"] else batch_units(c["payload_json"], text[a:b], a, settings.keep_lone_ends)
+                    units, items, bad = ([], [], []) if c["failed"] else batch_units(c["payload_json"], text[a:b], a, settings.keep_lone_ends, names)
                     status = "api_error" if c["failed"] else batch_status(len(units), sum(u.verbatim for u in units), len(bad), c["stop_reason"])
-                    judged.append({"chunk_id": c["chunk_id"], "n_returned": n, "n_found": len(units), "n_malformed": len(bad), "malformed": bad, "batch_status": status})
+                    told = {"n_returned": len(items), "n_found": len(units), "n_malformed": len(bad), "malformed": bad, "batch_status": status}
+                    judged.append({"chunk_id": c["chunk_id"], "model_items": [json.dumps(x, ensure_ascii=False) for x in items]} | told)
                     if not c["overflowed"] and not c["failed"]:
                         stitcher.add(units, int(c["chunk_id"]), a, range_end)
                 rows.append({"doc_id": d["doc_id"], "units": [unit_row(k, u) for k, u in enumerate(stitcher.finish(range_end))], "judged": judged})
@@ -176,9 +190,10 @@ class Extraction:
     units: DataFrame
 
 
-def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = None) -> Extraction:
+def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = None, names: dict[str, str] | None = None) -> Extraction:
     """Resolve and stitch recorded calls: doc_id, chunk_id, char_start, char_end, payload_json, stop_reason, failed, overflowed and more.
 
+    ``names`` maps our field names to those of payloads that came from elsewhere.
     One row a document meets its calls; a kernel over batches of documents folds each in turn.
     """
     settings = settings or Settings.of(blocks.sparkSession)
@@ -187,12 +202,41 @@ def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = No
     need = ["chunk_id", "char_start", "char_end", "payload_json", "stop_reason", "failed", "overflowed"]
     per = calls.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*need))).alias("calls"))
     rows = per.join(docs.select("doc_id", "full_text"), "doc_id")
-    folded = stored(rows.mapInPandas(_folded(settings), f"doc_id {kind}, units array<{_struct(UNIT_FIELDS)}>, judged array<{_struct(CALL_FIELDS)}>"), "folded")
+    folded = stored(rows.mapInPandas(_folded(settings, names), f"doc_id {kind}, units array<{_struct(UNIT_FIELDS)}>, judged array<{_struct(CALL_FIELDS)}>"), "folded")
     judged = folded.select("doc_id", F.inline("judged"))
     return Extraction(docs, blocks, calls.join(judged, ["doc_id", "chunk_id"]), folded.select("doc_id", F.inline("units")))
 
 
-def extract(blocks: DataFrame, profile: Profile, provider: Provider, settings: Settings | None = None) -> Extraction:
-    """Extract units from blocks (doc_id, block_idx, page, text, char_start, char_end and, for rule-based providers, role and label)."""
+def progress(e: Extraction) -> dict[str, int]:
+    """What a run came to: calls, failed, overflowed and malformed ones, units, and those cut at an end. Counts alone reach the driver."""
+    told = e.calls.agg(
+        F.count(F.lit(1)), F.count_if("failed"), F.count_if("overflowed"), F.coalesce(F.sum("n_malformed"), F.lit(0)), F.count_if(F.col("batch_status").isin("ok", "empty")),
+    ).first()
+    units = e.units.agg(F.count(F.lit(1)), F.count_if(F.col("status").startswith("truncated"))).first()
+    made = dict(zip(("calls", "failed", "overflowed", "malformed", "ok", "units", "truncated"), (*told, *units), strict=True))
+    log.info("%s", ", ".join(f"{n} {k}" for k, n in made.items()))
+    return made
+
+
+def extract(
+    blocks: DataFrame, profile: Profile, provider: Provider, settings: Settings | None = None,
+    start_page: int | None = None, end_page: int | None = None, refine_ends: bool = False, names: dict[str, str] | None = None,
+) -> Extraction:
+    """Extract units from blocks (doc_id, block_idx, page, text, char_start, char_end and, for rule-based providers, role and label).
+
+    Only blocks from ``start_page`` to ``end_page`` are called; offsets are those of the whole
+    document. ``refine_ends`` asks again for doubtful ends.
+    """
     settings = settings or Settings.of(blocks.sparkSession)
-    return assemble(blocks, call_all(blocks, provider, profile, settings), settings)
+    chosen = blocks
+    if start_page is not None or end_page is not None:
+        if start_page is not None and end_page is not None and start_page > end_page:
+            raise ValueError(f"pages {start_page} to {end_page} are no range")
+        span = page_range(blocks, start_page, end_page).withColumnsRenamed({"first_block": "_low", "last_block": "_high"})
+        chosen = blocks.join(span, "doc_id").where("block_idx BETWEEN _low AND _high").drop("_low", "_high")
+    made = assemble(blocks, call_all(chosen, provider, profile, settings), settings, names)
+    if refine_ends:
+        from spanloom.plans.refinement import refine
+
+        made = refine(made, provider, profile)
+    return made

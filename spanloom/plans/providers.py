@@ -41,13 +41,17 @@ class RuleBased:
         items = []
         for b in blocks:
             words = b["text"].split(" ")
-            items.append({"status": "complete", "segments": [{"start_anchor": " ".join(words[: min(self.words, len(words) - len(words) // 2)]), "end_anchor": " ".join(words[-min(self.words, len(words) // 2) :]) if len(words) > 1 else None, "role": b.get("role"), "metadata": {"req_id": b.get("label")}}]})
+            items.append({"status": "complete", "segments": [{"start_quote": " ".join(words[: min(self.words, len(words) - len(words) // 2)]), "end_quote": " ".join(words[-min(self.words, len(words) // 2) :]) if len(words) > 1 else None, "role": b.get("role"), "metadata": {"req_id": b.get("label")}}]})
         return call({"requirements": items}, "rule-based", len(text) // 4 + 1, 20 * len(items))
 
 
 @dataclass
 class Recorded:
-    """Payloads recorded under the hash of the batch's text; what is not recorded is an api_error."""
+    """Payloads recorded under the hash of the batch's text; what is not recorded is an api_error.
+
+    The payloads travel with the tasks, so this is for notebooks and tests; join a table of
+    recorded calls with ``assemble`` where there are many.
+    """
 
     payloads: dict[str, str]
 
@@ -80,24 +84,25 @@ def arguments(raw: object) -> dict:
 class CallError(Exception):
     def __init__(self, message: str, status: int | None = None, connection: bool = False, missing_model: bool = False):
         super().__init__(message)
-        self.retryable = connection or status in RETRYABLE
+        self.status, self.retryable = status, connection or status in RETRYABLE
         self.outcome = "not_found" if missing_model else "connection_error" if connection else "api_error"
 
 
 @dataclass
 class Chain:
-    """Calls ``send(model, prompt, text)`` for each model in turn, again after retryable errors."""
+    """Calls ``send(model, prompt, text, max_tokens=, temperature=)`` for each model in turn, again after retryable errors."""
 
-    send: Callable[[str, str, str], dict]
+    send: Callable[..., dict]
     settings: Settings
 
     def propose(self, prompt: str, text: str, blocks: list[dict]) -> dict:
         attempts = []
+        options = {"max_tokens": self.settings.max_tokens, "temperature": self.settings.temperature}
         for model in self.settings.models():
             for n in range(1, self.settings.max_retries + 1):
                 began = time.monotonic()
                 try:
-                    made = self.send(model, prompt, text)
+                    made = self.send(model, prompt, text, **options)
                 except CallError as e:
                     attempts.append({"model": model, "attempt_no": n, "duration_s": round(time.monotonic() - began, 3), "outcome": e.outcome, "error_message": str(e)[:200]})
                     if not e.retryable or e.outcome == "not_found":

@@ -4,34 +4,49 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import role_text, text_slice
+from spanloom.functions.text import KNOWN_ROLES
 from spanloom.operators.refine import merge, windows
-from spanloom.plans.engine import Extraction, batch_units
+from spanloom.operators.resolve import role_texts
+from spanloom.plans.engine import SEGMENT, Extraction, batch_units
 from spanloom.plans.providers import Provider
 from spanloom.plans.settings import Profile, system_prompt
 from spanloom.plans.storage import stored
 
-FOUND = "new_start long, new_end long, new_end_anchor string, new_end_resolved boolean"
+FOUND = f"new_start long, new_end long, new_end_quote string, new_end_resolved boolean, new_segments array<{SEGMENT}>, " + ", ".join(f"new_{r}_text string" for r in KNOWN_ROLES)
+
+
+def _moved(text: str, segments: list[dict], end: int) -> dict:
+    """The unit's segments and texts if its last segment ends there."""
+    spans = [(int(s["start"]), int(s["end"]), s["role"]) for s in segments]
+    spans = [*spans[:-1], (spans[-1][0], end, spans[-1][2])] if spans else []
+    made = {"new_segments": [{"start": a, "end": b, "role": r, "text": text[a:b]} for a, b, r in spans]}
+    return made | {f"new_{r}_text": t for r, t in role_texts(text, spans).items()}
 
 
 def _asked(provider: Provider, prompt: str):
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "k", "span_end", *(f.split()[0] for f in FOUND.split(", ") if "new_" in f)]
         for frame in frames:
             rows = []
-            for w in frame.to_dict("records"):
-                key = {c: w[c] for c in ("doc_id", "k", "span_end")}
-                try:
-                    made = provider.propose(prompt, w["text"], [{"text": w["text"], "role": None, "label": None}])
-                    units, _, _ = batch_units(made["payload_json"], w["text"], int(w["span_start"]), True)
-                except Exception:  # noqa: BLE001  a failed call leaves its unit as it is
-                    units = []
-                rows += [key | {"new_start": u.start, "new_end": u.end, "new_end_anchor": u.end_anchor, "new_end_resolved": u.end_resolved} for u in units]
-            yield pd.DataFrame(rows, columns=["doc_id", "k", "span_end", "new_start", "new_end", "new_end_anchor", "new_end_resolved"])
+            for d in frame.to_dict("records"):
+                for w in d["spans"]:
+                    start, end = int(w["span_start"]), int(w["span_end"])
+                    text = d["full_text"][start:end]
+                    try:
+                        made = provider.propose(prompt, text, [{"text": text, "role": None, "label": None}])
+                        units, _, _ = batch_units(made["payload_json"], text, start, True)
+                    except Exception:  # noqa: BLE001  a failed call leaves its unit as it is
+                        units = []
+                    for u in units:
+                        told = {"new_start": u.start, "new_end": u.end, "new_end_quote": u.end_quote, "new_end_resolved": u.end_resolved}
+                        rows.append({"doc_id": d["doc_id"], "k": w["k"], "span_end": end} | told | _moved(d["full_text"], list(w["segments"]), u.end))
+            yield pd.DataFrame(rows, columns=names)
 
     return ask
 
@@ -39,23 +54,21 @@ def _asked(provider: Provider, prompt: str):
 def refine(extraction: Extraction, provider: Provider, profile: Profile) -> Extraction:
     """One call for each unit that needs it, on its window; ends that are acceptable replace the old ones.
 
-    A refined unit's single segment, texts and flags follow its new end. The calls of
+    A refined unit's last segment, texts and flags follow its new end. The calls of
     the extraction stay as they are; second calls are written before they are read.
+    A document's text meets its windows once, however many there are.
     """
     ends = extraction.blocks.groupBy("doc_id").agg(F.max("char_end").alias("range_end"))
-    spans = windows(extraction.units, ends).select("doc_id", "k", "span_start", "span_end").join(extraction.docs.select("doc_id", "full_text"), "doc_id")
-    spans = spans.withColumn("text", text_slice(F.col("full_text"), F.col("span_start"), F.col("span_end"))).drop("full_text")
+    spans = windows(extraction.units, ends).groupBy("doc_id").agg(F.collect_list(F.struct("k", "span_start", "span_end", "segments")).alias("spans"))
+    spans = spans.join(extraction.docs.select("doc_id", "full_text"), "doc_id")
     kind = extraction.docs.schema["doc_id"].dataType.simpleString()
-    found = stored(spans.mapInPandas(_asked(provider, system_prompt(profile, refining=True)), f"doc_id {kind}, k int, span_end long, {FOUND}"), "refined")
-    units = merge(extraction.units, found)
-    last = F.element_at("segments", -1)
-    moved = F.when(F.size("segments") > 0, F.concat(F.slice("segments", 1, F.greatest(F.size("segments") - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.col("end").alias("end"), last["role"].alias("role")))))
-    units = units.withColumn("segments", F.when(F.col("refined"), moved).otherwise(F.col("segments"))).join(extraction.docs.select("doc_id", "full_text"), "doc_id")
-    fresh = {f"{r}_text": F.when(F.col("refined"), role_text(F.col("full_text"), F.col("segments"), r)).otherwise(F.col(f"{r}_text")) for r in ("requirement", "questionnaire", "context")}
-    units = units.withColumns(fresh)
-    flags = {"end_resolved": F.lit(True), "segments_partial": F.lit(False), "status": F.lit("complete"), "verbatim_match": F.col("requirement_text") != ""}
-    units = units.withColumns({c: F.when(F.col("refined"), v).otherwise(F.col(c)) for c, v in flags.items()})
-    return Extraction(extraction.docs, extraction.blocks, extraction.calls, units.drop("full_text"))
+    asked = spans.mapInPandas(_asked(provider, system_prompt(profile, refining=True)), f"doc_id {kind}, k int, span_end long, {FOUND}")
+    units = merge(extraction.units, stored(asked, "refined"))
+    fresh = {f"{r}_text": F.col(f"new_{r}_text") for r in KNOWN_ROLES} | {"segments": F.col("new_segments")}
+    flags = {"end_resolved": F.lit(True), "segments_partial": F.lit(False), "status": F.lit("complete"), "verbatim_match": F.col("new_requirement_text") != ""}
+    units = units.withColumns({c: F.when(F.col("refined"), v).otherwise(F.col(c)) for c, v in (fresh | flags).items()})
+    units = units.drop("new_segments", *[f"new_{r}_text" for r in KNOWN_ROLES])
+    return Extraction(extraction.docs, extraction.blocks, extraction.calls, units)
 
 
 def save_json(rows: DataFrame, folder: str) -> None:
@@ -63,6 +76,12 @@ def save_json(rows: DataFrame, folder: str) -> None:
     rows.select("json").write.mode("overwrite").text(folder)
 
 
+def save_pretty(text: str, path: str | Path) -> None:
+    """Write one artifact to a local file, indented; missing folders are made."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(pretty(text), encoding="utf-8")
+
+
 def pretty(text: str) -> str:
     """An artifact indented for reading, non-ASCII kept."""
     return json.dumps(json.loads(text), indent=2, ensure_ascii=False)

@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, in local mode alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return root or f"{tempfile.gettempdir()}/checkpoints"
+
+
+def _remove_all() -> None:
+    for spark, path in _made:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM may have gone first
+            return
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write rows as Parquet below spark.checkpoint.dir (a temporary folder only where unset) and read them back."""
+    """Write rows as Parquet below spark.checkpoint.dir and read them back; removed when the driver ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_all)
+    _made.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

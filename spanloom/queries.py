@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import anchors, batching, blocks, segments, views
+from spanloom.operators import batching, blocks, quotes, segments, views
 from spanloom.plans.engine import Extraction, extract
 from spanloom.plans.providers import RuleBased
 from spanloom.plans.settings import Profile, Settings
@@ -238,7 +238,7 @@ _NEEDLE = _collapsed("quote")
 
 
 @query(f"WITH {_QUOTES} SELECT doc_id, block_idx, (instr(norm, {_NEEDLE}) - 1)::BIGINT AS at FROM quotes")
-def anchor_exact(spark, sf_dir):
+def quote_exact(spark, sf_dir):
     return _quotes(spark, sf_dir).select("doc_id", "block_idx", T.find(F.col("norm"), F.col("quote"), F.lit(0)).alias("at"))
 
 
@@ -256,16 +256,16 @@ def _spoiled(spark, sf_dir, front):
     words = F.split(T.collapse(F.col("text")), " ")
     rows = _quotes(spark, sf_dir).withColumn("w", words)
     quote = F.concat_ws(" ", F.lit("ZZZ"), F.array_join(F.slice("w", F.greatest(-F.size("w"), F.lit(-9)), F.lit(9)), " ")) if front else F.concat_ws(" ", F.array_join(F.slice("w", 1, 9), " "), F.lit("ZZZ"))
-    return rows.withColumn("hit", anchors.find_shortened(F.col("norm"), quote, front)).select("doc_id", "block_idx", "hit.at", "hit.chars")
+    return rows.withColumn("hit", quotes.find_shortened(F.col("norm"), quote, front)).select("doc_id", "block_idx", "hit.at", "hit.chars")
 
 
 @query(_shortened_sql(False))
-def anchor_prefix_unique(spark, sf_dir):
+def quote_prefix_unique(spark, sf_dir):
     return _spoiled(spark, sf_dir, False)
 
 
 @query(_shortened_sql(True))
-def anchor_suffix_unique(spark, sf_dir):
+def quote_suffix_unique(spark, sf_dir):
     return _spoiled(spark, sf_dir, True)
 
 
@@ -275,9 +275,9 @@ def anchor_suffix_unique(spark, sf_dir):
   SELECT q.doc_id, q.block_idx, CASE WHEN p > 0 THEN p - 1 + since ELSE -1 END, CASE WHEN p > 0 THEN p + since ELSE since END
   FROM (SELECT q.doc_id, q.block_idx, w.since, instr(substr(q.norm, w.since + 1), {_NEEDLE})::BIGINT AS p FROM walk w JOIN quotes q ON q.doc_id = w.doc_id AND q.block_idx = w.block_idx + 1) q)
 SELECT doc_id, block_idx, pos AS at FROM walk WHERE block_idx >= 0""")
-def anchor_ordered_starts(spark, sf_dir):
+def quote_ordered_starts(spark, sf_dir):
     rows = _quotes(spark, sf_dir).groupBy("doc_id").agg(F.first("norm").alias("norm"), F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "quote"))), lambda x: x["quote"]).alias("quotes"))
-    found = rows.select("doc_id", F.posexplode(anchors.ordered_starts(F.col("norm"), F.col("quotes"))).alias("block_idx", "at"))
+    found = rows.select("doc_id", F.posexplode(quotes.ordered_starts(F.col("norm"), F.col("quotes"))).alias("block_idx", "at"))
     return found.select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "at")
 
 
@@ -336,24 +336,24 @@ found AS (SELECT s.*, w.batch_no + 1 AS chunk_id, s.block_idx + 1 AS sequence, s
 _FLAGGED = "role <> 'requirement'"
 
 
-@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS anchor_id, sequence, substr(doc_hash, 1, 12) || ':' || char_start AS span_key, 'complete' AS status, role = 'requirement' AS verbatim_match,
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS unit_id, sequence, substr(doc_hash, 1, 12) || ':' || char_start AS span_key, 'complete' AS status, role = 'requirement' AS verbatim_match,
 true AS end_resolved, 1 AS n_segments, char_start AS doc_offset_start, char_end AS doc_offset_end, chunk_id AS source_chunk_id, CASE WHEN {_FLAGGED} THEN 'empty_text' ELSE '' END AS warnings FROM found""")
 def units_view(spark, sf_dir):
     e = extraction(spark, sf_dir)
     made = views.units_view(e.units, e.docs)
-    return made.select("doc_id", "anchor_id", "sequence", "span_key", "status", "verbatim_match", "end_resolved", "n_segments", "doc_offset_start", "doc_offset_end", "source_chunk_id", F.array_join("warnings", ",").alias("warnings"))
+    return made.select("doc_id", "unit_id", "sequence", "span_key", "status", "verbatim_match", "end_resolved", "n_segments", "doc_offset_start", "doc_offset_end", "source_chunk_id", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS anchor_id, 0 AS segment_index, role, text, '{{"req_id": "' || label || '"}}' AS metadata, char_start AS doc_offset_start, char_end AS doc_offset_end, page AS page_start FROM found""")
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS unit_id, 0 AS segment_index, role, text, '{{"req_id": "' || label || '"}}' AS metadata, char_start AS doc_offset_start, char_end AS doc_offset_end, page AS page_start FROM found""")
 def segments_view(spark, sf_dir):
     e = extraction(spark, sf_dir)
-    return views.segments_view(e.units, e.docs, e.blocks)
+    return views.segments_view(e.units, e.blocks)
 
 
 @query(f"""WITH RECURSIVE {_EXTRACTED}, w AS (SELECT *, string_split(text, ' ') AS ws FROM found)
-SELECT doc_id, sequence::VARCHAR AS anchor_id, 0 AS segment_index, array_to_string(ws[1:least(6, len(ws) - len(ws) // 2)], ' ') AS start_anchor, CASE WHEN len(ws) > 1 THEN array_to_string(ws[-least(6, len(ws) // 2):], ' ') END AS end_anchor, role, '{{"req_id": "' || label || '"}}' AS metadata FROM w""")
-def anchors_view(spark, sf_dir):
-    return views.anchors_view(extraction(spark, sf_dir).units).drop("end_before_anchor", "start_after_anchor")
+SELECT doc_id, sequence::VARCHAR AS unit_id, 0 AS segment_index, array_to_string(ws[1:least(6, len(ws) - len(ws) // 2)], ' ') AS start_quote, CASE WHEN len(ws) > 1 THEN array_to_string(ws[-least(6, len(ws) // 2):], ' ') END AS end_quote, role, '{{"req_id": "' || label || '"}}' AS metadata FROM w""")
+def quotes_view(spark, sf_dir):
+    return views.quotes_view(extraction(spark, sf_dir).units).drop("end_before_quote", "start_after_quote")
 
 
 @query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, chunk_id, 'rule-based' AS model_used, (max(char_end) - min(char_start) - (max(page) - min(page))) // 4 + 1 AS input_tokens, 20 * count(*) AS output_tokens,
@@ -420,7 +420,7 @@ def refine_windows(spark, sf_dir):
     from spanloom.operators.refine import windows
 
     rows = conversation_blocks(spark, sf_dir)
-    units = rows.select("doc_id", F.col("block_idx").alias("k"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), (F.col("block_idx") % 3 == 1).alias("end_inferred_from_next_start"), F.lit(False).alias("end_anchor_unresolved"))
+    units = rows.select("doc_id", F.col("block_idx").alias("k"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), (F.col("block_idx") % 3 == 1).alias("end_inferred_from_next_start"), F.lit(False).alias("end_quote_unresolved"))
     ends = rows.groupBy("doc_id").agg(F.max("char_end").alias("range_end"))
     return windows(units, ends).select("doc_id", "k", "span_start", "span_end")
 
@@ -428,10 +428,10 @@ def refine_windows(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, count(*)::INT AS n_units, substr(any_value(doc_hash), 1, 64) AS document_id, min(label) AS first_id FROM found GROUP BY doc_id""")
 def units_json(spark, sf_dir):
     e = extraction(spark, sf_dir)
-    made = views.units_json(e.units, e.docs, "conversations", STAMP)
-    ids = F.from_json("json", "n_units int, document_id string, units array<struct<metadata:string>>")
+    made = views.units_json(e.units, e.docs, e.blocks, "conversations", STAMP)
+    ids = F.from_json("json", "n_units int, document_id string, units array<struct<metadata:struct<req_id:string>>>")
     parsed = made.select("doc_id", ids.alias("j"))
-    first = F.array_min(F.transform("j.units", lambda u: F.get_json_object(u["metadata"], "$.req_id")))
+    first = F.array_min(F.transform("j.units", lambda u: u["metadata"]["req_id"]))
     return parsed.select("doc_id", "j.n_units", "j.document_id", first.alias("first_id"))
 
 
@@ -453,3 +453,107 @@ def blocks_json(spark, sf_dir):
     fields = "source struct<hash_prefix:string>, summary struct<n_blocks:bigint,n_chars:bigint>, blocks array<struct<block_idx:bigint,page:int,page_block_idx:int,text:string,char_start:bigint,char_end:bigint>>"
     made = views.blocks_json(rows, blocks.documents(rows)).select("doc_id", F.from_json("json", fields).alias("j"))
     return made.select("doc_id", F.inline("j.blocks"), "j.summary.n_blocks", "j.summary.n_chars", "j.source.hash_prefix")
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, coalesce(min(block_idx) FILTER (page >= 2), max(block_idx) + 1) AS first_block, coalesce(max(block_idx) FILTER (page <= 3), -1) AS last_block FROM spans GROUP BY doc_id")
+def page_ranges(spark, sf_dir):
+    return blocks.page_range(conversation_blocks(spark, sf_dir), 2, 3)
+
+
+@query(f"""WITH {_BLOCKS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) AS sequence, char_start AS doc_offset_start, char_end AS doc_offset_end, label AS source_id
+FROM spans WHERE page BETWEEN 2 AND 3""")
+def extract_pages(spark, sf_dir):
+    """Units of two pages alone, at their places in the whole document."""
+    profile, settings = Profile("conversations", roles=T.KNOWN_ROLES), Settings(target_input_tokens=BUDGET)
+    units = extract(conversation_blocks(spark, sf_dir), profile, RuleBased(), settings, start_page=2, end_page=3).units
+    found = segments.source_id(F.transform("specs", lambda s: s["metadata"]))
+    return units.select("doc_id", "sequence", F.col("start").alias("doc_offset_start"), F.col("end").alias("doc_offset_end"), found.alias("source_id"))
+
+
+_EDGES = f"""{_BLOCKS}, most AS (SELECT doc_id, max(page) AS last_page FROM spans GROUP BY doc_id),
+inner_ AS (SELECT s.doc_id, s.page, s.block_idx, text, last_page FROM spans s JOIN most USING (doc_id) WHERE page > 1 AND page < last_page)"""
+
+
+def _edge_blocks(spark, sf_dir):
+    """Conversations whose first and last page keep no block, though they were read."""
+    rows = conversation_blocks(spark, sf_dir)
+    last = rows.groupBy("doc_id").agg(F.max("page").alias("last_page"))
+    kept = rows.join(last, "doc_id").where("page > 1 AND page < last_page").select("doc_id", "page", F.col("block_idx").alias("ord"), "text", "last_page")
+    return blocks.with_offsets(kept.withColumn("first_page", F.lit(1)))
+
+
+@query(f"""WITH {_EDGES} SELECT doc_id, row_number() OVER w - 1 AS block_idx, page,
+(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + page - 1)::BIGINT AS char_start FROM inner_ WINDOW w AS (PARTITION BY doc_id ORDER BY page, block_idx)""")
+def empty_edge_pages(spark, sf_dir):
+    """Offsets count from the first page read, whether it kept a block or not."""
+    return _edge_blocks(spark, sf_dir).select("doc_id", "block_idx", "page", "char_start")
+
+
+@query(f"""WITH {_EDGES}, g AS (SELECT doc_id, unnest(generate_series(1, last_page))::INT AS page FROM (SELECT DISTINCT doc_id, last_page FROM inner_)),
+p AS (SELECT g.doc_id, g.page, coalesce(string_agg(text || chr(10), '' ORDER BY block_idx), '') || chr(10) AS t FROM g LEFT JOIN inner_ i ON i.doc_id = g.doc_id AND i.page = g.page GROUP BY ALL)
+SELECT doc_id, sha256(string_agg(t, '' ORDER BY page)) AS doc_hash, max(page) AS end_page FROM p GROUP BY doc_id""")
+def empty_edge_texts(spark, sf_dir):
+    return blocks.documents(_edge_blocks(spark, sf_dir)).select("doc_id", "doc_hash", "end_page")
+
+
+_RAW = f"raw AS (SELECT l_orderkey, position, (1 + l_orderkey % 3)::INT AS page, x0, y0, x1, y1, text, {_BAND} AS band FROM (WITH {_BOXES} SELECT * FROM boxes) WHERE 1 + l_orderkey % 3 <= 2)"
+_NOISY = r"regexp_full_match(text, '\d{1,4}') OR (length(text) <= 3 AND regexp_full_match(text, '[\d.\-–—]+')) OR regexp_full_match(text, 'Part 1.*')"
+
+
+def _raw_boxes(spark, sf_dir):
+    rows = _boxes(spark, sf_dir)
+    return rows.select(
+        (F.col("l_orderkey") % 50).cast("string").alias("doc_id"), (1 + F.col("l_orderkey") % 3).cast("int").alias("page"), F.pmod(F.xxhash64("l_orderkey", "position"), F.lit(2147483647)).cast("int").alias("block_no"),
+        "x0", "y0", "x1", "y1", F.lit(612.0).alias("page_w"), F.lit(792.0).alias("page_h"), "text",
+    )
+
+
+@query(f"""WITH {_RAW} SELECT (l_orderkey % 50)::VARCHAR AS doc_id, count(*) AS n_blocks_seen, count(*) FILTER (band <> 'body' OR {_NOISY}) AS n_blocks_removed,
+count(*) FILTER (band <> 'body') AS margin_dropped, count(*) FILTER (band = 'body' AND ({_NOISY})) AS pattern_dropped FROM raw GROUP BY ALL""")
+def cleaning_counts(spark, sf_dir):
+    """Boxes seen and dropped in the first two pages of every document."""
+    from spanloom.sources.readers import cleaning_counts as counts
+
+    return counts(_raw_boxes(spark, sf_dir), True, ("Part 1.*",), 1, 2)
+
+
+@query(f"""WITH {_RAW}, kept AS (SELECT (l_orderkey % 50)::VARCHAR AS doc_id, page, text FROM raw WHERE NOT (band <> 'body' OR {_NOISY})),
+pages AS (SELECT DISTINCT (l_orderkey % 50)::VARCHAR AS doc_id, page FROM raw),
+n AS (SELECT doc_id, page, count(*) AS n, sum(length(text) + 1) AS chars FROM kept GROUP BY ALL),
+s AS (SELECT pages.*, coalesce(n, 0) AS n_blocks, coalesce(sum(chars) OVER (PARTITION BY pages.doc_id ORDER BY pages.page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, chars FROM pages LEFT JOIN n USING (doc_id, page))
+SELECT doc_id, page, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, CASE WHEN n_blocks > 0 THEN (before + page - 1)::BIGINT END AS char_start,
+       CASE WHEN n_blocks > 0 THEN (before + page - 1 + chars - 1)::BIGINT END AS char_end, n_blocks FROM s""")
+def page_sizes(spark, sf_dir):
+    """Pages with their sizes, kept blocks and offsets, from positioned boxes through the whole reader."""
+    from spanloom.sources.readers import from_raw_blocks, page_table
+
+    raw = _raw_boxes(spark, sf_dir)
+    return page_table(raw, from_raw_blocks(raw, patterns=("Part 1.*",), start_page=1, end_page=2), 1, 2)
+
+
+@query(f"""WITH t AS (SELECT item_id % 4 AS part, item_id, {_norm("text")} AS text FROM benchmark),
+b AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY item_id) - 1 AS block_idx, coalesce(sum(length(text) + 1) OVER (PARTITION BY part ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start
+      FROM t WHERE length(text) > 0)
+SELECT part, block_idx, text, char_start, char_start + length(text) AS char_end FROM b""")
+def text_files(spark, sf_dir):
+    """Benchmark passages written as four text files, read back as documents of paragraphs."""
+    import uuid
+
+    from spanloom.plans.storage import shared_folder
+    from spanloom.sources.readers import read_text
+
+    root = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("part"), "item_id", F.col("text").alias("value"))
+    rows = rows.repartition(4, "part").sortWithinPartitions("part", "item_id").select("part", "value")
+    rows.write.partitionBy("part").option("lineSep", "\n\n").text(root)
+    made = read_text(spark, f"{root}/*/*.txt")
+    return made.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "block_idx", "text", "char_start", "char_end")
+
+
+_ROLE_CASES = [None, "", "  ", " context ", "other", "\u00a0requirement\u2003"]
+
+
+@query("SELECT i::INT AS i, role FROM (VALUES (0, 'requirement'), (1, 'requirement'), (2, 'requirement'), (3, 'context'), (4, 'other'), (5, 'requirement')) AS t(i, role)")
+def role_defaults(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(_ROLE_CASES)), "i int, role string")
+    return rows.select("i", T.normalize_role(F.col("role")).alias("role"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import blocks as B
@@ -51,7 +51,7 @@ def read(spark: SparkSession, path: str, **options) -> Document:
 
 def tabular(e: Extraction) -> dict[str, DataFrame]:
     """The four flat views by name."""
-    return {"segments": views.segments_view(e.units, e.docs, e.blocks), "units": views.units_view(e.units, e.docs), "anchors": views.anchors_view(e.units), "calls": views.calls_view(e.calls)}
+    return {"segments": views.segments_view(e.units, e.blocks), "units": views.units_view(e.units, e.docs), "quotes": views.quotes_view(e.units), "calls": views.calls_view(e.calls)}
 
 
 def register(e: Extraction, prefix: str = "") -> list[str]:
@@ -62,6 +62,14 @@ def register(e: Extraction, prefix: str = "") -> list[str]:
     return [f"{prefix}{x}" for x in tables]
 
 
+def find_unit(e: Extraction, which: int | str) -> Row:
+    """The record of the first unit with that sequence number or unit id; KeyError if there is none."""
+    row = views.inspect(e.units, e.calls, which, e.docs).orderBy("doc_id").first()
+    if row is None:
+        raise KeyError(which)
+    return row
+
+
 def resolve_provider(name: str | None = None, payloads: dict[str, str] | None = None) -> Provider:
     """The provider by name, else by SPANLOOM_PROVIDER, else recorded payloads if there are any, else rule-based."""
     name = (name or os.environ.get("SPANLOOM_PROVIDER") or "auto").strip().lower()

@@ -11,23 +11,27 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import WS, normalize_block
 from spanloom.operators.blocks import is_noise, margin_band, reading_order, with_offsets
+from spanloom.plans.settings import Settings
 
 RAW = "doc_id string, page int, block_no int, x0 double, y0 double, x1 double, y1 double, page_w double, page_h double, text string"
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
+def paragraphs(docs: DataFrame, *keep: str) -> DataFrame:
     """Texts (doc_id, text) cut at blank lines into normalized, non-empty blocks numbered from 0."""
     plain = F.regexp_replace("text", "\r\n?", "\n")
     parts = F.transform(F.split(plain, rf"\n{WS}*\n", -1), normalize_block)
-    return docs.select("doc_id", F.posexplode(F.filter(parts, lambda p: F.length(p) > 0)).alias("block_no", "text"))
+    return docs.select("doc_id", *keep, F.posexplode(F.filter(parts, lambda p: F.length(p) > 0)).alias("block_no", "text"))
 
 
 def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Blocks of UTF-8 text files, with path and doc_hash; doc_id is the hash of the bytes. Other bytes are an error."""
-    files = spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
-    files = files.dropDuplicates(["doc_id"])
-    made = paragraphs(files).select("doc_id", F.lit(1).alias("page"), F.col("block_no").alias("ord"), "block_no", "text")
-    return with_offsets(made).join(files.select("doc_id", "path"), "doc_id").withColumn("doc_hash", F.col("doc_id"))
+    """Blocks of UTF-8 text files; doc_id is the path, doc_hash the hash of the bytes. Other bytes are an error.
+
+    Files with equal bytes are documents of their own, with equal hashes.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    files = files.select(F.col("path").alias("doc_id"), F.sha2("content", 256).alias("doc_hash"), F.decode("content", "UTF-8").alias("text"))
+    made = paragraphs(files, "doc_hash").withColumn("page", F.lit(1)).withColumn("ord", F.col("block_no"))
+    return with_offsets(made).withColumn("path", F.col("doc_id"))
 
 
 def quarantine(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -37,13 +41,46 @@ def quarantine(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     return files.where(fine), files.where(~fine)
 
 
-def from_raw_blocks(raw: DataFrame, detect_columns: bool = True, drop_margins: bool = True, patterns: tuple[str, ...] = (), start_page: int | None = None, end_page: int | None = None) -> DataFrame:
-    """Blocks from positioned boxes (RAW): page range, bands, reading order, noise filter, offsets."""
-    rows = raw
+def _in_range(raw: DataFrame, start_page: int | None, end_page: int | None) -> DataFrame:
+    """Boxes of the pages in range, with the first and last page of the range in each document."""
+    rows, first = raw, max(start_page or 1, 1)
     if start_page is not None:
         rows = rows.where(F.col("page") >= start_page)
     if end_page is not None:
         rows = rows.where(F.col("page") <= end_page)
+    last = rows.groupBy("doc_id").agg(F.max("page").cast("int").alias("last_page"))
+    return rows.join(last, "doc_id").withColumn("first_page", F.lit(first))
+
+
+def cleaning_counts(
+    raw: DataFrame, drop_margins: bool = True, patterns: tuple[str, ...] = (), start_page: int | None = None, end_page: int | None = None
+) -> DataFrame:
+    """Per document: boxes seen and removed, and how many of them a margin, or else a pattern or emptiness, removed."""
+    rows = _in_range(raw, start_page, end_page).where("text IS NOT NULL").withColumn("text", normalize_block(F.col("text")))
+    margin = (margin_band(F.col("y0"), F.col("y1"), F.col("page_h")) != "body") & F.lit(drop_margins)
+    blank, noise = F.length("text") == 0, is_noise(F.col("text"), None, patterns)
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_blocks_seen"), F.count_if(margin | noise).alias("n_blocks_removed"),
+        F.count_if(margin & ~blank).alias("margin_dropped"), F.count_if(~margin & noise & ~blank).alias("pattern_dropped"),
+    )
+
+
+def page_table(raw: DataFrame, blocks: DataFrame, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
+    """Every page in range, empty ones that have a row too: its size, and its kept blocks with their offsets."""
+    sizes = _in_range(raw, start_page, end_page).groupBy("doc_id", "page").agg(F.max("page_w").alias("width"), F.max("page_h").alias("height"))
+    kept = blocks.groupBy("doc_id", "page").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.count(F.lit(1)).alias("n_blocks"))
+    return sizes.join(kept, ["doc_id", "page"], "left").na.fill(0, ["n_blocks"])
+
+
+def from_raw_blocks(
+    raw: DataFrame, detect_columns: bool = True, drop_margins: bool = True, patterns: tuple[str, ...] = (), start_page: int | None = None, end_page: int | None = None
+) -> DataFrame:
+    """Blocks from positioned boxes (RAW): page range, bands, reading order, noise filter, offsets.
+
+    Offsets count from the range's first page, which is page 1 by default. A row without text
+    stands for a page that has no boxes.
+    """
+    rows = _in_range(raw, start_page, end_page)
     rows = rows.withColumn("band", margin_band(F.col("y0"), F.col("y1"), F.col("page_h")))
     rows = rows.withColumn("_band", F.when(F.col("band") == "header", 0).when(F.col("band") == "body", 1).otherwise(2))
     if detect_columns:
@@ -55,36 +92,41 @@ def from_raw_blocks(raw: DataFrame, detect_columns: bool = True, drop_margins: b
     rows = rows.withColumn("ord", F.struct("_band" if detect_columns else F.lit(0), key, "block_no"))
     rows = rows.withColumn("text", normalize_block(F.col("text")))
     band = F.col("band") if drop_margins else None
-    kept = rows.where(~is_noise(F.col("text"), band, patterns))
-    return with_offsets(kept.select("doc_id", "page", "ord", "block_no", "x0", "y0", "x1", "y1", "text"))
+    kept = rows.where(F.col("text").isNotNull() & ~is_noise(F.col("text"), band, patterns))
+    return with_offsets(kept.select("doc_id", "page", "ord", "block_no", "x0", "y0", "x1", "y1", "text", "first_page", "last_page"))
 
 
-def read_pdf(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    """Blocks of PDF files; needs the optional PyMuPDF parser on the executors."""
+def read_pdf(spark: SparkSession, paths: str | list[str], start_page: int | None = None, end_page: int | None = None, **options) -> DataFrame:
+    """Blocks of PDF files; needs the optional PyMuPDF parser on the executors. Only pages in range are parsed."""
     try:
         import fitz  # noqa: F401
     except ImportError as e:
         raise RuntimeError("reading PDF files needs the optional PyMuPDF package; pass positioned boxes to from_raw_blocks instead") from e
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         import fitz as parser
 
         for frame in frames:
-            for content in frame["content"]:
-                doc_id = hashlib.sha256(content).hexdigest()
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                rows = []
                 with parser.open(stream=content, filetype="pdf") as pdf:
-                    rows = [(doc_id, n + 1, b[5], *map(float, b[:4]), page.rect.width, page.rect.height, b[4]) for n, page in enumerate(pdf) for b in page.get_text("blocks") if b[6] == 0]
+                    for n in range(max((start_page or 1) - 1, 0), min(end_page or len(pdf), len(pdf))):
+                        page = pdf[n]
+                        size = (page.rect.width, page.rect.height)
+                        boxes = [(b[5], *(round(float(x), 2) for x in b[:4]), *size, b[4]) for b in page.get_text("blocks") if b[6] == 0]
+                        rows += [(path, n + 1, *b) for b in boxes or [(None, None, None, None, None, *size, None)]]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in RAW.split(", ")])
 
-    files = spark.read.format("binaryFile").load(paths).select("content")
-    return from_raw_blocks(files.mapInPandas(parsed, RAW), **options)
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    hashes = files.select(F.col("path").alias("doc_id"), F.sha2("content", 256).alias("doc_hash"))
+    return from_raw_blocks(files.mapInPandas(parsed, RAW), start_page=start_page, end_page=end_page, **options).join(hashes, "doc_id")
 
 
 def read(spark: SparkSession, path: str, start_page: int | None = None, end_page: int | None = None, **options) -> DataFrame:
-    """Blocks of a file, by its suffix: .txt (pages don't apply) or .pdf."""
+    """Blocks of a file, by its suffix: .txt (pages don't apply) or .pdf. Margins and patterns go as the settings say."""
     suffix = PurePosixPath(path).suffix.lower()
+    settings = Settings.of(spark)
+    options = {"drop_margins": settings.drop_margin_blocks, "patterns": settings.patterns()} | options
     if suffix == ".txt":
         return read_text(spark, path)
     if suffix == ".pdf":

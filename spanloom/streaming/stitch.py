@@ -26,24 +26,33 @@ class TextWindow:
 def stitch_stream(calls: DataFrame, keep_lone_ends: bool = True) -> DataFrame:
     """Units as they are finished, from a stream of batches.
 
-    ``calls`` has doc_id, chunk_id, char_start, char_end, text (the batch's),
-    payload_json and is_last. A document's batches must arrive in order; the last
+    ``calls`` has doc_id, chunk_id (1, 2, 3, … in each document), char_start, char_end, text (the
+    batch's), payload_json and is_last. Batches that come before their turn are held until
+    the ones before them are there; a batch that comes again is passed over. The last
     one flushes the open unit, whose k counts from 0 in each document. State is the
-    open unit, a counter and the text since the open unit began.
+    open unit, a counter, the text since the open unit began, and what is held.
     """
+    fields = ("chunk_id", "char_start", "char_end", "text", "payload_json", "is_last")
     kind = calls.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(f.strip().split(" ")[0] for f in _split(UNIT_FIELDS))]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"fold": None, "base": 0, "text": "", "k": 0}
+        kept = json.loads(state.get[0]) if state.exists else {"fold": None, "base": 0, "text": "", "k": 0, "next": 1, "held": {}}
         rows, over = [], False
         window = TextWindow(kept["base"], kept["text"])
         fold = restored(window, kept["fold"])
-        for c in pd.concat(list(frames)).sort_values("chunk_id").to_dict("records"):
-            a, b = int(c["char_start"]), int(c["char_end"])
+        turn, held = kept["next"], {int(n): c for n, c in kept["held"].items()}
+        for c in pd.concat(list(frames)).to_dict("records"):
+            if int(c["chunk_id"]) >= turn:
+                plain = {f: c[f] for f in fields} | {f: int(c[f]) for f in fields[:3]} | {"is_last": bool(c["is_last"])}
+                held.setdefault(int(c["chunk_id"]), plain)
+        while not over and turn in held:
+            c = held.pop(turn)
+            turn += 1
+            a, b = c["char_start"], c["char_end"]
             window.text = window.text[: a - window.base].ljust(a - window.base, "\n") + c["text"]
             units, _, _ = batch_units(c["payload_json"], c["text"], a, keep_lone_ends)
-            fold.add(units, int(c["chunk_id"]), a, b)
+            fold.add(units, c["chunk_id"], a, b)
             if c["is_last"]:
                 fold.finish(b)
                 over = True
@@ -54,7 +63,7 @@ def stitch_stream(calls: DataFrame, keep_lone_ends: bool = True) -> DataFrame:
         if over:
             state.remove()
         else:
-            state.update((json.dumps({"fold": state_of(fold), "base": window.base, "text": window.text, "k": kept["k"] + len(rows)}, ensure_ascii=False),))
+            state.update((json.dumps({"fold": state_of(fold), "base": window.base, "text": window.text, "k": kept["k"] + len(rows), "next": turn, "held": held}, ensure_ascii=False),))
         yield pd.DataFrame(rows, columns=names)
 
     return calls.groupBy("doc_id").applyInPandasWithState(step, f"doc_id {kind}, {UNIT_FIELDS}", "kept string", "append", GroupStateTimeout.NoTimeout)

@@ -1,15 +1,17 @@
 """Readers, batching cases, refinement, providers, overflow and streaming."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import batching, blocks, refine, segments
-from spanloom.plans.engine import assemble, extract
+from spanloom.plans.engine import assemble, extract, progress
 from spanloom.plans.providers import CallError, Chain, RuleBased, call
-from spanloom.plans.settings import Profile, Settings, system_prompt
+from spanloom.plans.settings import Profile, Settings, read_prompt, system_prompt
+from spanloom.recorded import Limited, overflow_blocks
 from spanloom.sources import readers
 
 
@@ -81,12 +83,12 @@ def test_titles(spark):
 
 
 def test_refinement(spark):
-    units = spark.createDataFrame([("d", 0, 0, 8, "e", True, False), ("d", 1, 8, 11, None, False, True)], "doc_id string, k int, start long, end long, end_anchor string, end_inferred_from_next_start boolean, end_anchor_unresolved boolean")
+    units = spark.createDataFrame([("d", 0, 0, 8, "e", True, False), ("d", 1, 8, 11, None, False, True)], "doc_id string, k int, start long, end long, end_quote string, end_inferred_from_next_start boolean, end_quote_unresolved boolean")
     ends = spark.createDataFrame([("d", 11)], "doc_id string, range_end long")
     spans = refine.windows(units, ends)
     assert [(r.k, r.span_start, r.span_end) for r in spans.orderBy("k").collect()] == [(0, 0, 8), (1, 8, 11)]
     for rows, wanted in (([(0, 7, "x", True)], 7), ([(0, 8, "x", True)], 8), ([(0, 11, "x", True)], 8), ([(1, 7, "x", True)], 8), ([(0, 7, "x", True), (3, 4, "y", True)], 8), ([(0, 7, None, True)], 8), ([(0, 7, "x", False)], 8)):
-        new = spark.createDataFrame([("d", 0, 8, *r) for r in rows], "doc_id string, k int, span_end long, new_start long, new_end long, new_end_anchor string, new_end_resolved boolean")
+        new = spark.createDataFrame([("d", 0, 8, *r) for r in rows], "doc_id string, k int, span_end long, new_start long, new_end long, new_end_quote string, new_end_resolved boolean")
         got = {r.k: r for r in refine.merge(units, new).collect()}
         assert got[0].end == wanted and got[1].end == 11
         assert got[0].refined == (rows[0][1] == wanted and len(rows) == 1 and rows[0][0] == 0 and rows[0][2] is not None and rows[0][3])
@@ -138,8 +140,9 @@ def test_a_failed_call_costs_its_batch(spark):
 def test_chain_retries_and_falls_back():
     seen = []
 
-    def send(model, prompt, text):
+    def send(model, prompt, text, **options):
         seen.append(model)
+        assert options == {"max_tokens": 8000, "temperature": 0.0}
         if model == "a":
             raise CallError("busy", status=503)
         if model == "b":
@@ -167,8 +170,8 @@ class Endless:
 
     def propose(self, prompt, text, blocks):
         if "exactly one item" in prompt:
-            return call({"requirements": [{"status": "complete", "start_anchor": " ".join(text.split()[:3]), "end_anchor": " ".join(text.split()[3:7])}]})
-        return call({"requirements": [{"start_anchor": " ".join(b["text"].split()[:3])} for b in blocks]})
+            return call({"requirements": [{"status": "complete", "start_quote": " ".join(text.split()[:3]), "end_quote": " ".join(text.split()[3:7])}]})
+        return call({"requirements": [{"start_quote": " ".join(b["text"].split()[:3])} for b in blocks]})
 
 
 def test_refinement_asks_again(spark):
@@ -197,11 +200,14 @@ def test_document_and_views(spark, tmp_path):
     e = extract(d.table, Profile("p", boundary_pattern="HEAD"), session.resolve_provider("rule-based"))
     names = session.register(e, "t_")
     assert spark.sql("SELECT count(*) FROM t_units").first()[0] == 4 and "t_calls" in names
-    assert views.segments_view(e.units, e.docs, e.blocks).where("text = 'body of one is here'").count() == 1
+    assert views.segments_view(e.units, e.blocks).where("text = 'body of one is here'").count() == 1
     one = views.inspect(e.units, e.calls, 2).first()
     assert one.sequence == 2 and one.llm_calls[0].chunk_id == 1 and views.inspect(e.units, e.calls, "9").count() == 0
+    assert session.find_unit(e, "2").extracted_slice == "body of one is here" and views.inspect(e.units, e.calls, True).count() == 0
+    with pytest.raises(KeyError):
+        session.find_unit(e, "9")
     stamp = "2024-01-02T03:04:05+00:00"
-    made = json.loads(views.units_json(e.units, e.docs, "f", stamp, "requirements").first().json)
+    made = json.loads(views.units_json(e.units, e.docs, e.blocks, "f", stamp, "requirements").first().json)
     assert made["n_requirements"] == 4 and made["requirements"][0]["uid"] == made["run_id"] + "#r0000" and made["run_id"].startswith("20240102T030405Z-")
     plans = batching.section_ids(batching.plan_batches(d.table, 8, "HEAD"), d.table, "HEAD ([a-z]+)").orderBy("batch_no")
     assert [r.section_ids for r in plans.collect()] == [["one"], ["two"]]
@@ -238,8 +244,8 @@ def test_stream_stitches_like_the_batch(spark, tmp_path):
     from spanloom.streaming.stitch import stitch_stream
 
     text = "\n".join(TEXTS) + "\n\n"
-    one = {"requirements": [{"status": "complete", "start_anchor": "block zero", "end_anchor": "over there zero"}, {"status": "truncated_at_end", "start_anchor": "block one"}]}
-    two = {"requirements": [{"status": "truncated_at_start", "end_anchor": "over there two"}, {"status": "complete", "start_anchor": "block three", "end_anchor": "over there three"}]}
+    one = {"requirements": [{"status": "complete", "start_quote": "block zero", "end_quote": "over there zero"}, {"status": "truncated_at_end", "start_quote": "block one"}]}
+    two = {"requirements": [{"status": "truncated_at_start", "end_quote": "over there two"}, {"status": "complete", "start_quote": "block three", "end_quote": "over there three"}]}
     cut = text.index("block two")
     fields = "doc_id string, chunk_id long, char_start long, char_end long, text string, payload_json string, is_last boolean, stop_reason string, failed boolean, overflowed boolean"
     calls = [("d", 1, 0, cut - 1, text[: cut - 1], json.dumps(one), False, "", False, False), ("d", 2, cut, len(text) - 2, text[cut : len(text) - 2], json.dumps(two), True, "", False, False)]
@@ -262,3 +268,111 @@ def test_no_batch_of_a_document_is_dropped(spark):
     calls = e.calls.orderBy("chunk_id").collect()
     assert [c.chunk_id for c in calls] == list(range(1, len(calls) + 1)) and len(calls) > 3
     assert calls[-1].last_block == 8 and e.units.count() == 9
+
+
+class Counting:
+    """Writes a line for every call; finds batches of several blocks too long if one is dense."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def propose(self, prompt, text, blocks):
+        with open(self.path, "a") as out:
+            out.write(f"{len(blocks)}\n")
+        return Limited().propose(prompt, text, blocks)
+
+
+def test_overflow_repeats_no_call(spark, tmp_path):
+    log = tmp_path / "calls"
+    e = extract(overflow_blocks(spark), Profile("p"), Counting(str(log)), Settings(target_input_tokens=38, min_input_tokens=10))
+    assert e.units.count() == 30 and e.calls.count() == 13 and len(log.read_text().split()) == 13
+    # at the floor, and for a batch of one block, there is nothing to try again
+    log.unlink()
+    e = extract(overflow_blocks(spark), Profile("p"), Counting(str(log)), Settings(target_input_tokens=38, min_input_tokens=38))
+    assert len(log.read_text().split()) == 10 and e.units.count() == 27
+    assert progress(e) == {"calls": 10, "failed": 0, "overflowed": 1, "malformed": 0, "ok": 9, "units": 27, "truncated": 0}
+
+
+def test_equal_files_are_two_documents(spark, tmp_path):
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("one\n\ntwo")
+    rows = readers.read_text(spark, str(tmp_path))
+    assert rows.select("path").distinct().count() == 2 and rows.select("doc_hash").distinct().count() == 1
+    assert blocks.documents(rows).select("full_text").distinct().count() == 1 and rows.count() == 4
+
+
+def test_pages_without_blocks(spark):
+    raw = [("d", 2, 1, 10.0, 100.0, 60.0, 110.0, 612.0, 792.0, "body"), ("d", 4, None, None, None, None, None, 612.0, 792.0, None), ("d", 3, 2, 10.0, 5.0, 60.0, 9.0, 612.0, 792.0, "head")]
+    raw = spark.createDataFrame(raw, readers.RAW)
+    got = readers.from_raw_blocks(raw)
+    assert [(r.char_start, r.char_end) for r in got.collect()] == [(1, 5)]
+    assert blocks.documents(got).first().full_text == "\nbody\n\n\n\n" and blocks.documents(got).first().end_page == 4
+    assert [(r.char_start, r.page) for r in readers.from_raw_blocks(raw, start_page=2, end_page=2).collect()] == [(0, 2)]
+    assert [tuple(r) for r in readers.cleaning_counts(raw).collect()] == [("d", 2, 1, 1, 0)]
+    assert [(r.page, r.n_blocks, r.height) for r in readers.page_table(raw, got).orderBy("page").collect()] == [(2, 1, 792.0), (3, 0, 792.0), (4, 0, 792.0)]
+
+
+def test_page_range_and_budget(spark):
+    rows = doc(spark, TEXTS, page=lambda i: 1 + i // 2)
+    e = extract(rows, Profile("p"), RuleBased(), Settings(target_input_tokens=500), start_page=2, end_page=2)
+    assert [u.requirement_text for u in e.units.orderBy("k").collect()] == TEXTS[2:4] and e.calls.count() == 1
+    assert extract(rows, Profile("p"), RuleBased(), start_page=9).calls.count() == 0
+    with pytest.raises(ValueError):
+        extract(rows, Profile("p"), RuleBased(), start_page=3, end_page=2)
+
+
+def test_prompt_files(tmp_path):
+    path = tmp_path / "rules.txt"
+    path.write_text("\n Find rules. \n")
+    assert Profile.from_file(path) == Profile("rules", "Find rules.")
+    path.write_text(" \n")
+    with pytest.raises(ValueError):
+        read_prompt(path)
+    with pytest.raises(FileNotFoundError):
+        read_prompt(tmp_path / "none.txt")
+
+
+def made_client():
+    def create(**request):
+        if "max_completion_tokens" not in request and "system" not in request:
+            raise CallError("max_tokens is not supported here", status=400)
+        if "system" in request:
+            assert request["tool_choice"] == {"type": "tool", "name": "record_units"}
+            return {"content": [{"type": "text"}, {"type": "tool_use", "input": {"requirements": []}}], "usage": {"input_tokens": 3, "output_tokens": 4}, "stop_reason": "tool_use"}
+        call = {"function": {"arguments": '{"requirements": [1]}'}}
+        return {"choices": [{"message": {"tool_calls": [call]}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 5, "completion_tokens": 6}}
+
+    made_client.times = getattr(made_client, "times", 0) + 1
+    return create
+
+
+def test_services_by_a_client():
+    from spanloom.plans import backends
+
+    one = Chain(backends.MessageService(made_client), Settings(model="m")).propose("p", "t", [])
+    two = Chain(backends.ChatService(made_client), Settings(model="m")).propose("p", "t", [])
+    assert (one["payload_json"], one["input_tokens"], one["stop_reason"]) == ('{"requirements": []}', 3, "tool_use")
+    assert (two["payload_json"], two["output_tokens"], two["stop_reason"]) == ('{"requirements": [1]}', 6, "tool_use")
+    assert made_client.times == 1
+
+
+def test_live_sweep(spark):
+    from spanloom.sweep import sweep_live
+
+    rows = sweep_live(doc(spark, TEXTS), [13, 500], Profile("p"), RuleBased(), "3")
+    assert [(r["budget"], r["n_calls"], r["n_units"], r["n_source_ids"], r["has_section"]) for r in rows] == [(13, 6, 6, 6, True), (500, 1, 6, 6, True)]
+
+
+def test_next_starts_with_a_stack(spark):
+    rng = random.Random(1)
+    rows = [(k, p, rng.randrange(-3, 20)) for k in range(3) for p in range(40)]
+    df = spark.createDataFrame(rows, "k int, p int, start long")
+    want = {(k, p): next((s for kk, q, s in rows if kk == k and q > p and s > start), None) if start >= 0 else None for k, p, start in rows}
+    assert {(r.k, r.p): r.next_start for r in segments.next_starts(df, ["k"], "p").collect()} == want
+
+
+def test_artifacts_are_saved(tmp_path):
+    from spanloom.plans.refinement import save_pretty
+
+    save_pretty('{"a": "é"}', tmp_path / "x" / "y.json")
+    assert (tmp_path / "x" / "y.json").read_text(encoding="utf-8") == '{\n  "a": "é"\n}'

@@ -12,13 +12,13 @@ from spanloom.operators.stitch import Stitcher, restored, state_of
 
 
 def seg(start=None, end=None, before=None, after=None, role="requirement", metadata=None):
-    return {"start_anchor": start, "end_anchor": end, "end_before_anchor": before, "start_after_anchor": after, "role": role, "metadata": metadata}
+    return {"start_quote": start, "end_quote": end, "end_before_quote": before, "start_after_quote": after, "role": role, "metadata": metadata}
 
 
-def unit(start, end, status="complete", specs=None, partial=False, segments=None, end_anchor="e"):
-    specs = specs or [seg("s", end_anchor)]
+def unit(start, end, status="complete", specs=None, partial=False, segments=None, end_quote="e"):
+    specs = specs or [seg("s", end_quote)]
     spans = segments if segments is not None else ([(start, end, "requirement")] if 0 <= start < end else [])
-    return BatchUnit(status, specs, spans, start, end, "s", end_anchor, partial, bool(spans) and not partial, True, False, False, {"m": start})
+    return BatchUnit(status, specs, spans, start, end, "s", end_quote, partial, bool(spans) and not partial, True, False, False, {"m": start})
 
 
 def found(text, *specs):
@@ -96,13 +96,13 @@ def test_sequence_numbers_go_to_units_with_a_start():
 
 def test_end_inferred_from_the_next_start():
     s = Stitcher("x" * 100)
-    s.add([unit(0, -1, specs=[seg("s", None)], end_anchor=None), unit(50, 60)], 1, 0, 100)
+    s.add([unit(0, -1, specs=[seg("s", None)], end_quote=None), unit(50, 60)], 1, 0, 100)
     u = s.units[0]
     assert (u.end, u.end_inferred_from_next_start, u.end_resolved, u.segments_partial) == (50, True, True, False)
     s = Stitcher("x" * 100)
     s.add([unit(0, -1), unit(50, 60)], 1, 0, 100)
     u = s.units[0]
-    assert (u.end, u.end_resolved, u.end_anchor_unresolved, u.segments_partial, u.verbatim_match) == (50, False, True, True, False)
+    assert (u.end, u.end_resolved, u.end_quote_unresolved, u.segments_partial, u.verbatim_match) == (50, False, True, True, False)
 
 
 def test_interrupted_units():
@@ -115,7 +115,7 @@ def test_interrupted_units():
     s = Stitcher("x" * 100)
     s.add([unit(0, -1, "truncated_at_end")], 1, 0, 100)
     s.add([unit(50, 60)], 2, 40, 100)
-    assert (s.units[0].end, s.units[0].end_anchor, s.units[0].end_resolved) == (50, None, False)
+    assert (s.units[0].end, s.units[0].end_quote, s.units[0].end_resolved) == (50, None, False)
 
 
 def test_open_unit_is_flushed_at_the_end():
@@ -129,7 +129,7 @@ def test_orphan_continuation():
     s = Stitcher("x" * 100)
     s.add([unit(-1, 30, "truncated_at_start")], 1, 10, 100)
     u = s.units[0]
-    assert (u.start, u.end, u.sequence, u.start_anchor) == (10, 30, 1, None)
+    assert (u.start, u.end, u.sequence, u.start_quote) == (10, 30, 1, None)
 
 
 def test_state_survives_serialization():
@@ -140,7 +140,7 @@ def test_state_survives_serialization():
     assert [(u.start, u.end, u.sequence) for u in t.finish(100)] == [(0, 40, 1)]
 
 
-@pytest.mark.parametrize("item, reason", [(7, "not-a-dict"), ({"segments": [1]}, "invalid_segment_item"), ({}, "missing_anchors"), ({"segments": [], "status": "complete"}, "missing_anchors")])
+@pytest.mark.parametrize("item, reason", [(7, "not-a-dict"), ({"segments": [1]}, "invalid_segment_item"), ({}, "missing_quotes"), ({"segments": [], "status": "complete"}, "missing_quotes")])
 def test_malformed_items(item, reason):
     assert specs_of(item) == ([], reason)
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from spanloom import queries
+from spanloom import queries, recorded_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
