@@ -10,7 +10,13 @@ from spanloom.functions.text import CONFUSABLES, KNOWN_ROLES, WS_CODES
 from spanloom.operators.quotes import MIN_CHARS, MIN_WORDS
 
 _FOLD = str.maketrans(CONFUSABLES)
-_WS = np.array(WS_CODES, dtype=np.uint32)
+_BLANK = np.zeros(max(WS_CODES) + 2, dtype=bool)
+_BLANK[list(WS_CODES)] = True
+
+
+def folded(text: str) -> str:
+    """Typography folded; ASCII text has none."""
+    return text if text.isascii() else text.translate(_FOLD)
 
 
 class Searchable:
@@ -18,34 +24,31 @@ class Searchable:
 
     def __init__(self, raw: str):
         codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        blank = np.isin(codes, _WS)
+        blank = _BLANK[np.minimum(codes, len(_BLANK) - 1)]
         keep = ~(blank & np.r_[False, blank[:-1]]) if len(codes) else np.zeros(0, dtype=bool)
         self.at = np.r_[np.flatnonzero(keep), len(codes)]
         shown = np.where(blank, np.uint32(32), codes)[keep]
-        self.text = shown.tobytes().decode("utf-32-le", "surrogatepass").translate(_FOLD)
+        self.text = folded(shown.tobytes().decode("utf-32-le", "surrogatepass"))
 
     def raw(self, position: int) -> int:
         return int(self.at[position])
 
 
-_BLANK = {c: " " for c in WS_CODES}
-
-
 def quoted(quote: str) -> str:
     """A quote with its white space collapsed and stripped."""
-    return " ".join(x for x in quote.translate(_BLANK).split(" ") if x)
+    return " ".join(quote.split())  # split() knows just the same white space
 
 
 def exact(text: str, quote: str | None, low: int, high: int) -> tuple[int, int] | None:
     """First occurrence inside [low, high)."""
-    wanted = quoted(quote).translate(_FOLD) if quote else ""
+    wanted = folded(quoted(quote)) if quote else ""
     at = text.find(wanted, low, high) if wanted else -1
     return (at, at + len(wanted)) if at >= 0 else None
 
 
 def shortened(text: str, quote: str | None, low: int, high: int, from_front: bool = False) -> tuple[int, int] | None:
     """The longest shortened quote that occurs in [low, high), if it occurs there once."""
-    words = quoted(quote).translate(_FOLD).split(" ") if quote else []
+    words = folded(quoted(quote)).split(" ") if quote else []
     for n in range(len(words), MIN_WORDS - 1, -1):
         part = " ".join(words[-n:] if from_front else words[:n])
         if len(part) < MIN_CHARS:

@@ -32,7 +32,8 @@ def next_starts(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     listed = df.where("start IS NOT NULL").groupBy(*keys).agg(F.array_distinct(F.array_sort(F.collect_list(item))).alias("_l"))
     listed = listed.select(*keys, F.transform("_l", lambda x: x["p"]).alias("_at"), F.transform("_l", lambda x: -x["s"]).alias("_starts"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema.fields)
-    told = listed.mapInArrow(folded, f"{fields}, _next array<long>")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = listed.repartition(n, *keys).mapInArrow(folded, f"{fields}, _next array<long>")
     told = told.select(*keys, F.inline(F.arrays_zip(F.col("_at").alias(position), F.col("_starts").alias("start"), F.col("_next").alias("next_start"))))
     return df.join(told, [*keys, position, "start"], "left").select(*df.columns, "next_start")
 

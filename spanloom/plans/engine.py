@@ -20,7 +20,7 @@ from spanloom.operators.resolve import BatchUnit, Searchable, batch_unit, resolv
 from spanloom.operators.stitch import Stitcher, Unit
 from spanloom.plans.providers import Provider, call
 from spanloom.plans.settings import Profile, Settings, system_prompt
-from spanloom.plans.storage import stored
+from spanloom.plans.storage import partitions, stored
 
 log = logging.getLogger("spanloom")
 KEY = ["doc_id", "first_block", "last_block"]
@@ -96,6 +96,8 @@ def propose(plans: DataFrame, blocks: DataFrame, provider: Provider, prompt: str
     marked = marked.withColumns({c: F.last(c, True).over(upto) for c in ("first_block", "last_block")}).where("block_idx <= last_block")
     texts = marked.groupBy("doc_id", "first_block").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
     asked = plans.join(texts, ["doc_id", "first_block"]).select(*kept, "blocks")
+    # calls are dealt one by one, so those of a long document don't wait for each other
+    asked = asked.repartition(partitions(blocks.sparkSession), "doc_id", "first_block")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plans.schema.fields)
     return stored(asked.mapInPandas(_asked(provider, prompt, kept, pause), f"{fields}, {SENT}, chunk_hash string"), "calls")
 
@@ -201,7 +203,7 @@ def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = No
     kind = docs.schema["doc_id"].dataType.simpleString()
     need = ["chunk_id", "char_start", "char_end", "payload_json", "stop_reason", "failed", "overflowed"]
     per = calls.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*need))).alias("calls"))
-    rows = per.join(docs.select("doc_id", "full_text"), "doc_id")
+    rows = per.join(docs.select("doc_id", "full_text"), "doc_id").repartition(partitions(blocks.sparkSession), "doc_id")
     folded = stored(rows.mapInPandas(_folded(settings, names), f"doc_id {kind}, units array<{_struct(UNIT_FIELDS)}>, judged array<{_struct(CALL_FIELDS)}>"), "folded")
     judged = folded.select("doc_id", F.inline("judged"))
     return Extraction(docs, blocks, calls.join(judged, ["doc_id", "chunk_id"]), folded.select("doc_id", F.inline("units")))
@@ -225,10 +227,11 @@ def extract(
     """Extract units from blocks (doc_id, block_idx, page, text, char_start, char_end and, for rule-based providers, role and label).
 
     Only blocks from ``start_page`` to ``end_page`` are called; offsets are those of the whole
-    document. ``refine_ends`` asks again for doubtful ends.
+    document. ``refine_ends`` asks again for doubtful ends. Blocks are written once, as
+    planning, calling and stitching all read them.
     """
     settings = settings or Settings.of(blocks.sparkSession)
-    chosen = blocks
+    chosen = blocks = stored(blocks, "blocks")
     if start_page is not None or end_page is not None:
         if start_page is not None and end_page is not None and start_page > end_page:
             raise ValueError(f"pages {start_page} to {end_page} are no range")

@@ -16,7 +16,7 @@ from spanloom.operators.resolve import role_texts
 from spanloom.plans.engine import SEGMENT, Extraction, batch_units
 from spanloom.plans.providers import Provider
 from spanloom.plans.settings import Profile, system_prompt
-from spanloom.plans.storage import stored
+from spanloom.plans.storage import partitions, stored
 
 FOUND = f"new_start long, new_end long, new_end_quote string, new_end_resolved boolean, new_segments array<{SEGMENT}>, " + ", ".join(f"new_{r}_text string" for r in KNOWN_ROLES)
 
@@ -62,7 +62,7 @@ def refine(extraction: Extraction, provider: Provider, profile: Profile) -> Extr
     spans = windows(extraction.units, ends).groupBy("doc_id").agg(F.collect_list(F.struct("k", "span_start", "span_end", "segments")).alias("spans"))
     spans = spans.join(extraction.docs.select("doc_id", "full_text"), "doc_id")
     kind = extraction.docs.schema["doc_id"].dataType.simpleString()
-    asked = spans.mapInPandas(_asked(provider, system_prompt(profile, refining=True)), f"doc_id {kind}, k int, span_end long, {FOUND}")
+    asked = spans.repartition(partitions(spans.sparkSession), "doc_id").mapInPandas(_asked(provider, system_prompt(profile, refining=True)), f"doc_id {kind}, k int, span_end long, {FOUND}")
     units = merge(extraction.units, stored(asked, "refined"))
     fresh = {f"{r}_text": F.col(f"new_{r}_text") for r in KNOWN_ROLES} | {"segments": F.col("new_segments")}
     flags = {"end_resolved": F.lit(True), "segments_partial": F.lit(False), "status": F.lit("complete"), "verbatim_match": F.col("new_requirement_text") != ""}

@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return root or f"{tempfile.gettempdir()}/checkpoints"
 
 
+def partitions(spark: SparkSession) -> int:
+    """Tasks of a stage whose work isn't told by its bytes, so that they are not merged by size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _remove_all() -> None:
     for spark, path in _made:
         try:
