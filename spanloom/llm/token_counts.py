@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import scratch_path
+from spanloom.llm.common import scratch_path, written
 from spanloom.llm.mixing import words
 from spanloom.llm.tokens import byte_tokenizer
 
@@ -156,21 +156,27 @@ def op7(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.col("text")
+    text, versions = F.col("text"), ("words-1", "words-2", "byte_bpe_50k-1")
     parts = F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}]+")), F.lit(0)).cast("long")
-    path, versions = public.path("byte_bpe_50k.tiktoken"), ("words-1", "words-2", "byte_bpe_50k-1")
+    rows = docs.select("doc_id", "source", "lang", "text", words(text).alias("words"), parts.alias("parts"))
+    kept = ("doc_id", "source", "lang", "words", "parts")
+    # texts are read once; batches are made of narrow counts, and only those are joined
+    counts = written(byte_bpe_counts(rows, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, keep=kept), "counts")
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
-    gone = docs.join(toxic, "doc_id", "left_semi")
-    plain = docs.select("source", "lang", words(text).alias("tokens"), parts.alias("new"))
+    gone = counts.join(toxic, "doc_id", "left_semi")
     rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
-    made = lambda df, op, version: df.withColumns({"op": F.lit(op), "tokenizer": F.lit(version)})
-    old = {f"old_{c}": F.col(c) for c in ("source", "lang", "tokens")} | {"old_tokenizer": F.lit(versions[0]), "tokens": F.col("new")}
+
+    def made(df: DataFrame, op: str, version: str, tokens: str) -> DataFrame:
+        old = {f"old_{c}": F.col(c) for c in ("source", "lang")} | {"old_tokenizer": F.lit(versions[0]), "old_tokens": F.col("words")}
+        new = {"op": F.lit(op), "tokenizer": F.lit(version), "tokens": F.col(tokens)}
+        return df.withColumns(new | (old if op == "revise" else {}))
+
     batches = {
-        "load-words": made(plain, "insert", versions[0]),
-        "load-bpe": made(byte_bpe_counts(docs, path, public.PATTERN), "insert", versions[2]),
-        "revise-words": made(plain.withColumns(old), "revise", versions[1]),
-        "delete-words": made(gone.select("source", "lang", parts.alias("tokens")), "delete", versions[1]),
-        "delete-bpe": made(byte_bpe_counts(gone, path, public.PATTERN), "delete", versions[2]),
+        "load-words": made(counts, "insert", versions[0], "words"),
+        "load-bpe": made(counts, "insert", versions[2], "tokens"),
+        "revise-words": made(counts, "revise", versions[1], "parts"),
+        "delete-words": made(gone, "delete", versions[1], "parts"),
+        "delete-bpe": made(gone, "delete", versions[2], "tokens"),
     }
     for name, changes in batches.items():
         rollup.commit(name, changes)
