@@ -9,7 +9,7 @@ from spanloom.llm.common import written
 
 #: Bisection steps that one pass over the source totals settles, and passes.
 STEPS, PASSES = 5, 4
-#: Tokens of a block, and the most blocks of a source (then blocks grow).
+#: Tokens of a block; beyond so many blocks, a source's blocks grow in number and in size with the square root of its tokens.
 BLOCK_TOKENS, MAX_BLOCKS = 1 << 18, 1 << 16
 
 
@@ -97,11 +97,12 @@ def mix(df: DataFrame, budget: int | None = None, max_repeat: float | None = Non
     norm = full.agg(F.sum(raw)).first()[0] or 1.0
     plan = sources.select("_s", "tokens", F.when(F.col("tokens") > 0, raw / F.lit(norm)).otherwise(0.0).alias("weight"))
     plan = plan.withColumn("_budget", F.floor(F.col("weight") * F.lit(float(budget)) + F.lit(0.5)).cast("long"))
+    full_blocks = F.col("tokens") / F.lit(float(BLOCK_TOKENS))
     plan = plan.select(
         "_s", "weight", F.col("tokens").alias("_all"),
         F.when(F.col("tokens") > 0, F.expr("_budget div greatest(tokens, 1)")).otherwise(1).alias("_whole"),
         F.when(F.col("tokens") > 0, F.expr("_budget % greatest(tokens, 1)")).otherwise(0).alias("_rest"),
-        F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(float(BLOCK_TOKENS))))).cast("long").alias("_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.least(full_blocks, F.sqrt(full_blocks * F.lit(float(MAX_BLOCKS)))))).cast("long").alias("_blocks"),
     )
 
     block = F.pmod(F.conv(F.substring("_mark", 1, 12), 16, 10).cast("long"), F.col("_blocks"))
@@ -158,7 +159,7 @@ weights AS (
 plan AS (
   SELECT s, tokens AS alltok, weight, CASE WHEN tokens > 0 THEN floor(weight * total + 0.5)::BIGINT // tokens ELSE 1 END AS whole,
          CASE WHEN tokens > 0 THEN floor(weight * total + 0.5)::BIGINT % tokens ELSE 0 END AS rest,
-         least({MAX_BLOCKS}, greatest(1, ceil(tokens / {float(BLOCK_TOKENS)})))::BIGINT AS blocks FROM weights),
+         greatest(1, ceil(least(tokens / {float(BLOCK_TOKENS)}, sqrt(tokens / {float(BLOCK_TOKENS)} * {float(MAX_BLOCKS)}))))::BIGINT AS blocks FROM weights),
 placed AS (SELECT c.*, weight, (('0x' || substr(mark, 1, 12))::BIGINT) % blocks AS block FROM counts c JOIN plan USING (s)),
 sized AS (SELECT s, block, sum(tokens)::BIGINT AS size FROM placed GROUP BY ALL),
 passes AS (
