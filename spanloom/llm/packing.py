@@ -6,6 +6,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from spanloom.llm.tokens import word_tokenizer
 WINDOW, END, PARTS = 2048, 1, 3
 #: Lengths are planned in units of so many tokens, rounded up.
 UNIT = 16
+#: Pieces of at most window / SHORT tokens are planned by the token, in bundles of at most window / one of these.
+SHORT, BUNDLES = 16, (4, 16, 1)
 SLICE_BYTES = 1 << 21
 
 
@@ -66,13 +69,36 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
+def greedy(lengths: Counter, room: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns that hold exactly the lengths, each at most ``room`` in all, with how often each is used.
+
+    The longest length opens a pattern, the longest that still fits joins it, and the
+    pattern repeats as long as the lengths last: some two patterns a length, whatever the counts.
+    """
+    left, made = Counter(lengths), []
+    while left:
+        shape, free = [], room
+        rest = Counter(left)
+        keys = sorted(rest)
+        while free and (at := bisect_right(keys, free)):
+            k = keys[at - 1]
+            take = min(rest[k], free // k)
+            shape += [k] * take
+            free -= take * k
+            keys.pop(at - 1)
+        need = Counter(shape)
+        times = min(left[k] // v for k, v in need.items())
+        made.append((tuple(shape), times))
+        left -= Counter({k: v * times for k, v in need.items()})
+    return made
+
+
 def plan(histogram: Counter, units: int, parts: int = PARTS) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths, with how often each is used; together they hold exactly the histogram.
 
     Repeat counts solve the non-negative least-squares problem, rounded and held to
-    what there is. What is left is packed greedily: the longest length opens a
-    pattern, the longest that still fits joins it, and the pattern repeats as long as
-    the lengths last. Work depends on ``units`` alone, not on the counts.
+    what there is; what is left is packed greedily. Work depends on ``units`` alone,
+    not on the counts.
     """
     left = Counter({k: v for k, v in histogram.items() if v > 0})
     made: list[tuple[tuple[int, ...], int]] = []
@@ -92,25 +118,7 @@ def plan(histogram: Counter, units: int, parts: int = PARTS) -> list[tuple[tuple
             if times > 0:
                 made.append((shapes[j], times))
                 left -= Counter({k: v * times for k, v in need.items()})
-    while left:
-        shape, room = [], units
-        rest = Counter(left)
-        keys = sorted(rest)
-        while room and (at := bisect_right(keys, room)):
-            k = keys[at - 1]
-            if rest[k]:
-                take = min(rest[k], room // k)
-                shape += [k] * take
-                rest[k] -= take
-                room -= take * k
-                if rest[k]:
-                    continue
-            keys.pop(at - 1)
-        need = Counter(shape)
-        times = min(left[k] // v for k, v in need.items())
-        made.append((tuple(shape), times))
-        left -= Counter({k: v * times for k, v in need.items()})
-    return made
+    return made + greedy(left, units)
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]], units: int) -> dict[int, tuple[np.ndarray, ...]]:
@@ -128,6 +136,40 @@ def slots(patterns: list[tuple[tuple[int, ...], int]], units: int) -> dict[int,
     return {k: tuple(np.array(x, dtype=np.int64) for x in zip(*v, strict=True)) for k, v in runs.items() if v}
 
 
+@dataclass
+class Layout:
+    """Where the pieces of each length go, by their rank among pieces of that length."""
+
+    short: dict[int, tuple[np.ndarray, ...]]  # exact lengths: first ranks of runs, pieces a bundle, its bin, first rank in it, first place
+    runs: dict[int, tuple[np.ndarray, ...]]  # bins: see ``slots``
+    sequences: int
+
+
+def layout(short: Counter, bins: Counter, window: int, unit: int, parts: int = PARTS) -> Layout:
+    """Plan pieces of exact ``short`` lengths and of ``bins``, lengths in units rounded up.
+
+    Short pieces would waste much by rounding up. They are first put together, by the
+    token, in bundles, and a bundle is planned like a piece. How large bundles serve best
+    depends on what else there is, so each size in ``BUNDLES`` is planned and the plan of
+    the fewest sequences is taken.
+    """
+    tried = []
+    for share in BUNDLES if short else BUNDLES[:1]:
+        taken, used = Counter(bins), Counter()
+        inner: dict[int, list[tuple[int, ...]]] = {}
+        for shape, times in greedy(short, window // share):
+            at, k = 0, -(-sum(shape) // unit)
+            for n, each in sorted(Counter(shape).items(), reverse=True):
+                inner.setdefault(n, []).append((used[n], each, k, taken[k], at))
+                used[n] += each * times
+                at += each
+            taken[k] += times
+        patterns = plan(taken, window // unit, parts)
+        lists = {n: tuple(np.array(x, dtype=np.int64) for x in zip(*v, strict=True)) for n, v in inner.items()}
+        tried.append(Layout(lists, slots(patterns, window // unit), sum(times for _, times in patterns)))
+    return min(tried, key=lambda x: x.sequences)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int) -> Iterator[pa.RecordBatch]:
     encoder, tail = word_tokenizer(path), np.array([end], dtype="<u4").tobytes()
     for batch in batches:
@@ -166,19 +208,26 @@ WHOLE: Shown = (lambda batches: batches, "ids array<int>")
 DIGEST: Shown = (_digested, "ids_crc32 long")
 
 
-def _placed(batches: Iterator[pa.RecordBatch], runs: dict[int, tuple[np.ndarray, ...]], full: int, unit: int) -> Iterator[pa.RecordBatch]:
-    """Sequence and place of each piece, from its rank among the pieces of its length."""
+def _placed(batches: Iterator[pa.RecordBatch], found: Layout, full: int, short: int) -> Iterator[pa.RecordBatch]:
+    """Sequence, place and place in a bundle of each piece, from its rank among the pieces of its kind."""
     for batch in batches:
-        bins, rank = batch.column("bin").to_numpy(), batch.column("rank").to_numpy()
+        kind, rank = batch.column("kind").to_numpy(), batch.column("rank").to_numpy().copy()
+        bins, inside = np.maximum(kind - short, 0), np.zeros(len(rank), dtype=np.int64)
+        for n in np.unique(kind[(kind > 0) & (kind <= short)]):  # from a place in a bundle to the bundle's rank
+            at = np.flatnonzero(kind == n)
+            first, each, k, base, where = found.short[int(n)]
+            j = np.searchsorted(first, rank[at], side="right") - 1
+            turn, slot = np.divmod(rank[at] - first[j], each[j])
+            bins[at], rank[at], inside[at] = k[j], base[j] + turn, where[j] + slot
         sequence, place = rank.copy(), np.zeros(len(rank), dtype=np.int64)  # bin 0: pieces as long as a window
         for k in np.unique(bins[bins > 0]):
             at = np.flatnonzero(bins == k)
-            first, each, base, where = runs[int(k)]
+            first, each, base, where = found.runs[int(k)]
             j = np.searchsorted(first, rank[at], side="right") - 1
             turn, slot = np.divmod(rank[at] - first[j], each[j])
             sequence[at], place[at] = full + base[j] + turn, where[j] + slot
-        keep = [batch.column(c) for c in ("piece", "length")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(place)], ["piece", "length", "sequence_id", "place"])
+        columns = {"piece": batch.column("piece"), "length": batch.column("length"), "sequence_id": sequence, "place": place, "inside": inside}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, shown: Shown = WHOLE) -> DataFrame:
@@ -199,29 +248,34 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 def places(cut: DataFrame, window: int = WINDOW, parts: int = PARTS, unit: int = UNIT) -> DataFrame:
     """Sequence and offset of each of the written ``pieces``: piece, sequence_id, offset.
 
-    Only the histogram of remainders, at most window / unit counts, reaches the
-    driver; its plan is as bounded. A piece finds its place by its rank among
-    pieces of its length, a prefix sum over partitions, so neither a common
+    Only the histogram of remainders, at most window / unit + window / SHORT counts,
+    reaches the driver; its plan is as bounded. A piece finds its place by its rank
+    among pieces of its length, a prefix sum over partitions, so neither a common
     length nor a long document gathers in one task.
     """
     if window % unit:
         raise ValueError("window must be a multiple of unit")
-    units = window // unit
-    narrow = cut.select("part", "piece", "length", F.when(F.col("length") == window, 0).otherwise(F.ceil(F.col("length") / unit)).cast("long").alias("bin"))
-    counts = {r[0]: r[1] for r in narrow.groupBy("bin").agg(F.count(F.lit(1))).collect()}  # at most window / unit + 1 rows
-    full = counts.pop(0, 0)
-    runs = slots(plan(Counter({int(k): v for k, v in counts.items()}), units, parts), units)
-    # partitions within each length, so that a prefix sum over them gives ranks in lengths one after another
-    rank = with_prefix(narrow.withColumns({"_p": F.col("bin") * (1 << 40) + F.col("part"), "_one": F.lit(1).cast("long")}), ["piece"], {"at": "_one"})
+    # kinds of pieces: whole windows 0, short ones their length, others their units behind those
+    short, length = window // SHORT, F.col("length")
+    kind = F.when(length == window, 0).when(length <= short, length).otherwise(short + F.ceil(length / unit)).cast("long")
+    narrow = cut.select("part", "piece", "length", kind.alias("kind"))
+    counts = {int(k): n for k, n in narrow.groupBy("kind").agg(F.count(F.lit(1))).collect()}  # one row a kind
+    full = counts.get(0, 0)
+    few = Counter({k: n for k, n in counts.items() if 0 < k <= short})
+    found = layout(few, Counter({k - short: n for k, n in counts.items() if k > short}), window, unit, parts)
+    # partitions within each kind, so that a prefix sum over them gives ranks in kinds one after another
+    keys = {"_p": F.col("kind") * (1 << 40) + F.col("part"), "_one": F.lit(1).cast("long")}
+    rank = with_prefix(narrow.withColumns(keys), ["piece"], {"at": "_one"})
     before, passed = {}, 0
     for k in sorted({0, *counts}):
         before[k] = passed
-        passed += full if k == 0 else counts[k]
+        passed += counts.get(k, 0)
     first = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
-    ranked = rank.select("piece", "length", "bin", (F.col("at") - F.element_at(first, F.col("bin"))).alias("rank"))
-    placed = ranked.mapInArrow(lean(lambda batches: _placed(batches, runs, full, unit), keep_words=True), "piece long, length long, sequence_id long, place long")
-    inside = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select("piece", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+    ranked = rank.select("piece", "length", "kind", (F.col("at") - F.element_at(first, F.col("kind"))).alias("rank"))
+    work = lean(lambda batches: _placed(batches, found, full, short), keep_words=True)
+    placed = ranked.mapInArrow(work, "piece long, length long, sequence_id long, place long, inside long")
+    ahead = Window.partitionBy("sequence_id").orderBy("place", "inside").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.select("piece", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long").alias("offset"))
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, parts: int = PARTS, unit: int = UNIT, shown: Shown = WHOLE) -> DataFrame:
@@ -231,7 +285,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     (array), length, doc_tokens, sequence_id and offset (gapless from 0 in its
     sequence). Each id lies in exactly one piece; only documents longer than a
     window are cut, into whole windows and a remainder. ``window`` is a multiple of
-    ``unit``; a sequence wastes less than ``unit`` tokens for each of its pieces.
+    ``unit``; rounding wastes less than ``unit`` tokens for each piece of a sequence that
+    is longer than window / SHORT, and for each bundle of shorter ones.
     ``shown`` may turn the ids into what is wanted of them (``DIGEST``: a checksum)
     as they are made, so that whole ids are neither written nor shuffled.
 

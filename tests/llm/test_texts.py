@@ -208,6 +208,41 @@ def test_plan_holds_the_histogram_with_little_padding():
     assert sum(t for _, t in packing.plan(Counter(mixed), 128)) < 1.01 * sum(mixed) / 128 + 2
 
 
+def test_short_pieces_are_packed_by_the_token(spark):
+    """Copies of short texts, alone and beside longer ones, leave little of a sequence empty."""
+    rng = random.Random(11)
+    path = packing.tokenizer_path()
+    tiny = [None] * 3000 + ["a"] * 3000 + ["a b c d e"] * 4000
+    for texts in (tiny, tiny + [" ".join("ab"[: rng.randint(1, 2)] for _ in range(rng.randint(1, 900))) for _ in range(300)]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+        got = packing.pack(df, path, shown=packing.DIGEST).collect()
+        assert Counter(r.doc_id for r in got) == Counter(range(len(texts)))
+        spots = defaultdict(list)
+        for r in got:
+            spots[r.sequence_id].append((r.offset, r.length))
+        assert sorted(spots) == list(range(len(spots)))
+        for parts in spots.values():
+            parts.sort()
+            assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 2048
+        assert len(spots) <= 1.03 * sum(r.length for r in got) / 2048 + 1
+
+
+def test_layout_holds_the_histogram():
+    rng = random.Random(5)
+    for window, unit in ((2048, 16), (64, 4), (16, 4), (8, 8)):
+        short = Counter(rng.randint(1, max(1, window // 16)) for _ in range(500)) if window >= 16 else Counter()
+        bins = Counter(rng.randint(1, window // unit) for _ in range(rng.choice((0, 300))))
+        made = packing.layout(short, bins, window, unit)
+        assert set(made.short) == set(short)
+        bundled = Counter()
+        for n, (first, each, k, base, _) in made.short.items():
+            ends = [*first[1:], short[n]]
+            assert first[0] == 0 and all((b - a) % e == 0 for a, b, e in zip(first, ends, each, strict=True))
+            bundled.update({(int(kk), int(bb) + t): n * int(e) for a, b, e, kk, bb in zip(first, ends, each, k, base, strict=True) for t in range((b - a) // e)})
+        assert all(size <= k * unit and rank >= bins[k] for (k, rank), size in bundled.items())
+        assert made.sequences * window >= sum(bundled.values())
+
+
 def test_nnls_meets_its_conditions():
     rng = np.random.default_rng(0)
     for _ in range(20):
