@@ -89,7 +89,9 @@ def documents(blocks: DataFrame) -> DataFrame:
     joined = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"), F.sum(F.size("b")).alias("n_blocks"))
     joined = joined.join(more, "doc_id")
     # a page in range without a block still adds its line end
-    whole = F.aggregate("p", F.struct(F.lit("").alias("t"), F.col("start_page").cast("long").alias("next")), lambda a, x: F.struct(F.concat(a["t"], F.repeat(F.lit("\n"), (x["page"] - a["next"]).cast("int")), x["t"]).alias("t"), (x["page"] + 1).cast("long").alias("next")))["t"]
+    whole = F.aggregate("p", F.struct(F.lit("").alias("t"), F.col("start_page").cast("long").alias("next")), lambda a,
+        x: F.struct(F.concat(a["t"], F.repeat(F.lit("\n"), (x["page"] - a["next"]).cast("int")), x["t"]).alias("t"),
+        (x["page"] + 1).cast("long").alias("next")))["t"]
     whole = F.concat(whole, F.repeat(F.lit("\n"), F.col("end_page") - F.col("kept_page")))
     made = joined.select("doc_id", whole.alias("full_text"), "start_page", "end_page", F.col("n_blocks").cast("long").alias("n_blocks"), "own_hash")
     return made.withColumn("doc_hash", F.coalesce("own_hash", F.sha2("full_text", 256))).drop("own_hash")

@@ -57,7 +57,9 @@ class Stitcher:
         self.next += 1
         return self.next - 1
 
-    def _emit(self, u: BatchUnit, segments: list[Segment], expected: int, end_resolved: bool, *, status: str | None = None, sequence: int | None = None, chunk_ids: list[int], chunk_id: int, partial: bool = False, parts: list[object] | None = None, forward: bool = True, **flags: object) -> None:
+    def _emit(self, u: BatchUnit, segments: list[Segment], expected: int, end_resolved: bool, *, status: str | None = None,
+        sequence: int | None = None, chunk_ids: list[int], chunk_id: int, partial: bool = False, parts: list[object] | None = None,
+        forward: bool = True, **flags: object) -> None:
         kept, cut = clipped(segments)
         partial |= cut
         texts = role_texts(self.text, kept)

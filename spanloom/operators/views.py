@@ -70,7 +70,8 @@ def calls_view(calls: DataFrame) -> DataFrame:
     """One row a call; the pages are those of its first and last block."""
     return calls.select(
         "doc_id", "chunk_id", "model_used", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "stop_reason", "batch_status",
-        F.col("first_block").alias("batch_first_block"), F.col("last_block").alias("batch_last_block"), F.col("char_start").alias("batch_doc_offset_start"), F.col("char_end").alias("batch_doc_offset_end"),
+        F.col("first_block").alias("batch_first_block"), F.col("last_block").alias("batch_last_block"),
+            F.col("char_start").alias("batch_doc_offset_start"), F.col("char_end").alias("batch_doc_offset_end"),
         F.array("page_start", "page_end").alias("page_range"), "model_items",
     )
 
@@ -89,7 +90,8 @@ def statistics(calls: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame
     )
     b = unit_warnings(units).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"), F.count_if(F.size("warnings") > 0).alias("n_flagged_units"))
     out = a.join(b, keys, "left")
-    for more in (histogram(calls.where(~ok), F.col("batch_status"), keys, "failures_by_outcome"), histogram(calls, F.col("model_used"), keys, "calls_by_model"), histogram(units, F.col("status"), keys, "status_counts")):
+    for more in (histogram(calls.where(~ok), F.col("batch_status"), keys, "failures_by_outcome"),
+        histogram(calls, F.col("model_used"), keys, "calls_by_model"), histogram(units, F.col("status"), keys, "status_counts")):
         out = out.join(more, keys, "left")
     return out.na.fill(0, ["n_units", "n_flagged_units"])
 
@@ -160,7 +162,8 @@ def run_json(calls: DataFrame, docs: DataFrame, framework: str, stamp: str, sett
     rows = calls.join(docs.select("doc_id", "doc_hash"), "doc_id")
     whole = F.struct(
         "chunk_id", F.concat(run, F.lit("#c"), F.col("chunk_id").cast("string")).alias("extraction_call_id"),
-        F.struct(F.array("first_block", "last_block").alias("block_range"), F.array("page_start", "page_end").alias("page_range"), F.array("char_start", "char_end").alias("doc_offset"), "est_input_tokens", "chunk_hash").alias("input"),
+        F.struct(F.array("first_block", "last_block").alias("block_range"), F.array("page_start", "page_end").alias("page_range"),
+            F.array("char_start", "char_end").alias("doc_offset"), "est_input_tokens", "chunk_hash").alias("input"),
         F.struct("model_used", "stop_reason", "batch_status", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "response_time_s").alias("call"),
         F.struct("n_returned", "n_malformed", F.transform("model_items", F.try_parse_json).alias("items")).alias("model_output"),
     )
@@ -182,7 +185,9 @@ def blocks_json(blocks: DataFrame, docs: DataFrame, kind: str = "text", include_
     docs = docs.join(blocks.groupBy("doc_id").agg(F.first("path").alias("path")), "doc_id") if path else docs
     listed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("blocks")).join(docs, "doc_id")
     extra = [F.col("full_text")] if include_full_text else []
-    whole = F.struct(F.lit(1).alias("schema_version"), F.struct(F.lit(kind).alias("kind"), *path, F.substring("doc_hash", 1, 12).alias("hash_prefix")).alias("source"), F.struct("n_blocks", "start_page", "end_page", F.length("full_text").alias("n_chars")).alias("summary"), "blocks", *extra)
+    whole = F.struct(F.lit(1).alias("schema_version"), F.struct(F.lit(kind).alias("kind"), *path,
+        F.substring("doc_hash", 1, 12).alias("hash_prefix")).alias("source"),
+        F.struct("n_blocks", "start_page", "end_page", F.length("full_text").alias("n_chars")).alias("summary"), "blocks", *extra)
     return listed.select("doc_id", F.to_json(whole).alias("json"))
 
 

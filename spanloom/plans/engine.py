@@ -59,9 +59,12 @@ def batch_units(payload: str | None, text: str, shift: int, keep_lone_ends: bool
 
 def unit_row(k: int, u: Unit) -> dict:
     plain = lambda x: None if x is None else json.dumps(x, ensure_ascii=False)
-    row = {f: getattr(u, f) for f in ("sequence", "status", "verbatim_match", "start", "end", "n_segments", "start_quote", "end_quote", "end_resolved", "end_inferred_from_next_start", "end_quote_unresolved", "start_via_fallback", "ambiguous", "segments_partial", "source_chunk_id", "source_chunk_ids")}
+    row = {f: getattr(u, f) for f in ("sequence", "status", "verbatim_match", "start", "end", "n_segments", "start_quote", "end_quote",
+        "end_resolved", "end_inferred_from_next_start", "end_quote_unresolved", "start_via_fallback", "ambiguous", "segments_partial",
+        "source_chunk_id", "source_chunk_ids")}
     return row | {
-        "k": k, "segments": [{"start": a, "end": b, "role": r, "text": t} for (a, b, r), t in zip(u.segments, u.segment_texts, strict=True)], "specs": [s | {"metadata": plain(s["metadata"])} for s in u.specs],
+        "k": k, "segments": [{"start": a, "end": b, "role": r, "text": t} for (a, b, r),
+            t in zip(u.segments, u.segment_texts, strict=True)], "specs": [s | {"metadata": plain(s["metadata"])} for s in u.specs],
         **{f"{r}_text": t for r, t in u.texts.items()}, "model_parts": [plain(m) for m in u.model_parts],
     }
 

@@ -24,7 +24,9 @@ class Provider(Protocol):
 
 def call(payload: dict | str, model: str = "recorded", input_tokens: int = 0, output_tokens: int = 0, stop_reason: str = "tool_use", attempts: list[dict] | None = None) -> dict:
     raw = payload if isinstance(payload, str) else json.dumps(payload, ensure_ascii=False)
-    return {"payload_json": raw, "model_used": model, "input_tokens": input_tokens, "output_tokens": output_tokens, "cache_creation_tokens": 0, "cache_read_tokens": 0, "stop_reason": stop_reason, "response_time_s": 0.0, "attempts": json.dumps(attempts or [])}
+    return {"payload_json": raw, "model_used": model, "input_tokens": input_tokens, "output_tokens": output_tokens,
+        "cache_creation_tokens": 0, "cache_read_tokens": 0, "stop_reason": stop_reason, "response_time_s": 0.0,
+        "attempts": json.dumps(attempts or [])}
 
 
 def call_key(prompt: str, text: str, model: str) -> str:
@@ -41,7 +43,9 @@ class RuleBased:
         items = []
         for b in blocks:
             words = b["text"].split(" ")
-            items.append({"status": "complete", "segments": [{"start_quote": " ".join(words[: min(self.words, len(words) - len(words) // 2)]), "end_quote": " ".join(words[-min(self.words, len(words) // 2) :]) if len(words) > 1 else None, "role": b.get("role"), "metadata": {"req_id": b.get("label")}}]})
+            items.append({"status": "complete", "segments": [{"start_quote": " ".join(words[: min(self.words,
+                len(words) - len(words) // 2)]), "end_quote": " ".join(words[-min(self.words, len(words) // 2) :]) if len(words) > 1 else None,
+                "role": b.get("role"), "metadata": {"req_id": b.get("label")}}]})
         return call({"requirements": items}, "rule-based", len(text) // 4 + 1, 20 * len(items))
 
 

@@ -69,7 +69,8 @@ blocks AS (
 spans AS (SELECT *, char_start + length(text) AS char_end FROM blocks),
 docs AS (
   SELECT doc_id, string_agg(t, '' ORDER BY page) AS full_text, min(page) AS start_page, max(page) AS end_page, sum(n)::BIGINT AS n_blocks
-  FROM (SELECT doc_id, page, string_agg(text || chr(10), '' ORDER BY block_idx) || repeat(chr(10), (coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page), page + 1) - page)::INT) AS t, count(*) AS n
+  FROM (SELECT doc_id, page, string_agg(text || chr(10), '' ORDER BY block_idx) || repeat(chr(10),
+(coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page), page + 1) - page)::INT) AS t, count(*) AS n
         FROM spans GROUP BY doc_id, page) GROUP BY doc_id)
 """
 
@@ -92,7 +93,8 @@ def page_spans(spark, sf_dir):
 @query(f"WITH {_BLOCKS} SELECT doc_id, start_page, end_page, n_blocks, length(full_text)::BIGINT AS n_chars, start_page || '-' || end_page || ' of ' || end_page AS pages_processed FROM docs")
 def doc_summary(spark, sf_dir):
     docs = blocks.documents(conversation_blocks(spark, sf_dir))
-    return docs.select("doc_id", "start_page", "end_page", "n_blocks", F.length("full_text").cast("long").alias("n_chars"), F.format_string("%d-%d of %d", "start_page", "end_page", "end_page").alias("pages_processed"))
+    return docs.select("doc_id", "start_page", "end_page", "n_blocks", F.length("full_text").cast("long").alias("n_chars"),
+        F.format_string("%d-%d of %d", "start_page", "end_page", "end_page").alias("pages_processed"))
 
 
 @query(f"WITH {_BLOCKS} SELECT doc_id, sha256(full_text) AS doc_hash, substr(sha256(full_text), 1, 16) AS chunk_hash, replace(replace(substr('{STAMP}', 1, 19), '-', ''), ':', '') || 'Z-' || substr(sha256(full_text), 1, 8) AS run_id FROM docs")
@@ -102,7 +104,8 @@ def doc_hashes(spark, sf_dir):
 
 
 @query(rf"""
-WITH parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n{_WS}*\n'), lambda p: {_norm("p")}), lambda p: length(p) > 0) AS p FROM documents WHERE text IS NOT NULL)
+WITH parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n{_WS}*\n'),
+lambda p: {_norm("p")}), lambda p: length(p) > 0) AS p FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, (unnest(range(len(p))))::INT AS block_no, unnest(p) AS text FROM parts""")
 def paragraph_blocks(spark, sf_dir):
     from spanloom.sources.readers import paragraphs
@@ -125,8 +128,11 @@ def _place():
 def _boxes(spark, sf_dir):
     part, line = F.col("l_partkey"), F.col("l_linenumber")
     y0 = (part * 37 + line * 11) % 790
-    text = F.when(line % 4 == 0, part.cast("string")).when(line % 4 == 1, F.concat(line.cast("string"), F.lit("."))).when(line % 4 == 2, F.concat(F.lit("Part "), part.cast("string"))).otherwise(F.concat(F.lit("("), line.cast("string"), F.lit(")")))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", _place().alias("position"), (part % 600).cast("double").alias("x0"), (part % 600 + F.col("l_suppkey") % 7 * 70).cast("double").alias("x1"), y0.cast("double").alias("y0"), (y0 + 10).cast("double").alias("y1"), text.alias("text"))
+    text = F.when(line % 4 == 0, part.cast("string")).when(line % 4 == 1, F.concat(line.cast("string"), F.lit("."))).when(line % 4 == 2,
+        F.concat(F.lit("Part "), part.cast("string"))).otherwise(F.concat(F.lit("("), line.cast("string"), F.lit(")")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", _place().alias("position"), (part % 600).cast("double").alias("x0"),
+        (part % 600 + F.col("l_suppkey") % 7 * 70).cast("double").alias("x1"), y0.cast("double").alias("y0"), (y0 + 10).cast("double").alias("y1"),
+        text.alias("text"))
 
 
 _BAND = "CASE WHEN y1 < 0.07 * 792.0 THEN 'header' WHEN y0 > 0.93 * 792.0 THEN 'footer' ELSE 'body' END"
@@ -158,7 +164,8 @@ def reading_order(spark, sf_dir):
 
 _UNITS = rf"""{_BLOCKS},
 marked AS (SELECT *, regexp_matches(text, '^(?:{HEADING})') OR coalesce(length(regexp_extract(substr(text, 1, 60), '^(.{{0,8}}?){HEADING}', 0)) > 0, false) AS is_boundary FROM spans),
-units AS (SELECT *, CASE WHEN max(is_boundary::INT) OVER (PARTITION BY doc_id) = 1 THEN sum(is_boundary::INT) OVER (PARTITION BY doc_id ORDER BY block_idx) ELSE block_idx END::BIGINT AS unit_no FROM marked)"""
+units AS (SELECT *, CASE WHEN max(is_boundary::INT) OVER (PARTITION BY doc_id) = 1 THEN sum(is_boundary::INT)
+OVER (PARTITION BY doc_id ORDER BY block_idx) ELSE block_idx END::BIGINT AS unit_no FROM marked)"""
 
 
 @query(f"WITH {_UNITS} SELECT doc_id, block_idx, is_boundary, unit_no FROM units")
@@ -182,7 +189,8 @@ batches AS (
 
 
 _PLAIN = f"{_BLOCKS}, ordered AS (SELECT doc_id, block_idx AS i, block_idx AS first_block, block_idx AS last_block, char_start, char_end, page AS page_start, page AS page_end, false AS headed, false AS some FROM spans)"
-_WHOLE = f"""{_UNITS}, per AS (SELECT doc_id, unit_no, min(block_idx) AS first_block, max(block_idx) AS last_block, min(char_start) AS char_start, max(char_end) AS char_end, min(page) AS page_start, max(page) AS page_end, bool_or(is_boundary) AS headed FROM units GROUP BY ALL),
+_WHOLE = f"""{_UNITS}, per AS (SELECT doc_id, unit_no, min(block_idx) AS first_block, max(block_idx) AS last_block, min(char_start) AS char_start,
+max(char_end) AS char_end, min(page) AS page_start, max(page) AS page_end, bool_or(is_boundary) AS headed FROM units GROUP BY ALL),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) - 1 AS i, bool_or(headed) OVER (PARTITION BY doc_id) AS some FROM per)"""
 _PLAN_COLUMNS = "doc_id, batch_no, first_block, last_block, char_start, char_end, est_input_tokens, n_units, page_start, page_end"
 _SUMMARY = """SELECT budget, count(*) AS n_batches, max(est_input_tokens) AS max_tokens, min(est_input_tokens) AS min_tokens, floor(median(est_input_tokens))::BIGINT AS median_tokens,
@@ -255,7 +263,8 @@ SELECT q.doc_id, q.block_idx, coalesce(p - 1, -1)::BIGINT AS at, coalesce(length
 def _spoiled(spark, sf_dir, front):
     words = F.split(T.collapse(F.col("text")), " ")
     rows = _quotes(spark, sf_dir).withColumn("w", words)
-    quote = F.concat_ws(" ", F.lit("ZZZ"), F.array_join(F.slice("w", F.greatest(-F.size("w"), F.lit(-9)), F.lit(9)), " ")) if front else F.concat_ws(" ", F.array_join(F.slice("w", 1, 9), " "), F.lit("ZZZ"))
+    quote = F.concat_ws(" ", F.lit("ZZZ"), F.array_join(F.slice("w", F.greatest(-F.size("w"), F.lit(-9)), F.lit(9)),
+        " ")) if front else F.concat_ws(" ", F.array_join(F.slice("w", 1, 9), " "), F.lit("ZZZ"))
     return rows.withColumn("hit", quotes.find_shortened(F.col("norm"), quote, front)).select("doc_id", "block_idx", "hit.at", "hit.chars")
 
 
@@ -308,7 +317,8 @@ def locate_offsets(spark, sf_dir):
     return blocks.locate(rows.select("doc_id", (F.col("char_start") + F.col("block_idx") * 53 % 400).alias("offset")), rows)
 
 
-_ROLES = f"""{_BLOCKS}, ends AS (SELECT doc_id, CASE role WHEN 'requirement' THEN 'requirement_text' WHEN 'context' THEN 'context_text' ELSE 'questionnaire_text' END AS r, string_agg(text, chr(10) || chr(10) ORDER BY char_start) AS t FROM spans GROUP BY ALL)"""
+_ROLES = f"""{_BLOCKS}, ends AS (SELECT doc_id, CASE role WHEN 'requirement' THEN 'requirement_text' WHEN 'context' THEN 'context_text'
+ELSE 'questionnaire_text' END AS r, string_agg(text, chr(10) || chr(10) ORDER BY char_start) AS t FROM spans GROUP BY ALL)"""
 
 
 @query(f"""WITH {_ROLES} SELECT d.doc_id, coalesce(max(t) FILTER (r = 'requirement_text'), '') AS requirement_text, coalesce(max(t) FILTER (r = 'context_text'), '') AS context_text,
@@ -332,40 +342,52 @@ walk AS (
   SELECT o.doc_id, w.budget, o.i, CASE WHEN (o.char_end - w.since) // 4 + 1 <= w.budget THEN w.since ELSE o.char_start END,
          CASE WHEN (o.char_end - w.since) // 4 + 1 <= w.budget THEN w.batch_no ELSE w.batch_no + 1 END
   FROM walk w JOIN ordered o ON o.doc_id = w.doc_id AND o.i = w.i + 1),
-found AS (SELECT s.*, w.batch_no + 1 AS chunk_id, s.block_idx + 1 AS sequence, sha256(full_text) AS doc_hash FROM spans s JOIN walk w ON w.doc_id = s.doc_id AND w.i = s.block_idx JOIN docs d ON d.doc_id = s.doc_id)"""
+found AS (SELECT s.*, w.batch_no + 1 AS chunk_id, s.block_idx + 1 AS sequence, sha256(full_text) AS doc_hash FROM spans s
+JOIN walk w ON w.doc_id = s.doc_id AND w.i = s.block_idx JOIN docs d ON d.doc_id = s.doc_id)"""
 _FLAGGED = "role <> 'requirement'"
 
 
-@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS unit_id, sequence, substr(doc_hash, 1, 12) || ':' || char_start AS span_key, 'complete' AS status, role = 'requirement' AS verbatim_match,
-true AS end_resolved, 1 AS n_segments, char_start AS doc_offset_start, char_end AS doc_offset_end, chunk_id AS source_chunk_id, CASE WHEN {_FLAGGED} THEN 'empty_text' ELSE '' END AS warnings FROM found""")
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS unit_id, sequence,
+substr(doc_hash, 1, 12) || ':' || char_start AS span_key, 'complete' AS status, role = 'requirement' AS verbatim_match,
+true AS end_resolved, 1 AS n_segments, char_start AS doc_offset_start, char_end AS doc_offset_end, chunk_id AS source_chunk_id, CASE
+WHEN {_FLAGGED} THEN 'empty_text' ELSE '' END AS warnings FROM found""")
 def units_view(spark, sf_dir):
     e = extraction(spark, sf_dir)
     made = views.units_view(e.units, e.docs)
-    return made.select("doc_id", "unit_id", "sequence", "span_key", "status", "verbatim_match", "end_resolved", "n_segments", "doc_offset_start", "doc_offset_end", "source_chunk_id", F.array_join("warnings", ",").alias("warnings"))
+    return made.select("doc_id", "unit_id", "sequence", "span_key", "status", "verbatim_match", "end_resolved", "n_segments",
+        "doc_offset_start", "doc_offset_end", "source_chunk_id", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS unit_id, 0 AS segment_index, role, text, '{{"req_id": "' || label || '"}}' AS metadata, char_start AS doc_offset_start, char_end AS doc_offset_end, page AS page_start FROM found""")
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, sequence::VARCHAR AS unit_id, 0 AS segment_index, role, text,
+'{{"req_id": "' || label || '"}}' AS metadata, char_start AS doc_offset_start, char_end AS doc_offset_end, page AS page_start FROM found""")
 def segments_view(spark, sf_dir):
     e = extraction(spark, sf_dir)
     return views.segments_view(e.units, e.blocks)
 
 
 @query(f"""WITH RECURSIVE {_EXTRACTED}, w AS (SELECT *, string_split(text, ' ') AS ws FROM found)
-SELECT doc_id, sequence::VARCHAR AS unit_id, 0 AS segment_index, array_to_string(ws[1:least(6, len(ws) - len(ws) // 2)], ' ') AS start_quote, CASE WHEN len(ws) > 1 THEN array_to_string(ws[-least(6, len(ws) // 2):], ' ') END AS end_quote, role, '{{"req_id": "' || label || '"}}' AS metadata FROM w""")
+SELECT doc_id, sequence::VARCHAR AS unit_id, 0 AS segment_index, array_to_string(ws[1:least(6, len(ws) - len(ws) // 2)], ' ') AS start_quote, CASE
+WHEN len(ws) > 1 THEN array_to_string(ws[-least(6, len(ws) // 2):], ' ') END AS end_quote, role, '{{"req_id": "' || label || '"}}' AS metadata
+FROM w""")
 def quotes_view(spark, sf_dir):
     return views.quotes_view(extraction(spark, sf_dir).units).drop("end_before_quote", "start_after_quote")
 
 
-@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, chunk_id, 'rule-based' AS model_used, (max(char_end) - min(char_start) - (max(page) - min(page))) // 4 + 1 AS input_tokens, 20 * count(*) AS output_tokens,
-min(block_idx) AS batch_first_block, max(block_idx) AS batch_last_block, min(char_start) AS batch_doc_offset_start, max(char_end) AS batch_doc_offset_end, min(page) || '-' || max(page) AS page_range, count(*)::INT AS n_found FROM found GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, chunk_id, 'rule-based' AS model_used,
+(max(char_end) - min(char_start) - (max(page) - min(page))) // 4 + 1 AS input_tokens, 20 * count(*) AS output_tokens,
+min(block_idx) AS batch_first_block, max(block_idx) AS batch_last_block, min(char_start) AS batch_doc_offset_start,
+max(char_end) AS batch_doc_offset_end, min(page) || '-' || max(page) AS page_range, count(*)::INT AS n_found FROM found GROUP BY ALL""")
 def calls_view(spark, sf_dir):
     e = extraction(spark, sf_dir)
     made = views.calls_view(e.calls).join(e.calls.select("doc_id", "chunk_id", "n_found"), ["doc_id", "chunk_id"])
-    return made.select("doc_id", "chunk_id", "model_used", "input_tokens", "output_tokens", "batch_first_block", "batch_last_block", "batch_doc_offset_start", "batch_doc_offset_end", F.concat_ws("-", F.col("page_range")[0], F.col("page_range")[1]).alias("page_range"), "n_found")
+    return made.select("doc_id", "chunk_id", "model_used", "input_tokens", "output_tokens", "batch_first_block", "batch_last_block",
+        "batch_doc_offset_start", "batch_doc_offset_end", F.concat_ws("-", F.col("page_range")[0], F.col("page_range")[1]).alias("page_range"),
+        "n_found")
 
 
 @query(f"""WITH RECURSIVE {_EXTRACTED}, c AS (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM found GROUP BY doc_id)
-SELECT doc_id, n AS n_total_calls, count(*) AS n_units, count(*) FILTER ({_FLAGGED}) AS n_flagged_units, 20 * count(*) AS total_output_tokens, 'complete=' || count(*) AS status_counts FROM found JOIN c USING (doc_id) GROUP BY doc_id, n""")
+SELECT doc_id, n AS n_total_calls, count(*) AS n_units, count(*) FILTER ({_FLAGGED}) AS n_flagged_units, 20 * count(*) AS total_output_tokens,
+'complete=' || count(*) AS status_counts FROM found JOIN c USING (doc_id) GROUP BY doc_id, n""")
 def call_statistics(spark, sf_dir):
     e = extraction(spark, sf_dir)
     made = views.statistics(e.calls, e.units, ["doc_id"])
@@ -381,7 +403,8 @@ def source_ids(spark, sf_dir):
 
 @query("""WITH e AS (SELECT doc_id % 20 AS g, doc_id::VARCHAR AS id FROM labels WHERE quality = 1), f AS (SELECT doc_id % 20 AS g, doc_id::VARCHAR AS id FROM documents WHERE lang = 'en'),
 s AS (SELECT coalesce(e.g, f.g) AS g, e.id AS e, f.id AS f FROM e FULL JOIN f ON e.g = f.g AND e.id = f.id)
-SELECT g, count(e) AS n_expected, count(f) AS n_found, coalesce(string_agg(e, ',' ORDER BY e) FILTER (f IS NULL), '') AS missing, coalesce(string_agg(f, ',' ORDER BY f) FILTER (e IS NULL), '') AS extra FROM s GROUP BY g""")
+SELECT g, count(e) AS n_expected, count(f) AS n_found, coalesce(string_agg(e, ',' ORDER BY e) FILTER (f IS NULL), '') AS missing,
+coalesce(string_agg(f, ',' ORDER BY f) FILTER (e IS NULL), '') AS extra FROM s GROUP BY g""")
 def coverage(spark, sf_dir):
     group = (F.col("doc_id") % 20).alias("g")
     found = table(spark, sf_dir, "documents").where("lang = 'en'").select(group, F.col("doc_id").alias("id"))
@@ -399,7 +422,8 @@ def section_headings(spark, sf_dir):
     return batching.headings(table(spark, sf_dir, "documents"), _IDENT, tolerant=False).select("doc_id", "ident", "line_no")
 
 
-@query(rf"""WITH {_LINES}, idents AS (SELECT doc_id, ident, min(line_no) AS line_no FROM (SELECT doc_id, line_no, regexp_extract(line, '{_IDENT}', 0) AS ident FROM lines WHERE regexp_matches(line, '^(?:{_IDENT})')) GROUP BY ALL),
+@query(rf"""WITH {_LINES}, idents AS (SELECT doc_id, ident, min(line_no) AS line_no
+FROM (SELECT doc_id, line_no, regexp_extract(line, '{_IDENT}', 0) AS ident FROM lines WHERE regexp_matches(line, '^(?:{_IDENT})')) GROUP BY ALL),
 emitted AS (SELECT DISTINCT regexp_extract(text, '{_IDENT}', 0) AS ident FROM benchmark)
 SELECT doc_id, ident, line_no FROM idents WHERE ident NOT IN (SELECT ident FROM emitted)""")
 def missing_headings(spark, sf_dir):
@@ -408,19 +432,22 @@ def missing_headings(spark, sf_dir):
     return found.join(emitted, "ident", "left_anti").select("doc_id", "ident", "line_no")
 
 
-@query(f"""WITH t AS (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 160), '^{_WS}+', ''), '{_WS}+\\z', ''), '^[ .:\\-—]+', ''), '[ .:\\-—]+\\z', '') AS h FROM benchmark)
+@query(f"""WITH t AS (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 160), '^{_WS}+', ''), '{_WS}+\\z',
+''), '^[ .:\\-—]+', ''), '[ .:\\-—]+\\z', '') AS h FROM benchmark)
 SELECT item_id, nullif(substr(regexp_replace(CASE WHEN instr(h, '.') > 1 THEN substr(h, 1, instr(h, '.') - 1) ELSE h END, '{_WS}+\\z', ''), 1, 80), '') AS title FROM t""")
 def titles(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.title(F.col("text")).alias("title"))
 
 
-@query(f"""WITH {_BLOCKS}, u AS (SELECT *, block_idx % 3 = 1 AS inferred, lead(char_start) OVER (PARTITION BY doc_id ORDER BY block_idx) AS nxt, max(char_end) OVER (PARTITION BY doc_id) AS range_end FROM spans)
+@query(f"""WITH {_BLOCKS}, u AS (SELECT *, block_idx % 3 = 1 AS inferred, lead(char_start) OVER (PARTITION BY doc_id ORDER BY block_idx) AS nxt,
+max(char_end) OVER (PARTITION BY doc_id) AS range_end FROM spans)
 SELECT doc_id, block_idx AS k, char_start AS span_start, coalesce(nxt, range_end) AS span_end FROM u WHERE inferred AND coalesce(nxt, range_end) > char_start""")
 def refine_windows(spark, sf_dir):
     from spanloom.operators.refine import windows
 
     rows = conversation_blocks(spark, sf_dir)
-    units = rows.select("doc_id", F.col("block_idx").alias("k"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), (F.col("block_idx") % 3 == 1).alias("end_inferred_from_next_start"), F.lit(False).alias("end_quote_unresolved"))
+    units = rows.select("doc_id", F.col("block_idx").alias("k"), F.col("char_start").alias("start"), F.col("char_end").alias("end"),
+        (F.col("block_idx") % 3 == 1).alias("end_inferred_from_next_start"), F.lit(False).alias("end_quote_unresolved"))
     ends = rows.groupBy("doc_id").agg(F.max("char_end").alias("range_end"))
     return windows(units, ends).select("doc_id", "k", "span_start", "span_end")
 
@@ -435,7 +462,8 @@ def units_json(spark, sf_dir):
     return parsed.select("doc_id", "j.n_units", "j.document_id", first.alias("first_id"))
 
 
-@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, replace(replace(substr('{STAMP}', 1, 19), '-', ''), ':', '') || 'Z-' || substr(any_value(doc_hash), 1, 8) AS run_id, max(chunk_id)::INT AS n_chunks,
+@query(f"""WITH RECURSIVE {_EXTRACTED} SELECT doc_id, replace(replace(substr('{STAMP}', 1, 19), '-', ''), ':',
+'') || 'Z-' || substr(any_value(doc_hash), 1, 8) AS run_id, max(chunk_id)::INT AS n_chunks,
 max(block_idx) AS last_block, count(*) AS n_returned FROM found GROUP BY doc_id""")
 def run_json(spark, sf_dir):
     e = extraction(spark, sf_dir)
@@ -483,7 +511,8 @@ def _edge_blocks(spark, sf_dir):
 
 
 @query(f"""WITH {_EDGES} SELECT doc_id, row_number() OVER w - 1 AS block_idx, page,
-(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + page - 1)::BIGINT AS char_start FROM inner_ WINDOW w AS (PARTITION BY doc_id ORDER BY page, block_idx)""")
+(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + page - 1)::BIGINT AS char_start
+FROM inner_ WINDOW w AS (PARTITION BY doc_id ORDER BY page, block_idx)""")
 def empty_edge_pages(spark, sf_dir):
     """Offsets count from the first page read, whether it kept a block or not."""
     return _edge_blocks(spark, sf_dir).select("doc_id", "block_idx", "page", "char_start")
@@ -503,7 +532,8 @@ _NOISY = r"regexp_full_match(text, '\d{1,4}') OR (length(text) <= 3 AND regexp_f
 def _raw_boxes(spark, sf_dir):
     rows = _boxes(spark, sf_dir)
     return rows.select(
-        (F.col("l_orderkey") % 50).cast("string").alias("doc_id"), (1 + F.col("l_orderkey") % 3).cast("int").alias("page"), F.pmod(F.xxhash64("l_orderkey", "position"), F.lit(2147483647)).cast("int").alias("block_no"),
+        (F.col("l_orderkey") % 50).cast("string").alias("doc_id"), (1 + F.col("l_orderkey") % 3).cast("int").alias("page"),
+            F.pmod(F.xxhash64("l_orderkey", "position"), F.lit(2147483647)).cast("int").alias("block_no"),
         "x0", "y0", "x1", "y1", F.lit(612.0).alias("page_w"), F.lit(792.0).alias("page_h"), "text",
     )
 
@@ -520,7 +550,9 @@ def cleaning_counts(spark, sf_dir):
 @query(f"""WITH {_RAW}, kept AS (SELECT (l_orderkey % 50)::VARCHAR AS doc_id, page, text FROM raw WHERE NOT (band <> 'body' OR {_NOISY})),
 pages AS (SELECT DISTINCT (l_orderkey % 50)::VARCHAR AS doc_id, page FROM raw),
 n AS (SELECT doc_id, page, count(*) AS n, sum(length(text) + 1) AS chars FROM kept GROUP BY ALL),
-s AS (SELECT pages.*, coalesce(n, 0) AS n_blocks, coalesce(sum(chars) OVER (PARTITION BY pages.doc_id ORDER BY pages.page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, chars FROM pages LEFT JOIN n USING (doc_id, page))
+s AS (SELECT pages.*, coalesce(n, 0) AS n_blocks, coalesce(sum(chars)
+OVER (PARTITION BY pages.doc_id ORDER BY pages.page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, chars FROM pages LEFT
+JOIN n USING (doc_id, page))
 SELECT doc_id, page, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, CASE WHEN n_blocks > 0 THEN (before + page - 1)::BIGINT END AS char_start,
        CASE WHEN n_blocks > 0 THEN (before + page - 1 + chars - 1)::BIGINT END AS char_end, n_blocks FROM s""")
 def page_sizes(spark, sf_dir):
@@ -532,7 +564,8 @@ def page_sizes(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT item_id % 4 AS part, item_id, {_norm("text")} AS text FROM benchmark),
-b AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY item_id) - 1 AS block_idx, coalesce(sum(length(text) + 1) OVER (PARTITION BY part ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start
+b AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY item_id) - 1 AS block_idx,
+coalesce(sum(length(text) + 1) OVER (PARTITION BY part ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start
       FROM t WHERE length(text) > 0)
 SELECT part, block_idx, text, char_start, char_start + length(text) AS char_end FROM b""")
 def text_files(spark, sf_dir):

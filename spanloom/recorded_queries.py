@@ -77,7 +77,8 @@ def _segments_sql() -> str:
     return f"""WITH {_texts_sql()}, s AS ({stated}),
 a AS (SELECT s.*, instr(full_text, text) - 1 AS doc_offset_start, full_text, start_page FROM s JOIN docs USING (doc_id))
 SELECT doc_id, unit_id, segment_index, role, text, metadata, doc_offset_start::BIGINT AS doc_offset_start, (doc_offset_start + length(text))::BIGINT AS doc_offset_end,
-       (SELECT min(b.page) FROM b WHERE b.doc_id = a.doc_id AND instr(a.full_text, b.text) - 1 <= a.doc_offset_start AND a.doc_offset_start < instr(a.full_text, b.text) - 1 + length(b.text))::INT AS page_start
+       (SELECT min(b.page) FROM b WHERE b.doc_id = a.doc_id AND instr(a.full_text, b.text) - 1 <= a.doc_offset_start
+AND a.doc_offset_start < instr(a.full_text, b.text) - 1 + length(b.text))::INT AS page_start
 FROM a"""
 
 
@@ -228,7 +229,8 @@ def recorded_stream(spark, sf_dir):
     docs = extraction(spark).docs.select("doc_id", "full_text")
     last = calls.groupBy("doc_id").agg(F.max("chunk_id").alias("n"))
     text = F.substring("full_text", (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
-    rows = calls.join(docs, "doc_id").join(last, "doc_id").select("doc_id", "chunk_id", "char_start", "char_end", text.alias("text"), "payload_json", (F.col("chunk_id") == F.col("n")).alias("is_last"))
+    rows = calls.join(docs, "doc_id").join(last, "doc_id").select("doc_id", "chunk_id", "char_start", "char_end", text.alias("text"),
+        "payload_json", (F.col("chunk_id") == F.col("n")).alias("is_last"))
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     for chunk in (3, 1, 2):  # the files of a stream, one trigger each
         rows.where(F.col("chunk_id") == chunk).coalesce(1).write.mode("append").parquet(f"{root}/in")

@@ -37,7 +37,8 @@ class Document:
         if self._row is None:
             return {"path": self.path, "hash": "", "parser": self.parser, "n_blocks": 0, "n_chars": 0, "pages_processed": ""}
         r = self._row
-        return {"path": self.path, "hash": self.doc_hash[:12], "parser": self.parser, "n_blocks": r.n_blocks, "n_chars": len(self.full_text), "pages_processed": f"{r.start_page}-{r.end_page} of {r.end_page}"}
+        return {"path": self.path, "hash": self.doc_hash[:12], "parser": self.parser, "n_blocks": r.n_blocks,
+            "n_chars": len(self.full_text), "pages_processed": f"{r.start_page}-{r.end_page} of {r.end_page}"}
 
     def blocks(self, include_full_text: bool = False) -> str | None:
         """The blocks artifact as JSON text."""
