@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -47,6 +48,11 @@ def release(spark: SparkSession, since: int) -> None:
 
 
 def _remove_all() -> None:
+    for spark, name in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001  the JVM may have gone first
+            return
     for spark, path in _made:
         try:
             remove(spark, path)
@@ -73,6 +79,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, n: int, by: str) -> DataFrame:
+    """Write rows that are dealt by hash of ``by`` into ``n`` partitions as as many buckets, and read them back.
+
+    Joins and groupings on ``by`` find the rows where they lie, without a shuffle. The table is external, below
+    the shared folder; its catalogue entry goes, too, when the driver ends.
+    """
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    _tables.append((spark, table))
+    df.write.format("parquet").bucketBy(n, by).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import ann, embed_dedup, jaccard, langid, licenses, mixing, packing, sharding, token_counts, warc
+from spanloom.llm import ann, decontaminate, embed_dedup, jaccard, langid, licenses, mixing, packing, sharding, token_counts, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_nearest": ann.op8,
     "op9_embedding_dedup": embed_dedup.op9,
     "op10_language_id": langid.op10,
+    "op11_decontaminate": decontaminate.op11,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_sharding": sharding.OP5_SQL,
     "op8_nearest": ann.OP8_SQL,
     "op9_embedding_dedup": embed_dedup.OP9_SQL,
+    "op11_decontaminate": decontaminate.OP11_SQL,
 }
