@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import ann, decontaminate, embed_dedup, jaccard, langid, licenses, mixing, packing, sharding, token_counts, warc
+from spanloom.llm import alignment, ann, decontaminate, embed_dedup, jaccard, langid, licenses, mixing, packing, sharding, spelling, token_counts, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_embedding_dedup": embed_dedup.op9,
     "op10_language_id": langid.op10,
     "op11_decontaminate": decontaminate.op11,
+    "op12_spelling": spelling.op12,
+    "op13_alignment": alignment.op13,
 }
 
 ORACLES = {
@@ -26,4 +28,5 @@ ORACLES = {
     "op8_nearest": ann.OP8_SQL,
     "op9_embedding_dedup": embed_dedup.OP9_SQL,
     "op11_decontaminate": decontaminate.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
 }
