@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bucketed, partitions, written
+from spanloom.llm.common import bucketed, partitions, settings, written
 
 #: Words of a window; an item of fewer is one window.
 WINDOW = 10
@@ -85,7 +85,7 @@ def occurrences(postings: DataFrame, found: DataFrame, slop: int = 0) -> DataFra
     """
     width = 2 * slop + 1
     lists = postings.where(F.col("term") >= 0)
-    bins = lambda x: F.floor(x / F.lit(width))
+    bins = lambda x: F.floor(x / F.lit(width)) if slop else x
 
     def met(starts: DataFrame, word: Column) -> DataFrame:
         """Starts whose ``word`` (off, term) stands where it should, more than once if it does so more than once."""
@@ -111,7 +111,9 @@ def occurrences(postings: DataFrame, found: DataFrame, slop: int = 0) -> DataFra
         all_of = met(rest.select("row", "start", "w", "len", want.alias("want"), F.explode(F.slice("rest", FIRST + 1, F.greatest(want, F.lit(0)))).alias("o")), F.col("o"))
         all_of = all_of.groupBy("row", "start", "w", "len", "want").agg((F.count_distinct("_off") if slop else F.count(F.lit(1))).alias("n")).where("n = want")
         made += [starts.where(F.size("rest") <= FIRST).select("row", "start", "len", "w"), all_of.select("row", "start", "len", "w")]
-    return written(reduce(DataFrame.unionByName, made), "occurrences")
+    # rows of the same document lie together, whatever else a join compares
+    with settings(postings.sparkSession, requireAllClusterKeysForCoPartition="false"):
+        return written(reduce(DataFrame.unionByName, made), "occurrences")
 
 
 def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
