@@ -107,7 +107,11 @@ def role_text(full_text: Column, segments: Column, role: str) -> Column:
     return F.array_join(F.transform(own, lambda s: text_slice(full_text, s["start"], s["end"])), "\n\n")
 
 
-def input_token_budget(prompt_chars: int, context_window: int = 200_000, output: int = 8000, margin: int = 8000, schema: int = 1200, cap: int | None = None) -> int:
-    """Tokens of input that a model's window leaves."""
-    left = max(context_window - (prompt_chars // 4 + 1) - schema - output - margin, 0)
+def input_token_budget(prompt_chars: int | Column, context_window: int = 200_000, output: int = 8000, margin: int = 8000, schema: int = 1200, cap: int | None = None) -> int | Column:
+    """Tokens of input that a model's window leaves beside a prompt: of a number of characters, or of a column of them."""
+    fixed = context_window - schema - output - margin
+    if isinstance(prompt_chars, Column):
+        left = F.greatest(F.lit(fixed) - estimate_tokens(prompt_chars), F.lit(0)).cast("long")
+        return left if cap is None else F.least(left, F.lit(cap).cast("long"))
+    left = max(fixed - (prompt_chars // 4 + 1), 0)
     return left if cap is None else min(left, cap)

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import LINE_END, WS, estimate_tokens, heading_ident
+from spanloom.plans.storage import stored
 
 #: How far into a line a heading may start, and how much of it is searched.
 SLACK, HEAD = 8, 60
+#: Units of a document that are folded as one list.
+FOLD = 4096
 
 
 def is_heading(text: Column, pattern: str) -> Column:
@@ -30,53 +33,97 @@ def with_units(blocks: DataFrame, pattern: str | None) -> DataFrame:
     return found.withColumn("unit_no", F.when(some, F.sum(F.col("is_boundary").cast("long")).over(upto)).otherwise(F.col("block_idx")))
 
 
-def _folded(parts: Column, budget: Column, first: Column) -> Column:
-    """Greedy cut of ordered parts (char_start, char_end): indices of the parts that open a batch. ``first``: the first one's budget."""
-    start = F.struct(F.array().cast("array<int>").alias("opens"), F.lit(0).cast("long").alias("since"), F.lit(0).alias("i"))
+#: Fields of a unit, and of a batch.
+_BATCH = ("first_block", "last_block", "char_start", "char_end", "page_start", "page_end", "headings")
+
+
+def _folded(units: Column, budget: Column) -> Column:
+    """Greedy cut of ordered units: the batches, as structs."""
+    kind = "struct<" + ",".join(f"{f}:{'int' if f.startswith('page') else 'bigint'}" for f in _BATCH) + ">"
+    one = lambda u: F.struct(*[u[f].alias(f) for f in _BATCH])
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("now"))
 
     def step(a: Column, x: Column) -> Column:
-        limit = F.when(F.size(a["opens"]) <= 1, first).otherwise(budget)
-        fits = (a["i"] > 0) & (F.floor((x["char_end"] - a["since"]) / 4) + 1 <= limit)
-        opens = F.when(fits, a["opens"]).otherwise(F.concat(a["opens"], F.array(a["i"])))
-        return F.struct(opens.alias("opens"), F.when(fits, a["since"]).otherwise(x["char_start"]).cast("long").alias("since"), (a["i"] + 1).alias("i"))
+        now = a["now"]
+        fits = F.coalesce(F.floor((x["char_end"] - now["char_start"]) / 4) + 1 <= budget, F.lit(False))
+        more = F.struct(
+            now["first_block"].alias("first_block"), x["last_block"].alias("last_block"), now["char_start"].alias("char_start"), x["char_end"].alias("char_end"),
+            now["page_start"].alias("page_start"), x["page_end"].alias("page_end"), (now["headings"] + x["headings"]).alias("headings"),
+        )
+        done = F.when(fits | now.isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(now)))
+        return F.struct(done.alias("done"), F.when(fits, more).otherwise(one(x)).alias("now"))
+
+    return F.aggregate(units, start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
 
-    return F.aggregate(parts, start, step)["opens"]
 
+def _jumped(units: DataFrame, budget: Column, group: list[str]) -> DataFrame:
+    """The same batches by jumps, for documents of any number of units; none of them is ever a list.
 
-def plan_batches(blocks: DataFrame, budget: int | Column, pattern: str | None = None, keys: tuple[str, ...] = (), first_budget: str | None = None) -> DataFrame:
+    Where a batch that starts with a unit ends is a search over offsets: the first unit whose end is too far from
+    the start opens the next one. These jumps are doubled, and each doubling tells as many more batches of the
+    chain that starts with the first unit as are known: rounds grow with the logarithm of the batches.
+    """
+    run = Window.partitionBy(*group).orderBy("unit_no")
+    before = run.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda f: F.lag(f).over(run).alias(f)
+    rows = units.withColumns({
+        "_before": F.struct(last("last_block"), last("char_end"), last("page_end"), F.coalesce(F.sum("headings").over(before), F.lit(0)).alias("seen")),
+        "_next": F.lead("unit_no").over(run), "_seen": F.sum("headings").over(run),
+    })
+    own = F.struct("last_block", "char_end", "page_end", F.col("_seen").alias("seen"))
+    far = (1 << 62) - 1
+    # each unit as the one that a batch stops before; behind the last one is the end
+    stops = rows.select(*group, F.col("char_end").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("unit_no").alias("stop"), F.col("_before").alias("told")).alias("_stop"), F.lit(None).cast("long").alias("unit_no"))
+    end = rows.where(F.col("_next").isNull()).select(*group, F.lit(far).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.lit(None).cast("long").alias("stop"), own.alias("told")).alias("_stop"), F.lit(None).cast("long").alias("unit_no"))
+    asks = rows.select(*group, (F.col("char_start") + 4 * budget).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(stops.schema["_stop"].dataType).alias("_stop"), "unit_no")
+    down = Window.partitionBy(*group).orderBy(F.desc("_at"), "_kind", F.desc("unit_no")).rowsBetween(Window.unboundedPreceding, 0)
+    found = stops.unionByName(end).unionByName(asks).withColumn("_stop", F.last("_stop", True).over(down)).where("_kind = 1").select(*group, "unit_no", "_stop")
+    alone = F.coalesce(F.col("_stop.stop") == F.col("unit_no"), F.lit(False))  # a unit too long for any batch is one
+    edges = rows.join(found, [*group, "unit_no"]).withColumns({"_to": F.when(alone, F.col("_next")).otherwise(F.col("_stop.stop")), "_told": F.when(alone, own).otherwise(F.col("_stop.told"))})
+    edges = stored(edges.select(*group, "unit_no", "first_block", "char_start", "page_start", F.col("_before.seen").alias("_from"), "_told", "_to"), "jumps")
+    jump = edges.where(F.col("_to").isNotNull()).select(*group, "unit_no", "_to")
+    opened = stored(edges.groupBy(*group).agg(F.min("unit_no").alias("unit_no")), "opened")
+    while True:
+        more = stored(opened.join(jump, [*group, "unit_no"]).select(*group, F.col("_to").alias("unit_no")), "opened")
+        if not more.limit(1).count():
+            break
+        opened = opened.unionByName(more)
+        jump = stored(jump.join(jump.select(*group, F.col("unit_no").alias("_to"), F.col("_to").alias("_then")), [*group, "_to"]).select(*group, "unit_no", F.col("_then").alias("_to")), "jumps")
+    batches = opened.join(edges, [*group, "unit_no"]).withColumn("batch_no", F.row_number().over(run) - 1)
+    return batches.select(*group, "batch_no", "first_block", "_told.last_block", "char_start", "_told.char_end", "page_start", "_told.page_end", (F.col("_told.seen") - F.col("_from")).alias("headings"))
+
+
+def plan_batches(blocks: DataFrame, budget: int | Column, pattern: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Batches of each document: the longest runs of whole units within the budget, at least one unit each.
 
     Columns: doc_id, ``keys``, batch_no, first_block, last_block, char_start,
     char_end, est_input_tokens, n_units, page_start and page_end. n_units counts
     headings (0 for a batch before the first), or is 1 in documents without.
-    ``first_budget`` names a column with another budget for a document's first batch.
-    The fold over a document's units is one expression; only offsets are gathered.
+    Documents of at most FOLD units are folded in one expression; the batches of longer ones are found by jumps.
     """
-    return plan_units(with_units(blocks, pattern), budget, keys, first_budget)
+    return plan_units(with_units(blocks, pattern), budget, keys)
 
 
-def plan_units(marked: DataFrame, budget: int | Column, keys: tuple[str, ...] = (), first_budget: str | None = None) -> DataFrame:
+def plan_units(marked: DataFrame, budget: int | Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """Batches of blocks that have their units already. A budget that is a column must be among ``keys``."""
-    budget = F.lit(budget) if isinstance(budget, int) else budget
+    budget = F.lit(budget).cast("long") if isinstance(budget, int) else budget
     group = ["doc_id", *keys]
-    first = F.max(first_budget) if first_budget else F.max(budget)
-    units = marked.groupBy(*group, "unit_no").agg(
+    units = marked.groupBy(*group, F.col("unit_no").cast("long").alias("unit_no")).agg(
         F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.min("block_idx").alias("first_block"), F.max("block_idx").alias("last_block"),
-        F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.max("is_boundary").alias("headed"), first.alias("first_budget"),
-    )
-    fields = ["unit_no", "char_start", "char_end", "first_block", "last_block", "page_start", "page_end", "headed"]
-    docs = units.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("units"), F.max("first_budget").alias("first_budget"))
-    docs = docs.withColumn("opens", _folded(F.col("units"), budget, F.col("first_budget")))
-    cut = docs.select(*group, "units", "opens", F.posexplode("opens").alias("batch_no", "open"))
-    close = F.coalesce(F.get("opens", F.col("batch_no") + 1), F.size("units"))
-    part = F.slice("units", F.col("open") + 1, close - F.col("open"))
-    cut = cut.withColumn("p", part).withColumn("some", F.exists("units", lambda u: u["headed"]))
-    made = cut.select(
-        *group, F.col("batch_no").cast("long").alias("batch_no"), F.col("p")[0]["first_block"].alias("first_block"), F.element_at("p", -1)["last_block"].alias("last_block"),
-        F.col("p")[0]["char_start"].alias("char_start"), F.element_at("p", -1)["char_end"].alias("char_end"),
-        F.when(F.col("some"), F.size(F.filter("p", lambda u: u["headed"]))).otherwise(1).cast("long").alias("n_units"),
-        F.col("p")[0]["page_start"].alias("page_start"), F.element_at("p", -1)["page_end"].alias("page_end"),
+        F.min("page").cast("int").alias("page_start"), F.max("page").cast("int").alias("page_end"), F.max("is_boundary").cast("long").alias("headings"),
     )
+    units = stored(units, "units")
+    sizes = units.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max("headings").alias("_some"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    short = units if most <= FOLD else units.join(sizes.where(F.col("_n") <= FOLD).select(*group), group)
+    docs = short.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("unit_no", *_BATCH))).alias("_units"))
+    some = F.exists("_units", lambda u: u["headings"] > 0).cast("long").alias("_some")
+    cut = docs.select(*group, some, F.posexplode(_folded(F.col("_units"), budget)).alias("batch_no", "_b")).select(*group, "_some", "batch_no", "_b.*")
+    if most > FOLD:
+        long = sizes.where(F.col("_n") > FOLD).drop("_n")
+        cut = cut.unionByName(_jumped(units.join(long.drop("_some"), group), budget, group).join(long, group))
+    made = cut.withColumn("n_units", F.when(F.col("_some") > 0, F.col("headings")).otherwise(1).cast("long")).withColumn("batch_no", F.col("batch_no").cast("long"))
+    made = made.select(*group, "batch_no", "first_block", "last_block", "char_start", "char_end", "n_units", "page_start", "page_end")
     return made.withColumn("est_input_tokens", estimate_tokens(F.col("char_end") - F.col("char_start")))
 
 

@@ -9,6 +9,8 @@ from spanloom.functions.text import normalize_block, strip
 
 HEADER, FOOTER = 0.07, 0.93
 COLUMN_GAP, WIDE = 50.0, 0.6
+#: Blocks that are joined to a run before runs are joined to a text.
+RUN = 1024
 
 
 def margin_band(y0: Column, y1: Column, height: Column) -> Column:
@@ -70,31 +72,36 @@ def page_spans(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "page").agg(F.min("char_start").alias("char_start"), (F.max("char_end") + 2).alias("char_end"), F.count(F.lit(1)).alias("n_blocks"))
 
 
+def spaced(parts: Column) -> Column:
+    """Texts of ordered parts (char_start, char_end, text), with the line ends that their offsets leave between them."""
+    gap = lambda i: F.get(parts, i + 1)["char_start"] - F.get(parts, i)["char_end"]
+    return F.array_join(F.transform(parts, lambda x, i: F.concat(x["text"], F.repeat(F.lit("\n"), F.coalesce(gap(i), F.lit(0)).cast("int")))), "")
+
+
 def documents(blocks: DataFrame) -> DataFrame:
     """One row a document: its text, hash, blocks and pages.
 
     Columns ``first_page`` and ``last_page`` of the blocks tell the range that was read, empty
     pages at its ends included. The hash is that of the text, or the blocks' own ``doc_hash``.
+    Offsets say how many line ends are between blocks, so a text is put together in two levels, runs of
+    blocks and runs of runs, each character copied twice, however many pages there are.
     """
     have = set(blocks.columns)
-    first = F.max("first_page") if "first_page" in have else F.min("page")
+    parts = lambda order: F.array_sort(F.collect_list(F.struct(order, "char_start", "char_end", "text")))
+    first = F.min("first_page") if "first_page" in have else F.min("page")
     last = F.max("last_page") if "last_page" in have else F.max("page")
-    more = blocks.groupBy("doc_id").agg(
-        first.cast("int").alias("start_page"), last.cast("int").alias("end_page"), F.max("page").alias("kept_page"),
+    runs = blocks.withColumn("_run", F.expr(f"block_idx div {RUN}")).groupBy("doc_id", "_run").agg(
+        parts("block_idx").alias("_parts"), F.count(F.lit(1)).alias("n_blocks"), first.alias("start_page"), last.alias("end_page"), F.max("page").alias("kept_page"),
         (F.max("doc_hash") if "doc_hash" in have else F.lit(None).cast("string")).alias("own_hash"),
     )
-    pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("block_idx", "text"))).alias("b"))
-    text = F.concat(F.array_join(F.transform("b", lambda x: F.concat(x["text"], F.lit("\n"))), ""), F.lit("\n"))
-    pages = pages.withColumn("t", text)
-    joined = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"), F.sum(F.size("b")).alias("n_blocks"))
-    joined = joined.join(more, "doc_id")
-    # a page in range without a block still adds its line end
-    whole = F.aggregate("p", F.struct(F.lit("").alias("t"), F.col("start_page").cast("long").alias("next")), lambda a,
-        x: F.struct(F.concat(a["t"], F.repeat(F.lit("\n"), (x["page"] - a["next"]).cast("int")), x["t"]).alias("t"),
-        (x["page"] + 1).cast("long").alias("next")))["t"]
-    whole = F.concat(whole, F.repeat(F.lit("\n"), F.col("end_page") - F.col("kept_page")))
-    made = joined.select("doc_id", whole.alias("full_text"), "start_page", "end_page", F.col("n_blocks").cast("long").alias("n_blocks"), "own_hash")
-    return made.withColumn("doc_hash", F.coalesce("own_hash", F.sha2("full_text", 256))).drop("own_hash")
+    runs = runs.select("*", F.col("_parts")[0]["char_start"].alias("char_start"), F.element_at("_parts", -1)["char_end"].alias("char_end"), spaced(F.col("_parts")).alias("text"))
+    whole = runs.groupBy("doc_id").agg(
+        parts("_run").alias("_parts"), F.sum("n_blocks").alias("n_blocks"), F.min("start_page").cast("int").alias("start_page"), F.max("end_page").cast("int").alias("end_page"),
+        F.max("kept_page").alias("kept_page"), F.max("own_hash").alias("own_hash"),
+    )
+    lead, tail = F.col("_parts")[0]["char_start"].cast("int"), F.col("end_page") - F.col("kept_page") + 2  # a block's line end, its page's, and those of pages behind it
+    whole = whole.withColumn("full_text", F.concat(F.repeat(F.lit("\n"), lead), spaced(F.col("_parts")), F.repeat(F.lit("\n"), tail.cast("int"))))
+    return whole.select("doc_id", "full_text", "start_page", "end_page", "n_blocks", F.coalesce("own_hash", F.sha2("full_text", 256)).alias("doc_hash"))
 
 
 def locate(offsets: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -110,6 +117,35 @@ def locate(offsets: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("at").alias("offset"), F.when(inside, F.col("b.block_idx")).alias("block_idx"), F.when(inside, F.col("b.page")).alias("page"))
 
 
+def slices(spans: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``text``: the document's text from ``start`` to ``end`` (doc_id, ``keys``, start, end); '' where that is empty.
+
+    Each span is told its first and last block, by a window over offsets alone or by its own columns first_block
+    and last_block; it meets these blocks one by one, by number. So neither a document nor its text is ever a row, and no block goes
+    where no span wants it.
+    """
+    spans = spans.where("start >= 0 AND end > start")
+    if not {"first_block", "last_block"} <= set(spans.columns):
+        marks = blocks.select("doc_id", F.col("char_start").alias("at"), F.lit(0).alias("kind"), "block_idx")
+        upto = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        ends = {"start": F.col("start"), "end": F.col("end") - 1}
+        asked = spans.select("doc_id", F.explode(F.array(*ends.values())).alias("at")).distinct()
+        placed = marks.unionByName(asked.select("doc_id", "at", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("block_idx")))
+        placed = placed.withColumn("block_idx", F.coalesce(F.last("block_idx", True).over(upto), F.lit(0))).where("kind = 1")
+        for name, at in (("first_block", ends["start"]), ("last_block", ends["end"])):
+            spans = spans.withColumn("_at", at).join(placed.select("doc_id", F.col("at").alias("_at"), F.col("block_idx").alias(name)), ["doc_id", "_at"]).drop("_at")
+    rows = spans.select("doc_id", *keys, "start", "end", F.explode(F.sequence("first_block", "last_block")).alias("block_idx"))
+    rows = rows.join(blocks.select("doc_id", "block_idx", F.col("char_start").alias("_a"), F.col("char_end").alias("_b"), "text"), ["doc_id", "block_idx"])
+    low, high = F.greatest("start", "_a"), F.least("end", "_b")
+    cut = F.when((low == F.col("_a")) & (high == F.col("_b")), F.col("text")).otherwise(F.substring(F.col("text"), (low - F.col("_a") + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")))
+    part = F.struct("block_idx", F.least(low, "end").alias("char_start"), F.greatest(high, low).alias("char_end"), cut.alias("text"))
+    made = rows.groupBy("doc_id", *keys, "start", "end").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    lead = (F.col("_parts")[0]["char_start"] - F.col("start")).cast("int")
+    tail = (F.col("end") - F.element_at("_parts", -1)["char_end"]).cast("int")
+    whole = F.concat(F.repeat(F.lit("\n"), lead), spaced(F.col("_parts")), F.repeat(F.lit("\n"), tail))
+    return made.select("doc_id", *keys, whole.alias("text"))
+
+
 def page_range(blocks: DataFrame, first: int | None, last: int | None) -> DataFrame:
     """Each document's blocks from page ``first`` to page ``last``: first_block and last_block (length and -1 if there is none)."""
     after = F.lit(True) if first is None else F.col("page") >= first

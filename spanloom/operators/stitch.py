@@ -1,4 +1,8 @@
-"""Kernel: fold the units of a document's batches, in order, into units of the document."""
+"""Kernel: join the units of a document's batches, in order, into units of the document.
+
+``Stitcher`` is the fold over batches. ``step`` is what one batch does, whatever came before it: batches
+are worked on apart from each other, and what they do composes, as only one unit can be open between two of them.
+"""
 
 from __future__ import annotations
 
@@ -50,7 +54,7 @@ class Pending:
 class Stitcher:
     """The fold's state: finished units, the open one and the next sequence number."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: object):
         self.text, self.units, self.pending, self.next = text, [], None, 1
 
     def _number(self) -> int:
@@ -146,16 +150,88 @@ class Stitcher:
         return self.units
 
 
+class TextWindow:
+    """A part of a document's text, addressed by document positions."""
+
+    def __init__(self, base: int, text: str):
+        self.base, self.text = base, text
+
+    def __getitem__(self, span: slice) -> str:
+        return self.text[max(span.start - self.base, 0) : max(span.stop - self.base, 0)]
+
+
+@dataclass
+class Step:
+    """What a batch does to a unit that is open when it comes, and what it leaves.
+
+    The first ``used`` items go to the open unit, if there is one: they go on with it. Then it is closed by
+    ``closes``, or interrupted at ``bound``; or it stays open, if the batch ``passes``. Without an open unit these items
+    are units of their own: the first ``used`` of ``units``, which take ``n_lead`` sequence numbers. All that follows is the same in
+    both cases, but for its numbers; so a batch that doesn't pass decides alone what is open behind it.
+    """
+
+    units: list[Unit]  # of a document that starts here; sequences count from 1
+    used: int
+    n_lead: int
+    n_total: int
+    closes: BatchUnit | None
+    bound: int | None
+    passes: bool
+    parts: list[object]  # what the model sent for the first ``used`` items
+    open: Pending | None
+
+
+def step(batch: list[BatchUnit], chunk_id: int, batch_start: int, text: object) -> Step:
+    """One batch's transition. Batches of a document must not overlap: then any end closes a unit that was opened before."""
+    lead = next((i for i, u in enumerate(batch) if u.status != "truncated_at_start" and u.start >= 0), len(batch))
+    closing = next((i for i in range(lead) if batch[i].end >= 0), None)
+    used = lead if closing is None else closing + 1
+    alone = Stitcher(text)
+    alone.add(batch, chunk_id, batch_start, batch_start)
+    interrupted = closing is None and lead < len(batch)
+    return Step(
+        alone.units, used, sum(u.sequence > 0 for u in alone.units[:used]), alone.next - 1, None if closing is None else batch[closing],
+        batch[lead].start if interrupted else None, closing is None and not interrupted, [u.model for u in batch[:used]], alone.pending,
+    )
+
+
+def finished(p: Pending, closes: BatchUnit | None, bound: int | None, range_end: int, text: object) -> Unit:
+    """A unit that was open between batches: closed, interrupted or, if neither, flushed."""
+    s = Stitcher(text)
+    if closes is not None:
+        s._close(p, closes)
+    elif bound is not None:
+        s._interrupt(p, bound)
+    else:
+        s.pending = p
+        s.finish(range_end)
+    return s.units[0]
+
+
+def unit_state(u: BatchUnit) -> dict:
+    return asdict(u)
+
+
+def restored_unit(u: dict) -> BatchUnit:
+    return BatchUnit(**(u | {"segments": [tuple(x) for x in u["segments"]]}))
+
+
+def pending_state(p: Pending) -> dict:
+    return asdict(p)
+
+
+def restored_pending(p: dict) -> Pending:
+    return Pending(restored_unit(p["unit"]), p["sequence"], p["chunk_id"], list(p["chunk_ids"]), list(p["parts"]))
+
+
 def state_of(s: Stitcher) -> dict:
     """What a stream keeps between batches: the open unit and the counter, as plain values."""
-    return {"next": s.next, "pending": asdict(s.pending) if s.pending else None}
+    return {"next": s.next, "pending": pending_state(s.pending) if s.pending else None}
 
 
-def restored(text: str, state: dict | None) -> Stitcher:
+def restored(text: object, state: dict | None) -> Stitcher:
     s = Stitcher(text)
     if state:
         s.next = state["next"]
-        if p := state["pending"]:
-            unit = BatchUnit(**(p["unit"] | {"segments": [tuple(x) for x in p["unit"]["segments"]]}))
-            s.pending = Pending(unit, p["sequence"], p["chunk_id"], list(p["chunk_ids"]), list(p["parts"]))
+        s.pending = restored_pending(state["pending"]) if state["pending"] else None
     return s

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.batching import plan_units, with_units
-from spanloom.operators.blocks import documents, page_range
+from spanloom.operators.blocks import documents, page_range, slices
 from spanloom.operators.payloads import batch_status, items_of, renamed, specs_of
 from spanloom.operators.resolve import BatchUnit, Searchable, batch_unit, resolve
-from spanloom.operators.stitch import Stitcher, Unit
+from spanloom.operators.stitch import TextWindow, Unit, finished, pending_state, restored_pending, restored_unit, step, unit_state
 from spanloom.plans.providers import Provider, call
 from spanloom.plans.settings import Profile, Settings, system_prompt
 from spanloom.plans.storage import partitions, stored
@@ -159,23 +159,55 @@ def _split(fields: str) -> list[str]:
     return [*parts, now]
 
 
-def _folded(settings: Settings, names: dict[str, str] | None):
+STEP_FIELDS = "used int, n_lead int, n_total int, closes string, bound long, passes boolean, parts array<string>, open string, open_start long, open_until long"
+
+
+def _plain(x: object) -> str | None:
+    return None if x is None else json.dumps(x, ensure_ascii=False)
+
+
+def _stepped(settings: Settings, names: dict[str, str] | None, columns: list[str]):
+    """Each call by itself: its items, its units, and what it does to a unit that is open when it comes."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for d in frame.to_dict("records"):
-                text, calls = d["full_text"], list(d["calls"])
-                stitcher, judged, range_end = Stitcher(text), [], max(int(c["char_end"]) for c in calls)
-                for c in calls:
-                    a, b = int(c["char_start"]), int(c["char_end"])
-                    units, items, bad = ([], [], []) if c["failed"] else batch_units(c["payload_json"], text[a:b], a, settings.keep_lone_ends, names)
-                    status = "api_error" if c["failed"] else batch_status(len(units), sum(u.verbatim for u in units), len(bad), c["stop_reason"])
-                    told = {"n_returned": len(items), "n_found": len(units), "n_malformed": len(bad), "malformed": bad, "batch_status": status}
-                    judged.append({"chunk_id": c["chunk_id"], "model_items": [json.dumps(x, ensure_ascii=False) for x in items]} | told)
-                    if not c["overflowed"] and not c["failed"]:
-                        stitcher.add(units, int(c["chunk_id"]), a, range_end)
-                rows.append({"doc_id": d["doc_id"], "units": [unit_row(k, u) for k, u in enumerate(stitcher.finish(range_end))], "judged": judged})
-            yield pd.DataFrame(rows, columns=["doc_id", "units", "judged"])
+            for c in frame.to_dict("records"):
+                a, text = int(c["char_start"]), c["text"] or ""
+                units, items, bad = ([], [], []) if c["failed"] else batch_units(c["payload_json"], text, a, settings.keep_lone_ends, names)
+                status = "api_error" if c["failed"] else batch_status(len(units), sum(u.verbatim for u in units), len(bad), c["stop_reason"])
+                row = {"doc_id": c["doc_id"], "chunk_id": c["chunk_id"], "n_returned": len(items), "n_found": len(units), "n_malformed": len(bad), "malformed": bad, "batch_status": status}
+                row["model_items"] = [json.dumps(x, ensure_ascii=False) for x in items]
+                counts = not (c["overflowed"] or c["failed"])
+                made = step(units if counts else [], int(c["chunk_id"]), a, TextWindow(a, text))
+                ends = [x[1] for x in made.closes.segments] + [made.closes.end] if made.closes else []
+                row |= {
+                    "used": made.used, "n_lead": made.n_lead, "n_total": made.n_total, "closes": _plain(unit_state(made.closes)) if made.closes else None, "bound": made.bound, "passes": made.passes,
+                    "parts": [_plain(x) for x in made.parts], "open": _plain(pending_state(made.open)) if made.open else None, "open_start": made.open.unit.start if made.open else None,
+                    "open_until": max(ends) if ends else made.bound, "units": [unit_row(k, u) for k, u in enumerate(made.units)],
+                }
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def _closed(columns: list[str]):
+    """Units that were open between batches, with the text from their start to where they end."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                p = restored_pending(json.loads(r["open"]))
+                p.chunk_ids += [int(x) for x in r["more_ids"]]
+                for part in map(json.loads, r["more_parts"]):
+                    p.parts += [part] if part not in p.parts else []
+                closes = restored_unit(json.loads(r["closes"])) if r["closes"] else None
+                bound = None if pd.isna(r["bound"]) else int(r["bound"])
+                u = finished(p, closes, bound, int(r["range_end"]), TextWindow(p.unit.start, r["text"] or ""))
+                rows.append({c: r[c] for c in ("doc_id", "chunk_id", "at_chunk")} | unit_row(-1, u))
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -198,18 +230,61 @@ class Extraction:
 def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = None, names: dict[str, str] | None = None) -> Extraction:
     """Resolve and stitch recorded calls: doc_id, chunk_id, char_start, char_end, payload_json, stop_reason, failed, overflowed and more.
 
-    ``names`` maps our field names to those of payloads that came from elsewhere.
-    One row a document meets its calls; a kernel over batches of documents folds each in turn.
+    ``names`` maps our field names to those of payloads that came from elsewhere. Calls that count (neither failed
+    nor overflowed) must not overlap, and chunk_id must follow their order.
+
+    Every call is a row of its own, with its own text: batches of a long document are resolved by all tasks alike.
+    What a batch does to a unit that is open when it comes composes by a rule that a window can
+    follow: the last batch before that didn't let an open unit pass decides. So sequence numbers, and what becomes of
+    units over several batches, come from windows over a few numbers a batch; units that were open meet the text from their start to their end.
     """
     settings = settings or Settings.of(blocks.sparkSession)
-    docs = documents(blocks)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    need = ["chunk_id", "char_start", "char_end", "payload_json", "stop_reason", "failed", "overflowed"]
-    per = calls.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*need))).alias("calls"))
-    rows = per.join(docs.select("doc_id", "full_text"), "doc_id").repartition(partitions(blocks.sparkSession), "doc_id")
-    folded = stored(rows.mapInPandas(_folded(settings, names), f"doc_id {kind}, units array<{_struct(UNIT_FIELDS)}>, judged array<{_struct(CALL_FIELDS)}>"), "folded")
-    judged = folded.select("doc_id", F.inline("judged"))
-    return Extraction(docs, blocks, calls.join(judged, ["doc_id", "chunk_id"]), folded.select("doc_id", F.inline("units")))
+    spark, kind = blocks.sparkSession, blocks.schema["doc_id"].dataType.simpleString()
+    need = ["doc_id", "chunk_id", "char_start", "char_end", "payload_json", "stop_reason", "failed", "overflowed"]
+    spans = calls.select("doc_id", "chunk_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"), *[c for c in ("first_block", "last_block") if c in calls.columns])
+    texts = slices(spans, blocks, ["chunk_id"])
+    rows = calls.select(*need).join(texts, ["doc_id", "chunk_id"], "left").repartition(partitions(spark), "doc_id", "chunk_id")
+    fields = f"doc_id {kind}, {CALL_FIELDS}, {STEP_FIELDS}, units array<{_struct(UNIT_FIELDS)}>"
+    columns = [f.strip().split(" ")[0] for f in _split(fields)]
+    steps = stored(rows.mapInPandas(_stepped(settings, names, columns), fields), "steps")
+
+    order = Window.partitionBy("doc_id").orderBy("chunk_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    decided = F.last(F.when(~F.col("passes"), F.struct("chunk_id", F.col("open").isNotNull().alias("some"))), True).over(before)
+    told = steps.select("doc_id", "chunk_id", "used", "n_lead", "n_total", "passes", "open", decided.alias("_d"))
+    told = told.withColumn("opener", F.when(F.col("_d.some"), F.col("_d.chunk_id")))
+    lead = F.when(F.col("opener").isNotNull(), F.col("n_lead")).otherwise(0)
+    taken = F.coalesce(F.sum(F.col("n_total") - lead).over(before), F.lit(0))
+    told = stored(told.select("doc_id", "chunk_id", "opener", (taken - lead).alias("shift")), "told")
+
+    both = steps.join(told, ["doc_id", "chunk_id"])
+    own = both.where("size(units) > 0").select("doc_id", "chunk_id", "opener", "used", "shift", F.col("chunk_id").alias("at_chunk"), F.inline("units"))
+    own = own.where("opener IS NULL OR k >= used").drop("opener", "used")
+    # what later batches gave to a unit that was open, and which of them ended it
+    went = both.where("opener IS NOT NULL").groupBy("doc_id", F.col("opener").alias("chunk_id")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("used") > 0, F.struct(F.col("chunk_id").alias("c"), "parts")))).alias("more"),
+        F.max(F.when(~F.col("passes"), F.struct(F.col("chunk_id").alias("at_chunk"), "closes", "bound", "open_until"))).alias("ended"),
+    )
+    flush = (1 << 62) - 1
+    ends = calls.groupBy("doc_id").agg(F.max("char_end").alias("range_end"))
+    cut = both.where("open IS NOT NULL").select("doc_id", "chunk_id", "open", "open_start", "shift").join(went, ["doc_id", "chunk_id"], "left").join(ends, "doc_id")
+    cut = cut.select(
+        "doc_id", "chunk_id", "open", "open_start", "shift", "range_end", F.coalesce("ended.at_chunk", F.lit(flush)).alias("at_chunk"), "ended.closes", "ended.bound",
+        F.coalesce("ended.open_until", "range_end").alias("until"), F.coalesce(F.transform("more", lambda x: x["c"]), F.array().cast("array<long>")).alias("more_ids"),
+        F.coalesce(F.flatten(F.transform("more", lambda x: x["parts"])), F.array().cast("array<string>")).alias("more_parts"),
+    )
+    cut = stored(cut, "open")
+    texts = slices(cut.select("doc_id", "chunk_id", F.col("open_start").alias("start"), F.greatest("until", "open_start").alias("end")), blocks, ["chunk_id"])
+    rows = cut.join(texts, ["doc_id", "chunk_id"], "left").select("doc_id", "chunk_id", "at_chunk", "open", "closes", "bound", "range_end", "more_ids", "more_parts", "text")
+    fields = f"doc_id {kind}, chunk_id long, at_chunk long, {UNIT_FIELDS}"
+    columns = [f.strip().split(" ")[0] for f in _split(fields)]
+    done = rows.repartition(partitions(spark), "doc_id", "chunk_id").mapInPandas(_closed(columns), fields).join(cut.select("doc_id", "chunk_id", "shift"), ["doc_id", "chunk_id"])
+
+    units = own.unionByName(done).withColumn("sequence", F.when(F.col("sequence") > 0, F.col("sequence") + F.col("shift")).otherwise(F.col("sequence")))
+    place = Window.partitionBy("doc_id").orderBy("at_chunk", "k")
+    units = units.withColumn("k", (F.row_number().over(place) - 1).cast("int")).drop("chunk_id", "at_chunk", "shift")
+    judged = steps.select("doc_id", *[f.strip().split(" ")[0] for f in _split(CALL_FIELDS)])
+    return Extraction(documents(blocks), blocks, calls.join(judged, ["doc_id", "chunk_id"]), stored(units.select("doc_id", *[f.strip().split(" ")[0] for f in _split(UNIT_FIELDS)]), "units"))
 
 
 def progress(e: Extraction) -> dict[str, int]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -25,21 +26,57 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_all)
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _remove_all() -> None:
     for spark, path in _made:
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
         except Exception:  # noqa: BLE001  the JVM may have gone first
             return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write rows as Parquet below spark.checkpoint.dir and read them back; removed when the driver ends."""
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write a stage's rows as Parquet in shared storage and read them back.
+
+    This cuts the lineage: a lost executor costs no more than the running stage, and later
+    plans prune columns and push filters down.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove_all)
-    _made.append((spark, path))
-    df.write.parquet(path)
+    path = scratch_path(spark, name)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_mark() -> int:
+    """How many scratch folders there are, for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the scratch folders made after the first ``since`` ones, but for the last ``keep``, which hold what they led to."""
+    for made in _made[since : len(_made) - keep]:
+        _made.remove(made)
+        remove(spark, made[1])
+
+
+@contextmanager
+def released(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder that is gone behind the block: what is read from it must be stored elsewhere inside."""
+    try:
+        yield path
+    finally:
+        remove(spark, path)

@@ -218,8 +218,8 @@ def budget_sweep(spark, sf_dir):
 
 @query(f"WITH {_BLOCKS} SELECT doc_id, block_idx, (length(text) // 4 + 1)::BIGINT AS est_tokens, greatest(200000 - (length(text) // 4 + 1) - 17200, 0)::BIGINT AS input_budget FROM spans")
 def token_estimates(spark, sf_dir):
-    est = T.estimate_tokens(F.length("text"))
-    return conversation_blocks(spark, sf_dir).select("doc_id", "block_idx", est.alias("est_tokens"), F.greatest(F.lit(200000) - est - 17200, F.lit(0)).cast("long").alias("input_budget"))
+    est, left = T.estimate_tokens(F.length("text")), T.input_token_budget(F.length("text"))
+    return conversation_blocks(spark, sf_dir).select("doc_id", "block_idx", est.alias("est_tokens"), left.alias("input_budget"))
 
 
 _ODD = ["a‘b’c", "“x”–y—z", "p  q\t\nr", " lead trail　", "tab\x1csep", "é`´′″−", "𝄞  𝄢"]
@@ -572,21 +572,23 @@ def text_files(spark, sf_dir):
     """Benchmark passages written as four text files, read back as documents of paragraphs."""
     import uuid
 
-    from spanloom.plans.storage import shared_folder
+    from spanloom.plans.storage import released, shared_folder, stored
     from spanloom.sources.readers import read_text
 
-    root = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("part"), "item_id", F.col("text").alias("value"))
     rows = rows.repartition(4, "part").sortWithinPartitions("part", "item_id").select("part", "value")
-    rows.write.partitionBy("part").option("lineSep", "\n\n").text(root)
-    made = read_text(spark, f"{root}/*/*.txt")
-    return made.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "block_idx", "text", "char_start", "char_end")
+    with released(spark, f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}") as root:
+        rows.write.partitionBy("part").option("lineSep", "\n\n").text(root)
+        made = read_text(spark, f"{root}/*/*.txt")
+        return stored(made.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "block_idx", "text", "char_start", "char_end"), "texts")
 
 
-_ROLE_CASES = [None, "", "  ", " context ", "other", "\u00a0requirement\u2003"]
+_SAID = "CASE (turn + conv_id) % 4 WHEN 0 THEN role WHEN 1 THEN chr(160) || role || chr(8195) || ' ' WHEN 2 THEN ' ' || chr(9) END"
 
 
-@query("SELECT i::INT AS i, role FROM (VALUES (0, 'requirement'), (1, 'requirement'), (2, 'requirement'), (3, 'context'), (4, 'other'), (5, 'requirement')) AS t(i, role)")
+@query(f"SELECT conv_id, turn, CASE WHEN (turn + conv_id) % 4 < 2 THEN role ELSE 'requirement' END AS role FROM (SELECT conv_id, turn, role, {_SAID} AS said FROM conversations)")
 def role_defaults(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_ROLE_CASES)), "i int, role string")
-    return rows.select("i", T.normalize_role(F.col("role")).alias("role"))
+    """Roles as models send them: with white space of any kind around them, blank, or missing."""
+    which = (F.col("turn") + F.col("conv_id")) % 4
+    said = F.when(which == 0, F.col("role")).when(which == 1, F.concat(F.lit("\u00a0"), "role", F.lit("\u2003 "))).when(which == 2, F.lit(" \t"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_role(said).alias("role"))

@@ -9,20 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.operators.stitch import restored, state_of
+from spanloom.operators.stitch import TextWindow, restored, state_of
 from spanloom.plans.engine import UNIT_FIELDS, _split, batch_units, unit_row
 
 
-class TextWindow:
-    """The part of a document's text that open units may still need, addressed by document positions."""
-
-    def __init__(self, base: int, text: str):
-        self.base, self.text = base, text
-
-    def __getitem__(self, span: slice) -> str:
-        return self.text[max(span.start - self.base, 0) : max(span.stop - self.base, 0)]
-
-
 def stitch_stream(calls: DataFrame, keep_lone_ends: bool = True) -> DataFrame:
     """Units as they are finished, from a stream of batches.
 

@@ -1,4 +1,4 @@
-"""Queries over the recorded corpus and small tables of cases, with the rows that must come out.
+"""The recorded corpus and small tables of cases, with the rows that must come out.
 
 Every branch of the kernels has a case. Texts and offsets of documents and segments are worked
 out by SQL from the cases' blocks. The other expected rows, in ``golden.json``, were written
@@ -21,9 +21,12 @@ from spanloom.plans.engine import Extraction, assemble, extract
 from spanloom.plans.refinement import refine
 from spanloom.plans.settings import Profile, Settings
 from spanloom.plans.storage import shared_folder
-from spanloom.queries import ORACLES, QUERIES, STAMP
-from spanloom.recorded import CASES, Closing, Limited, overflow_blocks, recorded_blocks, recorded_calls
+from spanloom.queries import STAMP
 
+from recorded_corpus import CASES, Closing, Limited, overflow_blocks, recorded_blocks, recorded_calls
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
 FLAGS = ["verbatim_match", "end_resolved", "end_inferred_from_next_start", "end_quote_unresolved", "start_via_fallback", "ambiguous", "segments_partial"]
 
 
@@ -47,7 +50,7 @@ def values_sql(columns: dict[str, str], rows: list[list]) -> str:
 
 
 def expected(fn):
-    """Register a query whose rows are stated in full."""
+    """Keep a case whose rows are stated in full."""
     name = fn.__name__
     QUERIES[name] = fn
     if name in golden():

@@ -5,13 +5,13 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from recorded_corpus import Limited, overflow_blocks
 
 from spanloom.functions import text as T
 from spanloom.operators import batching, blocks, refine, segments
 from spanloom.plans.engine import assemble, extract, progress
 from spanloom.plans.providers import CallError, Chain, RuleBased, call
 from spanloom.plans.settings import Profile, Settings, read_prompt, system_prompt
-from spanloom.recorded import Limited, overflow_blocks
 from spanloom.sources import readers
 
 
@@ -376,3 +376,100 @@ def test_artifacts_are_saved(tmp_path):
 
     save_pretty('{"a": "é"}', tmp_path / "x" / "y.json")
     assert (tmp_path / "x" / "y.json").read_text(encoding="utf-8") == '{\n  "a": "é"\n}'
+
+
+def random_payload(rng, words, size):
+    """Items of every kind, at random: whole, cut, going on, without an end, of two segments, malformed."""
+    items = []
+    for _ in range(rng.randint(0, 4)):
+        at = sorted(rng.randrange(size) for _ in range(4))
+        quote = lambda i: " ".join(words[i : i + rng.randint(2, 5)])
+        start, end = quote(at[0]), quote(at[3])
+        kind = rng.randrange(8)
+        if kind == 0:
+            items.append({"status": "truncated_at_start", "end_quote": end if rng.random() < 0.6 else None})
+        elif kind == 1:
+            items.append({"status": "truncated_at_end", "start_quote": start})
+        elif kind == 2:
+            items.append({"status": "complete", "start_quote": start, "end_quote": rng.choice([None, "never said at all", end])})
+        elif kind == 3:
+            items.append({"status": rng.choice(["complete", "truncated_at_end"]), "segments": [{"start_quote": start, "end_quote": quote(at[1]), "role": rng.choice(["requirement", "context", "x"])}, {"start_quote": quote(at[2]), "end_quote": end}]})
+        elif kind == 4:
+            items.append({"status": "complete", "segments": [{"start_after_quote": start, "end_before_quote": end}]})
+        elif kind == 5:
+            items.append(rng.choice([7, {}, {"segments": [2]}, {"start_quote": "not to be found"}]))
+        else:
+            items.append({"status": rng.choice(["complete", "truncated_at_start"]), "start_quote": start, "end_quote": end})
+    return json.dumps({"requirements": items})
+
+
+def test_steps_compose_to_the_fold(spark):
+    """Batches worked on apart give what the fold over a document's batches gives."""
+    from spanloom.operators.stitch import Stitcher
+    from spanloom.plans.engine import batch_units
+
+    rng = random.Random(11)
+    texts, calls, wanted = [], [], {}
+    for d in range(60):
+        whole = [f"w{rng.randrange(60)}" for _ in range(240)]
+        rows, at, n = [], 0, rng.randint(1, 7)
+        for i in range(n):
+            part = whole[i * 30 : (i + 1) * 30]
+            rows.append((f"d{d}", i, 1 + i // 2, " ".join(part)))
+        texts += rows
+        starts = []
+        for i, r in enumerate(rows):
+            at += 1 if i and r[2] != rows[i - 1][2] else 0
+            starts.append(at)
+            at += len(r[3]) + 1
+        text = blocks_text(rows)
+        fold = Stitcher(text)
+        end = starts[-1] + len(rows[-1][3])
+        for i, r in enumerate(rows):
+            payload, bad = random_payload(rng, r[3].split(), 25), rng.random()
+            calls.append((f"d{d}", i + 1, starts[i], starts[i] + len(r[3]), payload, "x", bad < 0.05, 0.05 < bad < 0.1))
+            if bad >= 0.1:
+                fold.add(batch_units(payload, r[3], starts[i], True)[0], i + 1, starts[i], end)
+        wanted[f"d{d}"] = [(u.sequence, u.status, u.start, u.end, u.segments, u.verbatim_match, u.segments_partial, u.end_resolved, u.source_chunk_ids, u.texts["requirement"], u.segment_texts, u.end_quote, [json.dumps(m) for m in u.model_parts]) for u in fold.finish(end)]
+    rows = blocks.with_offsets(spark.createDataFrame(texts, "doc_id string, ord int, page int, text string"))
+    fields = "doc_id string, chunk_id long, char_start long, char_end long, payload_json string, stop_reason string, failed boolean, overflowed boolean"
+    got = assemble(rows, spark.createDataFrame(calls, fields)).units.orderBy("doc_id", "k").collect()
+    made = {d: [] for d in wanted}
+    for u in got:
+        segs = [(s.start, s.end, s.role) for s in u.segments]
+        made[u.doc_id].append((u.sequence, u.status, u.start, u.end, segs, u.verbatim_match, u.segments_partial, u.end_resolved, u.source_chunk_ids, u.requirement_text, [s.text for s in u.segments], u.end_quote, u.model_parts))
+    assert made == wanted and sum(map(len, wanted.values())) > 300
+    assert any(len(u[8]) > 2 for us in wanted.values() for u in us)
+
+
+def blocks_text(rows):
+    out, page = "", rows[0][2]
+    for _, _, p, t in rows:
+        out += "\n" * (p - page) + t + "\n"
+        page = p
+    return out + "\n"
+
+
+@pytest.mark.parametrize("pattern", [None, "HEAD"])
+def test_jumps_plan_like_the_fold(spark, monkeypatch, pattern):
+    rng = random.Random(5)
+    texts = [(f"d{d}", i, i // 3, rng.choice(["HEAD ", ""]) + "x" * rng.randrange(1, 60)) for d in range(12) for i in range(rng.randint(1, 60))]
+    rows = blocks.with_offsets(spark.createDataFrame(texts, "doc_id string, ord int, page int, text string"))
+    columns = ["doc_id", "batch_no", "first_block", "last_block", "char_start", "char_end", "n_units", "page_start", "page_end", "est_input_tokens"]
+    found = []
+    for fold in (4096, 0, 20):
+        monkeypatch.setattr(batching, "FOLD", fold)
+        found.append(sorted(tuple(r) for r in batching.plan_batches(rows, 30, pattern).select(*columns).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 80
+
+
+def test_a_long_document_is_planned_and_joined(spark):
+    """200,000 blocks on as many pages: time grows with their number, and no row holds them all but the text's own."""
+    n = 200_000
+    rows = spark.range(n).select(F.lit("d").alias("doc_id"), F.col("id").alias("ord"), (F.col("id") + 1).cast("int").alias("page"), F.concat(F.lit("block "), "id").alias("text"))
+    rows = blocks.with_offsets(rows)
+    made = blocks.documents(rows).select(F.length("full_text").alias("n"), F.sha2("full_text", 256).alias("h"), "doc_hash", "n_blocks").first()
+    assert made.n == sum(len(str(i)) + 8 for i in range(n)) and made.h == made.doc_hash and made.n_blocks == n
+    plans = batching.plan_batches(rows, 600)
+    told = plans.agg(F.count(F.lit(1)), F.sum(F.col("last_block") - F.col("first_block") + 1), F.max("est_input_tokens"), F.max("batch_no")).first()
+    assert told[1] == n and told[2] <= 600 and told[0] == told[3] + 1 > 1000
