@@ -17,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import complete_groups, lean, partitions, written
+from spanloom.llm.common import complete_groups, lean, partitions, release, scratch_mark, written
 
 #: Distinct segments after which a task begins another chunk of documents.
-SEGMENTS = 600_000
+SEGMENTS = 400_000
+#: Bytes of groups that a task holds before it sends them back, a parcel a chunk.
+PARCELS = 1 << 24
 #: Larger groups are paired by their distinct ids.
 LARGE = 4096
 # A cut lies before one of these characters, behind anything that no standard calls white space.
@@ -151,65 +153,101 @@ _CUT = ["chunk", "kind", "no", "id", "segment", "data"]
 
 
 def _aligned(path_a: str, path_b: str):
-    """Uses of segments, sorted by segment, to uses with groups: a segment is aligned when it first comes."""
+    """Uses of segments, sorted by segment, to parcels of groups for each chunk: a segment is aligned when it first comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizers(path_a, path_b)
-        last, its = None, ""
+        last, its, size = None, b"", 0
+        held: defaultdict[int, tuple[list[int], list[bytes]]] = defaultdict(lambda: ([], []))
+
+        def parcels() -> pa.RecordBatch:
+            made = [parcel(*x) for x in held.values()]
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(made, pa.binary())], ["chunk", "data"])
+            held.clear()
+            return out
+
         for batch in batches:
             column = batch.column("segment").to_pylist()
             new = list(dict.fromkeys(s for s in column if s != last))
-            found = dict(zip(new, pair.aligned(new), strict=True)) if new else {}
+            found = dict(zip(new, map(str.encode, pair.aligned(new)), strict=True)) if new else {}
             if last is not None:
                 found.setdefault(last, its)
             if column:
                 last = column[-1]
                 its = found[last]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("no"), pa.array([found[s].encode() for s in column], pa.binary())], ["chunk", "no", "data"])
+            for chunk, no, s in zip(batch.column("chunk").to_pylist(), batch.column("no").to_pylist(), column, strict=True):
+                numbers, groups = held[chunk]
+                numbers.append(no)
+                groups.append(found[s])
+                size += len(groups[-1]) + 8
+            if size > PARCELS:
+                yield parcels()
+                size = 0
+        if held:
+            yield parcels()
 
     return run
 
 
+def parcel(numbers: list[int], groups: list[bytes]) -> bytes:
+    return zstandard.compress(np.array([len(numbers), *numbers], dtype="<i4").tobytes() + b"\n".join(groups), 3)
+
+
+def unparcelled(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    plain = zstandard.decompress(raw)
+    n = int(np.frombuffer(plain, dtype="<i4", count=1)[0])
+    return np.frombuffer(plain, dtype="<i4", count=n, offset=4), plain[4 * n + 4 :].split(b"\n")
+
+
 class Chunk:
     """A chunk's segments with their groups: counts of each, and links as numbers of the chunk's distinct pairs."""
 
-    def __init__(self, groups: list[bytes]):
-        self.groups = groups
-        self.bad = np.array([not g for g in groups])
-        raw = np.frombuffer(b";".join(g or b"0|0" for g in groups) + b";", dtype=np.uint8)
-        mark = np.flatnonzero((raw < 48) | (raw > 57))
-        sign = raw[mark]
-        value = np.fromstring(np.where((raw < 48) | (raw > 57), np.uint8(32), raw).tobytes(), dtype=np.int64, sep=" ")
-        group = np.r_[0, np.cumsum(sign == ord(";"))[:-1]]
-        is_b = np.r_[0, np.cumsum(sign == ord("|"))[:-1]] > group
+    def __init__(self, parcels: list[bytes]):
+        taken = [unparcelled(x) for x in parcels]
+        n = sum(len(x) for x, _ in taken)
+        self.groups: list[bytes] = [b""] * n
+        self.bad = np.zeros(n, dtype=bool)
+        self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(n, dtype=np.int64) for _ in range(4))
+        links = [self._add(*x) for x in taken] or [(np.zeros(0, np.int64),) * 3]
+        owner, key, self.count = map(np.concatenate, zip(*links, strict=True))
+        order = np.argsort(owner, kind="stable")
+        owner, key, self.count = owner[order], key[order], self.count[order]
+        self.pairs, link = np.unique(key, return_inverse=True)
+        self.link = link.astype(np.int32)
+        self.first = np.searchsorted(owner, np.arange(n + 1))
+
+    def _add(self, numbers: np.ndarray, groups: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Take in a parcel; its links: the segment, the pair and how often it is linked there."""
+        for no, g in zip(numbers.tolist(), groups, strict=True):
+            self.groups[no] = g
+        bad = np.array([not g for g in groups])
+        self.bad[numbers[bad]] = True
+        numbers, groups = numbers[~bad], [g for g in groups if g]
+        raw = np.frombuffer(b";".join(groups) + b";" if groups else b"", dtype=np.uint8)
+        digit = (raw >= 48) & (raw <= 57)
+        sign = raw[~digit]
+        value = np.fromstring(np.where(digit, raw, np.uint8(32)).tobytes(), dtype=np.int64, sep=" ") if len(raw) else np.zeros(0, np.int64)
+        group = np.r_[0, np.cumsum(sign == ord(";"))[:-1]] if len(sign) else np.zeros(0, np.int64)
+        is_b = np.r_[0, np.cumsum(sign == ord("|"))[:-1]] > group if len(sign) else np.zeros(0, bool)
         n_group = int(group[-1]) + 1 if len(group) else 0
         n_a, n_b = np.bincount(group[~is_b], minlength=n_group), np.bincount(group[is_b], minlength=n_group)
-        of = np.repeat(np.arange(len(groups)), [max(g.count(b";") + 1, 1) for g in groups])
-        self.n_a, self.n_b = (np.bincount(of, weights=x, minlength=len(groups)).astype(np.int64) for x in (n_a, n_b))
-        self.n_groups = np.bincount(of, minlength=len(groups))
-        self.n_links = np.zeros(len(groups), dtype=np.int64)
-        np.add.at(self.n_links, of, n_a * n_b)
-        a, b = value[~is_b], value[is_b]
+        of = np.repeat(numbers, [g.count(b";") + 1 for g in groups])
+        for total, x in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, np.ones(n_group, np.int64)), (self.n_links, n_a * n_b)):
+            np.add.at(total, of, x)
+        a, b, g_of_a = value[~is_b], value[is_b], group[~is_b]
         from_a, from_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
         small = n_a * n_b <= LARGE
-        g_of_a = group[~is_b]
         take = small[g_of_a]
         times = n_b[g_of_a[take]]
         place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         keys = [np.repeat(a[take], times) << 32 | b[np.repeat(from_b[g_of_a[take]], times) + place]]
-        owners, counts = [of[np.repeat(g_of_a[take], times)]], [np.ones(len(place), dtype=np.int64)]
+        owners, counts = [of[np.repeat(g_of_a[take], times)].astype(np.int64)], [np.ones(len(place), dtype=np.int64)]
         for g in np.flatnonzero(~small):
             (ua, ca), (ub, cb) = np.unique(a[from_a[g] : from_a[g + 1]], return_counts=True), np.unique(b[from_b[g] : from_b[g + 1]], return_counts=True)
             keys.append((ua[:, None] << 32 | ub[None, :]).ravel())
             counts.append((ca[:, None] * cb[None, :]).ravel())
-            owners.append(np.full(len(keys[-1]), of[g]))
-        owner, key, count = map(np.concatenate, (owners, keys, counts))
-        if len(owners) > 1:
-            order = np.argsort(owner, kind="stable")
-            owner, key, count = owner[order], key[order], count[order]
-        self.pairs, self.link = np.unique(key, return_inverse=True)
-        self.count = count
-        self.first = np.searchsorted(owner, np.arange(len(groups) + 1))
+            owners.append(np.full(len(keys[-1]), of[g], dtype=np.int64))
+        return tuple(map(np.concatenate, (owners, keys, counts)))
 
     def links(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs of a document's segments, and how many links each has."""
@@ -225,6 +263,7 @@ def _composed(digest: bool):
     """Chunks of documents and groups to documents with their links, and pairs with how many of a chunk's documents hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizers.cache_clear()
         for table, bound in complete_groups(batches, "chunk"):
             for low, high in zip(bound[:-1], bound[1:], strict=True):
                 whole = table.slice(low, high - low).combine_chunks()
@@ -311,18 +350,19 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     Null and empty texts, and texts whose ids of either side don't give their bytes back, have no ids: zeros and
     an empty string. Rows that repeat an id are separate documents; other columns don't matter; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, scratch_mark()
     kind = docs.schema[id_col].dataType.simpleString()
     n = partitions(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = written(rows.mapInArrow(lean(_cut(most)), f"chunk long, kind int, no int, id {kind}, segment string, data binary"), "segments")
     uses = cut.where(F.col("kind") == OTHER).select("chunk", "no", "segment").repartition(n, "segment").sortWithinPartitions("segment")
-    told = uses.mapInArrow(lean(_aligned(path_a, path_b)), "chunk long, no int, data binary")
-    back = told.select("chunk", F.lit(OTHER).alias("kind"), "no", F.lit(None).cast(kind).alias("id"), "data")
+    told = uses.mapInArrow(lean(_aligned(path_a, path_b)), "chunk long, data binary")
+    back = told.select("chunk", F.lit(OTHER).alias("kind"), F.lit(0).alias("no"), F.lit(None).cast(kind).alias("id"), "data")
     chunks = cut.where(F.col("kind") == DOC).select("chunk", "kind", "no", "id", "data").unionByName(back)
     chunks = chunks.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "no")
     fields = f"chunk long, kind int, no int, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, data binary, a long, b long, docs long"
     made = written(chunks.mapInArrow(lean(_composed(digest)), fields), "composed")
+    release(spark, since)
     held = made.where(F.col("kind") == OTHER).select("chunk", "no", "a", "b", "docs")
     counts = held.groupBy("a", "b").agg(F.sum("docs").alias("count"))
     counts = written(counts, "counts")
