@@ -28,14 +28,17 @@ class WordTokenizer:
 
     Each white-space word is encoded by the tokenizer itself, once, and then
     remembered; words that no longer occur are forgotten with their generation.
+    Strings of special tokens are encoded as these, as the tokenizer does by itself; with
+    ``plain`` they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        self.marks = [] if plain else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a run of letters
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -60,9 +63,11 @@ class WordTokenizer:
         runs = pc.fill_null(pc.match_substring_regex(array, _RUNS), False).to_pylist()
         whole = "\n".join(texts)
         special = [x for x in _SPECIAL if x in whole]
+        lower = whole.lower() if self.marks else ""
+        marks = [x for x in self.marks if x in lower]
         parts: list[list[str] | None] = []
         for text, run in zip(texts, runs, strict=True):
-            if special and any(x in text for x in special):
+            if (special and any(x in text for x in special)) or (marks and any(x in text.lower() for x in marks)):
                 parts.append(None)
                 continue
             if text.isascii() or _composed(text):
