@@ -29,19 +29,26 @@ class Quantised:
         codes = np.rint(exact / self.scale[:, None])
         self.codes = codes.astype(np.int8)
         back = codes * self.scale[:, None]
-        self.norm = np.linalg.norm(exact, axis=1)
-        self.back = np.linalg.norm(back, axis=1)
-        self.error = np.linalg.norm(exact - back, axis=1)
+        self.norm, self.back, self.error = (self._length(x) for x in (exact, back, exact - back))
+
+    @staticmethod
+    def _length(rows: np.ndarray) -> np.ndarray:
+        """Lengths of rows, without squares that are too large or too small for a double."""
+        most = np.abs(rows).max(axis=1)
+        return most * np.linalg.norm(rows / np.maximum(most, 5e-324)[:, None], axis=1)
 
     def tile(self, rows: slice, other: Quantised) -> tuple[np.ndarray, np.ndarray]:
-        """Approximate inner products of some rows with another block's, and a bound of their error."""
+        """Lower and upper bounds of inner products of some rows with another block's; none where a double can't hold them."""
         mine, whole = self.codes[rows], np.zeros((0, 0))
         for d in range(0, mine.shape[1], EXACT):  # integers below 2**24 are exact in float32, their sums in float64
             part = mine[:, d : d + EXACT].astype(np.float32) @ other.codes[:, d : d + EXACT].T.astype(np.float32)
             whole = whole + part if d else part.astype(np.float64)
-        near = whole * self.scale[rows, None] * other.scale[None, :]
-        off = self.norm[rows, None] * other.error[None, :] + self.error[rows, None] * other.back[None, :]
-        return near, off + 1e-9 * self.norm[rows, None] * other.norm[None, :]
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = whole * self.scale[rows, None] * other.scale[None, :]
+            off = self.norm[rows, None] * other.error[None, :] + self.error[rows, None] * other.back[None, :]
+            off = off + 1e-9 * self.norm[rows, None] * other.norm[None, :] + 1e-300
+            low, high = near - off, near + off
+        return np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -81,12 +88,12 @@ def _searched(batches: Iterator[pa.RecordBatch], kind: str, k: int) -> Iterator[
         their, pairs = Quantised(vecs), []
         for first in range(0, len(state["ids"]), ROWS):
             rows = slice(first, min(first + ROWS, len(state["ids"])))
-            near, off = state["low"].tile(rows, their)
+            low, high = state["low"].tile(rows, their)
             own = state["ids"][rows, None] == ids[None, :]
-            low = np.where(own, -np.inf, near - off)
+            low = np.where(own, -np.inf, low)
             if len(ids) > k:
                 state["floor"][rows] = np.maximum(state["floor"][rows], np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
-            at, c = np.nonzero((near + off >= state["floor"][rows, None]) & ~own)
+            at, c = np.nonzero((high >= state["floor"][rows, None]) & ~own)
             for a in range(0, len(at), PAIRS):
                 some, few = at[a : a + PAIRS] + first, c[a : a + PAIRS]
                 score = sequential_dot(state["vecs"][some], vecs[few])
