@@ -48,8 +48,8 @@ def spherical_kmeans(vecs: np.ndarray, cells: int, rounds: int = ROUNDS, seed: i
 
 
 def cells_for(n: int) -> int:
-    """Cells of n vectors: one for every PER_CELL, later in proportion to the square root."""
-    return max(1, int(min(n, np.sqrt(n * ROOT)) // PER_CELL))
+    """Cells of n vectors: two, or one for every PER_CELL, later in proportion to the square root."""
+    return max(2, int(min(n, np.sqrt(n * ROOT)) // PER_CELL))
 
 
 def _assigned(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray], reach: float, kind: str) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     kind = element_type(rows)
     classes = written(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     centres = {}
-    for dims, n in classes.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * PER_CELL).collect():
+    for dims, n in classes.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect():
         learned = max(SAMPLE, PER_CENTRE * cells_for(n))  # 8,192 vectors, or 64 a cell
         sample = classes.where(F.size("vec") == dims).orderBy(F.xxhash64("rep"), "rep").limit(learned).select("vec").toPandas()["vec"]
         centres[dims] = spherical_kmeans(unit(np.array(sample.tolist())), cells_for(n))
