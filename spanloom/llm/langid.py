@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import lean
+from spanloom.llm.common import lean, written
 from spanloom.llm.shingles import normalized
 
 ORDERS = (2, 3, 4)
@@ -23,8 +23,8 @@ LEAD = 0.2
 SLICE_BYTES = 1 << 18
 #: A longer text is read in pieces of so many bytes; so many n-grams are weighed at once.
 PIECE, WEIGHED = 1 << 22, 1 << 20
-#: Languages learned at most: those with the most labelled rows.
-LANGUAGES = 200
+#: N-grams of a range, as counts are added up.
+SPAN = 1 << 12
 UNKNOWN = "und"
 
 
@@ -118,51 +118,67 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for grams, _ in _grams(own.slice(a, b - a)):
                     total += np.bincount(grams, minlength=1 << BITS)
     for lang, total in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
+        parts = [total[i : i + SPAN] for i in range(0, 1 << BITS, SPAN)]
+        k = len(parts)
+        columns = [pa.array([lang] * k), pa.array(range(k), pa.int32()), pa.array([int(x.sum()) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "span", "total", "counts"])
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each of the sorted languages, its tasks' counts added."""
-    lang, total = None, None
-    for batch in batches:
-        for name, raw in zip(batch.column("lang").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            if name != lang:
-                if lang is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
-                lang, total = name, np.zeros(1 << BITS, dtype=np.int64)
-            total = total + np.frombuffer(raw, dtype=np.int64)
-    if lang is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
-
-
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
-    """Learn from rows with a text and a language, at most about ``sample`` of each language.
-
-    A hash of the id chooses the rows, so the same rows are chosen at every layout.
-    The ``languages`` with the most rows are learned, of equal ones the first by name.
-    Only their n-gram counts, a table of half a MB a language, reach the driver. Each bit's classifier is a naive-Bayes log ratio between
+def _weighed(names: list[str], totals: np.ndarray, code: np.ndarray):
+    """Ranges of n-grams with each language's counts to the sums of its chances on either side of each bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {x: i for i, x in enumerate(names)}
+        held, total = None, np.zeros((len(names), SPAN))
+
+        def told() -> pa.RecordBatch:
+            chance = (total + 0.5) / (totals[:, None] + 0.5 * (1 << BITS))
+            sides = [(side.T @ chance).tobytes() for side in (code > 0, code < 0)]
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), *[pa.array([x], pa.binary()) for x in sides]], ["span", "up", "down"])
+
+        for batch in batches:
+            for span, name, raw in zip(*(batch.column(c).to_pylist() for c in ("span", "lang", "counts")), strict=True):
+                if span != held:
+                    if held is not None:
+                        yield told()
+                    held, total = span, np.zeros((len(names), SPAN))
+                total[number[name]] += np.frombuffer(raw, dtype=np.int64)
+        if held is not None:
+            yield told()
+
+    return run
+
+
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
+    """Learn from rows with a text and a language, at most about ``sample`` of each language; all languages are learned.
+
+    A hash of the id chooses the rows, so the same rows are chosen at every layout. N-gram counts are added up on the
+    executors, a range of n-grams a row; what reaches the driver is a number a language, and the weights of the
+    bits, of which there are ten for each doubling of the languages. Each bit's classifier is a naive-Bayes log ratio between
     the languages on either side of the split, all languages weighing alike.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     mark = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 10), 16, 10).cast("long")
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r[0]: r[1] for r in counted.orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not sizes:
-        return Model([], codewords(0), np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 40) * min(1.0, sample / n)))])
-    chosen = rows.where(mark < F.element_at(limit, F.col("lang"))).repartition(8, "id").coalesce(8)  # at most eight tasks, however finely the shuffle deals
-    fields = "lang string, counts binary"
-    tasks = chosen.select("text", "lang").mapInArrow(lean(_counted), fields)
-    added = tasks.repartition(8, "lang").sortWithinPartitions("lang").mapInArrow(_added, fields)
-    counts = {lang: np.frombuffer(raw, dtype=np.int64) for lang, raw in added.collect()}  # a row a language
-    languages = sorted(counts)
-    chance = np.array([(counts[x] + 0.5) / (counts[x].sum() + 0.5 * (1 << BITS)) for x in languages])
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    limit = F.floor(F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")))
+    chosen = rows.join(sizes.select("lang", limit.alias("limit")), "lang").where(mark < F.col("limit"))
+    chosen = chosen.repartition(8, "id").coalesce(8)  # at most eight tasks, however finely the shuffle deals
+    tasks = written(chosen.select("text", "lang").mapInArrow(lean(_counted), "lang string, span int, total long, counts binary"), "grams")
+    found = tasks.groupBy("lang").agg(F.sum("total").alias("n")).orderBy("lang").collect()  # a number a language
+    languages, totals = [r[0] for r in found], np.array([r[1] for r in found], dtype=np.float64)
     code = codewords(len(languages))
-    up = np.array([chance[bit > 0].mean(axis=0) for bit in code.T]).reshape(-1, 1 << BITS)
-    down = np.array([chance[bit < 0].mean(axis=0) for bit in code.T]).reshape(-1, 1 << BITS)
-    weights = np.log(up) - np.log(down)
-    apart = ((up - down) * weights).sum(axis=1) / 2
-    return Model(languages, code, weights.T.astype(np.float32), apart / max(apart.sum(), 1e-12))
+    weights, spans = np.zeros((1 << BITS, code.shape[1]), dtype=np.float32), (1 << BITS) // SPAN
+    apart = np.zeros(code.shape[1])
+    per = tasks.repartition(8, "span").sortWithinPartitions("span").mapInArrow(lean(_weighed(languages, totals, code)), "span int, up binary, down binary")
+    sides = [np.maximum((code * s > 0).sum(axis=0), 1)[:, None] for s in (1, -1)]
+    seen = per.collect() if code.shape[1] else []  # the weights, range by range
+    for r in seen:
+        up, down = (np.frombuffer(x, dtype=np.float64).reshape(-1, SPAN) / n for x, n in zip((r.up, r.down), sides, strict=True))
+        ratio = np.log(up) - np.log(down)
+        apart += ((up - down) * ratio).sum(axis=1) / 2
+        weights[r.span * SPAN : (r.span + 1) * SPAN] = ratio.T
+    assert len(seen) in (0, spans)
+    return Model(languages, code, weights, apart / max(apart.sum(), 1e-12))
 
 
 def _add(sums: np.ndarray, weights: np.ndarray, grams: np.ndarray, bound: np.ndarray) -> None:
