@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -15,69 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-_tables: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where that is unset, a temporary one, in local mode alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return root or f"{tempfile.gettempdir()}/checkpoints"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, removed when the driver ends."""
-    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove_all)
-    _made.append((spark, path))
-    return path
+from spanloom.plans.storage import partitions, release, remove, scratch_mark, scratch_path, shared_folder, stored
 
+__all__ = ["bucketed", "complete_groups", "connected_components", "lean", "partitions", "release", "remove", "scratch_mark", "scratch_path", "settings", "shared_folder", "stored", "written"]
 
-def scratch_mark() -> int:
-    """How many scratch folders there are, for ``release``."""
-    return len(_made)
+_tables: list[tuple[SparkSession, str]] = []
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Delete the scratch folders made after the first ``since`` ones, but for the last, which holds what they led to."""
-    for made in _made[since:-1]:
-        _made.remove(made)
-        remove(spark, made[1])
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A stage's rows, stored in the shared folder and read back."""
+    return stored(df, name, "zstd")
 
 
-def _remove_all() -> None:
+def _drop_all() -> None:
     for spark, name in _tables:
         try:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         except Exception:  # noqa: BLE001  the JVM may have gone first
             return
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have gone first
-            return
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that its path names."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage's rows as Parquet in shared storage and read them back.
-
-    This cuts the lineage: a lost executor costs no recomputation beyond the
-    running stage, and later plans prune columns and push filters down.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, n: int, by: str) -> DataFrame:
@@ -88,6 +42,8 @@ def bucketed(df: DataFrame, name: str, n: int, by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path, table = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_drop_all)
     _tables.append((spark, table))
     df.write.format("parquet").bucketBy(n, by).option("path", path).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
@@ -107,10 +63,6 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep_words: bool = False) -> Callable:
     """A mapInArrow function whose worker gives freed memory back to the system when its task ends.
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import regex as re
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from spanloom.llm import jaccard, langid, licenses, mixing, packing, sharding, shingles, token_counts
 from spanloom.llm.tokens import WordTokenizer
@@ -164,7 +165,7 @@ def test_minhash_estimates_similarity():
 def test_packing_holds_every_id_once(spark):
     df = messy(spark)
     path = packing.tokenizer_path()
-    plain = WordTokenizer(path).tokenizer
+    plain = Tokenizer.from_file(path)
     got = packing.pack(df, path).collect()
     by_doc = defaultdict(list)
     for r in got:
@@ -256,9 +257,13 @@ def test_word_tokenizer_equals_the_tokenizer():
     rng = random.Random(8)
     pool = ["Don't", "it's.", "!!.", "x,,", "Σας", "İstanbul", "A\x1cb", "<|endoftext|>", "naïve,", "1,000.5", "é", "é", "...", "_.", "ﬁ", "　", "𝄞.", "end."]
     texts = [rng.choice(" \n\t").join(rng.choice(pool) for _ in range(40)) + rng.choice([".", ",", ". ", ""]) for _ in range(200)] + ["", None]
-    t = WordTokenizer(packing.tokenizer_path())
-    plain = [np.array(t.tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
-    assert t.ids(pa.array(texts)) == plain and t.ids(pa.array(texts)) == plain
+    texts += ["<|startoftext|> <|endoftext|> hello", "a<|EndOfText|>b", "a<|endoftext|>b"]
+    for as_text in (False, True):
+        t, own = WordTokenizer(packing.tokenizer_path(), plain=as_text), Tokenizer.from_file(packing.tokenizer_path())
+        own.encode_special_tokens = as_text
+        plain = [np.array(own.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert t.ids(pa.array(texts)) == plain and t.ids(pa.array(texts)) == plain
+        assert (49406 in np.frombuffer(plain[-3], "<u4")) != as_text
 
 
 def test_sharding_edges(spark):
@@ -458,8 +463,9 @@ def test_long_texts_and_many_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "SLICE_BYTES", 5000)
     cut = langid._decoded(texts, model)
     assert (cut[0] == whole[0]).all() and np.allclose(cut[1], whole[1], atol=1e-4)
-    few = langid.fit(df.unionByName(df.where("lang > 'l09'")), "doc_id", "text", "lang", languages=2)
-    assert few.languages == ["l10", "l11"]
+    # 300 languages of a text each are all learned
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{i} " * 9, f"x{i:03d}") for i in range(300)], "doc_id long, text string, lang string")
+    assert langid.fit(many, "doc_id", "text", "lang").languages == [f"x{i:03d}" for i in range(300)]
     # decoding by hand: the language whose codeword loses least
     sums = {n: sum(model.weights[g].sum(axis=0, dtype=np.float64) for g, _ in langid._grams(texts.slice(n, 1))) for n in range(3)}
     for n, total in sums.items():
