@@ -126,7 +126,7 @@ def clipped(segments: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int,
     return out, cut
 
 
-def role_texts(text: str, segments: list[tuple[int, int, str]]) -> dict[str, str]:
+def role_texts(text: object, segments: list[tuple[int, int, str]]) -> dict[str, str]:
     return {role: "\n\n".join(text[a:b] for a, b, r in segments if r == role and b > a) for role in KNOWN_ROLES}
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import logging
 import time
@@ -18,12 +17,15 @@ from spanloom.operators.blocks import documents, page_range, slices
 from spanloom.operators.payloads import batch_status, items_of, renamed, specs_of
 from spanloom.operators.resolve import BatchUnit, Searchable, batch_unit, resolve
 from spanloom.operators.stitch import TextWindow, Unit, finished, pending_state, restored_pending, restored_unit, step, unit_state
+from spanloom.plans.calls import CallStore, TokenBucket, call_key, in_order
 from spanloom.plans.providers import Provider, call
 from spanloom.plans.settings import Profile, Settings, system_prompt
 from spanloom.plans.storage import partitions, stored
 
 log = logging.getLogger("spanloom")
 KEY = ["doc_id", "first_block", "last_block"]
+#: Answers that a task hands on at once.
+ANSWERS = 64
 
 SPEC = "struct<start_quote:string,end_quote:string,end_before_quote:string,start_after_quote:string,role:string,metadata:string>"
 SEGMENT = "struct<start:bigint,end:bigint,role:string,text:string>"
@@ -69,40 +71,78 @@ def unit_row(k: int, u: Unit) -> dict:
     }
 
 
-def _asked(provider: Provider, prompt: str, names: list[str], pause: float):
+def failed_call(e: Exception) -> dict:
+    """A call that came to nothing: one failed call costs its batch, not the job."""
+    told = {"model": None, "attempt_no": 1, "duration_s": 0.0, "outcome": "api_error", "error_message": str(e)[:200]}
+    return call({}, "", stop_reason="", attempts=[told]) | {"failed": True}
+
+
+def _asked(provider: Provider, prompt: str, names: list[str], settings: Settings):
+    """Calls of a task's rows, so many in flight at once, under one budget of tokens; answers that are kept are not asked for again."""
+
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.to_dict("records"):
-                blocks = [b if isinstance(b, dict) else b.asDict() for b in r.pop("blocks")]
-                text = "\n".join(b["text"] for b in blocks)
-                if pause and rows:
-                    time.sleep(pause)
+        bucket = TokenBucket(settings.tokens_per_s)
+        store = CallStore(settings.call_store) if settings.call_store else None
+        pause = iter([0.0])
+
+        def one(r: dict) -> dict:
+            blocks = [b if isinstance(b, dict) else b.asDict() for b in r.pop("blocks")]
+            text = "\n".join(b["text"] for b in blocks)
+            made = store.get(r["call_key"]) if store else None
+            if made is None:
+                time.sleep(next(pause, settings.call_pause_s))
+                bucket.take((len(prompt) + len(text)) / 4)
                 try:
-                    made = provider.propose(prompt, text, blocks) | {"failed": False}
-                except Exception as e:  # noqa: BLE001  one failed call costs its batch, not the job
-                    made = call({}, "", stop_reason="", attempts=[{"model": None, "attempt_no": 1, "duration_s": 0.0, "outcome": "api_error", "error_message": str(e)[:200]}]) | {"failed": True}
-                rows.append({c: r[c] for c in names} | made | {"chunk_hash": hashlib.sha256(text.encode()).hexdigest()[:16]})
-            yield pd.DataFrame(rows) if rows else frame.iloc[:0].drop(columns="blocks")
+                    made = provider.propose(prompt, text, blocks)
+                except Exception as e:  # noqa: BLE001
+                    return {c: r[c] for c in names} | failed_call(e)
+                if store:
+                    store.put(r["call_key"], made)
+            return {c: r[c] for c in names} | {"failed": False} | made
+
+        rows = (r for frame in frames for r in frame.to_dict("records"))
+        made: list[dict] = []
+        for row in in_order(one, rows, settings.calls_in_flight):
+            made.append(row)
+            if len(made) == ANSWERS:
+                yield pd.DataFrame(made)
+                made = []
+        if made:
+            yield pd.DataFrame(made)
 
     return ask
 
 
-def propose(plans: DataFrame, blocks: DataFrame, provider: Provider, prompt: str, pause: float = 0.0) -> DataFrame:
-    """Call the provider once for each planned batch; written before anything reads it."""
+def propose(plans: DataFrame, blocks: DataFrame, provider: Provider, prompt: str, settings: Settings) -> DataFrame:
+    """Call the provider once for each planned batch; written before anything reads it.
+
+    With ``settings.call_store``, what was answered before, by whichever job, is taken from there, and batches that are
+    equal in all that is sent are asked about once.
+    """
+    spark = blocks.sparkSession
     have = {"role": F.lit(None).cast("string"), "label": F.lit(None).cast("string")} | {c: F.col(c) for c in blocks.columns}
     rows = blocks.select("doc_id", F.struct("block_idx", "text", have["role"].alias("role"), have["label"].alias("label")).alias("b"), "block_idx")
-    kept = plans.columns
     # a batch's first block carries its place to the blocks behind it
     marked = rows.join(plans.select("doc_id", F.col("first_block").alias("block_idx"), "first_block", "last_block"), ["doc_id", "block_idx"], "left")
     upto = Window.partitionBy("doc_id").orderBy("block_idx")
     marked = marked.withColumns({c: F.last(c, True).over(upto) for c in ("first_block", "last_block")}).where("block_idx <= last_block")
     texts = marked.groupBy("doc_id", "first_block").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
-    asked = plans.join(texts, ["doc_id", "first_block"]).select(*kept, "blocks")
-    # calls are dealt one by one, so those of a long document don't wait for each other
-    asked = asked.repartition(partitions(blocks.sparkSession), "doc_id", "first_block")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plans.schema.fields)
-    return stored(asked.mapInPandas(_asked(provider, prompt, kept, pause), f"{fields}, {SENT}, chunk_hash string"), "calls")
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    key = call_key(F.lit(prompt), F.lit(",".join(settings.models())), F.col("blocks"))
+    asked = plans.join(texts, ["doc_id", "first_block"]).select(*plans.columns, "blocks", key.alias("call_key"), F.substring(F.sha2(text, 256), 1, 16).alias("chunk_hash"))
+    if not settings.call_store:
+        # calls are dealt one by one, so those of a long document don't wait for each other
+        kept = [*plans.columns, "chunk_hash"]
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*kept).schema.fields)
+        dealt = asked.drop("call_key").repartition(partitions(spark), "doc_id", "first_block")
+        return stored(dealt.mapInPandas(_asked(provider, prompt, kept, settings), f"{fields}, {SENT}"), "calls")
+    asked = stored(asked, "asked")
+    answered = CallStore(settings.call_store).answers(spark).withColumn("failed", F.lit(False)).dropDuplicates(["key"]).withColumnRenamed("key", "call_key")
+    new = asked.select("call_key", "blocks").join(answered.select("call_key"), "call_key", "left_anti").dropDuplicates(["call_key"]).repartition(partitions(spark), "call_key")
+    called = stored(new.mapInPandas(_asked(provider, prompt, ["call_key"], settings), f"call_key string, {SENT}"), "called")
+    known = answered.join(asked.select("call_key").distinct(), "call_key", "left_semi").join(called.select("call_key"), "call_key", "left_anti")
+    every = called.unionByName(known.select(*called.columns))
+    return stored(asked.drop("blocks").join(every, "call_key").drop("call_key"), "calls")
 
 
 def call_all(blocks: DataFrame, provider: Provider, profile: Profile, settings: Settings) -> DataFrame:
@@ -124,7 +164,7 @@ def call_all(blocks: DataFrame, provider: Provider, profile: Profile, settings:
         plans = plan_units(rest, F.col("budget"), ("part", "budget")).drop("part")
         if done:  # what can't be cut would be the same batch again
             plans = plans.join(done[-1].where("overflowed").select(*KEY), KEY, "left_anti")
-        made = propose(plans, rest, provider, prompt, settings.call_pause_s)
+        made = propose(plans, rest, provider, prompt, settings)
         over = (F.col("stop_reason") == "max_tokens") & ~F.col("failed")
         done.append(made.withColumn("overflowed", over))
         again = done[-1].where(F.col("overflowed") & (F.col("budget") > settings.min_input_tokens))
@@ -166,6 +206,11 @@ def _plain(x: object) -> str | None:
     return None if x is None else json.dumps(x, ensure_ascii=False)
 
 
+def names_of(fields: str) -> list[str]:
+    """The names of a schema string's fields."""
+    return [f.strip().split(" ")[0].strip("`") for f in _split(fields)]
+
+
 def _stepped(settings: Settings, names: dict[str, str] | None, columns: list[str]):
     """Each call by itself: its items, its units, and what it does to a unit that is open when it comes."""
 
@@ -212,7 +257,7 @@ def _closed(columns: list[str]):
     return run
 
 
-def _struct(fields: str) -> str:
+def struct_of(fields: str) -> str:
     """A schema string's fields as a struct type."""
     return "struct<" + ", ".join(":".join(f.strip().split(" ", 1)) for f in _split(fields)) + ">"
 
@@ -244,8 +289,8 @@ def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = No
     spans = calls.select("doc_id", "chunk_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"), *[c for c in ("first_block", "last_block") if c in calls.columns])
     texts = slices(spans, blocks, ["chunk_id"])
     rows = calls.select(*need).join(texts, ["doc_id", "chunk_id"], "left").repartition(partitions(spark), "doc_id", "chunk_id")
-    fields = f"doc_id {kind}, {CALL_FIELDS}, {STEP_FIELDS}, units array<{_struct(UNIT_FIELDS)}>"
-    columns = [f.strip().split(" ")[0] for f in _split(fields)]
+    fields = f"doc_id {kind}, {CALL_FIELDS}, {STEP_FIELDS}, units array<{struct_of(UNIT_FIELDS)}>"
+    columns = names_of(fields)
     steps = stored(rows.mapInPandas(_stepped(settings, names, columns), fields), "steps")
 
     order = Window.partitionBy("doc_id").orderBy("chunk_id")
@@ -277,14 +322,14 @@ def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = No
     texts = slices(cut.select("doc_id", "chunk_id", F.col("open_start").alias("start"), F.greatest("until", "open_start").alias("end")), blocks, ["chunk_id"])
     rows = cut.join(texts, ["doc_id", "chunk_id"], "left").select("doc_id", "chunk_id", "at_chunk", "open", "closes", "bound", "range_end", "more_ids", "more_parts", "text")
     fields = f"doc_id {kind}, chunk_id long, at_chunk long, {UNIT_FIELDS}"
-    columns = [f.strip().split(" ")[0] for f in _split(fields)]
+    columns = names_of(fields)
     done = rows.repartition(partitions(spark), "doc_id", "chunk_id").mapInPandas(_closed(columns), fields).join(cut.select("doc_id", "chunk_id", "shift"), ["doc_id", "chunk_id"])
 
     units = own.unionByName(done).withColumn("sequence", F.when(F.col("sequence") > 0, F.col("sequence") + F.col("shift")).otherwise(F.col("sequence")))
     place = Window.partitionBy("doc_id").orderBy("at_chunk", "k")
     units = units.withColumn("k", (F.row_number().over(place) - 1).cast("int")).drop("chunk_id", "at_chunk", "shift")
-    judged = steps.select("doc_id", *[f.strip().split(" ")[0] for f in _split(CALL_FIELDS)])
-    return Extraction(documents(blocks), blocks, calls.join(judged, ["doc_id", "chunk_id"]), stored(units.select("doc_id", *[f.strip().split(" ")[0] for f in _split(UNIT_FIELDS)]), "units"))
+    judged = steps.select("doc_id", *names_of(CALL_FIELDS))
+    return Extraction(documents(blocks), blocks, calls.join(judged, ["doc_id", "chunk_id"]), stored(units.select("doc_id", *names_of(UNIT_FIELDS)), "units"))
 
 
 def progress(e: Extraction) -> dict[str, int]:
@@ -319,5 +364,5 @@ def extract(
     if refine_ends:
         from spanloom.plans.refinement import refine
 
-        made = refine(made, provider, profile)
+        made = refine(made, provider, profile, settings, names)
     return made

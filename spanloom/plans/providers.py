@@ -29,10 +29,6 @@ def call(payload: dict | str, model: str = "recorded", input_tokens: int = 0, ou
         "attempts": json.dumps(attempts or [])}
 
 
-def call_key(prompt: str, text: str, model: str) -> str:
-    return hashlib.sha256("\0".join((prompt, text, model)).encode()).hexdigest()
-
-
 @dataclass
 class RuleBased:
     """One item a block, quoting its first and last words, half of a short block each; offline and deterministic."""

@@ -34,6 +34,9 @@ class Settings:
     dynamic_budget: bool = False  # the budget is what the model's window leaves, at most target_input_tokens if that is above 0
     context_windows: str = ""  # model=tokens, separated by commas
     call_pause_s: float = 0.0  # between two calls of one task
+    calls_in_flight: int = 1  # of one task
+    tokens_per_s: float = 0.0  # of one task's prompts and texts, together; 0: no limit
+    call_store: str = ""  # a folder that keeps answers beyond the job
 
     @classmethod
     def of(cls, spark: SparkSession) -> Settings:

@@ -1,7 +1,9 @@
 """Readers, batching cases, refinement, providers, overflow and streaming."""
 
 import json
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -473,3 +475,82 @@ def test_a_long_document_is_planned_and_joined(spark):
     plans = batching.plan_batches(rows, 600)
     told = plans.agg(F.count(F.lit(1)), F.sum(F.col("last_block") - F.col("first_block") + 1), F.max("est_input_tokens"), F.max("batch_no")).first()
     assert told[1] == n and told[2] <= 600 and told[0] == told[3] + 1 > 1000
+
+
+class Paid:
+    """Notes every call that was answered; may die at a block."""
+
+    def __init__(self, path, dies_at=None):
+        self.path, self.dies_at = str(path), dies_at
+
+    def propose(self, prompt, text, blocks):
+        if self.dies_at and self.dies_at in text:
+            os._exit(1)
+        with open(self.path, "a") as out:
+            out.write(text + "\n")
+        return RuleBased().propose(prompt, text, blocks)
+
+
+def test_a_killed_job_repeats_no_answered_call(spark, tmp_path):
+    texts = [f"block {i:02d} of a text that is long enough to be one batch" for i in range(24)] + ["block 00 of a text that is long enough to be one batch"]
+    rows = spark.createDataFrame([("d" if i < 24 else "e", 0, 1, t, None, None) if i > 23 else ("d", i, 1, t, None, None) for i, t in enumerate(texts)], "doc_id string, ord int, page int, text string, role string, label string")
+    rows = blocks.with_offsets(rows)
+    settings = Settings(target_input_tokens=16, call_store=f"file:{tmp_path}/store")
+    with pytest.raises(Exception):  # noqa: B017  the worker dies with its job
+        extract(rows, Profile("p"), Paid(tmp_path / "one", "block 17"), settings)
+    e = extract(rows, Profile("p"), Paid(tmp_path / "two"), settings)
+    assert e.calls.count() == 25 and e.units.count() == 25
+    one, two = ((tmp_path / n).read_text().splitlines() if (tmp_path / n).exists() else [] for n in ("one", "two"))
+    assert not set(one) & set(two) and sorted([*one, *two]) == sorted(set(texts))  # equal batches are asked about once
+    again = extract(rows, Profile("p"), Paid(tmp_path / "three"), settings)
+    assert not (tmp_path / "three").exists()
+    columns = ["doc_id", "k", "sequence", "start", "end", "requirement_text"]
+    plain = extract(rows, Profile("p"), RuleBased(), Settings(target_input_tokens=16))
+    assert sorted(map(tuple, again.units.select(*columns).collect())) == sorted(map(tuple, plain.units.select(*columns).collect()))
+
+
+def test_calls_in_flight():
+    from spanloom.plans.calls import TokenBucket, in_order
+
+    def slow(row):
+        time.sleep(0.1 * (1 + row["n"] % 2))
+        return row
+
+    began = time.monotonic()
+    assert [r["n"] for r in in_order(slow, ({"n": i} for i in range(40)), 8)] == list(range(40))
+    assert time.monotonic() - began < 6.0 / 4
+    assert list(in_order(slow, iter([]), 8)) == []
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    bucket = TokenBucket(100, 200, clock=lambda: now[0], sleep=sleep)
+    for _ in range(20):
+        bucket.take(50)
+    # what was free at first is 0; afterwards no more than 100 a second
+    assert now[0] == pytest.approx(10.0) and len(slept) == 20
+    now[0] += 100
+    bucket.take(200)
+    assert len(slept) == 20
+
+
+def test_refinement_keeps_its_calls_and_names(spark):
+    from spanloom.plans.refinement import refine
+
+    class Foreign:
+        def propose(self, prompt, text, blocks):
+            if "exactly one item" in prompt:
+                if "block two" in text:
+                    raise ConnectionError("down")
+                return call({"requirements": [{"from": " ".join(text.split()[:3]), "to": " ".join(text.split()[3:7])}]}, "m", 7, 3)
+            return call({"requirements": [{"from": " ".join(b["text"].split()[:3])} for b in blocks]}, "m", 5, 2)
+
+    names = {"start_quote": "from", "end_quote": "to"}
+    e = extract(doc(spark, TEXTS), Profile("p"), Foreign(), refine_ends=True, names=names)
+    got = e.units.orderBy("k").collect()
+    assert [u.refined for u in got] == [True, True, False, True, True, False]
+    calls = e.calls.orderBy("chunk_id").collect()
+    assert [(c.chunk_id, c.first_block, c.last_block, c.batch_status, c.input_tokens) for c in calls] == [(1, 0, 5, "ok", 5)] + [(2 + i, -1, -1, "api_error" if i == 2 else "ok", 0 if i == 2 else 7) for i in range(5)]
+    assert refine(extract(doc(spark, TEXTS), Profile("p"), Foreign(), names=names), Foreign(), Profile("p")).units.where("refined").count() == 0
