@@ -234,6 +234,7 @@ def recorded_stream(spark, sf_dir):
     text = F.substring("full_text", (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
     rows = calls.join(docs, "doc_id").join(last, "doc_id").select("doc_id", "chunk_id", "char_start", "char_end", text.alias("text"),
         "payload_json", (F.col("chunk_id") == F.col("n")).alias("is_last"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     for chunk in (3, 1, 2):  # the files of a stream, one trigger each
         rows.where(F.col("chunk_id") == chunk).coalesce(1).write.mode("append").parquet(f"{root}/in")

@@ -254,6 +254,7 @@ def test_stream_stitches_like_the_batch(spark, tmp_path):
     for i, row in enumerate(calls):
         spark.createDataFrame([row], fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = stitch_stream(source).writeStream.format("memory").queryName("stitched").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
@@ -554,3 +555,46 @@ def test_refinement_keeps_its_calls_and_names(spark):
     calls = e.calls.orderBy("chunk_id").collect()
     assert [(c.chunk_id, c.first_block, c.last_block, c.batch_status, c.input_tokens) for c in calls] == [(1, 0, 5, "ok", 5)] + [(2 + i, -1, -1, "api_error" if i == 2 else "ok", 0 if i == 2 else 7) for i in range(5)]
     assert refine(extract(doc(spark, TEXTS), Profile("p"), Foreign(), names=names), Foreign(), Profile("p")).units.where("refined").count() == 0
+
+
+def test_stream_of_late_repeated_and_missing_batches(spark, tmp_path):
+    from spanloom.streaming.stitch import stitch_stream
+
+    fields = "doc_id string, chunk_id long, char_start long, char_end long, text string, payload_json string, is_last boolean"
+    texts = [f"unit {i} begins here and it ends over there {i}" for i in range(4)]
+    whole = {"requirements": [{"status": "complete", "start_quote": "unit", "end_quote": "there"}]}
+    opens = {"requirements": [{"status": "truncated_at_end", "start_quote": "unit"}]}
+    size = len(texts[0]) + 1
+
+    def row(d, n, payload=whole, last=False):
+        return (d, n, (n - 1) * size, n * size - 1, texts[n - 1], json.dumps(payload), last)
+
+    def files():
+        yield [row("late", 2, last=True), row("twice", 1), row("gap", 1), row("gap", 3), row("endless", 1), row("endless", 2, opens)]
+        yield [row("late", 1), row("twice", 1), row("twice", 2, last=True)]
+        yield [row("twice", 2, last=True), row("late", 1), row("other", 1, last=True)]
+        yield [row("other", 1, last=True)]
+        yield [row("gap", 4, last=True), row("endless", 3)]
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = stitch_stream(source, wait_s=25, remember_s=600)
+    q = made.writeStream.format("memory").queryName("patient").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for i, rows in enumerate(files()):
+        if i == 3:
+            time.sleep(26)  # what has waited since the first files has waited long enough
+        spark.createDataFrame(rows, fields).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        for f in (tmp_path / f"part{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}-{f.name}")
+        q.processAllAvailable()
+    q.stop()
+    got = {}
+    for r in spark.table("patient").collect():
+        got.setdefault(r.doc_id, []).append((r.k, r.sequence, r.status, r.start))
+    got = {d: sorted(v) for d, v in got.items()}
+    assert got["late"] == [(0, 1, "complete", 0), (1, 2, "complete", size)] and got["twice"] == got["late"] and got["other"] == [(0, 1, "complete", 0)]
+    # the second batch is told to be missing, the third is taken without it, and the last one when it comes
+    assert got["gap"] == [(-1, 2, "missing", None), (0, 1, "complete", 0), (1, 2, "complete", 2 * size), (2, 3, "complete", 3 * size)]
+    # the end never came: what was open is flushed, and what comes behind it is passed over
+    assert got["endless"] == [(-1, 3, "missing", None), (0, 1, "complete", 0), (1, 2, "truncated_at_end", size)]
