@@ -9,6 +9,8 @@ from spanloom.functions.text import normalize_block, strip
 
 HEADER, FOOTER = 0.07, 0.93
 COLUMN_GAP, WIDE = 50.0, 0.6
+#: Positions of a range, in lookups.
+SPAN = 1 << 18
 #: Blocks that are joined to a run before runs are joined to a text.
 RUN = 1024
 
@@ -105,14 +107,20 @@ def documents(blocks: DataFrame) -> DataFrame:
 
 
 def locate(offsets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The block that holds each offset, or nulls: an as-of lookup by one window, no range join.
+    """The block that holds each offset, or nulls: an as-of lookup by windows, no range join.
 
-    ``offsets`` has doc_id and offset; offsets between blocks are in none.
+    ``offsets`` has doc_id and offset; offsets between blocks are in none. A document's blocks and offsets are dealt by ranges of
+    its positions, and each range is told the last block that starts before it, so a long document spreads.
     """
-    marks = blocks.select("doc_id", F.col("char_start").alias("at"), F.lit(0).alias("kind"), F.struct("block_idx", "page", "char_end").alias("b"))
+    place = F.struct("block_idx", "page", "char_end")
+    marks = blocks.select("doc_id", F.col("char_start").alias("at"), F.lit(0).alias("kind"), place.alias("b"))
     asked = offsets.select("doc_id", F.col("offset").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["b"].dataType).alias("b"))
-    upto = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(asked).withColumn("b", F.last("b", True).over(upto)).where("kind = 1")
+    rows = marks.unionByName(asked).withColumn("range", F.expr(f"at div {SPAN}"))
+    ranges = rows.groupBy("doc_id", "range").agg(F.max_by("b", F.when(F.col("kind") == 0, F.col("at"))).alias("ended"))
+    before = Window.partitionBy("doc_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("doc_id", "range", F.last("ended", True).over(before).alias("carried"))
+    upto = Window.partitionBy("doc_id", "range").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("b", F.last("b", True).over(upto)).where("kind = 1").join(ranges, ["doc_id", "range"]).withColumn("b", F.coalesce("b", "carried"))
     inside = F.col("at") < F.col("b.char_end")
     return found.select("doc_id", F.col("at").alias("offset"), F.when(inside, F.col("b.block_idx")).alias("block_idx"), F.when(inside, F.col("b.page")).alias("page"))
 

@@ -1,35 +1,40 @@
-"""Search for quotes in normalized text, as expressions."""
+"""Search for quotes in normalized text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import find
+from spanloom.operators.occurrences import Occurrences
 
-#: A shortened quote keeps at least so many words and characters.
-MIN_WORDS, MIN_CHARS = 4, 24
-
-
-def _shortened(quote: Column, from_front: bool) -> Column:
-    words = F.split(quote, " ")
-    n = F.size(words)
-    part = (lambda k: F.slice(words, n - k + 1, k)) if from_front else (lambda k: F.slice(words, F.lit(1), k))
-    all_of = F.transform(F.sequence(n, F.lit(MIN_WORDS), F.lit(-1)), lambda k: F.array_join(part(k), " "))
-    return F.when(n >= MIN_WORDS, F.filter(all_of, lambda t: F.length(t) >= MIN_CHARS)).otherwise(F.array().cast("array<string>"))
-
-
-def find_shortened(text: Column, quote: Column, from_front: bool = False) -> Column:
+def find_shortened(quotes: DataFrame, texts: DataFrame, keys: list[str], from_front: bool = False) -> DataFrame:
     """Position and length of the longest shortened quote that occurs, if it occurs just once; else -1 and 0.
 
-    Words are dropped from the end, or from the front. The first length with any
-    occurrence decides.
+    ``quotes`` has doc_id, ``keys`` and quote, ``texts`` doc_id and norm; returns doc_id, ``keys``, at and chars.
+    Words are dropped from the end, or from the front; the longest that occurs at all decides. A document's
+    quotes meet its text once, however many there are, and the text is indexed once.
     """
-    hit = F.get(F.filter(_shortened(quote, from_front), lambda t: F.instr(text, t) > 0), F.lit(0))
-    first = F.instr(text, hit)
-    again = F.instr(F.substring(text, first + 1, F.length(text)), hit)
-    once = hit.isNotNull() & (again == 0)
-    return F.struct(F.when(once, first - 1).otherwise(-1).cast("long").alias("at"), F.when(once, F.length(hit)).otherwise(0).cast("long").alias("chars"))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, wanted in zip(batch.column("norm").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                index = Occurrences(text)
+                hits = (index.shortened(q or "", 0, len(text)) if not from_front else index.shortened(q or "", 0, len(text), True) for q in wanted)
+                found.append([{"at": h[0], "chars": h[1] - h[0]} if h else {"at": -1, "chars": 0} for h in hits])
+            hit = pa.array(found, pa.list_(pa.struct([("at", pa.int64()), ("chars", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("told"), hit], ["doc_id", "told", "hit"])
+
+    per = quotes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*keys, "quote"))).alias("q")).join(texts, "doc_id")
+    rows = per.select("doc_id", "norm", F.transform("q", lambda x: x["quote"]).alias("wanted"), F.transform("q", lambda x: F.struct(*[x[k].alias(k) for k in keys])).alias("told"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "told")}
+    made = rows.repartition(int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    made = made.mapInArrow(searched, f"doc_id {kinds['doc_id']}, told {kinds['told']}, hit array<struct<at:bigint,chars:int>>")
+    return made.select("doc_id", F.inline(F.arrays_zip("told", "hit"))).select("doc_id", *[f"told.{k}" for k in keys], "hit.at", "hit.chars")
 
 
 def ordered_starts(text: Column, quotes: Column) -> Column:

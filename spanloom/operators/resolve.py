@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from spanloom.functions.text import CONFUSABLES, KNOWN_ROLES, WS_CODES
-from spanloom.operators.quotes import MIN_CHARS, MIN_WORDS
+from spanloom.operators.occurrences import Occurrences
 
 _FOLD = str.maketrans(CONFUSABLES)
 _BLANK = np.zeros(max(WS_CODES) + 2, dtype=bool)
@@ -29,10 +29,15 @@ class Searchable:
         self.at = np.r_[np.flatnonzero(keep), len(codes)]
         shown = np.where(blank, np.uint32(32), codes)[keep]
         self.text = folded(shown.tobytes().decode("utf-32-le", "surrogatepass"))
+        self.occurrences = Occurrences(self.text)
 
     def raw(self, position: int) -> int:
         return int(self.at[position])
 
+    def shortened(self, quote: str | None, low: int, high: int, from_front: bool = False) -> tuple[int, int] | None:
+        """The longest shortened quote that occurs in [low, high), if it occurs there once."""
+        return self.occurrences.shortened(folded(quoted(quote)), low, high, from_front) if quote else None
+
 
 def quoted(quote: str) -> str:
     """A quote with its white space collapsed and stripped."""
@@ -46,19 +51,6 @@ def exact(text: str, quote: str | None, low: int, high: int) -> tuple[int, int]
     return (at, at + len(wanted)) if at >= 0 else None
 
 
-def shortened(text: str, quote: str | None, low: int, high: int, from_front: bool = False) -> tuple[int, int] | None:
-    """The longest shortened quote that occurs in [low, high), if it occurs there once."""
-    words = folded(quoted(quote)).split(" ") if quote else []
-    for n in range(len(words), MIN_WORDS - 1, -1):
-        part = " ".join(words[-n:] if from_front else words[:n])
-        if len(part) < MIN_CHARS:
-            return None
-        at = text.find(part, low, high)
-        if at >= 0:
-            return None if text.find(part, at + 1, high) >= 0 else (at, at + len(part))
-    return None
-
-
 @dataclass
 class Found:
     """Where one segment's bounds are: raw positions, and the normalized ones of the start's match."""
@@ -88,7 +80,7 @@ def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
     low = 0
     for i, (s, f) in enumerate(zip(specs, out, strict=True)):
         if f.at < 0 and s["start_quote"] and not s["start_after_quote"]:
-            hit = shortened(norm, s["start_quote"], low, later[i + 1])
+            hit = text.shortened(s["start_quote"], low, later[i + 1])
             f.ambiguous = hit is None
             if hit:
                 f.at, f.at_end, f.fallback, f.start = *hit, True, text.raw(hit[0])
@@ -107,7 +99,7 @@ def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
                 f.end = text.raw(hit[0])
         elif s["end_quote"]:
             high = nxt.at if nxt else size
-            hit = exact(norm, s["end_quote"], since, high) or shortened(norm, s["end_quote"], since, high, from_front=True)
+            hit = exact(norm, s["end_quote"], since, high) or text.shortened(s["end_quote"], since, high, from_front=True)
             if hit:
                 f.end = text.raw(hit[1])
     return out

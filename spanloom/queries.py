@@ -236,10 +236,11 @@ _QUOTES = f"{_BLOCKS}, quotes AS (SELECT s.doc_id, block_idx, text, array_to_str
 
 
 def _quotes(spark, sf_dir):
+    """A document's text with the quotes of its blocks, in order: a row a document."""
     rows = conversation_blocks(spark, sf_dir)
-    docs = blocks.documents(rows).select("doc_id", T.collapse(F.col("full_text")).alias("norm"))
-    quote = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    return rows.select("doc_id", "block_idx", "text", T.needle(quote).alias("quote")).join(docs, "doc_id")
+    quote = T.needle(F.array_join(F.slice(F.split("text", " "), 1, 6), " "))
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", quote.alias("quote")))).alias("quotes"))
+    return listed.join(blocks.documents(rows).select("doc_id", T.collapse(F.col("full_text")).alias("norm")), "doc_id")
 
 
 _NEEDLE = _collapsed("quote")
@@ -247,7 +248,8 @@ _NEEDLE = _collapsed("quote")
 
 @query(f"WITH {_QUOTES} SELECT doc_id, block_idx, (instr(norm, {_NEEDLE}) - 1)::BIGINT AS at FROM quotes")
 def quote_exact(spark, sf_dir):
-    return _quotes(spark, sf_dir).select("doc_id", "block_idx", T.find(F.col("norm"), F.col("quote"), F.lit(0)).alias("at"))
+    found = F.transform("quotes", lambda q: F.struct(q["block_idx"].alias("block_idx"), T.find(F.col("norm"), q["quote"], F.lit(0)).alias("at")))
+    return _quotes(spark, sf_dir).select("doc_id", F.inline(found))
 
 
 def _shortened_sql(front: bool) -> str:
@@ -261,11 +263,12 @@ SELECT q.doc_id, q.block_idx, coalesce(p - 1, -1)::BIGINT AS at, coalesce(length
 
 
 def _spoiled(spark, sf_dir, front):
+    rows = conversation_blocks(spark, sf_dir)
+    docs = blocks.documents(rows).select("doc_id", T.collapse(F.col("full_text")).alias("norm"))
     words = F.split(T.collapse(F.col("text")), " ")
-    rows = _quotes(spark, sf_dir).withColumn("w", words)
-    quote = F.concat_ws(" ", F.lit("ZZZ"), F.array_join(F.slice("w", F.greatest(-F.size("w"), F.lit(-9)), F.lit(9)),
-        " ")) if front else F.concat_ws(" ", F.array_join(F.slice("w", 1, 9), " "), F.lit("ZZZ"))
-    return rows.withColumn("hit", quotes.find_shortened(F.col("norm"), quote, front)).select("doc_id", "block_idx", "hit.at", "hit.chars")
+    part = F.array_join(F.slice(words, F.greatest(-F.size(words), F.lit(-9)), F.lit(9)) if front else F.slice(words, 1, 9), " ")
+    quote = F.concat_ws(" ", F.lit("ZZZ"), part) if front else F.concat_ws(" ", part, F.lit("ZZZ"))
+    return quotes.find_shortened(rows.select("doc_id", "block_idx", quote.alias("quote")), docs, ["block_idx"], front)
 
 
 @query(_shortened_sql(False))
@@ -285,8 +288,8 @@ def quote_suffix_unique(spark, sf_dir):
   FROM (SELECT q.doc_id, q.block_idx, w.since, instr(substr(q.norm, w.since + 1), {_NEEDLE})::BIGINT AS p FROM walk w JOIN quotes q ON q.doc_id = w.doc_id AND q.block_idx = w.block_idx + 1) q)
 SELECT doc_id, block_idx, pos AS at FROM walk WHERE block_idx >= 0""")
 def quote_ordered_starts(spark, sf_dir):
-    rows = _quotes(spark, sf_dir).groupBy("doc_id").agg(F.first("norm").alias("norm"), F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "quote"))), lambda x: x["quote"]).alias("quotes"))
-    found = rows.select("doc_id", F.posexplode(quotes.ordered_starts(F.col("norm"), F.col("quotes"))).alias("block_idx", "at"))
+    starts = quotes.ordered_starts(F.col("norm"), F.transform("quotes", lambda q: q["quote"]))
+    found = _quotes(spark, sf_dir).select("doc_id", F.posexplode(starts).alias("block_idx", "at"))
     return found.select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "at")
 
 

@@ -1,11 +1,14 @@
 """Golden cases of the resolve and stitch kernels, and of payload parsing."""
 
 import json
+import random
 import sys
 
 import pytest
 
 from spanloom.functions.text import WS_CODES
+from spanloom.operators import occurrences
+from spanloom.operators.occurrences import Occurrences, Suffixes
 from spanloom.operators.payloads import batch_status, items_of, specs_of
 from spanloom.operators.resolve import BatchUnit, Searchable, batch_unit, clipped, quoted, resolve
 from spanloom.operators.stitch import Stitcher, restored, state_of
@@ -153,3 +156,45 @@ def test_payloads():
     assert items_of(json.dumps({"requirements": 7}))[1] == ["not-a-list"]
     assert items_of("{")[1] == ["not-json"] and items_of(None) == ([], [])
     assert [batch_status(*x) for x in ((1, 1, 1, None), (0, 0, 0, "max_tokens"), (2, 1, 0, None), (0, 0, 0, None), (1, 1, 0, None))] == ["json_error", "overflow", "verbatim_failure", "empty", "ok"]
+
+
+def test_suffixes_find_every_place():
+    rng = random.Random(2)
+    for alphabet, n in (("ab", 60), ("a", 30), ("abc d", 200), ("é𝄞x ", 80)):
+        text = "".join(rng.choice(alphabet) for _ in range(n))
+        index = Suffixes(text)
+        for _ in range(100):
+            a = rng.randrange(n)
+            piece = text[a : a + rng.randint(1, 9)] if rng.random() < 0.7 else "".join(rng.choice(alphabet) for _ in range(5))
+            assert sorted(index.places(piece).tolist()) == [i for i in range(n) if text.startswith(piece, i)]
+    assert Suffixes("").places("a").tolist() == []
+
+
+def plain_shortened(text, quote, low, high, from_front):
+    words = quote.split(" ")
+    for n in range(len(words), 3, -1):
+        part = " ".join(words[-n:] if from_front else words[:n])
+        if len(part) < 24:
+            return None
+        at = text.find(part, low, high)
+        if at >= 0:
+            return None if text.find(part, at + 1, high) >= 0 else (at, at + len(part))
+    return None
+
+
+@pytest.mark.parametrize("scans", [0, 10**9])
+def test_shortened_quotes(monkeypatch, scans):
+    """By halving and by suffixes as by trying every length."""
+    monkeypatch.setattr(occurrences, "SCANS", scans)
+    rng, hits = random.Random(4), 0
+    for _ in range(40):
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(120)]
+        text, index = " ".join(words), Occurrences(" ".join(words))
+        for _ in range(30):
+            a, n = rng.randrange(100), rng.randint(1, 14)
+            quote = " ".join(words[a : a + n] + ["zzz"] * rng.randint(0, 2)) if rng.random() < 0.5 else " ".join(["zzz"] * rng.randint(0, 2) + words[a : a + n])
+            low, high, front = rng.randrange(0, 300), rng.randrange(300, len(text) + 1), rng.random() < 0.5
+            got = index.shortened(quote, low, high, front)
+            assert got == plain_shortened(text, quote, low, high, front)
+            hits += got is not None
+    assert hits > 100
