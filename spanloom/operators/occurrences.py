@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable
+
 import numpy as np
 
+try:
+    import ahocorasick
+except ImportError:  # pieces are searched one by one then
+    ahocorasick = None
+
+#: Pieces times characters from which on all pieces are searched in one pass.
+TOGETHER = 1 << 22
 #: Searches of one text after which an index is worth its making.
 SCANS = 64
 #: A shortened quote keeps at least so many words and characters.
@@ -57,6 +67,31 @@ class Occurrences:
 
     def __init__(self, text: str):
         self.text, self.scans, self.suffixes = text, 0, None
+        self.known: dict[str, list[int]] = {}
+
+    def prepare(self, pieces: Iterable[str]) -> None:
+        """Find every place of all pieces in one pass over the text, by an automaton, where searching them apart would take longer."""
+        wanted = {p for p in pieces if p}
+        if ahocorasick is None or len(wanted) * len(self.text) < TOGETHER:
+            return
+        automaton = ahocorasick.Automaton()
+        for p in wanted:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        self.known = {p: [] for p in wanted}
+        for end, p in automaton.iter(self.text):
+            self.known[p].append(end - len(p) + 1)
+
+    def exact(self, piece: str, low: int, high: int) -> tuple[int, int] | None:
+        """The first place in [low, high)."""
+        if not piece:
+            return None
+        if (places := self.known.get(piece)) is not None:
+            i = bisect_left(places, low)
+            at = places[i] if i < len(places) and places[i] + len(piece) <= high else -1
+        else:
+            at = self.text.find(piece, low, high)
+        return (at, at + len(piece)) if at >= 0 else None
 
     def first_two(self, piece: str, low: int, high: int) -> list[int]:
         """The first place in [low, high), and the next one, if there are any."""

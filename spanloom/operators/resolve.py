@@ -8,6 +8,7 @@ import numpy as np
 
 from spanloom.functions.text import CONFUSABLES, KNOWN_ROLES, WS_CODES
 from spanloom.operators.occurrences import Occurrences
+from spanloom.operators.payloads import FIELDS
 
 _FOLD = str.maketrans(CONFUSABLES)
 _BLANK = np.zeros(max(WS_CODES) + 2, dtype=bool)
@@ -34,6 +35,10 @@ class Searchable:
     def raw(self, position: int) -> int:
         return int(self.at[position])
 
+    def exact(self, quote: str | None, low: int, high: int) -> tuple[int, int] | None:
+        """First occurrence inside [low, high)."""
+        return self.occurrences.exact(folded(quoted(quote)), low, high) if quote else None
+
     def shortened(self, quote: str | None, low: int, high: int, from_front: bool = False) -> tuple[int, int] | None:
         """The longest shortened quote that occurs in [low, high), if it occurs there once."""
         return self.occurrences.shortened(folded(quoted(quote)), low, high, from_front) if quote else None
@@ -44,13 +49,6 @@ def quoted(quote: str) -> str:
     return " ".join(quote.split())  # split() knows just the same white space
 
 
-def exact(text: str, quote: str | None, low: int, high: int) -> tuple[int, int] | None:
-    """First occurrence inside [low, high)."""
-    wanted = folded(quoted(quote)) if quote else ""
-    at = text.find(wanted, low, high) if wanted else -1
-    return (at, at + len(wanted)) if at >= 0 else None
-
-
 @dataclass
 class Found:
     """Where one segment's bounds are: raw positions, and the normalized ones of the start's match."""
@@ -65,11 +63,12 @@ class Found:
 
 def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
     """Three passes over a batch's segments in the order sent: exact starts, shortened starts, ends."""
-    out, norm, size = [Found() for _ in specs], text.text, len(text.text)
+    out, size = [Found() for _ in specs], len(text.text)
     cursor = 0
+    text.occurrences.prepare(folded(quoted(s[f])) for s in specs for f in FIELDS if s[f])
     for s, f in zip(specs, out, strict=True):
         after = bool(s["start_after_quote"])
-        hit = exact(norm, s["start_after_quote"] if after else s["start_quote"], cursor, size)
+        hit = text.exact(s["start_after_quote"] if after else s["start_quote"], cursor, size)
         if hit:
             f.at, f.at_end = hit
             f.start = text.raw(hit[1] if after else hit[0])
@@ -94,12 +93,12 @@ def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
     for s, f, nxt in zip(specs, out, bounds, strict=True):
         since = f.at_end if f.at >= 0 else 0
         if s["end_before_quote"]:
-            hit = exact(norm, s["end_before_quote"], since, nxt.at_end if nxt else size)
+            hit = text.exact(s["end_before_quote"], since, nxt.at_end if nxt else size)
             if hit and text.raw(hit[0]) > f.start:
                 f.end = text.raw(hit[0])
         elif s["end_quote"]:
             high = nxt.at if nxt else size
-            hit = exact(norm, s["end_quote"], since, high) or text.shortened(s["end_quote"], since, high, from_front=True)
+            hit = text.exact(s["end_quote"], since, high) or text.shortened(s["end_quote"], since, high, from_front=True)
             if hit:
                 f.end = text.raw(hit[1])
     return out

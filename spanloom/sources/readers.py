@@ -6,13 +6,15 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import WS, normalize_block
 from spanloom.operators.blocks import is_noise, margin_band, reading_order, with_offsets
 from spanloom.plans.settings import Settings
 
+#: Bytes from which on a file is not read as a whole.
+WHOLE = (1 << 31) - (1 << 20)
 RAW = "doc_id string, page int, block_no int, x0 double, y0 double, x1 double, y1 double, page_w double, page_h double, text string"
 
 
@@ -26,12 +28,30 @@ def paragraphs(docs: DataFrame, *keep: str) -> DataFrame:
 def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Blocks of UTF-8 text files; doc_id is the path, doc_hash the hash of the bytes. Other bytes are an error.
 
-    Files with equal bytes are documents of their own, with equal hashes.
+    Files with equal bytes are documents of their own, with equal hashes. A file is read by lines, in as many byte
+    ranges as Spark deals it into. Blank lines are counted in each range and added up over ranges, so
+    each line knows its paragraph, and a paragraph on a border is put together from both sides. Files
+    are hashed in a pass of their own; one of 2 GB or more, which Spark can't read as a whole, by the hashes of its blocks.
     """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("line"),
+        F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.raise_error(F.lit("a file is not UTF-8"))).alias("value"),
+    )
+    blank = F.col("value").rlike(rf"^{WS}*\z").cast("long")
+    order = Window.partitionBy("doc_id", "range").orderBy("line")
+    lines = lines.withColumn("blank", blank)
+    before = Window.partitionBy("doc_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lines.groupBy("doc_id", "range").agg(F.sum("blank").alias("n")).select("doc_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = lines.withColumn("in", F.sum("blank").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("blank = 0").join(ranges, ["doc_id", "range"])
+    parts = placed.groupBy("doc_id", (F.col("before") + F.col("in")).alias("ord")).agg(F.array_sort(F.collect_list(F.struct("range", "line", "value"))).alias("l"))
+    text = normalize_block(F.array_join(F.transform("l", lambda x: x["value"]), "\n"))
+    made = with_offsets(parts.select("doc_id", F.lit(1).alias("page"), "ord", text.alias("text")).where(F.length("text") > 0))
+    made = made.withColumn("block_no", F.col("block_idx").cast("int"))
     files = spark.read.format("binaryFile").load(paths)
-    files = files.select(F.col("path").alias("doc_id"), F.sha2("content", 256).alias("doc_hash"), F.decode("content", "UTF-8").alias("text"))
-    made = paragraphs(files, "doc_hash").withColumn("page", F.lit(1)).withColumn("ord", F.col("block_no"))
-    return with_offsets(made).withColumn("path", F.col("doc_id"))
+    files = files.where(F.col("length") < WHOLE).select(F.col("path").alias("doc_id"), F.sha2("content", 256).alias("whole"))
+    parted = made.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("parted"))
+    hashes = parted.join(files, "doc_id", "left").select("doc_id", F.coalesce("whole", "parted").alias("doc_hash"))
+    return made.join(hashes, "doc_id").withColumn("path", F.col("doc_id"))
 
 
 def quarantine(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Readers, batching cases, refinement, providers, overflow and streaming."""
 
+import hashlib
 import json
 import os
 import random
@@ -598,3 +599,25 @@ def test_stream_of_late_repeated_and_missing_batches(spark, tmp_path):
     assert got["gap"] == [(-1, 2, "missing", None), (0, 1, "complete", 0), (1, 2, "complete", 2 * size), (2, 3, "complete", 3 * size)]
     # the end never came: what was open is flushed, and what comes behind it is passed over
     assert got["endless"] == [(-1, 3, "missing", None), (0, 1, "complete", 0), (1, 2, "truncated_at_end", size)]
+
+
+def test_a_text_file_is_read_in_ranges(spark, tmp_path):
+    """Byte ranges that cut paragraphs, lines and characters anywhere give the blocks of the whole file."""
+    rng = random.Random(12)
+    text = "".join(rng.choice(["word ", "é—", "x-\n", "\n", "\r\n", "\n\n", " \t\n\n", "\n\x0b\n", "𝄞", "\r"]) for _ in range(4000))
+    (tmp_path / "a.txt").write_bytes(text.encode())
+    (tmp_path / "b.txt").write_bytes(b"one\n\ntwo")
+    whole = readers.paragraphs(spark.createDataFrame([("a", text)], "doc_id string, text string")).orderBy("block_no").collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "1001b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = readers.read_text(spark, str(tmp_path))
+            got = rows.where("doc_id LIKE '%a.txt'").orderBy("block_idx").collect()
+            assert [(r.block_no, r.text) for r in got] == [(r.block_no, r.text) for r in whole] and len(got) > 300
+            assert {r.doc_hash for r in got} == {hashlib.sha256(text.encode()).hexdigest()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "c.txt").write_bytes(b"a\xff")
+    with pytest.raises(Exception, match="UTF-8"):  # noqa: B017
+        readers.read_text(spark, str(tmp_path / "c.txt")).count()

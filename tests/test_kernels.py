@@ -198,3 +198,16 @@ def test_shortened_quotes(monkeypatch, scans):
             assert got == plain_shortened(text, quote, low, high, front)
             hits += got is not None
     assert hits > 100
+
+
+def test_pieces_are_found_in_one_pass(monkeypatch):
+    monkeypatch.setattr(occurrences, "TOGETHER", 0)
+    rng = random.Random(6)
+    text = "".join(rng.choice("ab c") for _ in range(400))
+    pieces = [text[a : a + rng.randint(1, 8)] for a in range(0, 390, 7)] + ["zz", "a", ""]
+    one, other = Occurrences(text), Occurrences(text)
+    one.prepare(pieces)
+    assert one.known and not other.known
+    for p in pieces:
+        low, high = rng.randrange(200), rng.randrange(200, 401)
+        assert one.exact(p, low, high) == other.exact(p, low, high)
