@@ -268,6 +268,37 @@ def kernel_run_json(spark, sf_dir):
     return made.select("doc_id", F.to_json(F.from_json("json", fields)).alias("json"))
 
 
+_EDGE = rf"'^[ .:\-—]+', ''), '[ .:\-—]+\z', ''"
+_TITLE = rf"""(SELECT nullif(substr(regexp_replace(CASE WHEN instr(h, '.') > 1 THEN substr(h, 1, instr(h, '.') - 1) ELSE h END, '{T.WS}+\z', ''), 1, 80), '')
+FROM (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(requirement_text, 1, 160), '^{T.WS}+', ''), '{T.WS}+\z', ''), {_EDGE}) AS h))"""
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, r AS (SELECT *, replace(replace(substr('{STAMP}', 1, 19), '-', ''), ':', '') || 'Z-' || substr(doc_hash, 1, 8) AS run_id FROM told)
+SELECT r.doc_id, run_id, r.doc_hash AS document_id, count(*) OVER (PARTITION BY r.doc_id)::INT AS n_requirements, run_id || '#r' || lpad((sequence - 1)::VARCHAR, 4, '0') AS uid, sequence::VARCHAR AS unit_id, sequence,
+substr(doc_hash, 1, 12) || ':' || "start" AS span_key, CASE WHEN kind <> 'two' THEN r.label END AS req_id, {_TITLE} AS title, requirement_text AS extracted_text, "start" || '-' || "end" AS doc_offset, a.page AS page_start, b.page AS page_end,
+CASE WHEN kind = 'two' THEN 2 ELSE 1 END AS n_pairs, CASE WHEN kind = 'two' THEN 'requirement,context' ELSE r.role END AS roles, r.chunk_id, run_id || '#c' || r.chunk_id AS extraction_call_id, chunks, status, verbatim_match, end_resolved, segments_partial, warnings
+FROM r LEFT JOIN spans a ON a.doc_id = r.doc_id AND a.char_start <= "start" AND "start" < a.char_end LEFT JOIN spans b ON b.doc_id = r.doc_id AND b.char_start <= "end" - 1 AND "end" - 1 < b.char_end""")
+def kernel_units_json(spark, sf_dir):
+    """Whole artifacts of units, read back field by field."""
+    e = extraction(spark, sf_dir)
+    made = views.units_json(e.units, e.docs, e.blocks, "conversations", STAMP, "requirements")
+    unit = (
+        "struct<uid:string,unit_id:string,sequence:bigint,span_key:string,metadata:struct<req_id:string>,title:string,extracted_text:string,source:struct<doc_offset:array<bigint>,page_range:array<int>>,"
+        "quotes:struct<segment_quote_pairs:array<struct<role:string>>>,segments:array<struct<role:string>>,trace:struct<chunk_id:bigint,extraction_call_id:string,spans_chunks:array<bigint>>,"
+        "validation:struct<status:string,verbatim_match:boolean,end_resolved:boolean,segments_partial:boolean,warnings:array<string>>>"
+    )
+    rows = made.select("doc_id", F.from_json("json", f"run_id string, document_id string, n_requirements int, requirements array<{unit}>").alias("j"))
+    rows = rows.select("doc_id", "j.run_id", "j.document_id", "j.n_requirements", F.explode("j.requirements").alias("u"))
+    listed = lambda c: F.array_join(c, ",")
+    v = [F.col(f"u.validation.{c}") for c in ("status", "verbatim_match", "end_resolved", "segments_partial")]
+    return rows.select(
+        "doc_id", "run_id", "document_id", "n_requirements", "u.uid", "u.unit_id", "u.sequence", "u.span_key", "u.metadata.req_id", "u.title", "u.extracted_text",
+        F.array_join("u.source.doc_offset", "-").alias("doc_offset"), F.col("u.source.page_range")[0].alias("page_start"), F.col("u.source.page_range")[1].alias("page_end"),
+        F.size("u.quotes.segment_quote_pairs").alias("n_pairs"), listed(F.transform("u.segments", lambda x: x["role"])).alias("roles"), "u.trace.chunk_id", "u.trace.extraction_call_id",
+        joined("u.trace.spans_chunks").alias("chunks"), *v, listed(F.col("u.validation.warnings")).alias("warnings"),
+    )
+
+
 class Crowded(RuleBased):
     """Answers no batch of more than two blocks, as a model with little room for its answer would."""
 

@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
+from importlib import import_module
 
 from spanloom.operators.payloads import SCHEMA
 from spanloom.plans.providers import CallError, arguments, call, stop_reason
@@ -26,6 +27,17 @@ class Tool:
     schema: str = field(default_factory=lambda: json.dumps(SCHEMA))
 
 
+@dataclass(frozen=True)
+class Named:
+    """A factory by its name, ``package.module:function``; imported in the worker that calls it."""
+
+    name: str
+
+    def __call__(self) -> Client:
+        module, function = self.name.split(":", 1)
+        return getattr(import_module(module), function)()
+
+
 @lru_cache(maxsize=8)
 def client(factory: Callable[[], Client]) -> Client:
     """The worker's client of a factory; made at its first call."""

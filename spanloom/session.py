@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import blocks as B
 from spanloom.operators import views
+from spanloom.plans.backends import ChatService, MessageService, Named
 from spanloom.plans.engine import Extraction
-from spanloom.plans.providers import Provider, Recorded, RuleBased
+from spanloom.plans.providers import Chain, Provider, Recorded, RuleBased
+from spanloom.plans.settings import Settings
 from spanloom.sources.readers import read as read_blocks
 
 
@@ -71,13 +74,25 @@ def find_unit(e: Extraction, which: int | str) -> Row:
     return row
 
 
-def resolve_provider(name: str | None = None, payloads: dict[str, str] | None = None) -> Provider:
-    """The provider by name, else by SPANLOOM_PROVIDER, else recorded payloads if there are any, else rule-based."""
+def resolve_provider(name: str | None = None, payloads: dict[str, str] | None = None, settings: Settings | None = None) -> Provider:
+    """The provider by name, else by SPANLOOM_PROVIDER, else recorded payloads if there are any, else rule-based.
+
+    ``messages`` and ``chat`` are services; SPANLOOM_CLIENT names the function that makes their client, as
+    ``package.module:function``, which is imported where it is called. Their models, retries and limits are those of ``settings``.
+    """
     name = (name or os.environ.get("SPANLOOM_PROVIDER") or "auto").strip().lower()
     if name == "recorded" or (name == "auto" and payloads):
         if not payloads:
             raise ValueError("the recorded provider needs payloads")
         return Recorded(payloads)
+    if name in ("messages", "chat"):
+        named = os.environ.get("SPANLOOM_CLIENT", "")
+        if ":" not in named:
+            raise ValueError("set SPANLOOM_CLIENT to package.module:function")
+        settings = settings or Settings()
+        if name == "chat":  # one deployment, no other models
+            settings = replace(settings, fallback_models="")
+        return Chain((MessageService if name == "messages" else ChatService)(Named(named)), settings)
     if name in ("auto", "rule-based"):
         return RuleBased()
     raise ValueError(f"unknown provider: {name}")

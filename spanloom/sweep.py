@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None) -> list[dict]:
     spark = SparkSession.builder.getOrCreate()
     blocks = read(spark, args.file)
     if args.live:
-        rows = sweep_live(blocks, args.budgets, Profile("sweep", boundary_pattern=args.pattern), resolve_provider(), args.section)
+        rows = sweep_live(blocks, args.budgets, Profile("sweep", boundary_pattern=args.pattern), resolve_provider(settings=Settings.of(spark)), args.section)
     else:
         rows = [r.asDict() for r in sweep(blocks, args.budgets, args.pattern).collect()]  # a row a budget
     columns = list(rows[0]) if rows else []

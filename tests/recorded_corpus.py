@@ -146,3 +146,14 @@ def recorded_calls(spark: SparkSession, blocks: DataFrame) -> DataFrame:
     plain = {"model_used": F.lit("m"), "input_tokens": F.lit(10).cast("long"), "output_tokens": F.lit(5).cast("long"), "response_time_s": F.lit(0.25)}
     plain |= {f"cache_{k}_tokens": F.lit(0).cast("long") for k in ("creation", "read")} | {"chunk_hash": F.substring(F.sha2("payload_json", 256), 1, 16)}
     return calls.withColumns(plain | {"est_input_tokens": F.floor((F.col("char_end") - F.col("char_start")) / 4) + 1})
+
+
+def quoting_client():
+    """A made-up service's client: one unit of the text it is sent, from its first words to its last."""
+
+    def create(**request):
+        words = request["messages"][-1]["content"].split()
+        unit = item(segments=[segment("requirement", " ".join(words[:4]), " ".join(words[-4:]), req_id="7")])
+        return {"content": [{"type": "tool_use", "input": {"requirements": [unit]}}], "usage": {"input_tokens": 3, "output_tokens": 4}, "stop_reason": "tool_use"}
+
+    return create

@@ -621,3 +621,20 @@ def test_a_text_file_is_read_in_ranges(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"a\xff")
     with pytest.raises(Exception, match="UTF-8"):  # noqa: B017
         readers.read_text(spark, str(tmp_path / "c.txt")).count()
+
+
+def test_services_by_name(spark, tmp_path, monkeypatch):
+    """A live run through a service that settings name, made in the workers."""
+    from spanloom.session import resolve_provider
+    from spanloom.sweep import main
+
+    for name in ("messages", "chat"):
+        with pytest.raises(ValueError):
+            resolve_provider(name)
+    monkeypatch.setenv("SPANLOOM_CLIENT", "recorded_corpus:quoting_client")
+    monkeypatch.setenv("SPANLOOM_PROVIDER", "messages")
+    (tmp_path / "a.txt").write_text("\n\n".join(TEXTS))
+    rows = main([str(tmp_path / "a.txt"), "--budgets", "13,500", "--live", "--section", "7"])
+    assert [(r["budget"], r["n_calls"], r["n_units"], r["input_tokens"], r["has_section"]) for r in rows] == [(13, 6, 6, 18, True), (500, 1, 1, 3, True)]
+    chat = resolve_provider("chat", settings=Settings(model="m", fallback_models="n"))
+    assert chat.settings.models() == ["m"]
