@@ -161,7 +161,8 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     mark = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 10), 16, 10).cast("long")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     limit = F.floor(F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")))
-    chosen = rows.join(sizes.select("lang", limit.alias("limit")), "lang").where(mark < F.col("limit"))
+    # a short row a language, as the driver gets below: texts stay where they are until they are chosen
+    chosen = rows.join(F.broadcast(sizes.select("lang", limit.alias("limit"))), "lang").where(mark < F.col("limit"))
     chosen = chosen.repartition(8, "id").coalesce(8)  # at most eight tasks, however finely the shuffle deals
     tasks = written(chosen.select("text", "lang").mapInArrow(lean(_counted), "lang string, span int, total long, counts binary"), "grams")
     found = tasks.groupBy("lang").agg(F.sum("total").alias("n")).orderBy("lang").collect()  # a number a language
