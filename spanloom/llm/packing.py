@@ -171,25 +171,22 @@ def layout(short: Counter, bins: Counter, window: int, unit: int, parts: int = P
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int) -> Iterator[pa.RecordBatch]:
-    encoder, tail = word_tokenizer(path), np.array([end], dtype="<u4").tobytes()
+    encoder = word_tokenizer(path)
     for batch in batches:
         texts = batch.column("text")
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1) if len(texts) else []:
             low, n = int(rows[0]), len(rows)
-            encoded = encoder.ids(texts.slice(low, n))
-            ids, owner, start, total, parts = batch.column("id").slice(low, n), [], [], [], []
-            for k, raw in enumerate(encoded):
-                raw += tail
-                for at in range(0, len(raw), 4 * window):
-                    owner.append(k)
-                    start.append(at // 4)
-                    total.append(len(raw) // 4)
-                    parts.append(raw[at : at + 4 * window])
-            length = np.array([len(x) // 4 for x in parts], dtype=np.int64)
-            flat = pa.array(np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(start, pa.int64()), pa.array(length), pa.array(total, pa.int64()), lists], ["id", "start", "length", "doc_tokens", "ids"])
+            ids, first = encoder.lists(texts.slice(low, n))
+            flat = np.insert(ids.astype(np.int32), first[1:], end)
+            total = np.diff(first) + 1
+            many = -(-total // window)
+            owner = np.repeat(np.arange(n), many)
+            start = window * (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many))
+            length = np.minimum(window, total[owner] - start)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(flat))
+            columns = [batch.column("id").slice(low, n).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (start, length, total[owner])), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "doc_tokens", "ids"])
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

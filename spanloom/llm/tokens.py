@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,46 +57,62 @@ class WordTokenizer:
             words = [w for w in words if not w.isalpha()]
         self.now.update(zip(words, self._encode(words), strict=True))
 
-    def ids(self, array: pa.Array) -> list[bytes]:
-        """Ids of each text of an Arrow column, null as empty. Give it a few MB of text at a time."""
+    def lists(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow column in a row, null as empty, and where each text's ids start, with their end.
+
+        Give it a few MB of text at a time: its distinct words are looked up once, and Arrow puts
+        their ids in the places of the words.
+        """
         texts = [x or "" for x in array.to_pylist()]
-        runs = pc.fill_null(pc.match_substring_regex(array, _RUNS), False).to_pylist()
-        whole = "\n".join(texts)
-        special = [x for x in _SPECIAL if x in whole]
-        lower = whole.lower() if self.marks else ""
-        marks = [x for x in self.marks if x in lower]
-        parts: list[list[str] | None] = []
-        for text, run in zip(texts, runs, strict=True):
-            if (special and any(x in text for x in special)) or (marks and any(x in text.lower() for x in marks)):
-                parts.append(None)
-                continue
-            if text.isascii() or _composed(text):
-                text = text.lower()
-            if not run:  # then a stop or comma before white space is a run of its own
-                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
-            parts.append(text.split())
-        wanted = set().union(*(x for x in parts if x))
+        runs = pc.fill_null(pc.match_substring_regex(array, _RUNS), False)
+        odd = pc.fill_null(functools.reduce(pc.or_, [pc.match_substring(array, x) for x in _SPECIAL]), False).to_pylist()
+        apart: dict[int, np.ndarray] = {}
+        for i, text in enumerate(texts):
+            low = text.lower()
+            if odd[i] or any(x in low for x in self.marks):
+                apart[i], texts[i] = np.frombuffer(self._encode([text])[0], dtype="<u4"), ""
+            elif text.isascii() or _composed(text):
+                texts[i] = low
+        plain = parted = pa.array(texts, pa.large_string())
+        for sign, space in ((".", " "), (",", " "), (".", "\n"), (",", "\n")):
+            parted = pc.replace_substring(parted, sign + space, f" {sign} ")
+        # outside of longer runs of symbols, a stop or comma before white space is a run of its own
+        parts = pc.utf8_split_whitespace(pc.if_else(runs, plain, parted))
+        words = parts.flatten().dictionary_encode()
+        known = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        held = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(sizes)], np.frombuffer(b"".join(known), dtype="<u4"))
+        ids = held.take(words.indices).flatten().to_numpy()
+        after = np.r_[0, np.cumsum(sizes[words.indices.to_numpy()])]
+        first = after[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        if apart:
+            rows = [apart.get(i, ids[first[i] : first[i + 1]]) for i in range(len(texts))]
+            ids, first = np.concatenate(rows), np.r_[0, np.cumsum([len(x) for x in rows])]
+        return ids, first
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. The empty one, before or behind white space or all of an empty text, has none."""
         if len(self.now) > CACHE:
             self.before, self.now = self.now, {}
-        new = wanted - self.now.keys()
-        old = new & self.before.keys()
-        self.now.update((w, self.before[w]) for w in old)
-        if miss := list(new - old):
+        self.now[""] = b""
+        known = list(map(self.now.get, words))
+        new = [w for w, ids in zip(words, known, strict=True) if ids is None]
+        self.now.update((w, self.before[w]) for w in new if w in self.before)
+        if miss := [w for w in new if w not in self.now]:
             self._remember(miss)
-        known = self.now.__getitem__
-        return [self._encode([text])[0] if words is None else b"".join(map(known, words)) for text, words in zip(texts, parts, strict=True)]
+        return list(map(self.now.__getitem__, words)) if new else known
 
 
 def _composed(text: str) -> bool:
     return unicodedata.is_normalized("NFC", text)
 
 
-@lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=4)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-@lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=4)
 def byte_tokenizer(path: str, pattern: str):
     """A byte-level BPE from a file of ranks; call its encode_ordinary()."""
     import tiktoken
