@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from spanloom.functions.text import CONFUSABLES, KNOWN_ROLES, WS_CODES
-from spanloom.operators.occurrences import Occurrences
+from spanloom.operators.occurrences import Occurrences, count_until
 from spanloom.operators.payloads import FIELDS
 
 _FOLD = str.maketrans(CONFUSABLES)
@@ -35,13 +35,13 @@ class Searchable:
     def raw(self, position: int) -> int:
         return int(self.at[position])
 
-    def exact(self, quote: str | None, low: int, high: int) -> tuple[int, int] | None:
-        """First occurrence inside [low, high)."""
-        return self.occurrences.exact(folded(quoted(quote)), low, high) if quote else None
+    def exact(self, quote: str | None, low: int, high: int, nth: int | None = None) -> tuple[int, int] | None:
+        """First occurrence inside [low, high), or the nth."""
+        return self.occurrences.exact(folded(quoted(quote)), low, high, nth) if quote else None
 
-    def shortened(self, quote: str | None, low: int, high: int, from_front: bool = False) -> tuple[int, int] | None:
-        """The longest shortened quote that occurs in [low, high), if it occurs there once."""
-        return self.occurrences.shortened(folded(quoted(quote)), low, high, from_front) if quote else None
+    def shortened(self, quote: str | None, low: int, high: int, from_front: bool = False, nth: int | None = None) -> tuple[int, int] | None:
+        """The longest shortened quote that occurs in [low, high), if it occurs there once or ``nth`` tells which it is."""
+        return self.occurrences.shortened(folded(quoted(quote)), low, high, from_front, nth) if quote else None
 
 
 def quoted(quote: str) -> str:
@@ -62,13 +62,16 @@ class Found:
 
 
 def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
-    """Three passes over a batch's segments in the order sent: exact starts, shortened starts, ends."""
+    """Three passes over a batch's segments in the order sent: exact starts, shortened starts, ends.
+
+    A quote is found at its first place in reach, unless ``start_nth`` or ``end_nth`` of its segment counts further from there.
+    """
     out, size = [Found() for _ in specs], len(text.text)
     cursor = 0
     text.occurrences.prepare(folded(quoted(s[f])) for s in specs for f in FIELDS if s[f])
     for s, f in zip(specs, out, strict=True):
         after = bool(s["start_after_quote"])
-        hit = text.exact(s["start_after_quote"] if after else s["start_quote"], cursor, size)
+        hit = text.exact(s["start_after_quote"] if after else s["start_quote"], cursor, size, s.get("start_nth"))
         if hit:
             f.at, f.at_end = hit
             f.start = text.raw(hit[1] if after else hit[0])
@@ -79,7 +82,7 @@ def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
     low = 0
     for i, (s, f) in enumerate(zip(specs, out, strict=True)):
         if f.at < 0 and s["start_quote"] and not s["start_after_quote"]:
-            hit = text.shortened(s["start_quote"], low, later[i + 1])
+            hit = text.shortened(s["start_quote"], low, later[i + 1], nth=s.get("start_nth"))
             f.ambiguous = hit is None
             if hit:
                 f.at, f.at_end, f.fallback, f.start = *hit, True, text.raw(hit[0])
@@ -93,17 +96,55 @@ def resolve(text: Searchable, specs: list[dict]) -> list[Found]:
     for s, f, nxt in zip(specs, out, bounds, strict=True):
         since = f.at_end if f.at >= 0 else 0
         if s["end_before_quote"]:
-            hit = text.exact(s["end_before_quote"], since, nxt.at_end if nxt else size)
+            hit = text.exact(s["end_before_quote"], since, nxt.at_end if nxt else size, s.get("end_nth"))
             if hit and text.raw(hit[0]) > f.start:
                 f.end = text.raw(hit[0])
         elif s["end_quote"]:
             high = nxt.at if nxt else size
-            hit = text.exact(s["end_quote"], since, high) or text.shortened(s["end_quote"], since, high, from_front=True)
+            nth = s.get("end_nth")
+            hit = text.exact(s["end_quote"], since, high, nth) or text.shortened(s["end_quote"], since, high, True, nth)
             if hit:
                 f.end = text.raw(hit[1])
     return out
 
 
+class Numbering:
+    """For providers that know which words they quote: numbers quotes that occur before that, too, as ``resolve`` counts them.
+
+    Segments must come in the order sent.
+    """
+
+    def __init__(self, texts: list[str]):
+        shown = [folded(quoted(t)) for t in texts]
+        self.text, self.spans, at = " ".join(shown), [], 0
+        for t in shown:
+            self.spans.append((at, at + len(t)))
+            at += len(t) + 1
+        self.cursor = self.low = 0
+
+    def segment(self, sent: dict, start: int, end: int) -> dict:
+        """A segment whose quotes are the first and last words of [start, end), with numbers where it needs them."""
+        text, made, since = self.text, dict(sent), 0
+        quote = folded(quoted(sent.get("start_after_quote") or sent.get("start_quote") or ""))
+        if quote and text.startswith(quote, start):
+            n = count_until(text, quote, self.cursor, start)
+            made |= {"start_nth": n} if n > 1 else {}
+            self.cursor = self.low = start + 1
+            since = start + len(quote)
+        elif quote:  # it goes wrong somewhere: its longest right part
+            words = quote.split(" ")
+            n = next((n for n in range(len(words) - 1, 0, -1) if text.startswith(" ".join(words[:n]), start)), 0)
+            part = " ".join(words[:n])
+            if part and count_until(text, part, self.low, len(text)) > 1:
+                made["start_nth"] = count_until(text, part, self.low, start)
+            self.low, since = start + 1, start + len(part)
+        quote = folded(quoted(sent.get("end_before_quote") or sent.get("end_quote") or ""))
+        if quote and text.endswith(quote, 0, end):
+            n = count_until(text, quote, since, end - len(quote))
+            made |= {"end_nth": n} if n > 1 else {}
+        return made
+
+
 def clipped(segments: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, str]], bool]:
     """Valid segments by start, later ones cut where they overlap; whether any was cut."""
     out, cut, reach = [], False, -1

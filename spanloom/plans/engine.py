@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.batching import plan_units, with_units
 from spanloom.operators.blocks import documents, page_range, slices
-from spanloom.operators.payloads import batch_status, items_of, renamed, specs_of
+from spanloom.operators.payloads import FIELDS, batch_status, items_of, renamed, specs_of
 from spanloom.operators.resolve import BatchUnit, Searchable, batch_unit, resolve
 from spanloom.operators.stitch import TextWindow, Unit, finished, pending_state, restored_pending, restored_unit, step, unit_state
 from spanloom.plans.calls import CallStore, TokenBucket, call_key, in_order
@@ -66,7 +66,7 @@ def unit_row(k: int, u: Unit) -> dict:
         "source_chunk_id", "source_chunk_ids")}
     return row | {
         "k": k, "segments": [{"start": a, "end": b, "role": r, "text": t} for (a, b, r),
-            t in zip(u.segments, u.segment_texts, strict=True)], "specs": [s | {"metadata": plain(s["metadata"])} for s in u.specs],
+            t in zip(u.segments, u.segment_texts, strict=True)], "specs": [{c: s[c] for c in (*FIELDS, "role")} | {"metadata": plain(s["metadata"])} for s in u.specs],
         **{f"{r}_text": t for r, t in u.texts.items()}, "model_parts": [plain(m) for m in u.model_parts],
     }
 
