@@ -8,9 +8,11 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from spanloom.operators.batching import plan_units, with_units
 from spanloom.operators.blocks import documents, page_range, slices
@@ -24,7 +26,7 @@ from spanloom.plans.storage import partitions, stored
 
 log = logging.getLogger("spanloom")
 KEY = ["doc_id", "first_block", "last_block"]
-#: Answers that a task hands on at once.
+#: Rows that a task takes up, and answers that it hands on, at once.
 ANSWERS = 64
 
 SPEC = "struct<start_quote:string,end_quote:string,end_before_quote:string,start_after_quote:string,role:string,metadata:string>"
@@ -71,22 +73,46 @@ def unit_row(k: int, u: Unit) -> dict:
     }
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """A task's rows; few of them are Python objects at a time, however many came in a batch."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ANSWERS):
+            yield from batch.slice(i, ANSWERS).to_pylist()
+
+
+def batches_of(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows handed on a few at a time."""
+    made: list[dict] = []
+    for row in rows:
+        made.append(row)
+        if len(made) == ANSWERS:
+            yield pa.RecordBatch.from_pylist(made, schema=schema)
+            made = []
+    if made:
+        yield pa.RecordBatch.from_pylist(made, schema=schema)
+
+
+def arrow_schema(fields: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(fields))
+
+
 def failed_call(e: Exception) -> dict:
     """A call that came to nothing: one failed call costs its batch, not the job."""
     told = {"model": None, "attempt_no": 1, "duration_s": 0.0, "outcome": "api_error", "error_message": str(e)[:200]}
     return call({}, "", stop_reason="", attempts=[told]) | {"failed": True}
 
 
-def _asked(provider: Provider, prompt: str, names: list[str], settings: Settings):
+def _asked(provider: Provider, prompt: str, names: list[str], settings: Settings, fields: str):
     """Calls of a task's rows, so many in flight at once, under one budget of tokens; answers that are kept are not asked for again."""
+    schema = arrow_schema(fields)
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = TokenBucket(settings.tokens_per_s)
         store = CallStore(settings.call_store) if settings.call_store else None
         pause = iter([0.0])
 
         def one(r: dict) -> dict:
-            blocks = [b if isinstance(b, dict) else b.asDict() for b in r.pop("blocks")]
+            blocks = r.pop("blocks")
             text = "\n".join(b["text"] for b in blocks)
             made = store.get(r["call_key"]) if store else None
             if made is None:
@@ -100,15 +126,7 @@ def _asked(provider: Provider, prompt: str, names: list[str], settings: Settings
                     store.put(r["call_key"], made)
             return {c: r[c] for c in names} | {"failed": False} | made
 
-        rows = (r for frame in frames for r in frame.to_dict("records"))
-        made: list[dict] = []
-        for row in in_order(one, rows, settings.calls_in_flight):
-            made.append(row)
-            if len(made) == ANSWERS:
-                yield pd.DataFrame(made)
-                made = []
-        if made:
-            yield pd.DataFrame(made)
+        yield from batches_of(in_order(one, rows_of(batches), settings.calls_in_flight), schema)
 
     return ask
 
@@ -135,11 +153,13 @@ def propose(plans: DataFrame, blocks: DataFrame, provider: Provider, prompt: str
         kept = [*plans.columns, "chunk_hash"]
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*kept).schema.fields)
         dealt = asked.drop("call_key").repartition(partitions(spark), "doc_id", "first_block")
-        return stored(dealt.mapInPandas(_asked(provider, prompt, kept, settings), f"{fields}, {SENT}"), "calls")
+        fields = f"{fields}, {SENT}"
+        return stored(dealt.mapInArrow(_asked(provider, prompt, kept, settings, fields), fields), "calls")
     asked = stored(asked, "asked")
     answered = CallStore(settings.call_store).answers(spark).withColumn("failed", F.lit(False)).dropDuplicates(["key"]).withColumnRenamed("key", "call_key")
     new = asked.select("call_key", "blocks").join(answered.select("call_key"), "call_key", "left_anti").dropDuplicates(["call_key"]).repartition(partitions(spark), "call_key")
-    called = stored(new.mapInPandas(_asked(provider, prompt, ["call_key"], settings), f"call_key string, {SENT}"), "called")
+    fields = f"call_key string, {SENT}"
+    called = stored(new.mapInArrow(_asked(provider, prompt, ["call_key"], settings, fields), fields), "called")
     known = answered.join(asked.select("call_key").distinct(), "call_key", "left_semi").join(called.select("call_key"), "call_key", "left_anti")
     every = called.unionByName(known.select(*called.columns))
     return stored(asked.drop("blocks").join(every, "call_key").drop("call_key"), "calls")
@@ -211,48 +231,50 @@ def names_of(fields: str) -> list[str]:
     return [f.strip().split(" ")[0].strip("`") for f in _split(fields)]
 
 
-def _stepped(settings: Settings, names: dict[str, str] | None, columns: list[str]):
+def _stepped(settings: Settings, names: dict[str, str] | None, fields: str):
     """Each call by itself: its items, its units, and what it does to a unit that is open when it comes."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for c in frame.to_dict("records"):
-                a, text = int(c["char_start"]), c["text"] or ""
-                units, items, bad = ([], [], []) if c["failed"] else batch_units(c["payload_json"], text, a, settings.keep_lone_ends, names)
-                status = "api_error" if c["failed"] else batch_status(len(units), sum(u.verbatim for u in units), len(bad), c["stop_reason"])
-                row = {"doc_id": c["doc_id"], "chunk_id": c["chunk_id"], "n_returned": len(items), "n_found": len(units), "n_malformed": len(bad), "malformed": bad, "batch_status": status}
-                row["model_items"] = [json.dumps(x, ensure_ascii=False) for x in items]
-                counts = not (c["overflowed"] or c["failed"])
-                made = step(units if counts else [], int(c["chunk_id"]), a, TextWindow(a, text))
-                ends = [x[1] for x in made.closes.segments] + [made.closes.end] if made.closes else []
-                row |= {
-                    "used": made.used, "n_lead": made.n_lead, "n_total": made.n_total, "closes": _plain(unit_state(made.closes)) if made.closes else None, "bound": made.bound, "passes": made.passes,
-                    "parts": [_plain(x) for x in made.parts], "open": _plain(pending_state(made.open)) if made.open else None, "open_start": made.open.unit.start if made.open else None,
-                    "open_until": max(ends) if ends else made.bound, "units": [unit_row(k, u) for k, u in enumerate(made.units)],
-                }
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=columns)
+    schema = arrow_schema(fields)
+
+    def one(c: dict) -> dict:
+        a, text = int(c["char_start"]), c["text"] or ""
+        units, items, bad = ([], [], []) if c["failed"] else batch_units(c["payload_json"], text, a, settings.keep_lone_ends, names)
+        status = "api_error" if c["failed"] else batch_status(len(units), sum(u.verbatim for u in units), len(bad), c["stop_reason"])
+        row = {"doc_id": c["doc_id"], "chunk_id": c["chunk_id"], "n_returned": len(items), "n_found": len(units), "n_malformed": len(bad), "malformed": bad, "batch_status": status}
+        row["model_items"] = [json.dumps(x, ensure_ascii=False) for x in items]
+        counts = not (c["overflowed"] or c["failed"])
+        made = step(units if counts else [], int(c["chunk_id"]), a, TextWindow(a, text))
+        ends = [x[1] for x in made.closes.segments] + [made.closes.end] if made.closes else []
+        row |= {
+            "used": made.used, "n_lead": made.n_lead, "n_total": made.n_total, "closes": _plain(unit_state(made.closes)) if made.closes else None, "bound": made.bound, "passes": made.passes,
+            "parts": [_plain(x) for x in made.parts], "open": _plain(pending_state(made.open)) if made.open else None, "open_start": made.open.unit.start if made.open else None,
+            "open_until": max(ends) if ends else made.bound, "units": [unit_row(k, u) for k, u in enumerate(made.units)],
+        }
+        return row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(map(one, rows_of(batches)), schema)
 
     return run
 
 
-def _closed(columns: list[str]):
+def _closed(fields: str):
     """Units that were open between batches, with the text from their start to where they end."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.to_dict("records"):
-                p = restored_pending(json.loads(r["open"]))
-                p.chunk_ids += [int(x) for x in r["more_ids"]]
-                for part in map(json.loads, r["more_parts"]):
-                    p.parts += [part] if part not in p.parts else []
-                closes = restored_unit(json.loads(r["closes"])) if r["closes"] else None
-                bound = None if pd.isna(r["bound"]) else int(r["bound"])
-                u = finished(p, closes, bound, int(r["range_end"]), TextWindow(p.unit.start, r["text"] or ""))
-                rows.append({c: r[c] for c in ("doc_id", "chunk_id", "at_chunk")} | unit_row(-1, u))
-            yield pd.DataFrame(rows, columns=columns)
+    schema = arrow_schema(fields)
+
+    def one(r: dict) -> dict:
+        p = restored_pending(json.loads(r["open"]))
+        p.chunk_ids += [int(x) for x in r["more_ids"]]
+        for part in map(json.loads, r["more_parts"]):
+            p.parts += [part] if part not in p.parts else []
+        closes = restored_unit(json.loads(r["closes"])) if r["closes"] else None
+        bound = r["bound"]
+        u = finished(p, closes, bound, int(r["range_end"]), TextWindow(p.unit.start, r["text"] or ""))
+        return {c: r[c] for c in ("doc_id", "chunk_id", "at_chunk")} | unit_row(-1, u)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(map(one, rows_of(batches)), schema)
 
     return run
 
@@ -290,8 +312,7 @@ def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = No
     texts = slices(spans, blocks, ["chunk_id"])
     rows = calls.select(*need).join(texts, ["doc_id", "chunk_id"], "left").repartition(partitions(spark), "doc_id", "chunk_id")
     fields = f"doc_id {kind}, {CALL_FIELDS}, {STEP_FIELDS}, units array<{struct_of(UNIT_FIELDS)}>"
-    columns = names_of(fields)
-    steps = stored(rows.mapInPandas(_stepped(settings, names, columns), fields), "steps")
+    steps = stored(rows.mapInArrow(_stepped(settings, names, fields), fields), "steps")
 
     order = Window.partitionBy("doc_id").orderBy("chunk_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -322,8 +343,7 @@ def assemble(blocks: DataFrame, calls: DataFrame, settings: Settings | None = No
     texts = slices(cut.select("doc_id", "chunk_id", F.col("open_start").alias("start"), F.greatest("until", "open_start").alias("end")), blocks, ["chunk_id"])
     rows = cut.join(texts, ["doc_id", "chunk_id"], "left").select("doc_id", "chunk_id", "at_chunk", "open", "closes", "bound", "range_end", "more_ids", "more_parts", "text")
     fields = f"doc_id {kind}, chunk_id long, at_chunk long, {UNIT_FIELDS}"
-    columns = names_of(fields)
-    done = rows.repartition(partitions(spark), "doc_id", "chunk_id").mapInPandas(_closed(columns), fields).join(cut.select("doc_id", "chunk_id", "shift"), ["doc_id", "chunk_id"])
+    done = rows.repartition(partitions(spark), "doc_id", "chunk_id").mapInArrow(_closed(fields), fields).join(cut.select("doc_id", "chunk_id", "shift"), ["doc_id", "chunk_id"])
 
     units = own.unionByName(done).withColumn("sequence", F.when(F.col("sequence") > 0, F.col("sequence") + F.col("shift")).otherwise(F.col("sequence")))
     place = Window.partitionBy("doc_id").orderBy("at_chunk", "k")

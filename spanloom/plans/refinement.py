@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from spanloom.operators.refine import merge, windows
 from spanloom.operators.resolve import role_texts
 from spanloom.operators.stitch import TextWindow
 from spanloom.plans.calls import TokenBucket, in_order
-from spanloom.plans.engine import SEGMENT, SENT, Extraction, batch_units, failed_call, names_of, struct_of
+from spanloom.plans.engine import SEGMENT, SENT, Extraction, arrow_schema, batch_units, batches_of, failed_call, rows_of, struct_of
 from spanloom.plans.providers import Provider
 from spanloom.plans.settings import Profile, Settings, system_prompt
 from spanloom.plans.storage import partitions, stored
@@ -35,8 +35,9 @@ def _moved(text: TextWindow, segments: list[dict], end: int) -> dict:
     return made | {f"new_{r}_text": t for r, t in role_texts(text, spans).items()}
 
 
-def _asked(provider: Provider, prompt: str, settings: Settings, names: dict[str, str] | None, columns: list[str]):
+def _asked(provider: Provider, prompt: str, settings: Settings, names: dict[str, str] | None, fields: str):
     """One call for each window; its call's columns, and the units found in it."""
+    schema = arrow_schema(fields)
 
     def one(w: dict) -> dict:
         start, text = int(w["span_start"]), w["text"] or ""
@@ -52,16 +53,14 @@ def _asked(provider: Provider, prompt: str, settings: Settings, names: dict[str,
         told = {"n_returned": len(items), "n_found": len(units), "n_malformed": len(bad), "malformed": bad, "batch_status": status, "model_items": [json.dumps(x, ensure_ascii=False) for x in items]}
         return row | made | told | {"found": found}
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (w for frame in frames for w in frame.to_dict("records"))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = TokenBucket(settings.tokens_per_s)
 
         def paced(w: dict) -> dict:
             bucket.take((len(prompt) + len(w["text"] or "")) / 4)
             return one(w)
 
-        for row in in_order(paced, rows, settings.calls_in_flight):
-            yield pd.DataFrame([row], columns=columns)
+        yield from batches_of(in_order(paced, rows_of(batches), settings.calls_in_flight), schema)
 
     return ask
 
@@ -80,9 +79,8 @@ def refine(extraction: Extraction, provider: Provider, profile: Profile, setting
     texts = slices(spans.select("doc_id", "k", F.col("span_start").alias("start"), F.col("span_end").alias("end")), blocks, ["k"])
     kind, n = blocks.schema["doc_id"].dataType.simpleString(), partitions(blocks.sparkSession)
     fields = f"doc_id {kind}, k int, span_start long, span_end long, {SENT}, {ASKED}, found array<{struct_of(FOUND)}>"
-    columns = names_of(fields)
     rows = spans.join(texts, ["doc_id", "k"]).repartition(n, "doc_id", "k")
-    asked = stored(rows.mapInPandas(_asked(provider, system_prompt(profile, refining=True), settings, names, columns), fields), "refined")
+    asked = stored(rows.mapInArrow(_asked(provider, system_prompt(profile, refining=True), settings, names, fields), fields), "refined")
     units = merge(extraction.units, asked.select("doc_id", "k", "span_end", F.inline("found")))
     fresh = {f"{r}_text": F.col(f"new_{r}_text") for r in KNOWN_ROLES} | {"segments": F.col("new_segments")}
     flags = {"end_resolved": F.lit(True), "segments_partial": F.lit(False), "status": F.lit("complete"), "verbatim_match": F.col("new_requirement_text") != ""}

@@ -1,10 +1,12 @@
-"""Quotes that occur more than once."""
+"""Quotes that occur more than once, and what a task holds."""
 
 import json
 
+import pyarrow as pa
+
 from spanloom.kernel_queries import Scripted
 from spanloom.operators.occurrences import Occurrences
-from spanloom.plans.engine import batch_units
+from spanloom.plans.engine import ANSWERS, batch_units, rows_of
 from spanloom.plans.providers import RuleBased
 
 TAIL = "and the others went to sea"
@@ -68,3 +70,20 @@ def test_numbers_with_an_automaton(monkeypatch):
     o = Occurrences("ab ab ab")
     o.prepare(["ab"])
     assert [o.exact("ab", 1, 8, n) for n in (1, 2, 3)] == [(3, 5), (6, 8), None] == [Occurrences("ab ab ab").exact("ab", 1, 8, n) for n in (1, 2, 3)]
+
+
+def test_few_rows_are_taken_up_at_a_time(monkeypatch):
+    """However many rows come in a batch, ANSWERS at most are Python objects."""
+    batch = pa.RecordBatch.from_pylist([{"n": i} for i in range(3 * ANSWERS + 5)])
+    taken = []
+
+    class Watched:
+        num_rows = batch.num_rows
+
+        def slice(self, at, n):
+            taken.append(len(batch.slice(at, n)))
+            return batch.slice(at, n)
+
+    rows = rows_of(iter([Watched()]))
+    assert next(rows) == {"n": 0} and taken == [ANSWERS]
+    assert sum(1 for _ in rows) == batch.num_rows - 1 and max(taken) == ANSWERS
