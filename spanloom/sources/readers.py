@@ -92,6 +92,29 @@ def page_table(raw: DataFrame, blocks: DataFrame, start_page: int | None = None,
     return sizes.join(kept, ["doc_id", "page"], "left").na.fill(0, ["n_blocks"])
 
 
+def page_offsets(
+    raw: DataFrame, drop_margins: bool = True, patterns: tuple[str, ...] = (), start_page: int | None = None, end_page: int | None = None
+) -> DataFrame:
+    """The page table of ``from_raw_blocks`` with the same options, without its blocks.
+
+    Where a page begins follows from how much text the pages before it kept, in whatever order it is read, so boxes are
+    only summed up by page, and a document of many boxes is no group that a task sorts.
+    """
+    first = max(start_page or 1, 1)
+    rows = raw if start_page is None else raw.where(F.col("page") >= start_page)
+    rows = rows if end_page is None else rows.where(F.col("page") <= end_page)
+    text, band = normalize_block(F.col("text")), margin_band(F.col("y0"), F.col("y1"), F.col("page_h"))
+    rows = rows.select("doc_id", "page", "page_w", "page_h", text.alias("text"), band.alias("band"))
+    kept = F.col("text").isNotNull() & ~is_noise(F.col("text"), F.col("band") if drop_margins else None, patterns)
+    pages = rows.groupBy("doc_id", "page").agg(
+        F.max("page_w").alias("width"), F.max("page_h").alias("height"), F.sum(F.when(kept, F.length("text") + 1)).alias("chars"), F.count_if(kept).alias("n_blocks"),
+    )
+    before = F.sum("chars").over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.when(F.col("n_blocks") > 0, F.coalesce(before, F.lit(0)) + F.col("page") - first).cast("long")
+    pages = pages.where("doc_id IS NOT NULL").withColumn("char_start", start)
+    return pages.select("doc_id", "page", "width", "height", "char_start", (F.col("char_start") + F.col("chars") - 1).alias("char_end"), "n_blocks")
+
+
 def from_raw_blocks(
     raw: DataFrame, detect_columns: bool = True, drop_margins: bool = True, patterns: tuple[str, ...] = (), start_page: int | None = None, end_page: int | None = None
 ) -> DataFrame:
